@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pagelattice.llm.common import byte_column, cut
 
 LINE_SCHEMA = "h1 long, h2 long, doc_id long, pos int"
+#: Keys broadcast at most: an edge run or two for each partition, and runs of over 100,000 rows.
+MOST_OPEN = 200_000
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -116,6 +118,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     seen = cut(dealt.mapInArrow(stream_runs(min_docs), LINE_SCHEMA + ", open boolean"), "line_runs")
     unsettled = seen.where("open")
     frequent = unsettled.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    frequent = cut(frequent, "open_lines")
+    if frequent.count() <= MOST_OPEN:
+        frequent = F.broadcast(frequent)
     late = unsettled.join(frequent, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "pos")
     return seen.where("not open").select("doc_id", "pos").unionByName(late)
 
