@@ -81,31 +81,40 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def references(measured: DataFrame, min_words: int) -> DataFrame:
-    """(ref_lang, class_ref, word_ref, ref_words): each language's histograms, in millionths summed over
+    """(ref_lang, class_ref, word_ref, their totals, ref_words): each language's histograms, in millionths summed over
     its documents, so that a long document weighs as much as a short one and sums are exact."""
     share = lambda name, k, total: F.sum(F.expr(f"bigint(round(1000000 * {name}[{k}] / {total}))"))
     good = measured.where(~F.col("base_failed") & (F.col("n_words") >= min_words))
-    return good.groupBy(F.col("lang").alias("ref_lang")).agg(
+    sums = good.groupBy(F.col("lang").alias("ref_lang")).agg(
         F.array(*[share("class_counts", k, "word_chars") for k in range(N_CLASSES)]).alias("class_ref"),
         F.array(*[share("word_counts", k, "n_words") for k in range(len(VOCABULARY) + 1)]).alias("word_ref"),
         F.sum("n_words").alias("ref_words"),
     )
+    total = lambda name: F.expr(f"aggregate({name}, 0L, (s, x) -> s + x)")
+    return sums.withColumn("class_total", total("class_ref")).withColumn("word_total", total("word_ref"))
 
 
-def js_distance(left: str, right: str) -> Column:
-    """Jensen-Shannon distance, base 2, of two arrays of counts; null where one is empty of counts."""
-    total = lambda a: f"aggregate({a}, 0D, (s, x) -> s + x)"
-    share = lambda a: f"transform({a}, x -> x / nullif({total(a)}, 0))"
-    part = "if(p > 0, p * log2(2 * p / (p + q)), 0D) + if(q > 0, q * log2(2 * q / (p + q)), 0D)"
-    return F.expr(f"sqrt(greatest(0D, {total(f'zip_with({share(left)}, {share(right)}, (p, q) -> {part})')} / 2))")
+def js_distance(left: str, left_total: str, right: str, right_total: str) -> Column:
+    """Jensen-Shannon distance, base 2, of two arrays of counts with known totals; null where one is empty."""
+    shares = f"zip_with({left}, {right}, (x, y) -> struct(x / nullif({left_total}, 0) AS p, y / nullif({right_total}, 0) AS q))"
+    part = "if(v.p > 0, v.p * log2(2 * v.p / (v.p + v.q)), 0D) + if(v.q > 0, v.q * log2(2 * v.q / (v.p + v.q)), 0D)"
+    return F.expr(f"sqrt(greatest(0D, aggregate({shares}, 0D, (s, v) -> s + {part}) / 2))")
+
+
+#: Languages whose references are broadcast (under 1 KB each); more are joined by shuffle.
+MOST_LANGUAGES = 1000
 
 
 def compared(measured: DataFrame, refs: DataFrame, min_words: int, min_reference: int) -> DataFrame:
     """Adds class_js and word_js; null where a guard applies."""
+    refs = cut(refs, "quality_refs")
+    if refs.count() <= MOST_LANGUAGES:
+        refs = F.broadcast(refs)
     joined = measured.join(refs, measured["lang"] == refs["ref_lang"], "left")
     judged = (F.col("n_words") >= min_words) & (F.col("ref_words") >= min_reference)
-    joined = joined.withColumn("class_js", F.when(judged, js_distance("class_counts", "class_ref"))).withColumn("word_js", F.when(judged, js_distance("word_counts", "word_ref")))
-    return joined.drop("ref_lang", "class_ref", "word_ref", "ref_words")
+    joined = joined.withColumn("class_js", F.when(judged, js_distance("class_counts", "word_chars", "class_ref", "class_total")))
+    joined = joined.withColumn("word_js", F.when(judged, js_distance("word_counts", "n_words", "word_ref", "word_total")))
+    return joined.drop("ref_lang", "class_ref", "word_ref", "class_total", "word_total", "ref_words")
 
 
 def judge(
