@@ -4,7 +4,7 @@ Texts become lower-case words without marks. A seed mask picks some positions of
 and ignores the others, so a substituted word does not hide a match. The seeds of the benchmark are
 hashed into a sorted table; every run of words of every document is hashed with each mask and looked
 up. Around each hit, document and item are compared along the hit's diagonal: the best-scoring
-stretch (a match counts +1, a mismatch -2) is a verified overlap. A document holds an item if
+stretch (a match counts +1, a mismatch -1) is a verified overlap. A document holds an item if
 its overlaps (at least ``MIN_RUN`` matching words each) together match ``min_words`` words of it, or
 ``min_share`` of it and at least ``short_words``.
 
@@ -31,7 +31,7 @@ from pagelattice.llm.common import WordHasher, mix64
 
 WORD = re.compile(r"\w+")
 #: Fixed masks: 1 is read, 0 is ignored.
-MASKS = ("111111", "1101011001", "101110101", "11100111")
+MASKS = ("11111", "1101011", "11100101", "1011011")
 MIN_RUN = 5
 SCHEMA = "doc_id long, item_id long, matched_words long, item_words long, first_word long, last_word long"
 
@@ -82,7 +82,7 @@ class SeedTable:
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
     """Bounds of the stretch with the highest score."""
-    sums = np.r_[0, np.cumsum(np.where(same, 1, -2))]
+    sums = np.r_[0, np.cumsum(np.where(same, 1, -1))]
     low = np.minimum.accumulate(sums)
     end = int(np.argmax(sums - low))
     return int(np.argmin(sums[: end + 1])), end
@@ -101,7 +101,7 @@ def overlaps(words: np.ndarray, item: np.ndarray, offsets: set[int]) -> tuple[in
     return int(covered.sum()), first, last
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.6, short_words: int = 8, block_chars: int = 20_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.5, short_words: int = 8, block_chars: int = 20_000_000) -> DataFrame:
     """One row for each document and benchmark item that it holds: matched words and where they lie.
 
     ``block_chars`` bounds the characters of a broadcast block of items.
@@ -114,10 +114,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     out = spark.createDataFrame([], SCHEMA)
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(SeedTable([(r["item_id"], r["text"]) for r in part], short_words))
+        shared = spark.sparkContext.broadcast(vars(SeedTable([(r["item_id"], r["text"]) for r in part], short_words)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, hasher = shared.value, WordHasher()
+            table, hasher = SeedTable([], short_words), WordHasher()
+            vars(table).update(shared.value)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

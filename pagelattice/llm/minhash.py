@@ -5,10 +5,16 @@
    sequence of its own finds first (optimal densification). ``bands`` groups of ``rows`` bins give
    bucket keys.
 2. Documents with equal shingle sets are one class, represented by the smallest doc_id.
-3. A bucket links its members to hubs, not to each other: first the smallest document of every bucket
-   is compared with the others. Only buckets whose members are not yet connected go on, with twice as
-   many hubs each round, until no pair of a bucket is both unconnected and uncompared. A group of
-   copies closes after one round, so pair counts follow its size, not its square.
+3. A bucket's candidate edges form a star: its hub, the member that meets most documents over all its
+   buckets, is compared with the others. Confirmed edges give components. In a second round the members that a bucket's hub did not
+   reach are compared with the members of other components; a group of copies has none or few, so
+   pair counts follow its size, not its square. After that no pair of a bucket is both unconnected
+   and uncompared.
+   Pairs are left out before any text is read if their set sizes exclude the similarity, if their odd
+   sketches do (each shingle flips one of ``ODD_BITS`` bits, so two sketches differ in at most as many
+   bits as the sets differ in shingles: an exact test), or, for sets too large for that, if their
+   one-bit signatures differ in more than ``MOST_BITS`` of the bins (at similarity 0.75 that is over
+   six standard deviations away).
 4. Each candidate pair is confirmed on the full shingle sets, recomputed from the two texts.
 5. Components of the confirmed links.
 
@@ -24,7 +30,6 @@ returned; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +52,13 @@ def shingles(text: bytes, hasher: WordHasher, width: int = WIDTH) -> np.ndarray:
     return np.unique(rolling(hashes, min(width, len(words))))
 
 
-@lru_cache(maxsize=4)
 def probe_sequences(bins: int, tries: int = 1024) -> np.ndarray:
     """For each attempt and bin, the bin to borrow from: fixed for all documents."""
     n = np.arange(tries * bins, dtype=np.uint64)
     return (mix64(n + np.uint64(0x1234567)) % np.uint64(bins)).astype(np.int64).reshape(tries, bins)
 
 
-def one_permutation(found: np.ndarray, bins: int) -> np.ndarray:
+def one_permutation(found: np.ndarray, bins: int, probes: np.ndarray) -> np.ndarray:
     """The densified signature of a non-empty sorted set of hashes: one hash for each bin."""
     width = np.uint64((1 << 64) // bins + 1)
     edges = np.arange(bins, dtype=np.uint64) * width
@@ -65,7 +69,7 @@ def one_permutation(found: np.ndarray, bins: int) -> np.ndarray:
     empty = np.flatnonzero(~full)
     if len(empty):
         out = values.copy()
-        for guess in probe_sequences(bins):
+        for guess in probes:
             source = guess[empty]
             hit = full[source]
             out[empty[hit]] = values[source[hit]]
@@ -83,31 +87,56 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(mixed.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+#: Share of differing signature bits beyond which a pair is not compared; 1 in 8 is expected at similarity 0.75.
+MOST_BITS = 0.27
+ODD_BITS = 1024
+#: Ids of candidate documents that are broadcast at most; more are joined by shuffle.
+MOST_IDS = 2_000_000
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """0-1 values as longs."""
+    data = np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.frombuffer(data.ljust(-(-len(data) // 8) * 8, b"\0"), np.int64)
+
+
+def sketch(found: np.ndarray, signature: np.ndarray) -> np.ndarray:
+    """The odd sketch of a set, then one bit for each bin of its signature (equal hashes give equal bits)."""
+    odd = np.bincount((found & np.uint64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS) & 1
+    bits = mix64(signature + np.arange(len(signature), dtype=np.uint64)) & np.uint64(1)
+    return np.r_[packed(odd), packed(bits)]
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set), buckets."""
+    """doc_id, n_shingles, set_hash (null for an empty set), buckets, bits."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, probes = WordHasher(), probe_sequences(bands * rows)
         for batch in batches:
-            sizes, sets, keys = [], [], []
+            sizes, sets, keys, bits = [], [], [], []
             for text in byte_column(batch, "text"):
                 found = shingles(text, hasher, width)
+                signature = one_permutation(found, bands * rows, probes) if len(found) else None
                 sizes.append(len(found))
                 sets.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                keys.append(band_keys(one_permutation(found, bands * rows), bands, rows) if len(found) else None)
+                keys.append(band_keys(signature, bands, rows) if len(found) else None)
+                bits.append(sketch(found, signature) if len(found) else None)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "buckets"]
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, longs), pa.array(bits, longs)], ["doc_id", "n_shingles", "set_hash", "buckets", "bits"]
             )
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(scan, "doc_id long, n_shingles long, set_hash binary, buckets array<long>")
+    return base.mapInArrow(scan, "doc_id long, n_shingles long, set_hash binary, buckets array<long>, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """Of pairs (a, b) of doc_ids, those whose full shingle sets are ``percent`` % alike."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "pair_texts")
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair_ids")
+    if needed.count() <= MOST_IDS:
+        needed = F.broadcast(needed)
+    texts = cut(texts.join(needed, "id", "left_semi"), "pair_texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,41 +159,53 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 45, rows: i
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept."""
     signed = cut(signatures(docs, bands, rows, width), "signatures")
     classes = signed.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    known = cut(signed.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left").select("doc_id", "n_shingles", "rep"), "classes")
-    heads = known.where("doc_id = rep").select("doc_id").distinct()
-    spread = signed.where("set_hash is not null").join(heads, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("buckets").alias("bucket")).distinct()
-    spread = cut(spread, "buckets")
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("hub")).where("members > 1")
-    live = cut(spread.join(shared, "bucket").select("bucket", "doc_id", "n_shingles", "hub"), "shared")
-
-    hubs = live.where("doc_id = hub").select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("size_a"))
-    pairs = live.where("doc_id <> hub").join(hubs, "bucket").select("a", F.col("doc_id").alias("b"), "size_a", F.col("n_shingles").alias("size_b"))
-    possible = "100 * least(size_a, size_b) >= {0} * greatest(size_a, size_b)".format(percent)
-    tried = cut(pairs.where(possible).select("a", "b").distinct(), "pairs")
+    known = cut(signed.join(classes, "set_hash", "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("buckets")).alias("buckets"), F.when(F.col("doc_id") == F.col("rep"), F.col("bits")).alias("bits")), "classes")
+    heads = known.where("doc_id = rep").select("doc_id", "n_shingles", "buckets", "bits")
+
+    spread = heads.select("doc_id", F.explode("buckets").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("others")).where("others > 1")
+    live = cut(spread.join(shared, "bucket"), "shared")
+    # The hub is the member that meets most documents over all its buckets: of copies, the one they stem from.
+    met = live.groupBy("doc_id").agg(F.sum("others").alias("met"))
+    rated = live.join(met, "doc_id")
+    hubs = rated.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"))).alias("best")).select("bucket", (-F.col("best")["col2"]).alias("hub"))
+    members = cut(live.select("bucket", "doc_id").join(hubs, "bucket"), "members")
+
+    n_odd, n_signed = ODD_BITS // 64, -(-bands * rows // 64)
+    differ = lambda first, n: " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(first, first + n))
+    alike = F.expr(
+        f"""100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)
+        and {100 + percent} * ({differ(0, n_odd)}) <= {100 - percent} * (size_a + size_b)
+        and {differ(n_odd, n_signed)} <= {int(MOST_BITS * bands * rows)}"""
+    )
+    sketches = heads.select("doc_id", "n_shingles", "bits")
+    left = [F.col("doc_id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("bits").alias("bits_a")]
+    right = [F.col("doc_id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("bits").alias("bits_b")]
+
+    edges = members.where("doc_id <> hub").select("hub", "doc_id").distinct()
+    stars = edges.join(sketches.select(*right), F.col("doc_id") == F.col("b")).join(sketches.select(*left), F.col("hub") == F.col("a")).where(alike)
+    tried = cut(stars.select("a", "b"), "pairs")
     links = cut(confirmed(tried, docs, percent, width), "links")
     # Rows that share a doc_id are one node: their classes are linked as well.
-    same_id = known.where("rep is not null and doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(heads.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")
+    same_id = known.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(heads.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
     labels = components(links.unionByName(same_id))
 
-    low, high = 2, 3  # hubs of the next round: ranks low to high in their bucket
-    while True:
-        named = live.join(labels, live["doc_id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "doc_id")).select("bucket", "doc_id", "n_shingles", "comp")
-        split = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where((F.col("x") < F.col("y")) & (F.col("members") >= low + 1))
-        open_rows = cut(named.join(split.select("bucket"), "bucket", "left_semi"), "open")
-        ranked = open_rows.selectExpr("*", "row_number() over (partition by bucket order by doc_id) as nth")
-        chosen = ranked.where(F.col("nth").between(low, high)).selectExpr("bucket", "doc_id as a", "n_shingles as size_a", "comp as comp_a")
-        pairs = open_rows.selectExpr("bucket", "doc_id as b", "n_shingles as size_b", "comp as comp_b").join(chosen, "bucket").where("comp_a <> comp_b and a <> b").where(possible)
-        fresh = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = cut(fresh, "pairs")
-        if open_rows.isEmpty():
-            break
-        if not fresh.isEmpty():
-            more = cut(confirmed(fresh, docs, percent, width), "links")
-            tried = tried.unionByName(fresh)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links.unionByName(same_id))
-        low, high = high + 1, 2 * high + 1
+    comp_of = labels.select(F.col("node").alias("doc_id"), "component")
+    hub_comp = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    placed = members.join(comp_of, "doc_id", "left").join(hub_comp, "hub", "left")
+    placed = placed.withColumn("comp", F.coalesce("component", "doc_id")).withColumn("outside", F.col("comp") != F.coalesce("hub_component", "hub"))
+    placed = cut(placed.select("bucket", "hub", "doc_id", "comp", "outside"), "placed")
+    split = placed.where("outside").select("bucket").distinct()
+    detailed = placed.where("doc_id <> hub").join(split, "bucket").join(sketches, "doc_id")
+    outsiders = detailed.where("outside").select("bucket", *left, F.col("comp").alias("comp_a"))
+    others = detailed.select("bucket", *right, F.col("comp").alias("comp_b"), F.col("outside").alias("outside_b"))
+    pairs = outsiders.join(others, "bucket").where(F.expr("comp_a <> comp_b and (not outside_b or a < b)") & alike)
+    fresh = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct().join(tried, ["a", "b"], "left_anti")
+    fresh = cut(fresh, "pairs")
+    if not fresh.isEmpty():
+        more = cut(confirmed(fresh, docs, percent, width), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more).unionByName(same_id))
 
     named = known.join(labels, known["rep"] == labels["node"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
