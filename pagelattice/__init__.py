@@ -1 +1,8 @@
 """Cross-layer web-page analytics and corpus preparation on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value: they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
