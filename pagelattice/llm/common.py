@@ -40,6 +40,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are broadcast at most (16 MB); more are joined by shuffle.
+MOST_IDS = 2_000_000
+
+
+def small_side(ids: DataFrame, name: str) -> DataFrame:
+    """``ids`` written out, and marked for broadcast if its counted rows allow it."""
+    written = cut(ids, name)
+    return F.broadcast(written) if written.count() <= MOST_IDS else written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WordHasher, mix64
+from pagelattice.llm.common import WordHasher, mix64, small_side
 
 WORD = re.compile(r"\w+")
 #: Fixed masks: 1 is read, 0 is ignored.
@@ -138,4 +138,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The documents that hold no benchmark item, all columns; rows with a null id stay."""
     hit = contaminated(docs, benchmark, **limits).select(F.col("doc_id").alias("__hit")).where("__hit is not null").distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")
+    return docs.join(small_side(hit, "hit"), docs["doc_id"] == F.col("__hit"), "left_anti")

@@ -20,12 +20,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import byte_column, cut
+from pagelattice.llm.common import byte_column, cut, utf8
 
 LINE_SCHEMA = "h1 long, h2 long, doc_id long, pos int"
 #: Keys broadcast at most: an edge run or two for each partition, and runs of over 100,000 rows.
@@ -174,6 +175,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     return joined.mapInArrow(apply, "doc_id long, text string, n_lines long, n_dropped long")
 
 
+def without_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """The documents without their dropped lines, all columns; ``n_chars`` (if there) follows the text."""
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("bitmap").alias("__map"))
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
+        return pd.Series([x if m is None else b"\n".join(surviving(utf8(x), m)[0]).decode("utf-8", "surrogatepass") for x, m in zip(texts, bitmaps, strict=True)], dtype=object)
+
+    joined = docs.join(maps, docs["doc_id"] == F.col("__id"), "left").withColumn("text", rest("text", "__map"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(docs.columns)
+
+
 def digests(deduped: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, n_lines, n_dropped, kept_sha256."""
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WordHasher, byte_column, cut, mix64, rolling
+from pagelattice.llm.common import WordHasher, byte_column, cut, mix64, rolling, small_side
 from pagelattice.llm.components import components
 
 WIDTH = 5
@@ -90,8 +90,6 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 #: Share of differing signature bits beyond which a pair is not compared; 1 in 8 is expected at similarity 0.75.
 MOST_BITS = 0.27
 ODD_BITS = 1024
-#: Ids of candidate documents that are broadcast at most; more are joined by shuffle.
-MOST_IDS = 2_000_000
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -133,9 +131,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH) -> Da
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """Of pairs (a, b) of doc_ids, those whose full shingle sets are ``percent`` % alike."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair_ids")
-    if needed.count() <= MOST_IDS:
-        needed = F.broadcast(needed)
+    needed = small_side(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair_ids")
     texts = cut(texts.join(needed, "id", "left_semi"), "pair_texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
 
@@ -214,5 +210,5 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 45, rows: i
 
 def keep_first(docs: DataFrame, **limits) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id; all columns."""
-    gone = near_duplicates(docs, **limits).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, **limits).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(small_side(gone, "gone"), docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -109,6 +109,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "repeat_position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, all columns, range-sorted by training position.
+
+    Adds ``mix_size``, ``mix_taken`` (words, repeats counted: a trainer reads that many words of the
+    text, from its start, going round), ``mix_position`` and ``mix_repeat_position``. Rows that
+    repeat a doc_id share their sum and earliest position; rows with a null id are not taken.
+    """
+    chosen = mix(docs, **options).where("taken > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    chosen = chosen.agg(F.sum("size").alias("mix_size"), F.sum("taken").alias("mix_taken"), F.min("position").alias("mix_position"), F.min("repeat_position").alias("mix_repeat_position"))
+    return docs.join(chosen, docs["doc_id"] == F.col("__id")).drop("__id").orderBy("mix_position", "doc_id")
+
+
 ORACLE = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

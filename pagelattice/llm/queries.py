@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import decontaminate, html_text, line_dedup, minhash, mixing, quality_model, quality_rules, toxicity, warc
+from pagelattice.llm import decontaminate, html_text, license_scan, line_dedup, minhash, mixing, quality_model, quality_rules, toxicity, warc
 from pagelattice.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = license_scan.document_paths(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(files).withColumnRenamed("key", "doc_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_quality_model": op5_quality_model,
