@@ -91,8 +91,9 @@ def assortativity(edges: DataFrame) -> DataFrame:
     """(g, assortativity): correlation over edges of out-degree at the source and in-degree at the target; 0 where undefined."""
     outs, ins = edges.groupBy("g", "src").agg(F.count(F.lit(1)).alias("x")), edges.groupBy("g", "dst").agg(F.count(F.lit(1)).alias("y"))
     joined = edges.select("g", "src", "dst").join(outs, ["g", "src"]).join(ins, ["g", "dst"])
-    r = F.when((F.count_distinct("x") > 1) & (F.count_distinct("y") > 1), F.corr("x", "y"))
-    return joined.groupBy("g").agg(F.bround(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 4).alias("assortativity"))
+    spread = F.sqrt(F.var_pop("x") * F.var_pop("y"))
+    r = F.try_divide(F.covar_pop("x", "y"), F.nullif(spread, F.lit(0.0)))
+    return joined.groupBy("g").agg(F.bround(F.coalesce(r, F.lit(0.0)), 4).alias("assortativity"))
 
 
 def degree_connectivity(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
