@@ -102,6 +102,13 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in pieces of at most ``rows`` rows, so that what Python makes of a piece stays small."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
+
+
 def byte_column(batch, name: str) -> list:
     """A string column of an Arrow batch as Python bytes, without decoding; null is empty."""
     import pyarrow as pa

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import bucket_of, byte_column, cut
+from pagelattice.llm.common import bucket_of, byte_column, cut, slices
 
 ORDER, SPAN, DECAY = 4, 7, 0.7
 CHUNK, STEP = 24, 12  # longer tokens are scored in overlapping pieces
@@ -114,7 +114,7 @@ def chunk_values(chunks: list[bytes], table: np.ndarray) -> np.ndarray:
 class TokenScorer:
     """Values of tokens under a table, with a bounded memo."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, table: np.ndarray):
         self.table, self.memo = table, {}
@@ -132,10 +132,9 @@ class TokenScorer:
 
     def tops(self, texts: list[bytes]) -> list[tuple[float, float, int]]:
         """The two highest token values of each text, and its number of distinct tokens."""
-        bags = [tokens(t.lower()) for t in texts]
         out = []
-        for k in range(0, len(bags), 200):
-            part = bags[k : k + 200]
+        for k in range(0, len(texts), 100):
+            part = [tokens(t.lower()) for t in texts[k : k + 100]]
             self.learn(set().union(*part))
             for bag in part:
                 best = sorted(map(self.memo.__getitem__, bag))[-2:]
@@ -164,7 +163,7 @@ def sentence_counts(sample: DataFrame) -> DataFrame:
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = [(label, part) for label, text in zip(batch.column("label").to_pylist(), byte_column(batch, "text"), strict=True) for part in set(SENTENCE_END.split(text.lower()))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["label", "sentence"])
 
@@ -283,7 +282,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 6000, buckets: in
 
         def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = TokenScorer(shared.value)
-            for batch in batches:
+            for batch in slices(batches):
                 a, b, n = zip(*scorer.tops(byte_column(batch, "text")), strict=True) if batch.num_rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(n, pa.int64())], [batch.schema.names[0], "top", "second", "n"])
 
