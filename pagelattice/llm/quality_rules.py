@@ -16,7 +16,7 @@ columns are ignored by ``assess`` and kept by ``keep_good``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import WORD_GAP, cut
@@ -105,11 +105,23 @@ def js_distance(left: str, left_total: str, right: str, right_total: str) -> Col
 MOST_LANGUAGES = 1000
 
 
+def few_languages(rows: DataFrame) -> DataFrame:
+    """Written rows of one a language, marked for broadcast if their count allows it."""
+    written = cut(rows, "quality_refs")
+    return F.broadcast(written) if written.count() <= MOST_LANGUAGES else written
+
+
+def typical_limits(first: DataFrame, typical: float) -> DataFrame:
+    """(limit_lang, class_limit): ``typical`` times each language's median class distance, by thousandths."""
+    counts = first.where("class_js is not null").groupBy("lang", F.floor(F.col("class_js") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto, all_bins = Window.partitionBy("lang").orderBy("bin"), Window.partitionBy("lang")
+    half = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(all_bins)).where("2 * upto >= total")
+    return half.groupBy(F.col("lang").alias("limit_lang")).agg((F.lit(typical / 1000) * (F.min("bin") + 1)).alias("class_limit"))
+
+
 def compared(measured: DataFrame, refs: DataFrame, min_words: int, min_reference: int) -> DataFrame:
     """Adds class_js and word_js; null where a guard applies."""
-    refs = cut(refs, "quality_refs")
-    if refs.count() <= MOST_LANGUAGES:
-        refs = F.broadcast(refs)
+    refs = few_languages(refs)
     joined = measured.join(refs, measured["lang"] == refs["ref_lang"], "left")
     judged = (F.col("n_words") >= min_words) & (F.col("ref_words") >= min_reference)
     joined = joined.withColumn("class_js", F.when(judged, js_distance("class_counts", "word_chars", "class_ref", "class_total")))
@@ -123,15 +135,16 @@ def judge(
     min_reference: int = 2000,
     class_limit: tuple[float, float] = (0.09, 1.25),
     word_limit: tuple[float, float] = (0.3, 0.9),
-    typical: tuple[float, float] = (0.15, 0.25),
+    typical: float = 1.3,
 ) -> DataFrame:
     """Adds class_js, word_js and kept to measured rows.
 
     A limit (a, b) is a + b / sqrt(n_words): short texts scatter more. References are taken twice; the
-    second time only from documents within ``typical`` of the first.
+    second time only from documents whose class distance is within ``typical`` times the language's median.
     """
     first = compared(measured, references(measured, min_words), min_words, min_reference)
-    usual = first.where((F.col("class_js") <= typical[0]) & (F.col("word_js") <= typical[1]))
+    limits = few_languages(typical_limits(first, typical))
+    usual = first.join(limits, first["lang"] == limits["limit_lang"]).where("class_js <= class_limit")
     found = compared(measured, references(usual, min_words), min_words, min_reference)
     limit = lambda ab: F.lit(ab[0]) + F.lit(ab[1]) / F.sqrt("n_words")
     fine = F.coalesce((F.col("class_js") <= limit(class_limit)) & (F.col("word_js") <= limit(word_limit)), F.lit(True))
