@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WordHasher, mix64, small_side
+from pagelattice.llm.common import WordHasher, mix64, slices, small_side
 
 WORD = re.compile(r"\w+")
 #: Fixed masks: 1 is read, 0 is ignored.
@@ -119,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table, hasher = SeedTable([], short_words), WordHasher()
             vars(table).update(shared.value)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     words = word_hashes(text, hasher)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import cut
+from pagelattice.llm.common import cut, slices
 
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -139,7 +139,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [matcher.scan(x) for x in batch.column("text").to_pylist()]
             names, scores, places = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(places, pa.int64())], [*carried, "own_license", "cosine", "line"])

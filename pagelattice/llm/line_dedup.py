@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import byte_column, cut, utf8
+from pagelattice.llm.common import byte_column, cut, slices, utf8
 
 LINE_SCHEMA = "h1 long, h2 long, doc_id long, pos int"
 #: Keys broadcast at most: an edge run or two for each partition, and runs of over 100,000 rows.
@@ -47,7 +47,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """One row for each line whose key has ``min_chars`` code points."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests, ids, places = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_column(batch, "text"), strict=True):
                 for pos, line in enumerate(text.split(b"\n")):
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             done = [surviving(t, m) for t, m in zip(byte_column(batch, "text"), batch.column("bitmap").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([b"\n".join(k) for k, _, _ in done], pa.binary()).cast(pa.string()), pa.array([n for _, n, _ in done], pa.int64()), pa.array([d for _, _, d in done], pa.int64())],

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WordHasher, byte_column, cut, mix64, rolling, small_side
+from pagelattice.llm.common import WordHasher, byte_column, cut, mix64, rolling, slices, small_side
 from pagelattice.llm.components import components
 
 WIDTH = 5
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, probes = WordHasher(), probe_sequences(bands * rows)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, sets, keys, bits = [], [], [], []
             for text in byte_column(batch, "text"):
                 found = shingles(text, hasher, width)
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = WIDT
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         last_id, last_set = None, None
-        for batch in batches:
+        for batch in slices(batches):
             hits = []
             for a, left, right in zip(batch.column("a").to_pylist(), byte_column(batch, "text_a"), byte_column(batch, "text_b"), strict=True):
                 if a != last_id:

@@ -76,8 +76,8 @@ def position_at(demand: str) -> Column:
     """Training time at which the share ``demand`` of a source's words has been asked for."""
     return F.expr(
         f"""transform(slice(filter(segments, s -> s.a1 >= {demand} * s.area), 1, 1), s ->
-            s.t0 + s.width * 2 * (({demand} * s.area - s.a0) / s.width)
-            / (s.w0 + sqrt(s.w0 * s.w0 + 2 * (s.w1 - s.w0) * (({demand} * s.area - s.a0) / s.width))))[0]"""
+            s.t0 + coalesce(s.width * 2 * (({demand} * s.area - s.a0) / s.width)
+            / nullif(s.w0 + sqrt(greatest(0D, s.w0 * s.w0 + 2 * (s.w1 - s.w0) * (({demand} * s.area - s.a0) / s.width))), 0D), 0D))[0]"""
     )
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import bucket_of, cut, mix64
+from pagelattice.llm.common import bucket_of, cut, mix64, slices
 from pagelattice.llm.toxicity import training_sample
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -131,7 +131,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 8000, buckets: in
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, weights = TokenCodes(), shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 out = []
                 for text in batch.column("text").to_pylist():
                     cells, values = document_vector(text, codes)
