@@ -18,6 +18,7 @@ ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+KEEPS = frozenset("table ul ol dl select div form section td th".split())  # automatic ends do not reach beyond these
 KEPT = ("id", "src", "href", "action", "class", "alt", "title", "rel", "type")
 SCHEMA = "page_id long, seq int, parent int, depth int, tag string, " + ", ".join(f"{k} string" for k in KEPT) + ", has_event_handler boolean, own_text string, text_start int, text_end int, page_text string, spaced_text string"
 
@@ -75,13 +76,15 @@ class Tree(HTMLParser):
             return
         self.settle(tag in HEAD)
         ended = ENDED_BY.get(tag, ()) + (("p",) if tag in ENDS_P else ())
+        last = None
         for depth in range(len(self.stack) - 1, 1, -1):
             name = self.stack[depth]["tag"]
             if name in ended:
-                self.close_to(depth)
-                break
-            if name in ("table", "ul", "ol", "dl", "select", "div", "form", "section"):
+                last = depth
+            elif name in KEEPS:
                 break
+        if last is not None:
+            self.close_to(last)
         self.open(tag, attrs)
         if tag in VOID:
             self.close_to(len(self.stack) - 1)

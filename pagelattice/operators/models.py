@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -25,25 +28,26 @@ CLASSIFIERS = ("gbt", "forest", "svm", "mlp")
 class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Random Fourier features of an RBF kernel (Rahimi and Recht 2007): a linear machine on them approximates the kernel machine.
 
-    Frequencies come from a seeded generator, so a saved pipeline needs to keep only size, width and seed.
+    Frequencies come from a seeded generator, so a saved pipeline keeps only the four numbers below.
     """
 
-    def __init__(self, inputCol="scaled", outputCol="fourier", size=256, inputs=101, gamma=None, seed=42):
-        super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
-        self.size, self.inputs, self.gamma, self.seed = size, inputs, gamma or 1.0 / inputs, seed
+    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
+    inputs = Param(Params._dummy(), "inputs", "length of the input vectors", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "kernel width: exp(-gamma * squared distance)", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "seed of the frequencies", TypeConverters.toInt)
 
-    def _transform(self, rows):
-        import numpy as np
-        import pandas as pd
+    def __init__(self, inputs: int = 101, size: int = 256, gamma: float | None = None, seed: int = 42):
+        super().__init__()
+        self._set(inputCol="scaled", outputCol="fourier", inputs=inputs, size=size, gamma=gamma or 1.0 / inputs, seed=seed)
 
-        draw = np.random.default_rng(self.seed)
-        w = draw.normal(0, (2 * self.gamma) ** 0.5, (self.inputs, self.size))
-        b = draw.uniform(0, 2 * np.pi, self.size)
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        draw = np.random.default_rng(self.getOrDefault(self.seed))
+        shape = (self.getOrDefault(self.inputs), self.getOrDefault(self.size))
+        w, b = draw.normal(0, (2 * self.getOrDefault(self.gamma)) ** 0.5, shape), draw.uniform(0, 2 * np.pi, shape[1])
 
         @F.pandas_udf("array<double>")
         def project(x: pd.Series) -> pd.Series:
-            return pd.Series(list((2 / w.shape[1]) ** 0.5 * np.cos(np.stack(x.to_numpy()) @ w + b)))
+            return pd.Series(list((2 / shape[1]) ** 0.5 * np.cos(np.stack(x.to_numpy()) @ w + b)))
 
         return rows.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))
 
@@ -65,7 +69,7 @@ def classifier(name: str, inputs: int, seed: int = 42, trees: int | None = None,
         return [RandomForestClassifier(featuresCol="features", numTrees=trees or 200, maxDepth=depth or 20, **common)]
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     if name == "svm":
-        return [scale, RandomFourier(inputs=inputs, seed=seed), LinearSVC(featuresCol="fourier", labelCol="truth", maxIter=50, regParam=0.01)]
+        return [scale, RandomFourier(inputs, seed=seed), LinearSVC(featuresCol="fourier", labelCol="truth", maxIter=50, regParam=0.01)]
     if name == "mlp":
         return [scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=[inputs, 128, 64, 2], maxIter=100, **common)]
     raise ValueError(f"unknown classifier: {name}")
