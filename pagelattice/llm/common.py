@@ -44,10 +44,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 MOST_IDS = 2_000_000
 
 
-def small_side(ids: DataFrame, name: str) -> DataFrame:
-    """``ids`` written out, and marked for broadcast if its counted rows allow it."""
-    written = cut(ids, name)
-    return F.broadcast(written) if written.count() <= MOST_IDS else written
+def small_side(rows: DataFrame, name: str, most: int = MOST_IDS) -> DataFrame:
+    """Narrow ``rows`` written out, and marked for broadcast if there are at most ``most``."""
+    written = cut(rows, name)
+    return F.broadcast(written) if written.count() <= most else written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -90,6 +90,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 #: Share of differing signature bits beyond which a pair is not compared; 1 in 8 is expected at similarity 0.75.
 MOST_BITS = 0.27
 ODD_BITS = 1024
+#: Sets shared by several documents that are broadcast at most (about 50 MB); more are joined by shuffle.
+MOST_CLASSES = 500_000
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -154,8 +156,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = WIDT
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 45, rows: int = 5, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept."""
     signed = cut(signatures(docs, bands, rows, width), "signatures")
-    classes = signed.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    known = cut(signed.join(classes, "set_hash", "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("buckets")).alias("buckets"), F.when(F.col("doc_id") == F.col("rep"), F.col("bits")).alias("bits")), "classes")
+    classes = signed.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    shared_sets = small_side(classes.where("last > first").select("set_hash", "first"), "classes", MOST_CLASSES)
+    named = signed.join(shared_sets, "set_hash", "left").withColumn("rep", F.when(F.col("set_hash").isNotNull(), F.coalesce("first", "doc_id")))
+    of_head = lambda c: F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c)
+    known = cut(named.select("doc_id", "n_shingles", "rep", of_head("buckets"), of_head("bits")), "classes")
     heads = known.where("doc_id = rep").select("doc_id", "n_shingles", "buckets", "bits")
 
     spread = heads.select("doc_id", F.explode("buckets").alias("bucket"))
