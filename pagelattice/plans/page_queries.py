@@ -85,6 +85,17 @@ def static_storage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated_pages(spark, sf_dir).select("page_id", *[c.alias(n) for n, c in storage_counts(F.col("html")).items()])
 
 
+def page_graph_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of the layers above the DOM, from the whole graph build."""
+    from pagelattice.operators.page_graph import build_page_graph
+
+    nodes, edges, _ = build_page_graph(decorated_pages(spark, sf_dir))
+    of = lambda column, kind, name: F.count_if(F.col(column) == kind).alias(name)
+    counted = nodes.groupBy("page_id").agg(of("node_type", C.SCRIPT, "scripts"), of("node_type", C.NETWORK, "requests"), of("node_type", C.STORAGE, "storage"), F.count_if("is_third_party").alias("third_party"))
+    linked = edges.groupBy("page_id").agg(of("edge_type", C.EXECUTE, "execute_edges"), of("edge_type", C.REQUEST, "request_edges"), of("edge_type", C.ACCESS, "access_edges"))
+    return counted.join(linked, "page_id")
+
+
 def attach_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelattice.sources.tables import attach_pages as attach
 
@@ -201,6 +212,15 @@ ORACLE = {
           UNION ALL SELECT page_id, domain, {_attr('action')} FROM opened UNION ALL SELECT page_id, domain, {_attr('src')} FROM opened WHERE tag = 'script')
         SELECT page_id, count(*) AS requests, count(*) FILTER (regexp_extract(resource, '^(?:([^:/?#]+):)?(?://([^/?#]*))?', 2) <> domain) AS third_party,
           count(DISTINCT resource) AS resources FROM attrs WHERE starts_with(resource, 'http') GROUP BY page_id""",
+    "page_graph_layers": rf"""{WITH_TAGS}, attrs AS (
+          SELECT page_id, domain, {_attr('src')} AS resource FROM opened UNION ALL SELECT page_id, domain, {_attr('href')} FROM opened
+          UNION ALL SELECT page_id, domain, {_attr('action')} FROM opened UNION ALL SELECT page_id, domain, {_attr('src')} FROM opened WHERE tag = 'script'),
+        net AS (SELECT page_id, count(*) AS n, count(*) FILTER (regexp_extract(resource, '^(?:([^:/?#]+):)?(?://([^/?#]*))?', 2) <> domain) AS third FROM attrs WHERE starts_with(resource, 'http') GROUP BY page_id),
+        js AS (SELECT page_id, count(*) AS n FROM opened WHERE tag = 'script' GROUP BY page_id),
+        st AS (SELECT page_id, CAST(regexp_matches(html, 'document\.cookie|(localStorage|sessionStorage)\.(getItem|setItem)') AS INT) AS n FROM named)
+        SELECT page_id, coalesce(js.n, 0) AS scripts, coalesce(net.n, 0) AS requests, st.n AS storage, coalesce(net.third, 0) AS third_party,
+          coalesce(js.n, 0) AS execute_edges, coalesce(net.n, 0) AS request_edges, st.n * coalesce(js.n, 0) AS access_edges
+        FROM st LEFT JOIN js USING (page_id) LEFT JOIN net USING (page_id)""",
     "static_storage_counts": rf"""WITH {DECORATED_SQL} SELECT page_id, len(regexp_extract_all(html, 'document\.cookie')) AS get_cookie,
         len(regexp_extract_all(html, 'document\.cookie\s*=')) AS set_cookie,
         len(regexp_extract_all(html, '(localStorage|sessionStorage)\.getItem')) AS get_storage,

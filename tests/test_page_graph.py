@@ -83,3 +83,16 @@ def test_feature_rows(spark):
     empty = rows[3]
     assert (empty.html_node_ratio, empty.graph_num_components, empty.dom_leaf_ratio, empty.script_to_input_path_length) == (1, 1, 1, -1)
     assert empty.url_length == len("https://empty.test/")
+
+
+def test_scores_of_perturbed_pages(spark):
+    import random
+
+    from pagelattice.operators import models
+
+    rnd = random.Random(4)
+    train = spark.createDataFrame([(k, "phish" if k % 2 else "benign", *[float(k % 2) + rnd.random() for _ in C.FEATURE_NAMES]) for k in range(30)], "page_id long, label string, " + ", ".join(f"{n} double" for n in C.FEATURE_NAMES))
+    model = models.fit(train, "forest", trees=2, depth=2)
+    rows = models.score_variants(model, pages(spark).where("page_id in (2, 3)").select("page_id", "url", "html").selectExpr("*", "'phish' as label")).collect()
+    assert len(rows) == 84 and all(0 <= r.score <= 1 for r in rows)
+    assert {(r.url, r.status) for r in rows if r.attack == "A1_url_shortener"} == {("https://page.test/login", "ok"), ("https://empty.test/", "missing")}
