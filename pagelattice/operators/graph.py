@@ -196,7 +196,8 @@ def node_profiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     packed = edges.groupBy("g").agg(F.collect_list(F.struct("src", "dst", "structure")).alias("links"))
     flags = ("is_root", "is_form", "is_input", "is_script", "is_storage", "is_request", "is_redirect", "in_largest")
     members = nodes.groupBy("g").agg(F.collect_list(F.struct("node", *flags)).alias("members"))
-    joined = members.join(packed, "g", "left")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = members.join(packed, "g", "left").repartition(parts, "g")  # Python work: not to be merged into a few tasks
 
     def profile(batches):
         import pandas as pd

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.functions import urls
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from pagelattice.tables import read_table as table
 
 
 #: (condition, snippet): what is added to raw pages, which hold no forms, links or storage code.

@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table; one of fewer files than there are cores is dealt out, so that all of them work."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
