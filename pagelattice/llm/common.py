@@ -70,7 +70,7 @@ def bucket_of(doc_id: str, buckets: int, remainder: int):
 class WordHasher(dict):
     """64-bit hashes of byte words; a bounded per-process memo."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -38,7 +38,7 @@ SIZE = 1 << BITS  # cells of the weight table; the bias is kept apart
 class TokenCodes(dict):
     """Token to (hash of its folded form) << 32 | (hash of its shape); a bounded per-process memo."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.LIMIT:

@@ -114,7 +114,7 @@ def chunk_values(chunks: list[bytes], table: np.ndarray) -> np.ndarray:
 class TokenScorer:
     """Values of tokens under a table, with a bounded memo."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, table: np.ndarray):
         self.table, self.memo = table, {}
