@@ -161,3 +161,56 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     tagged = docs.select("*", F.struct("*").alias("__row"))
     measured = cut(measure(tagged, "__row"), "quality_docs")
     return judge(measured, **limits).where("kept").select("__row.*")
+
+
+_CATEGORIES = ", ".join(f"'{w}'" for w in VOCABULARY)
+
+
+def _distances(refs: str) -> str:
+    """SQL of each judged document's two distances to the references named ``refs``."""
+    part = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END"
+    return f"""
+  SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN kind = 0 THEN {part} END) / 2)) AS class_js, sqrt(greatest(0, sum(CASE WHEN kind = 1 THEN {part} END) / 2)) AS word_js
+  FROM (SELECT c.doc_id, c.kind, c.n / c.total AS p, r.r / sum(r.r) OVER (PARTITION BY c.doc_id, c.kind) AS q
+        FROM cells c JOIN {refs} r ON c.lang = r.lang AND c.kind = r.kind AND c.cat = r.cat WHERE c.n_words >= 40 AND r.ref_words >= 2000)
+  GROUP BY doc_id"""
+
+
+def _references(rows: str) -> str:
+    """SQL of the references over the documents of ``rows``."""
+    return f"""
+  SELECT lang, kind, cat, CAST(sum(CAST(round(1000000 * n / total) AS BIGINT)) AS DOUBLE) AS r, sum(n_words) AS ref_words
+  FROM cells WHERE NOT base_failed AND n_words >= 40 AND doc_id IN ({rows}) GROUP BY lang, kind, cat"""
+
+
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS p FROM w),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, words[p:p + 7]) AS c FROM starts) WHERE c > 1),
+covered AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, least(8, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 8)) AS n FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT w.doc_id, lang, words, array_to_string(words, '') AS solid, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+           len(words) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(words) AS base_failed
+         FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)),
+rest AS (SELECT *, regexp_replace(solid, '\p{{Ll}}+', '', 'g') AS a FROM base),
+peeled AS (SELECT *, regexp_replace(a, '\p{{Lu}}+', '', 'g') AS b FROM rest),
+marks AS (SELECT *, len(regexp_extract_all(b, '[0-9]')) AS digits, len(regexp_extract_all(b, '[.,;:!?''"()-]')) AS marks FROM peeled),
+classes AS (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS cat, unnest([word_chars - length(a), length(a) - length(b), digits, marks, length(b) - digits - marks]) AS n FROM marks),
+common AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM w) WHERE word IN ({_CATEGORIES}) GROUP BY ALL),
+every AS (SELECT doc_id, unnest([{_CATEGORIES}]) AS word FROM base),
+cells AS (
+  SELECT doc_id, lang, n_words, base_failed, 0 AS kind, CAST(cat AS VARCHAR) AS cat, n, word_chars AS total FROM classes JOIN base USING (doc_id)
+  UNION ALL SELECT e.doc_id, lang, n_words, base_failed, 1, e.word, coalesce(c.n, 0), n_words FROM every e JOIN base USING (doc_id) LEFT JOIN common c ON c.doc_id = e.doc_id AND c.word = e.word
+  UNION ALL SELECT b.doc_id, lang, n_words, base_failed, 1, '', n_words - coalesce((SELECT sum(n) FROM common c WHERE c.doc_id = b.doc_id), 0), n_words FROM base b),
+refs1 AS ({_references("SELECT doc_id FROM base")}),
+js1 AS ({_distances("refs1")}),
+bins AS (SELECT lang, floor(class_js * 1000) AS bin, count(*) AS n FROM js1 JOIN base USING (doc_id) GROUP BY ALL),
+halves AS (SELECT lang, bin, sum(n) OVER (PARTITION BY lang ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang) AS total FROM bins),
+limits AS (SELECT lang, 0.0013::DOUBLE * (min(bin) + 1) AS most FROM halves WHERE 2 * upto >= total GROUP BY lang),
+refs2 AS ({_references("SELECT doc_id FROM js1 JOIN base USING (doc_id) JOIN limits USING (lang) WHERE class_js <= most")}),
+js2 AS ({_distances("refs2")})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(class_js <= 0.09 + 1.25 / sqrt(n_words) AND word_js <= 0.3 + 0.9 / sqrt(n_words), true) AS kept
+FROM base LEFT JOIN js2 USING (doc_id)
+"""
