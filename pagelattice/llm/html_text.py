@@ -3,9 +3,13 @@
 Markup is stripped into lines: one for each block of text, and empty lines where an element that is
 not content (menu, header, footer, sidebar, notice, advert, form, script, comment) stood or where
 the text moves to another section. Text lengths are summed over sliding windows of ``window`` lines.
-Around the highest window the text surges up from, and dives down to, windows without text: the lines
-between these two points are the article. Where that peak lies in an ``article`` or ``main``
-element, the points move to the element's ends, since short first and last blocks belong to it.
+Empty lines keep such windows apart, so that the highest one lies in one section. Around it the text
+surges up from, and dives down to, a window of blocks that are all links (a menu without a name): the
+blocks between these two points are the article. Where that peak lies in an ``article`` or ``main``
+element, the points move to the element's ends, since short first and last blocks belong to it. Where
+it lies in no such element, they move over the ends of the outermost section around it, or of the body
+if the body itself holds text. Blocks of links stay there if they stand between text of their own
+section; others are menus.
 
 Defined edge cases: null or empty html gives an empty text; a page without any block of text gives
 an empty text; unclosed and stray tags are tolerated; repeated rows are rows of their own; an empty
@@ -44,18 +48,20 @@ DROPPED_NAMES = frozenset(
     related recommended newsletter subscribe subscription popup modal overlay widget login signup toolbar pagination pager skip copyright""".split()
 )
 ARTICLES = frozenset(("article", "main"))
-SECTIONS = frozenset("div section table ul ol dl body html".split()) | ARTICLES
+LISTS = frozenset("table ul ol dl".split())
+SECTIONS = frozenset("div section body html".split()) | LISTS | ARTICLES
 NEVER_BY_NAME = frozenset(("html", "body"))
 DROPPED_ARTICLES = frozenset("comment comments reply replies related ad ads advert promo sponsored".split())
 
 
 class Line:
-    """A block of text, or an empty line (``text`` is "")."""
+    """A block of text, or an empty line (``text`` is ""). ``section`` and ``outermost`` are the nearest and the
+    outermost section around it, lists and tables aside; 0 is the body."""
 
-    __slots__ = ("article", "linked", "text")
+    __slots__ = ("article", "linked", "outermost", "section", "text")
 
-    def __init__(self, text: str, article: int, linked: int):
-        self.text, self.article, self.linked = text, article, linked
+    def __init__(self, text: str, article: int, linked: int, section: int = 0, outermost: int = 0):
+        self.text, self.article, self.linked, self.section, self.outermost = text, article, linked, section, outermost
 
 
 def _is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
@@ -79,7 +85,7 @@ def page_lines(page: str, gap: int) -> list[Line]:
     lines: list[Line] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, int]] = []  # name, left out, article, section
+    stack: list[tuple[str, bool, int, int, int]] = []  # name, left out, article, section, outermost section
     n = 0
 
     def flush():
@@ -87,7 +93,8 @@ def page_lines(page: str, gap: int) -> list[Line]:
         if text:
             block = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if block:
-                lines.append(Line(block, stack[-1][2] if stack else 0, linked))
+                _, _, article, section, outermost = stack[-1] if stack else ("", False, 0, 0, 0)
+                lines.append(Line(block, article, linked, section, outermost))
             text.clear()
         linked = 0
 
@@ -149,7 +156,7 @@ def page_lines(page: str, gap: int) -> list[Line]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
             if depth is not None and (stack[depth][0] == "p" or (stack[depth][0] == name and name in ("li", "dt", "dd", "option", "tr"))):
                 del stack[depth:]
-        above = stack[-1] if stack else ("", False, 0, 0)
+        above = stack[-1] if stack else ("", False, 0, 0, 0)
         out = above[1] or _is_boilerplate(name, attrs, above[2] > 0)
         if out and not block and not above[1]:
             out = name not in ("a", "b", "i", "em", "strong")
@@ -158,7 +165,8 @@ def page_lines(page: str, gap: int) -> list[Line]:
             blank()
         elif name in SECTIONS:
             blank()
-        stack.append((name, out, n if name in ARTICLES and not above[2] else above[2], n if name in SECTIONS else above[3]))
+        section = n if name in SECTIONS - LISTS - NEVER_BY_NAME else above[3]
+        stack.append((name, out, n if name in ARTICLES and not above[2] else above[2], section, above[4] or section))
         links += name == "a"
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
@@ -176,18 +184,27 @@ def article_lines(lines: list[Line], window: int = 3, max_linked: float = 0.6) -
     if not any(sizes):
         return [x.text for x in lines if x.text and x.article]
     n = len(lines)
-    blocks = [sum(sizes[k : k + window]) for k in range(n)]
-    peak = max(range(n), key=lambda k: (blocks[k], -k))
+    sums = [sum(sizes[k : k + window]) for k in range(n)]
+    peak = max(range(n), key=lambda k: (sums[k], -k))
     peak = next(k for k in range(peak, n) if sizes[k])
-    first = last = peak
-    while first > 0 and sum(sizes[max(0, first - window) : first]):
+    if home := lines[peak].article:
+        return [x.text for x in lines if x.text and x.article == home]
+    blocks = [k for k in range(n) if lines[k].text]
+    first = last = blocks.index(peak)
+    while first > 0 and any(sizes[k] for k in blocks[max(0, first - window) : first]):
         first -= 1
-    while last < n - 1 and sum(sizes[last + 1 : last + 1 + window]):
+    while last < len(blocks) - 1 and any(sizes[k] for k in blocks[last + 1 : last + 1 + window]):
         last += 1
-    if home := lines[peak].article:
-        inside = [k for k in range(n) if lines[k].article == home]
-        return [lines[k].text for k in inside if lines[k].text]
-    return [lines[k].text for k in range(first, last + 1) if sizes[k]]
+    around = lines[peak].outermost
+    if any(sizes[k] and not lines[k].outermost for k in blocks):
+        found = blocks
+    else:
+        found = [k for at, k in enumerate(blocks) if first <= at <= last or lines[k].outermost == around]
+    ends: dict[int, tuple[int, int]] = {}  # first and last text of each section
+    for k in found:
+        if sizes[k]:
+            ends[lines[k].section] = (ends.get(lines[k].section, (k, k))[0], k)
+    return [lines[k].text for k in found if sizes[k] or (lines[k].section in ends and ends[lines[k].section][0] < k < ends[lines[k].section][1])]
 
 
 def main_text(page: str | None, window: int = 3) -> str:

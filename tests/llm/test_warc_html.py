@@ -64,6 +64,16 @@ def test_main_text_of_page_layouts():
     assert html_text.main_text("<p>unclosed 'quote\" <a href=\"x>y</a>") != None  # noqa: E711
 
 
+def test_main_text_of_pages_without_article():
+    menu = '<div id="x"><ul><li><a href=/1>One of it</a></li><li><a href=/2>Two of it</a></li><li><a href=/3>Three of it</a></li></ul></div>'
+    parts = "<h1>T</h1><p>A a a</p><ul><li>x</li><li>y</li></ul><div><div><p>nested and the longest of all</p></div></div><table><tr><td>c</td><td>d</td></tr></table><div class=ad>Buy this now</div><p>B</p><p><a href=/r>The report</a></p><section><p>C</p></section><p>D</p>"
+    want = "T|A a a|x|y|nested and the longest of all|c d|B|The report|C|D".replace("|", "\n\n")
+    for page in (f"<div id=content>{parts}</div>", f"<body>{menu}<div id=content>{parts}</div>{menu}</body>", f"<body><div><div>{menu}</div><div>{parts}</div></div></body>", f"<html><body>{parts}</body></html>"):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text("<body><div><p>A</p></div><div class=ad>ad</div><div><p>B b b b</p></div></body>") == "A\n\nB b b b"
+    assert html_text.main_text(f"<body><div>Slogan</div>{menu}<div><p>Text of the page.</p></div></body>") == "Text of the page."
+
+
 def test_extract_awkward(spark):
     df = frame(spark, [(1, None, None), (2, "u", ""), (None, "u", "<p>x y z</p>"), (3, "u", "<article>" + "<p>w w</p>" * 5000), (3, "u", "<p>a</p>")], PAGES)
     rows = {(r.page_id, r.n_chars) for r in html_text.extract(df).collect()}
