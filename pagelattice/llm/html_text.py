@@ -11,6 +11,12 @@ it lies in no such element, they move over the ends of the outermost section aro
 if the body itself holds text. Blocks of links stay there if they stand between text of their own
 section; others are menus.
 
+An element is left out by name if a whole class or id is a name of such content, alone or with words of place and shape
+(``cookie-notice``, ``sidebar-left``; not ``with-sidebar``, ``no-comments``). Where no ``article`` or ``main`` stands
+outside such elements, one is a wrapper and stays if it holds ``main``, or an ``article`` and half of the unlinked text, or
+the share ``spared`` of that text, counted against what would stay without it. Comments, adverts, consent texts and the
+like stay only around ``main``; an ``article`` in them is a teaser or a comment.
+
 Defined edge cases: null or empty html gives an empty text; a page without any block of text gives
 an empty text; unclosed and stray tags are tolerated; repeated rows are rows of their own; an empty
 table gives no rows; extra columns are ignored.
@@ -47,6 +53,17 @@ DROPPED_NAMES = frozenset(
     alert sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments disqus reply replies share sharing social
     related recommended newsletter subscribe subscription popup modal overlay widget login signup toolbar pagination pager skip copyright""".split()
 )
+#: Words that may stand in a name beside one of the above.
+PLACES = frozenset(
+    """site page main top bottom left right primary secondary global container wrapper wrap box bar area list block section posts post links link items item
+    buttons button form slot unit inner outer panel module group column col row strip title heading article entry""".split()
+)
+HEADERS = frozenset("header site page main top global".split())
+#: Never the wrapper of an article, however much text they hold.
+NEVER_WRAPPERS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr comment comments disqus
+    reply replies related recommended newsletter subscribe subscription login signup copyright""".split()
+)
 ARTICLES = frozenset(("article", "main"))
 LISTS = frozenset("table ul ol dl".split())
 SECTIONS = frozenset("div section body html".split()) | LISTS | ARTICLES
@@ -64,28 +81,69 @@ class Line:
         self.text, self.article, self.linked, self.section, self.outermost = text, article, linked, section, outermost
 
 
-def _is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
+KEPT, NAMED, LEFT_OUT = 0, 1, 2
+
+
+class Named:
+    """What an element left out by name holds."""
+
+    __slots__ = ("article", "main", "size", "wrapper")
+
+    def __init__(self, wrapper: bool):
+        self.wrapper, self.size, self.article, self.main = wrapper, 0, False, False
+
+
+def _boilerplate_names(names: str, in_article: bool, words: frozenset[str] = DROPPED_NAMES) -> set[str]:
+    """The words for which a class or id attribute names content to leave out."""
+    found = set()
+    for whole in names.split():
+        parts = {x for x in re.findall(r"[^\W\d_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", whole).lower()) if len(x) > 1}
+        if parts <= words | PLACES:
+            found |= parts & words
+        elif not in_article and "header" in parts and parts <= HEADERS:
+            found.add("header")
+    return found
+
+
+def _is_boilerplate(name: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+    """Whether an element is left out, by its name or otherwise; and whether one left out by name may be a wrapper."""
     if name in DROPPED or (name == "header" and not in_article):
-        return True
+        return LEFT_OUT, False
     if not attrs or name in NEVER_BY_NAME:
-        return False
+        return KEPT, False
     found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
+        return LEFT_OUT, False
     if found.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    names = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found.get("class", "") + " " + found.get("id", "")).lower()))
-    if name in ARTICLES:
-        return bool(names & DROPPED_ARTICLES)
-    return bool(names & DROPPED_NAMES) or ("header" in names and not in_article)
+        return LEFT_OUT, False
+    article = name in ARTICLES
+    names = _boilerplate_names(found.get("class", "") + " " + found.get("id", ""), in_article or article, DROPPED_ARTICLES if article else DROPPED_NAMES)
+    return (NAMED, not names & NEVER_WRAPPERS) if names else (KEPT, False)
 
 
-def page_lines(page: str, gap: int) -> list[Line]:
+def page_lines(page: str, gap: int, spared: float = 0.75) -> list[Line]:
     """The lines of a page; ``gap`` empty ones for each left-out element or change of section."""
+    kept: frozenset[int] = frozenset()
+    while True:
+        lines, named = _parsed(page, gap, kept)
+        if any(x.article for x in lines):
+            return lines
+        rest = sum(max(0, len(x.text) - x.linked) for x in lines)
+        mains = [n for n, x in named.items() if x.main]
+        articles = [n for n, x in named.items() if x.wrapper and x.article and x.size >= rest]
+        large = [max((n for n, x in named.items() if x.wrapper), key=lambda n: named[n].size, default=0)]
+        if not mains and not articles and (not large[0] or named[large[0]].size <= spared * (rest + named[large[0]].size)):
+            return lines
+        kept |= frozenset(mains or articles or large)
+
+
+def _parsed(page: str, gap: int, kept: frozenset[int]) -> tuple[list[Line], dict[int, Named]]:
+    """Lines, and the outermost elements left out by name, by their number; those of ``kept`` are not."""
+    named: dict[int, Named] = {}
     lines: list[Line] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, int, int]] = []  # name, left out, article, section, outermost section
+    stack: list[tuple[str, int, int, int, int, int]] = []  # name, how left out, article, section, outermost section, element left out by name
     n = 0
 
     def flush():
@@ -93,7 +151,7 @@ def page_lines(page: str, gap: int) -> list[Line]:
         if text:
             block = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if block:
-                _, _, article, section, outermost = stack[-1] if stack else ("", False, 0, 0, 0)
+                _, _, article, section, outermost, _ = stack[-1] if stack else ("", KEPT, 0, 0, 0, 0)
                 lines.append(Line(block, article, linked, section, outermost))
             text.clear()
         linked = 0
@@ -117,6 +175,8 @@ def page_lines(page: str, gap: int) -> list[Line]:
             text.append(piece)
             if links:
                 linked += len(piece)
+        elif piece and stack[-1][1] == NAMED and not links:
+            named[stack[-1][5]].size += len(SPACE.sub(" ", piece).strip())
         if not tag:
             break
         at = tag.end()
@@ -156,17 +216,28 @@ def page_lines(page: str, gap: int) -> list[Line]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
             if depth is not None and (stack[depth][0] == "p" or (stack[depth][0] == name and name in ("li", "dt", "dd", "option", "tr"))):
                 del stack[depth:]
-        above = stack[-1] if stack else ("", False, 0, 0, 0)
-        out = above[1] or _is_boilerplate(name, attrs, above[2] > 0)
-        if out and not block and not above[1]:
-            out = name not in ("a", "b", "i", "em", "strong")
+        above = stack[-1] if stack else ("", KEPT, 0, 0, 0, 0)
         n += 1
+        out, wrapper = (LEFT_OUT, False) if above[1] == LEFT_OUT else _is_boilerplate(name, attrs, above[2] > 0)
+        if out == NAMED and n in kept:
+            out = KEPT
+        if out and not block and not above[1] and name in ("a", "b", "i", "em", "strong"):
+            out = KEPT
+        if above[1] == NAMED:
+            if name in ARTICLES and not out:
+                named[above[5]].article = True
+            if name == "main" and out != LEFT_OUT:
+                named[above[5]].main = True
+            out = max(out, NAMED)
+        elif out == NAMED:
+            named[n] = Named(wrapper)
+            named[n].main = name == "main"
         if out and not above[1]:
             blank()
         elif name in SECTIONS:
             blank()
         section = n if name in SECTIONS - LISTS - NEVER_BY_NAME else above[3]
-        stack.append((name, out, n if name in ARTICLES and not above[2] else above[2], section, above[4] or section))
+        stack.append((name, out, n if name in ARTICLES and not above[2] else above[2], section, above[4] or section, above[5] or (n if out == NAMED else 0)))
         links += name == "a"
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
@@ -175,7 +246,7 @@ def page_lines(page: str, gap: int) -> list[Line]:
             at = end.end() if end else len(page)
             stack.pop()
     flush()
-    return lines
+    return lines, named
 
 
 def article_lines(lines: list[Line], window: int = 3, max_linked: float = 0.6) -> list[str]:

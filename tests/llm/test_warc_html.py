@@ -74,6 +74,23 @@ def test_main_text_of_pages_without_article():
     assert html_text.main_text(f"<body><div>Slogan</div>{menu}<div><p>Text of the page.</p></div></body>") == "Text of the page."
 
 
+def test_names_of_wrappers():
+    body = "<h1>T</h1><p>Some words of an article.</p>"
+    side = '<div class="sidebar-left">Side</div><div class="related-posts"><article>Teaser</article></div><div id="siteFooter"></div><div class="site-footer">Foot</div>'
+    want = "T\n\nSome words of an article."
+    for name in ("layout with-sidebar", "post no-comments", "page-nav-open", "overlay", "widget"):
+        for inner in (body, f"<article>{body}</article>"):
+            assert html_text.main_text(f'<body><div class="{name}">{inner}{side}</div></body>') == want
+            assert html_text.main_text(f'<body><div id="{name}">{inner}</div>{side}</body>') == want
+    assert html_text.main_text(f'<article class="no-comments">{body}</article>{side}') == want
+    assert html_text.main_text(f'<div class="ad"><main>{body}</main></div>') == want
+    assert html_text.main_text(f'<div class="modal"><div class="overlay">{body}<div class="comments">Nice</div></div></div>{side}') == want
+    long = "<p>Very long talk of other people.</p>" * 20
+    for name in ("comments", "comment-list", "ad", "cookie-notice", "cookieNotice"):
+        assert html_text.main_text(f'<div id=content>{body}</div><div class="{name}">{long}</div>') == want
+        assert html_text.main_text(f'<article>{body}</article><div class="{name}"><article>{long}</article></div>') == want
+
+
 def test_extract_awkward(spark):
     df = frame(spark, [(1, None, None), (2, "u", ""), (None, "u", "<p>x y z</p>"), (3, "u", "<article>" + "<p>w w</p>" * 5000), (3, "u", "<p>a</p>")], PAGES)
     rows = {(r.page_id, r.n_chars) for r in html_text.extract(df).collect()}
