@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice import constants as C
 from pagelattice.operators import propagation, refmatch
 from pagelattice.plans.common import DECORATED_SQL, URL_SQL, decorated_pages, table
+from pagelattice.tables import cut
 
 
 def _urls(spark, sf_dir):
@@ -125,23 +125,16 @@ def feature_row(spark, sf_dir):
 
 
 def _training_rows(spark, sf_dir):
-    from pagelattice.functions.urls import url_feature_columns
-    from pagelattice.operators import tags
-    from pagelattice.plans.common import with_domain
-
-    pages = tags.html_features(with_domain(decorated_pages(spark, sf_dir))).withColumns({n: c for n, c in url_feature_columns(F.col("url")).items()})
+    """page_id, label and the 101 features of labelled pages; a fit reads them many times."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("CASE quality WHEN 0 THEN 'phish' ELSE 'benign' END").alias("label"))
-    return pages.join(labels, "page_id").drop("html")
-
-
-MODEL_FEATURES = tuple(n for n in C.features_of("C") if n not in ("phishing_keyword_in_nodes", "credential_keyword_depth", "brand_keyword_in_nodes", "brand_in_text_not_domain", "urgency_keyword_ratio", "action_keyword_in_form", "data_uri_node_ratio"))
+    return cut(feature_row(spark, sf_dir).join(labels, "page_id"), "training")
 
 
 def model_scores(spark, sf_dir):
     from pagelattice.operators import models
 
     rows = _training_rows(spark, sf_dir)
-    return models.predict(models.fit(rows, "gbt", list(MODEL_FEATURES), trees=5, depth=3), rows).select("page_id", "label", "score", "prediction")
+    return models.predict(models.fit(rows, "gbt"), rows).select("page_id", "label", "score", "prediction")
 
 
 def cert_stream(spark, sf_dir):

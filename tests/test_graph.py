@@ -71,3 +71,24 @@ def test_chains_and_walks(spark):
 
 def test_single_edge_has_no_assortativity(spark):
     assert graph.assortativity(edges_of(spark, [(0, 1)])).first().assortativity == 0.0
+
+
+def test_queries_take_the_operators_defaults(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pagelattice import constants as C
+    from pagelattice.operators import models
+    from pagelattice.plans import graph_queries, propagation_queries
+
+    seen = {}
+    monkeypatch.setattr(graph, "random_walks", lambda edges, nodes, **options: (seen.update(walks=options), edges.selectExpr("g", "src as start", "0 as walk_no", "array(src) as walk"))[1])
+    monkeypatch.setattr(graph, "deepwalk", lambda walks, **options: (seen.update(vectors=options), walks.selectExpr("start as word", "array(0.0) as vector"))[1])
+    monkeypatch.setattr("pyspark.ml.functions.vector_to_array", F.col)
+    graph_queries.random_walks(spark, "/root/testdata/sf0.001")
+    graph_queries.walk_vectors(spark, "/root/testdata/sf0.001")
+    assert seen == {"walks": {}, "vectors": {}}
+    monkeypatch.setattr(propagation_queries, "feature_row", lambda session, sf_dir: session.range(20).selectExpr("id as page_id", *[f"double(id) as {n}" for n in C.FEATURE_NAMES]))
+    monkeypatch.setattr(models, "fit", lambda rows, name="gbt", names=None, **options: seen.update(rows=rows, names=names, options=options))
+    monkeypatch.setattr(models, "predict", lambda model, rows: rows.selectExpr("page_id", "label", "0.5 as score", "'benign' as prediction"))
+    propagation_queries.model_scores(spark, "/root/testdata/sf0.001")
+    assert (seen["names"] or list(C.FEATURE_NAMES)) == list(C.FEATURE_NAMES) and seen["options"] == {} and set(C.FEATURE_NAMES) <= set(seen["rows"].columns)
