@@ -4,7 +4,8 @@ Texts become lower-case words without marks. A seed mask picks some positions of
 and ignores the others, so a substituted word does not hide a match. The seeds of the benchmark are
 hashed into a sorted table; every run of words of every document is hashed with each mask and looked
 up. Around each hit, document and item are compared along the hit's diagonal: the best-scoring
-stretch (a match counts +1, a mismatch -1) is a verified overlap. A document holds an item if
+stretch (a match counts +1, a mismatch -1) is a verified overlap, and so are the best ones of what
+is left before and after it. A document holds an item if
 its overlaps (at least ``MIN_RUN`` matching words each) together match ``min_words`` words of it, or
 ``min_share`` of it and at least ``short_words``.
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from pagelattice.llm.common import WordHasher, mix64, slices, small_side
 
 WORD = re.compile(r"\w+")
-#: Fixed masks: 1 is read, 0 is ignored.
-MASKS = ("11111", "1101011", "11100101", "1011011")
+#: Fixed masks: 1 is read, 0 is ignored. The last two pass over every third and every fourth word.
+MASKS = ("11111", "1101011", "11100101", "1011011", "111011")
 MIN_RUN = 5
 SCHEMA = "doc_id long, item_id long, matched_words long, item_words long, first_word long, last_word long"
 
@@ -88,14 +89,26 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: end + 1])), end
 
 
+def stretches(same: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the best stretch, then of the best ones before and after it, of at least ``MIN_RUN`` matches each."""
+    parts = [(0, len(same))]
+    while parts:
+        a, b = parts.pop()
+        if same[a:b].sum() < MIN_RUN:
+            continue
+        start, end = best_stretch(same[a:b])
+        if same[a + start : a + end].sum() >= MIN_RUN:
+            yield a + start, a + end
+        parts += [(a, a + start), (a + end, b)]
+
+
 def overlaps(words: np.ndarray, item: np.ndarray, offsets: set[int]) -> tuple[int, int, int]:
     """Matched words of the item over all diagonals, and the words of the document that they span."""
     covered, first, last = np.zeros(len(item), bool), len(words), -1
     for offset in sorted(offsets):
         a, b = max(0, -offset), min(len(item), len(words) - offset)
         same = words[a + offset : b + offset] == item[a:b]
-        start, end = best_stretch(same)
-        if same[start:end].sum() >= MIN_RUN:
+        for start, end in stretches(same):
             covered[a + start : a + end] |= same[start:end]
             first, last = min(first, a + start + offset), max(last, a + end + offset - 1)
     return int(covered.sum()), first, last

@@ -128,3 +128,12 @@ def test_license_anchor_terms_lose_nothing():
         mine = matcher.vector(line)
         assert all(sum(v * mine.get(t, 0) for t, v in vector.items()) < 0.6 for _, vector in matcher.vectors)
     assert re.match(license_scan.LICENSE_FILE, "LICENSE.txt")
+
+
+def test_substituted_passages_are_found(spark):
+    item = [f"w{k}" for k in range(40)]
+    split = item[:10] + [f"x{k}" for k in range(11)] + item[21:31]
+    fourth = [w if k % 4 else f"y{k}" for k, w in enumerate(item)]
+    docs = frame(spark, [(1, " ".join(split), "en", "a", 1), (2, " ".join(fourth), "en", "a", 1), (3, " ".join(item[:12]), "en", "a", 1)])
+    found = decontaminate.contaminated(docs, frame(spark, [(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.matched_words, r.first_word, r.last_word) for r in found) == [(1, 20, 0, 30), (2, 30, 1, 39)]
