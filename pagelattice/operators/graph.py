@@ -117,7 +117,7 @@ def bfs_depths(edges: DataFrame, sources: DataFrame, max_depth: int = 10_000) ->
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    return seen
+    raise RuntimeError(f"nodes left after {max_depth - 1} levels")
 
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -153,8 +153,8 @@ def chain_depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         best = cut(best.unionByName(moved.select("g", "depth")).groupBy("g").agg(F.max("depth").alias("depth")), "best")
         walk = moved.where("not again").drop("again")
         if walk.isEmpty():
-            break
-    return best
+            return best
+    raise RuntimeError(f"walks left after {max_rounds} rounds")
 
 
 def random_walks(edges: DataFrame, nodes: DataFrame, num: int = 10, length: int = 40, seed: int = 42) -> DataFrame:

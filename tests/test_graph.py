@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from pagelattice.operators import graph
 
 
@@ -92,3 +94,11 @@ def test_queries_take_the_operators_defaults(spark, monkeypatch):
     monkeypatch.setattr(models, "predict", lambda model, rows: rows.selectExpr("page_id", "label", "0.5 as score", "'benign' as prediction"))
     propagation_queries.model_scores(spark, "/root/testdata/sf0.001")
     assert (seen["names"] or list(C.FEATURE_NAMES)) == list(C.FEATURE_NAMES) and seen["options"] == {} and set(C.FEATURE_NAMES) <= set(seen["rows"].columns)
+
+
+def test_round_limits_are_errors(spark):
+    chain = spark.createDataFrame([(1, str(k), str(k + 1), k) for k in range(5)], "g long, src string, dst string, ord long")
+    with pytest.raises(RuntimeError):
+        graph.chain_depths(chain, max_rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.bfs_depths(chain, chain.where("src = '0'").selectExpr("g", "src as node"), max_depth=4)
