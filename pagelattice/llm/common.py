@@ -47,7 +47,16 @@ MOST_IDS = 2_000_000
 def small_side(rows: DataFrame, name: str, most: int = MOST_IDS) -> DataFrame:
     """Narrow ``rows`` written out, and marked for broadcast if there are at most ``most``."""
     written = cut(rows, name)
-    return F.broadcast(written) if written.count() <= most else written
+    if written.count() > most:
+        return written
+    marked = F.broadcast(written)
+    marked.small = True
+    return marked
+
+
+def is_broadcast(side: DataFrame) -> bool:
+    """Whether ``small_side`` marked these rows for broadcast."""
+    return getattr(side, "small", False)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Line dedup (1): range-partitioned line hashes, streamed first occurrences, keep bitmaps.
 
-Every line of every document becomes a row (128-bit key hash, doc_id, position). The rows are
+Every line of every document becomes a row (128-bit key hash, doc_id, row key, position). The rows are
 range-partitioned by (hash, doc_id) and sorted within partitions by (hash, doc_id descending,
 position), so a very frequent line spreads over as many partitions as it needs. Each partition is
 streamed with memory for ``min_docs - 1`` documents: the first document of a hash run is the
 keeper, the lines of later ones are dropped as soon as the run has ``min_docs`` documents. Runs
 that touch a partition's edge may continue in a neighbour; their rows are settled by one small
-aggregate (at most two hashes a partition). The result is a compressed bitmap per document; no
-text is shuffled until the bitmaps are applied.
+aggregate (at most two hashes a partition). The result is a compressed bitmap per document (doc_id
+and a hash of the text, so that rows which share an id have bitmaps of their own); no text is shuffled
+until the bitmaps are applied, and then only texts that lose lines.
 
 Defined edge cases: a null or empty text is one empty line; a null ``doc_id`` row keeps all its
-lines and is not counted; rows that repeat a ``doc_id`` count as one document and each row gets
-the lines dropped by its own positions' keys; extra columns are ignored.
+lines and is not counted; rows that repeat a ``doc_id`` count as one document, and each row loses
+lines by its own text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import byte_column, cut, slices, utf8
+from pagelattice.llm.common import byte_column, cut, is_broadcast, slices, small_side, utf8
 
-LINE_SCHEMA = "h1 long, h2 long, doc_id long, pos int"
+LINE_SCHEMA = "h1 long, h2 long, doc_id long, row_key long, pos int"
 #: Keys broadcast at most: an edge run or two for each partition, and runs of over 100,000 rows.
 MOST_OPEN = 200_000
 STRIP = b" \t\n\x0b\x0c\r"
@@ -43,24 +44,30 @@ def code_points(data: bytes) -> int:
     return len(data) if data.isascii() else len(data.decode("utf-8", "surrogatepass"))
 
 
+def row_key():
+    """Tells rows of one doc_id apart: a hash of the text, the same wherever it is computed."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """One row for each line whose key has ``min_chars`` code points."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            digests, ids, places = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_column(batch, "text"), strict=True):
+            digests, ids, rows, places = [], [], [], []
+            for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), byte_column(batch, "text"), strict=True):
                 for pos, line in enumerate(text.split(b"\n")):
                     if len(line) >= min_chars:
                         key = line_key(line)
                         if len(key) >= min_chars and code_points(key) >= min_chars:
                             digests.append(xxhash.xxh3_128_digest(key))
                             ids.append(doc_id)
+                            rows.append(row)
                             places.append(pos)
             both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["h1", "h2", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32())], ["h1", "h2", "doc_id", "row_key", "pos"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     return kept.mapInArrow(scan, LINE_SCHEMA)
 
 
@@ -69,7 +76,7 @@ def stream_runs(min_docs: int, most_rows: int = 100_000):
     first and last run and of runs over ``most_rows`` as open (to be settled by an aggregate)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "doc_id", "pos"]
+        names = ["h1", "h2", "doc_id", "row_key", "pos"]
         carry = None  # rows of the run that the last batch ended in
         leading = True  # the carried run (or the next one) is the partition's first
         is_open = False  # earlier rows of the carried run went out as open
@@ -84,7 +91,7 @@ def stream_runs(min_docs: int, most_rows: int = 100_000):
                 continue
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
-            h1, h2, ids, _ = cols
+            h1, h2, ids = cols[:3]
             new_run = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
             run = np.cumsum(new_run) - 1
             runs = run[-1] + 1
@@ -111,23 +118,23 @@ def stream_runs(min_docs: int, most_rows: int = 100_000):
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, pos) of every line that loses to a copy in a document with a larger doc_id."""
+    """(doc_id, row_key, pos) of every line that loses to a copy in a document with a larger doc_id."""
     lines = cut(line_hashes(docs, min_chars), "line_hashes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc()]
-    dealt = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order, "pos")
+    dealt = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order, "row_key", "pos")
     seen = cut(dealt.mapInArrow(stream_runs(min_docs), LINE_SCHEMA + ", open boolean"), "line_runs")
     unsettled = seen.where("open")
     frequent = unsettled.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     frequent = cut(frequent, "open_lines")
     if frequent.count() <= MOST_OPEN:
         frequent = F.broadcast(frequent)
-    late = unsettled.join(frequent, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "pos")
-    return seen.where("not open").select("doc_id", "pos").unionByName(late)
+    late = unsettled.join(frequent, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "row_key", "pos")
+    return seen.where("not open").select("doc_id", "row_key", "pos").unionByName(late)
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, n_dropped, bitmap) of the documents that lose lines.
+    """(doc_id, row_key, n_dropped, bitmap) of the documents that lose lines.
 
     ``bitmap`` is zlib-compressed: bit ``pos`` (most significant first) is 1 where a line is dropped;
     lines past its end stay.
@@ -142,8 +149,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
         return positions.map(one)
 
-    grouped = dropped_lines(docs, min_chars, min_docs).groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    return grouped.select("doc_id", F.size("pos").cast("long").alias("n_dropped"), pack("pos").alias("bitmap"))
+    grouped = dropped_lines(docs, min_chars, min_docs).groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("pos"))
+    return grouped.select("doc_id", "row_key", F.size("pos").cast("long").alias("n_dropped"), pack("pos").alias("bitmap"))
 
 
 def surviving(text: bytes, bitmap: bytes | None) -> tuple[list[bytes], int, int]:
@@ -158,34 +165,49 @@ def surviving(text: bytes, bitmap: bytes | None) -> tuple[list[bytes], int, int]
     return kept, len(lines), len(lines) - len(kept)
 
 
+def with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """All columns of ``docs`` and ``__map``, the bitmap of a row that loses lines (else null).
+
+    The ids of such rows are broadcast up to ``common.MOST_IDS``, and only their texts are shuffled to
+    meet the bitmaps; beyond that bound all are.
+    """
+    maps = cut(keep_bitmaps(docs, min_chars, min_docs), "bitmaps")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": row_key()})
+    same = lambda left: (left["__id"] == maps["doc_id"]) & (left["__row"] == maps["row_key"])
+    names = [keyed[c] for c in docs.columns]
+    few = small_side(maps.select(F.col("doc_id").alias("__hit")).distinct(), "bitmap_ids")
+    if not is_broadcast(few):
+        return keyed.join(maps, same(keyed), "left").select(*names, maps["bitmap"].alias("__map"))
+    hit = keyed.join(few, keyed["__id"] == few["__hit"], "left_semi")
+    rest = keyed.join(few, keyed["__id"] == few["__hit"], "left_anti").select(*docs.columns, F.lit(None).cast("binary").alias("__map"))
+    return hit.join(maps, same(hit), "left").select(*[hit[c] for c in docs.columns], maps["bitmap"].alias("__map")).unionByName(rest)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Documents joined to their bitmaps: doc_id, text (kept lines), n_lines, n_dropped."""
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("k"), "bitmap")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def apply(batches):
         for batch in slices(batches):
-            done = [surviving(t, m) for t, m in zip(byte_column(batch, "text"), batch.column("bitmap").to_pylist(), strict=True)]
+            done = [surviving(t, m) for t, m in zip(byte_column(batch, "text"), batch.column("__map").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([b"\n".join(k) for k, _, _ in done], pa.binary()).cast(pa.string()), pa.array([n for _, n, _ in done], pa.int64()), pa.array([d for _, _, d in done], pa.int64())],
                 ["doc_id", "text", "n_lines", "n_dropped"],
             )
 
-    joined = base.join(maps, base["doc_id"] == maps["k"], "left").select("doc_id", "text", "bitmap")
-    return joined.mapInArrow(apply, "doc_id long, text string, n_lines long, n_dropped long")
+    return with_bitmaps(base, min_chars, min_docs).mapInArrow(apply, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def without_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents without their dropped lines, all columns; ``n_chars`` (if there) follows the text."""
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("bitmap").alias("__map"))
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
         return pd.Series([x if m is None else b"\n".join(surviving(utf8(x), m)[0]).decode("utf-8", "surrogatepass") for x, m in zip(texts, bitmaps, strict=True)], dtype=object)
 
-    joined = docs.join(maps, docs["doc_id"] == F.col("__id"), "left").withColumn("text", rest("text", "__map"))
+    joined = with_bitmaps(docs, min_chars, min_docs).withColumn("text", rest("text", "__map"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        joined = joined.withColumn("n_chars", F.when(F.col("__map").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return joined.select(docs.columns)
 
 
