@@ -16,8 +16,8 @@ The document at which a source reaches its target gives only the words still ask
 source's taken words equal its rounded target.
 
 Defined edge cases: null text has size 0 and is never taken; a null source is a source of its own,
-ranked last; a null doc_id is ordered as the empty string; ties are broken by size; repeated rows
-are rows of their own; an empty table gives no rows; extra columns are ignored.
+ranked last; a null doc_id is ordered as the empty string; ties are broken by size, then by a hash of
+the text; repeated rows are rows of their own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,13 +81,22 @@ def position_at(demand: str) -> Column:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, schedules: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, position (of the first word taken, null if
-    none), repeat_position (of the second pass), sorted by position. ``max_epochs`` is at most 2."""
+    none), repeat_position (of the second pass), sorted by position. ``options`` as ``arranged``."""
+    return arranged(docs, **options).drop("text_hash").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def arranged(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, schedules: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
+    """The rows of ``mix`` with ``text_hash``, unsorted. ``max_epochs`` is at most 2."""
     if max_epochs > 2:
         raise ValueError("at most two passes over a source")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"), text_hash().alias("text_hash"))
     sizes = cut(sizes.withColumn("key", key).withColumn("block", F.substring("key", 1, 3)), "mix_sizes")
     targets = with_segments(source_targets(sizes, weights, share, max_epochs), schedules or SCHEDULES)
 
@@ -96,29 +105,58 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     blocks = blocks.select("source", "block", F.coalesce(F.sum("block_size").over(earlier), F.lit(0)).alias("block_start"))
     blocks = blocks.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", "segments")
 
-    inside = Window.partitionBy("source", "block").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy("key", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     laid = sizes.withColumn("inner_start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block"))
-    rows = laid.alias("d").join(blocks.alias("b"), same).select("d.doc_id", "d.source", "size", "source_size", "target", "segments", (F.col("block_start") + F.col("inner_start")).alias("start"))
+    rows = laid.alias("d").join(blocks.alias("b"), same).select("d.doc_id", "d.source", "text_hash", "size", "source_size", "target", "segments", (F.col("block_start") + F.col("inner_start")).alias("start"))
     rows = rows.withColumn("asked", F.round("target").cast("long"))
     within = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), F.col("asked") - start))
     rows = rows.withColumn("taken", within(F.col("start")) + within(F.col("start") + F.col("source_size")))
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(position_at("(start / asked)"), 9)))
     again = (F.col("taken") > 0) & (F.col("start") + F.col("source_size") < F.col("asked"))
     rows = rows.withColumn("repeat_position", F.when(again, F.round(position_at("((start + source_size) / asked)"), 9)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "repeat_position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return rows.select("doc_id", "source", "text_hash", "size", "source_size", "target", "taken", "position", "repeat_position")
+
+
+#: Columns that ``mixed`` adds, in place of any of the same name.
+ADDED = ("mix_size", "mix_pass", "mix_taken", "mix_position")
+
+
+def passes(mix_rows: DataFrame) -> DataFrame:
+    """A row for each pass that takes words: its number, the words it takes and its position.
+
+    The second pass begins where the first has ended, so the first takes the whole text if there is one.
+    """
+    whole = F.col("repeat_position").isNotNull()
+    first = F.struct(F.lit(1).alias("mix_pass"), F.when(whole, F.col("size")).otherwise(F.col("taken")).alias("mix_taken"), F.col("position").alias("mix_position"))
+    again = F.struct(F.lit(2).alias("mix_pass"), (F.col("taken") - F.col("size")).alias("mix_taken"), F.col("repeat_position").alias("mix_position"))
+    found = mix_rows.where("taken > 0").withColumn("step", F.explode(F.array_compact(F.array(first, F.when(whole, again)))))
+    return found.select("doc_id", "source", "text_hash", F.col("size").alias("mix_size"), "step.*")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, all columns, range-sorted by training position.
+    """The documents that the mix takes, all columns, a row for each pass, range-sorted by training position.
 
-    Adds ``mix_size``, ``mix_taken`` (words, repeats counted: a trainer reads that many words of the
-    text, from its start, going round), ``mix_position`` and ``mix_repeat_position``. Rows that
-    repeat a doc_id share their sum and earliest position; rows with a null id are not taken.
+    Adds ``mix_size``, ``mix_pass`` (1 or 2), ``mix_taken`` (words of this pass: a trainer reads that many
+    from the start of the text) and ``mix_position``; columns of these names in ``docs`` are replaced. Rows
+    find their place by id, source and text. Equal rows are dealt the places of all of them in order, so
+    each place is used once; rows with a null id, source or text take part like others.
     """
-    chosen = mix(docs, **options).where("taken > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
-    chosen = chosen.agg(F.sum("size").alias("mix_size"), F.sum("taken").alias("mix_taken"), F.min("position").alias("mix_position"), F.min("repeat_position").alias("mix_repeat_position"))
-    return docs.join(chosen, docs["doc_id"] == F.col("__id")).drop("__id").orderBy("mix_position", "doc_id")
+    plain = docs.drop(*ADDED)
+    key = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__hash": text_hash()}
+    nth = lambda names, order: F.row_number().over(Window.partitionBy(*names).orderBy(order))
+    taken = passes(arranged(plain, **options))
+    taken = cut(taken.withColumn("copy", nth(["doc_id", "source", "text_hash", "mix_pass"], "mix_position")), "mix_passes")
+    keyed = plain.withColumns(key)
+    same = F.col("k.__id").eqNullSafe(F.col("t.doc_id")) & F.col("k.__source").eqNullSafe(F.col("t.source")) & (F.col("k.__hash") == F.col("t.text_hash"))
+    copies = taken.groupBy("doc_id", "source", "text_hash").agg(F.max("copy").alias("copies")).where("copies > 1")
+    alone = keyed.alias("k").join(taken.alias("t"), same)
+    if copies.isEmpty():
+        joined = alone
+    else:
+        numbered = keyed.withColumn("__copy", nth(list(key), "__hash"))
+        joined = numbered.alias("k").join(taken.alias("t"), same & (F.col("k.__copy") == F.col("t.copy")))
+    return joined.select(*[F.col(f"k.{c}") for c in plain.columns], *[F.col(f"t.{c}") for c in ADDED]).orderBy("mix_position", "doc_id")
 
 
 ORACLE = r"""

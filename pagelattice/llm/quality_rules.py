@@ -58,12 +58,10 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
         .drop("hashes", "lines", "solid", "common")
     )
     step = step.withColumn("not_letter", F.regexp_replace("not_lower", r"\p{Lu}+", "")).withColumn("twice", F.size(F.array_distinct("windows")) < F.size("windows"))
-    # 40 hash bits and 24 position bits in one long: a primitive sort brings equal windows together.
-    step = step.withColumn("packed", F.expr("if(twice, sort_array(transform(windows, (h, i) -> (h & -16777216) | bigint(i))), cast(array() as array<bigint>))"))
-    same = "(get(windows, int(x & 16777215)) = get(windows, int(get(packed, {j}) & 16777215)))"
+    # Windows with their places, equal ones side by side; only where some window is there twice.
+    step = step.withColumn("placed", F.expr("if(twice, array_sort(transform(windows, (h, i) -> struct(h, bigint(i) AS p))), cast(array() as array<struct<h: bigint, p: bigint>>))"))
     step = step.withColumn(
-        "starts",
-        F.expr(f"sort_array(transform(filter(packed, (x, j) -> coalesce({same.format(j='j - 1')}, false) or coalesce({same.format(j='j + 1')}, false)), x -> x & 16777215))"),
+        "starts", F.expr("sort_array(transform(filter(placed, (x, j) -> coalesce(x.h = get(placed, j - 1).h, false) or coalesce(x.h = get(placed, j + 1).h, false)), x -> x.p))")
     )
     repeat = "aggregate(transform(starts, (p, j) -> least(8L, coalesce(get(starts, j + 1), p + 8) - p)), 0L, (a, x) -> a + x)"
     digits, marks = F.regexp_count("not_letter", F.lit("[0-9]")), F.regexp_count("not_letter", F.lit(r"""[.,;:!?'"()-]"""))

@@ -52,6 +52,25 @@ def test_schedules_shape_positions(spark):
     assert late > 0.65
 
 
+def test_passes_of_repeated_rows(spark):
+    """Equal rows, rows that share an id and rows without one take in the pipeline what the mix gives them."""
+    ten = "w " * 10
+    rows = [(1, ten, "en", "a", 0)] * 3 + [(1, ten + "x", "en", "a", 0), (2, ten, "en", "b", 0), (None, ten, "en", "b", 0), (None, ten, "en", None, 0)] + [(k, ten, "en", "c", 0) for k in range(9, 30)]
+    df = frame(spark, rows)
+    for made in (df, df.limit(1000).where("doc_id > 8 or doc_id = 2")):
+        out = mixing.mixed(made).collect()
+        taken = {}
+        for r in out:
+            taken[(r.doc_id, r.source, r.text)] = taken.get((r.doc_id, r.source, r.text), 0) + r.mix_taken
+        mix = mixing.arranged(made).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken")).where("taken > 0").collect()
+        assert sorted((str(i), str(s), len(t.split()), n) for (i, s, t), n in taken.items()) == sorted((str(r.doc_id), str(r.source), r["size"], r.taken) for r in mix)
+        assert [r.mix_position for r in out] == sorted(r.mix_position for r in out)
+        assert all(0 < r.mix_taken <= r.mix_size for r in out)
+        assert max(r.mix_pass for r in out) == 2
+    again = mixing.mixed(mixing.mixed(df))
+    assert again.columns == mixing.mixed(df).columns and again.count() > 0
+
+
 def test_awkward_rows(spark):
     df = awkward(spark)
     rows = mixing.mix(df).collect()

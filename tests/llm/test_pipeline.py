@@ -32,6 +32,7 @@ def test_run_against_the_stages_by_hand(spark, tmp_path):
     assert {r.doc_id: r.text for r in rows} == {r.doc_id: cleaned[r.doc_id] for r in rows}
     total = sum(len(cleaned[k].split()) for k in left)
     assert abs(sum(r.mix_taken for r in rows) - 1.5 * total) <= 2
+    assert all(sum(r.mix_taken for r in rows if r.doc_id == k) <= 2 * len(cleaned[k].split()) for k in left)
     assert [r.mix_position for r in rows] == sorted(r.mix_position for r in rows)
 
 
