@@ -59,6 +59,21 @@ def is_broadcast(side: DataFrame) -> bool:
     return getattr(side, "small", False)
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], most: int = 50_000) -> DataFrame:
+    """Inner join on ``keys`` of narrow ``left`` rows with ``right`` rows, keys of over ``most`` left rows split.
+
+    A hot key's left rows are dealt over slots by a hash of ``spread`` and its right rows are repeated in
+    each slot. There are at most (left rows / ``most``) hot keys.
+    """
+    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    slots = small_side(counted.select(*keys, F.ceil(F.col("__n") / most).cast("int").alias("__slots")), "hot_keys")
+    if slots.isEmpty():
+        return left.join(right, keys)
+    dealt = left.join(slots, keys, "left").withColumn("__slot", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__slots")), F.lit(0)).cast("int")).drop("__slots")
+    copies = right.join(slots, keys, "left").withColumn("__slot", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__slots") - 1, F.lit(0))))).drop("__slots")
+    return dealt.join(copies, [*keys, "__slot"]).drop("__slot")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table; one of fewer files than there are cores is dealt out, so that all of them work."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

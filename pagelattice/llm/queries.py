@@ -69,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }

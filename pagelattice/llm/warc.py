@@ -1,19 +1,23 @@
 """WARC (4): legacy ARC records to WARC archives and back.
 
-* ``pages_to_arc`` renders pages as ARC records, ``parse_arc`` reads a stream of them: the version
-  block names the header layout (version 1: URL, address, date, type, length; version 2 adds result
-  code, checksum, location, offset and file name) and the declared length delimits the body.
+* ``parse_arc`` reads a stream of ARC records: the version block names the header layout (version 1:
+  URL, address, date, type, length; version 2 adds result code, checksum, location, offset and file
+  name) and the declared length delimits the body. ``read_arcs`` does so for ``.arc`` and ``.arc.gz``
+  files, ``pages_to_arc`` renders pages as such records, ``arc_records`` parses them.
 * ``arc_to_warc`` synthesises record ids, dates, types and digests. Of records with equal payloads
   the one with the largest page_id is a response; the others are revisits that refer to it and
   carry no payload.
-* ``write_archives`` stores records as gzip files with Spark's text writer: the separator between
-  rows, CRLF CRLF, is what ends a WARC record. ``read_archives`` streams the files again; blank lines
-  inside payloads are rejoined by the declared lengths.
+* ``write_archives`` stores each record as a gzip member of its own, after a warcinfo record at the start of
+  each file. Spark's text writer puts a constant separator between rows; here that is a gzip member
+  that holds CRLF CRLF, which ends a WARC record. So a file unpacks to a plain WARC stream, it can be
+  read from the start of any member, and Spark can split it at separators. Bodies are bytes throughout.
+* ``read_archives`` reads such files, ``read_warcs`` WARC files of other writers.
 
 Defined edge cases: a null or empty html is an empty payload (and takes part in revisits when
 ``min_revisit`` is 0); a null url is written as an empty target; rows with a null page_id are always
-responses; rows that repeat a page_id with equal payloads are all responses; an empty table gives
-no rows; extra columns are ignored.
+responses; rows that repeat a page_id are records of their own, and those with equal payloads are
+either all responses or all revisits; an empty table gives no rows; extra columns are ignored.
+``read_arcs`` and ``read_warcs`` take one file at a time into a task.
 """
 
 from __future__ import annotations
@@ -23,13 +27,14 @@ import datetime
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import byte_column, shared_dir
+from pagelattice.llm.common import byte_column, cut, hot_join, shared_dir, slices
 
 CRLF = b"\r\n"
 END = b"\r\n\r\n"
@@ -46,6 +51,60 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+# --- gzip members --------------------------------------------------------------------------------
+
+
+def member_of(deflated: bytes, data: bytes) -> bytes:
+    """A gzip member without name and time."""
+    return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + deflated + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little")
+
+
+#: CRLF CRLF as a stored block, the same bytes whatever the compression library.
+SEPARATOR = member_of(b"\x01\x04\x00\xfb\xff" + END, END)
+
+
+def gzip_member(data: bytes) -> bytes:
+    """``data`` as one member that does not hold the separator's bytes."""
+    for level, kind in ((6, zlib.Z_DEFAULT_STRATEGY), (6, zlib.Z_HUFFMAN_ONLY), (6, zlib.Z_FIXED)):
+        packer = zlib.compressobj(level, zlib.DEFLATED, -15, 8, kind)
+        made = member_of(packer.compress(data) + packer.flush(), data)
+        if SEPARATOR not in made:
+            return made
+    raise ValueError("a record cannot be told from the separator")
+
+
+def unpacked(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of gzip members one after the other; a stream that is not gzip comes as it is."""
+    unpacker, plain, start = None, False, b""
+    for piece in pieces:
+        if unpacker is None and not plain:
+            piece = start + piece
+            if len(piece) < 2:
+                start = piece
+                continue
+            plain = piece[:2] != b"\x1f\x8b"
+        if plain:
+            yield piece
+            continue
+        while piece:
+            unpacker = unpacker or zlib.decompressobj(31)
+            yield unpacker.decompress(piece)
+            piece = unpacker.unused_data
+            if unpacker.eof:
+                unpacker = None
+                piece = piece.lstrip(b"\0")  # padding between members
+                if len(piece) == 1:
+                    start, piece = piece, b""
+                else:
+                    start = b""
+            else:
+                break
+    if unpacker is not None:
+        raise ValueError("the archive ends inside a gzip member")
+    if plain is False and start:
+        yield start
+
+
 # --- ARC -----------------------------------------------------------------------------------------
 
 
@@ -64,37 +123,67 @@ def arc_record(version: int, url: str, date: str, kind: str, body: bytes, name:
     return f"{clean} 0.0.0.0 {date} {kind}{tail} {len(body)}\n".encode() + body + b"\n"
 
 
-def parse_arc(data: Iterable[bytes]) -> Iterator[dict]:
-    """Records of an ARC byte stream, given in chunks: header fields by the version in force, and body.
+class Stream:
+    """Lines and byte counts of a stream that comes in pieces."""
 
-    A version block may come at any record boundary. A header with the wrong number of fields or
-    without a length ends the stream with ValueError.
-    """
-    chunks, buffer, version = iter(data), b"", None
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held, self.at = iter(pieces), bytearray(), 0
 
-    def more() -> bool:
-        nonlocal buffer
-        found = next(chunks, None)
+    def more(self) -> bool:
+        found = next(self.pieces, None)
         if found is None:
             return False
-        buffer += found
+        if self.at:
+            del self.held[: self.at]
+            self.at = 0
+        self.held += found
         return True
 
-    while True:
-        buffer = buffer.lstrip(b"\r\n")
-        while b"\n" not in buffer:
-            if not more():
-                if buffer.strip():
-                    raise ValueError("ARC stream ends in a header")
-                return
-            buffer = buffer.lstrip(b"\r\n")
-        line, _, buffer = buffer.partition(b"\n")
-        parts = line.decode("utf-8", "replace").rstrip("\r").split(" ")
-        length = int(parts[-1])
-        while len(buffer) < length:
-            if not more():
-                raise ValueError("ARC body is shorter than declared")
-        body, buffer = buffer[:length], buffer[length:]
+    def line(self) -> bytes | None:
+        """The next line that is not empty, without its end; None at the end of the stream."""
+        while True:
+            seen = len(self.held) - self.at
+            end = self.held.find(b"\n", self.at)
+            while end < 0:
+                if not self.more():
+                    if self.held[self.at :].strip():
+                        raise ValueError("the stream ends in a header")
+                    return None
+                end = self.held.find(b"\n", self.at + seen)
+                seen = len(self.held) - self.at
+            found = bytes(self.held[self.at : end]).rstrip(b"\r")
+            self.at = end + 1
+            if found:
+                return found
+
+    def header(self) -> bytes:
+        """The next line, empty or not, without its end."""
+        while (end := self.held.find(b"\n", self.at)) < 0:
+            if not self.more():
+                raise ValueError("the stream ends in a header")
+        found = bytes(self.held[self.at : end]).rstrip(b"\r")
+        self.at = end + 1
+        return found
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n:
+            if not self.more():
+                raise ValueError("a body is shorter than declared")
+        found = bytes(self.held[self.at : self.at + n])
+        self.at += n
+        return found
+
+
+def parse_arc(data: Iterable[bytes]) -> Iterator[dict]:
+    """Records of an ARC byte stream, given in chunks: header fields by the version in force, and body.
+
+    A version block may come at any record boundary. A header with the wrong number of fields or
+    without a length ends the stream with ValueError.
+    """
+    stream, version = Stream(data), None
+    while (line := stream.line()) is not None:
+        parts = line.decode("utf-8", "replace").split(" ")
+        body = stream.take(int(parts[-1]))
         if parts[0].startswith("filedesc://"):
             version = int(body.split(b" ", 1)[0])
             continue
@@ -104,11 +193,34 @@ def parse_arc(data: Iterable[bytes]) -> Iterator[dict]:
         yield dict(zip(names, parts, strict=True)) | {"version": version, "body": body}
 
 
+RECORD_SCHEMA = "page_id long, url string, ip string, date string, type string, code string, version int, length long, digest string, body binary"
+RECORD_TYPES = [pa.int64(), *[pa.string()] * 5, pa.int32(), pa.int64(), pa.string(), pa.binary()]
+RECORD_NAMES = [field.split(" ")[0] for field in RECORD_SCHEMA.split(", ")]
+
+
+def record_batches(found: Iterable[tuple[int | None, dict]], rows: int = 500, held: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """(page_id, ARC record) as batches of bounded size."""
+    out, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RECORD_TYPES, strict=True)], RECORD_NAMES)
+
+    for page_id, arc in found:
+        body = arc["body"]
+        out.append((page_id, *(arc.get(k) for k in ("url", "ip", "date", "type", "code", "version")), len(body), sha1_base32(body), body))
+        size += len(body)
+        if len(out) >= rows or size > held:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
+
+
 def pages_to_arc(pages: DataFrame) -> DataFrame:
     """page_id, url, arc (a version block and one record; odd ids as version 1, even as version 2)."""
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), byte_column(batch, "html"), strict=True):
                 version = 1 if (page or 0) % 2 else 2
@@ -120,12 +232,35 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
     return base.mapInArrow(render, "page_id long, url string, arc binary")
 
 
+def arc_records(arcs: DataFrame) -> DataFrame:
+    """The records of (page_id, arc): a row for each, with its row's page_id, length and payload digest."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            blobs = zip(batch.column("page_id").to_pylist(), batch.column("arc").to_pylist(), strict=True)
+            yield from record_batches((page_id, arc) for page_id, blob in blobs for arc in parse_arc(unpacked([blob or b""])))
+
+    return arcs.select("page_id", "arc").mapInArrow(scan, RECORD_SCHEMA)
+
+
+def read_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """The records of ``.arc`` and ``.arc.gz`` files; page_id is null, as the format has none."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for blob in batch.column("content").to_pylist():
+                pieces = (blob[k : k + (1 << 20)] for k in range(0, len(blob), 1 << 20))  # noqa: B023
+                yield from record_batches((None, arc) for arc in parse_arc(unpacked(pieces)))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, RECORD_SCHEMA)
+
+
 # --- ARC to WARC ---------------------------------------------------------------------------------
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    """A name-based UUID of the page, or of the URL where the page has no id."""
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, url if page_id is None else str(page_id))}>"
+def record_id(page_id: int | None, digest: str, url: str = "") -> str:
+    """A name-based UUID of page and payload, or of URL and payload where the page has no id."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{url if page_id is None else page_id} {digest}')}>"
 
 
 def warc_date(arc_date: str) -> str:
@@ -134,133 +269,167 @@ def warc_date(arc_date: str) -> str:
     return datetime.datetime.strptime(padded, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def warc_record(arc: dict, page_id: int | None, refers_to: int | None, digest: str) -> bytes:
+def warc_head(fields: list[tuple[str, object]], length: int) -> bytes:
+    return "\r\n".join(["WARC/1.0", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {length}", "", ""]).encode()
+
+
+def warcinfo(number: int) -> bytes:
+    """The record that opens an archive file, without its closing CRLF CRLF."""
+    block = b"software: pagelattice\r\nformat: WARC File Format 1.0\r\ndescription: converted from ARC\r\n"
+    name = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'warcinfo {number}')}>"
+    return warc_head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", name), ("WARC-Date", warc_date(CAPTURE_DATE)), ("Content-Type", "application/warc-fields")], len(block)) + block
+
+
+def warc_record(arc: dict, refers_to: int | None) -> bytes:
     """A WARC record without its closing CRLF CRLF: response, or revisit of ``refers_to``."""
-    payload = arc["body"]
-    http = f"HTTP/1.1 {arc.get('code', '200')} OK\r\nContent-Type: {arc['type']}; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    page_id, payload, digest = arc["page_id"], arc["body"], arc["digest"]
+    http = f"HTTP/1.1 {arc['code'] or '200'} OK\r\nContent-Type: {arc['type']}; charset=utf-8\r\nContent-Length: {arc['length']}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = [
-        "WARC/1.0",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id, arc['url'])}",
-        f"WARC-Date: {warc_date(arc['date'])}",
-        f"WARC-Target-URI: {arc['url']}",
-        f"WARC-IP-Address: {arc['ip']}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
-        f"WARC-Source-Format: ARC/{arc['version']}",
+    fields = [
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", record_id(page_id, digest, arc["url"])),
+        ("WARC-Date", warc_date(arc["date"])),
+        ("WARC-Target-URI", arc["url"]),
+        ("WARC-IP-Address", arc["ip"]),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
+        ("WARC-Source-Format", f"ARC/{arc['version']}"),
     ]
     if page_id is not None:
-        lines.append(f"X-Page-ID: {page_id}")
+        fields.append(("X-Page-ID", page_id))
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {record_id(refers_to, '')}", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(lines).encode() + block
+        fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", refers_to), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")]
+    return warc_head([*fields, ("Content-Type", "application/http; msgtype=response")], len(block)) + block
 
 
-def arc_to_warc(arcs: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """One WARC record (column ``value``) for each ARC record of (page_id, url, arc)."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [next(parse_arc([x]))["body"] for x in batch.column("arc").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([sha1_base32(x) for x in bodies], pa.string()), pa.array([len(x) for x in bodies], pa.int64())], ["page_id", "digest", "length"])
+def arc_to_warc(records: DataFrame, min_revisit: int = 0) -> DataFrame:
+    """One WARC record (binary ``value``, a gzip member) for each ARC record, after a warcinfo for each partition."""
+    parsed = cut(records, "arc_records")
+    digests = parsed.where((F.col("length") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest", "length")
+    firsts = digests.groupBy("digest", "length").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to > least").drop("least")
+    repeats = hot_join(digests, firsts, ["digest", "length"], ["page_id"]).where("page_id < refers_to").distinct()
+    joined = parsed.join(repeats, ["page_id", "digest", "length"], "left").withColumn("number", F.spark_partition_id())
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in ("page_id", "arc", "refers_to")), strict=True)
-            out = []
-            for page_id, data, refers_to in rows:
-                arc = next(parse_arc([data]))
-                out.append(warc_record(arc, page_id, refers_to, sha1_base32(arc["body"])))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+        opened = False
+        for batch in slices(batches):
+            made = [gzip_member(warc_record(arc, arc["refers_to"])) for arc in batch.to_pylist()]
+            if made and not opened:
+                opened, made = True, [gzip_member(warcinfo(batch.column("number")[0].as_py())), *made]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
-    digests = arcs.mapInArrow(digest, "page_id long, digest string, length long").where((F.col("length") >= min_revisit) & F.col("page_id").isNotNull())
-    firsts = digests.groupBy("digest", "length").agg(F.max("page_id").alias("first"), F.min("page_id").alias("least")).where("first > least")
-    repeats = digests.join(firsts, ["digest", "length"]).where("page_id < first").groupBy(F.col("page_id").alias("repeat_id")).agg(F.max("first").alias("refers_to"))
-    joined = arcs.join(repeats, arcs["page_id"] == repeats["repeat_id"], "left")
-    return joined.select("page_id", "arc", "refers_to").mapInArrow(convert, "value string")
+    return joined.mapInArrow(convert, "value binary")
 
 
 # --- archives ------------------------------------------------------------------------------------
 
 
+def text_options(target):
+    """Raw bytes as rows: Latin-1 names the separator's bytes one by one; rows are neither decoded nor encoded."""
+    return target.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1"))
+
+
 def write_archives(records: DataFrame, path: str) -> None:
-    """WARC files, gzip-compressed: one for each partition."""
-    records.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    """WARC files of gzip members: one for each partition."""
+    text_options(records.select(F.col("value").cast("string").alias("value")).write).text(path)
 
 
 def parse_warc(pieces: Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
     """Headers (lower-case names) and block of each record of a byte stream, given in pieces."""
-    buffer, fields, need = bytearray(), None, 0
-    for piece in pieces:
-        buffer += piece
-        while True:
-            if fields is None:
-                while buffer[:2] == CRLF:
-                    del buffer[:2]
-                head, mark, _ = buffer.partition(END) if END in buffer else (b"", b"", b"")
-                if not mark:
-                    break
-                version, *lines = head.decode("utf-8").split("\r\n")
-                if not version.startswith("WARC/"):
-                    raise ValueError(f"not a WARC record: {version[:80]!r}")
-                fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-                need = int(fields["content-length"])
-                del buffer[: len(head) + 4]
-            if len(buffer) < need + 4:
-                break
-            block = bytes(buffer[:need])
-            if buffer[need : need + 4] != END:
-                raise ValueError("a WARC record does not end where it declares")
-            del buffer[: need + 4]
-            yield fields, block
-            fields = None
-    if fields is not None or buffer:
-        raise ValueError("the WARC stream ends inside a record")
+    stream = Stream(pieces)
+    while (line := stream.line()) is not None:
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {line[:80]!r}")
+        fields = {}
+        while (line := stream.header()) != b"":
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        block = stream.take(int(fields["content-length"]))
+        if stream.take(4) != END:
+            raise ValueError("a WARC record does not end where it declares")
+        yield fields, block
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_id, warc_date, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits).
+ARCHIVE_SCHEMA = "page_id long, url string, record_id string, warc_date string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+ARCHIVE_TYPES = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string(), pa.binary()]
+
 
-    gzip files are not split, so each task streams whole files from their start. The payload's digest
-    and length are computed from the bytes of a response and checked against its header; a
-    revisit's come from its headers.
+def archive_row(fields: dict, block: bytes) -> tuple | None:
+    """A response's or revisit's row; None for other types.
+
+    The payload's digest and length are computed from the bytes of a response and checked against its
+    header where it has one; a revisit's come from its headers.
     """
+    kind = fields["warc-type"]
+    if kind not in ("response", "revisit"):
+        return None
+    head, _, payload = block.partition(END)
+    declared = next((int(x.partition(b":")[2]) for x in head.split(CRLF) if x.lower().startswith(b"content-length:")), None)
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    if kind == "response":
+        found = sha1_base32(payload)
+        if (digest and found != digest) or (declared is not None and len(payload) != declared):
+            raise ValueError(f"payload of {fields['warc-record-id']} is damaged: {found}")
+        declared, digest = len(payload), found
+    number = lambda name: int(fields[name]) if name in fields else None
+    shown = (fields.get("warc-target-uri"), fields["warc-record-id"], fields["warc-date"], kind)
+    return (number("x-page-id"), *shown, number("x-refers-to-page-id"), declared, digest or None, payload if kind == "response" else None)
+
+
+def archive_batches(rows: Iterable[tuple | None], most: int = 500, held: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    names = [field.split(" ")[0] for field in ARCHIVE_SCHEMA.split(", ")]
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARCHIVE_TYPES, strict=True)], names)
+    for row in rows:
+        if row is not None:
+            out.append(row)
+            size += len(row[-1] or b"")
+        if len(out) >= most or size > held:
+            yield make()
+            out, size = [], 0
+    if out:
+        yield make()
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, url, record_id, warc_date, record_type, refers_to, payload_bytes, payload_digest, payload (null
+    for revisits) of what ``write_archives`` wrote: a row of text is a gzip member is a record."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = (piece + END for batch in batches for piece in byte_column(batch, "value"))
-        names = ["page_id", "url", "record_id", "warc_date", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        rows, held = [], 0
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        for fields, block in parse_warc(pieces):
-            head, _, payload = block.partition(END)
-            declared = next(int(x.partition(b":")[2]) for x in head.split(CRLF) if x.lower().startswith(b"content-length:"))
-            digest = fields["warc-payload-digest"].removeprefix("sha1:")
-            kind = fields["warc-type"]
-            if kind == "response":
-                if (found := sha1_base32(payload)) != digest or len(payload) != declared:
-                    raise ValueError(f"payload of {fields['warc-record-id']} is damaged: {found}")
-            number = lambda name: int(fields[name]) if name in fields else None  # noqa: B023, E731
-            rows.append((number("x-page-id"), fields.get("warc-target-uri"), fields["warc-record-id"], fields["warc-date"], kind, number("x-refers-to-page-id"), declared, digest, payload if kind == "response" else None))
-            held += len(block)
-            if len(rows) >= 500 or held > 1 << 24:
-                yield flush()
-                rows, held = [], 0
-        if rows:
-            yield flush()
-
-    lines = spark.read.option("lineSep", END.decode()).schema("value string").text(path)
-    return lines.mapInArrow(scan, "page_id long, url string, record_id string, warc_date string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+        members = (x for batch in slices(batches) for x in batch.column("value").to_pylist())
+        yield from archive_batches(archive_row(*record) for x in members for record in parse_warc([*unpacked([x]), END]))
+
+    lines = text_options(spark.read).schema("value string").text(path).select(F.col("value").cast("binary").alias("value"))
+    return lines.mapInArrow(scan, ARCHIVE_SCHEMA)
+
+
+def read_warcs(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns from ``.warc`` and ``.warc.gz`` files of any writer; page_id and refers_to are null unless marked."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for blob in batch.column("content").to_pylist():
+                pieces = (blob[k : k + (1 << 20)] for k in range(0, len(blob), 1 << 20))  # noqa: B023
+                yield from archive_batches(archive_row(*record) for record in parse_warc(unpacked(pieces)))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, ARCHIVE_SCHEMA)
 
 
 def round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """Pages written as WARC archives to the shared folder and read back."""
+    """Pages as ARC records, written as WARC archives to the shared folder and read back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(arc_to_warc(pages_to_arc(pages), min_revisit), path)
+    write_archives(arc_to_warc(arc_records(pages_to_arc(pages)), min_revisit), path)
     return read_archives(spark, path)
+
+
+_NIBBLE = "(instr('0123456789abcdef', substr(hex, 5 * i // 4 + {}, 1)) - 1)"
+
+ORACLE = f"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+latest AS (SELECT html, max(page_id) AS last FROM hashed GROUP BY html)
+SELECT page_id, strlen(h.html) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((16 * {_NIBBLE.format(1)} + {_NIBBLE.format(2)}) >> (3 - 5 * i % 4)) & 31) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM hashed h JOIN latest l ON h.html = l.html
+"""

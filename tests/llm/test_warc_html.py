@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -12,7 +13,7 @@ PAGES = "page_id long, url string, html string"
 def test_round_trip(spark):
     rows = [
         (1, "http://a/ x", None), (2, None, ""), (3, "http://c/", "A\r\n"), (4, "http://d/", "\r\n\r\n"), (5, "http://e/", "A\r\n\r\n\r\n\r\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n"),
-        (None, "http://f/", "A\r\n"), (7, "http://g/", "A\r\n"), (7, "http://g/", "A\r\n"), (8, "http://h/", "é" * 70_000),
+        (None, "http://f/", "A\r\n"), (7, "http://g/", "A\r\n"), (7, "http://g/", "A\r\n"), (8, "http://h/", "é" * 70_000), (10, "u", warc.SEPARATOR.decode("latin-1") * 3),
     ]
     out = warc.round_trip(frame(spark, rows, PAGES)).collect()
     assert len(out) == len(rows)
@@ -29,6 +30,43 @@ def test_round_trip(spark):
     assert warc.round_trip(frame(spark, [], PAGES)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """A page's second text is no revisit of what the first one equals."""
+    df = frame(spark, [(5, "u", "AAA"), (5, "u", "BBB"), (9, "u", "AAA"), (9, "u", "AAA"), (4, "u", "BBB"), (3, None, "BBB")], PAGES).selectExpr("*", "1 AS refers_to", "'x' AS digest", "2 AS length", "'y' AS value")
+    rows = warc.round_trip(df).collect()
+    found = sorted((r.page_id, r.record_type, r.refers_to, bytes(r.payload or b"").decode()) for r in rows)
+    assert found == [(3, "revisit", 5, ""), (4, "revisit", 5, ""), (5, "response", None, "BBB"), (5, "revisit", 9, ""), (9, "response", None, "AAA"), (9, "response", None, "AAA")]
+    ids = {(r.page_id, r.payload_digest): r.record_id for r in rows}
+    assert len(set(ids.values())) == 5
+
+
+def test_arc_files_with_any_bytes(spark, tmp_path):
+    """Two versions in one gzip file, a plain file, bodies that are not UTF-8; the archives unpack to a WARC stream."""
+    bodies = [b"\x89PNG\r\n\x1a\n\x00\xff", bytes(range(256)) * 40, warc.SEPARATOR * 5, b"", "é".encode("latin-1")]
+    parts = [warc.arc_version_block(1, "a.arc"), warc.arc_record(1, "http://a/", "20010203040506", "image/png", bodies[0], "a"), warc.arc_record(1, "http://b/", "2001", "x/y", bodies[1], "a")]
+    parts += [warc.arc_version_block(2, "b.arc"), warc.arc_record(2, "http://c/", "20010203040506", "x/y", bodies[2], "b"), warc.arc_record(2, "http://d/", "20010203040506", "x/y", bodies[3], "b")]
+    folder = tmp_path / "arcs"
+    folder.mkdir()
+    (folder / "one.arc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (folder / "two.arc").write_bytes(warc.arc_version_block(1, "c") + warc.arc_record(1, "http://e/", "20010203040506", "text/html", bodies[4], "c"))
+    records = warc.read_arcs(spark, str(folder))
+    assert sorted((r.url, bytes(r.body)) for r in records.collect()) == [(f"http://{c}/", b) for c, b in zip("abcde", bodies, strict=True)]
+    warc.write_archives(warc.arc_to_warc(records), f"{tmp_path}/warcs")
+    for found in (warc.read_archives(spark, f"{tmp_path}/warcs"), warc.read_warcs(spark, f"{tmp_path}/warcs")):
+        assert sorted((r.url, bytes(r.payload)) for r in found.collect()) == [(f"http://{c}/", b) for c, b in zip("abcde", bodies, strict=True)]
+    kinds = []
+    for file in (tmp_path / "warcs").glob("part-*"):
+        kinds.append([f["warc-type"] for f, _ in warc.parse_warc([gzip.decompress(file.read_bytes())])])
+    assert all(k[0] == "warcinfo" and set(k[1:]) == {"response"} for k in kinds) and sum(map(len, kinds)) == 5 + len(kinds)
+
+
+def test_broken_gzip_is_an_error():
+    assert b"".join(warc.unpacked([gzip.compress(b"ab")[:7], gzip.compress(b"ab")[7:] + gzip.compress(b"c")])) == b"abc"
+    assert b"".join(warc.unpacked([b"a", b"b"])) == b"ab"
+    with pytest.raises(ValueError):
+        list(warc.unpacked([gzip.compress(b"abcdefgh")[:-3]]))
+
+
 def test_min_revisit(spark):
     out = warc.round_trip(frame(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], PAGES), min_revisit=3).collect()
     assert {r.page_id: r.refers_to for r in out} == {1: None, 2: None, 3: 4, 4: None}
