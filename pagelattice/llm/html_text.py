@@ -1,15 +1,14 @@
 """HTML extraction (7): line-block distribution.
 
-Markup is stripped into lines: one for each block of text, and empty lines where an element that is
-not content (menu, header, footer, sidebar, notice, advert, form, script, comment) stood or where
-the text moves to another section. Text lengths are summed over sliding windows of ``window`` lines.
-Empty lines keep such windows apart, so that the highest one lies in one section. Around it the text
-surges up from, and dives down to, a window of blocks that are all links (a menu without a name): the
-blocks between these two points are the article. Where that peak lies in an ``article`` or ``main``
-element, the points move to the element's ends, since short first and last blocks belong to it. Where
-it lies in no such element, they move over the ends of the outermost section around it, or of the body
-if the body itself holds text. Blocks of links stay there if they stand between text of their own
-section; others are menus.
+Markup is stripped into lines, one for each block of text; what is not content (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, comments, as far as elements or their names tell) goes with it.
+A line's length is that of its text, or 0 if it is mostly links outside of any ``article`` or ``main``: a
+menu without a name. Lengths are summed over sliding windows of ``window`` lines. Text surges at a line with
+length whose window of lines before it is empty, and dives at one whose window after it is empty. The lines
+from a surge point to its dive point are kept if their highest window holds ``surge`` characters, or is the
+highest of the page. A run of links separates only text of different sections: the dive point moves on to the
+next one if the lines at both sides of the run stand in the same section, and the links between them stay.
+Windows are never summed across the edge of an ``article`` or ``main``.
 
 An element is left out by name if a whole class or id is a name of such content, alone or with words of place and shape
 (``cookie-notice``, ``sidebar-left``; not ``with-sidebar``, ``no-comments``). Where no ``article`` or ``main`` stands
@@ -17,6 +16,9 @@ outside such elements, one is a wrapper and stays if it holds ``main``, or an ``
 the share ``spared`` of that text, counted against what would stay without it. Comments, adverts, consent texts and the
 like stay only around ``main``; an ``article`` in them is a teaser or a comment.
 
+A page takes time in proportion to its length, however its tags are nested, closed or left open (and once more for each
+wrapper that is found).
+
 Defined edge cases: null or empty html gives an empty text; a page without any block of text gives
 an empty text; unclosed and stray tags are tolerated; repeated rows are rows of their own; an empty
 table gives no rows; extra columns are ignored.
@@ -32,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.llm.common import slices
+
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S,
@@ -72,13 +76,13 @@ DROPPED_ARTICLES = frozenset("comment comments reply replies related ad ads adve
 
 
 class Line:
-    """A block of text, or an empty line (``text`` is ""). ``section`` and ``outermost`` are the nearest and the
-    outermost section around it, lists and tables aside; 0 is the body."""
+    """A block of text, or an empty line (``text`` is ""). ``article`` and ``section`` number the outermost article
+    and the nearest section around it, lists and tables aside; 0 is none and the body."""
 
-    __slots__ = ("article", "linked", "outermost", "section", "text")
+    __slots__ = ("article", "linked", "section", "text")
 
-    def __init__(self, text: str, article: int, linked: int, section: int = 0, outermost: int = 0):
-        self.text, self.article, self.linked, self.section, self.outermost = text, article, linked, section, outermost
+    def __init__(self, text: str = "", article: int = 0, linked: int = 0, section: int = 0):
+        self.text, self.article, self.linked, self.section = text, article, linked, section
 
 
 KEPT, NAMED, LEFT_OUT = 0, 1, 2
@@ -121,174 +125,205 @@ def _is_boilerplate(name: str, attrs: str, in_article: bool) -> tuple[int, bool]
     return (NAMED, not names & NEVER_WRAPPERS) if names else (KEPT, False)
 
 
-def page_lines(page: str, gap: int, spared: float = 0.75) -> list[Line]:
-    """The lines of a page; ``gap`` empty ones for each left-out element or change of section."""
-    kept: frozenset[int] = frozenset()
-    while True:
-        lines, named = _parsed(page, gap, kept)
-        if any(x.article for x in lines):
-            return lines
-        rest = sum(max(0, len(x.text) - x.linked) for x in lines)
-        mains = [n for n, x in named.items() if x.main]
-        articles = [n for n, x in named.items() if x.wrapper and x.article and x.size >= rest]
-        large = [max((n for n, x in named.items() if x.wrapper), key=lambda n: named[n].size, default=0)]
-        if not mains and not articles and (not large[0] or named[large[0]].size <= spared * (rest + named[large[0]].size)):
-            return lines
-        kept |= frozenset(mains or articles or large)
+class Element:
+    """An open block element: how it is left out, the article, section and element left out by name around
+    it, and the inline elements open in it, with how many of each name."""
+
+    __slots__ = ("article", "counts", "inline", "name", "named", "out", "section")
 
+    def __init__(self, name: str, out: int = KEPT, article: int = 0, section: int = 0, named: int = 0):
+        self.name, self.out, self.article, self.section, self.named = name, out, article, section, named
+        self.inline: list[tuple[str, int, int]] = []  # name, how left out, element left out by name
+        self.counts: dict[str, int] = {}
 
-def _parsed(page: str, gap: int, kept: frozenset[int]) -> tuple[list[Line], dict[int, Named]]:
-    """Lines, and the outermost elements left out by name, by their number; those of ``kept`` are not."""
-    named: dict[int, Named] = {}
-    lines: list[Line] = []
-    text: list[str] = []
-    linked = 0
-    stack: list[tuple[str, int, int, int, int, int]] = []  # name, how left out, article, section, outermost section, element left out by name
-    n = 0
+    def state(self) -> tuple[int, int]:
+        """How text at this point is left out, and by which named element."""
+        return self.inline[-1][1:] if self.inline else (self.out, self.named)
 
-    def flush():
-        nonlocal linked
-        if text:
-            block = SPACE.sub(" ", html.unescape("".join(text))).strip()
+
+class Parser:
+    """Lines of a page, and what the elements left out by name hold, by their number; those of ``kept`` are not left out."""
+
+    def __init__(self, gap: int, kept: frozenset[int]):
+        self.gap, self.kept = gap, kept
+        self.lines: list[Line] = []
+        self.named: dict[int, Named] = {}
+        self.stack = [Element("")]
+        self.open: dict[str, int] = {}  # block elements by name
+        self.text: list[str] = []
+        self.linked = self.links = self.n = 0
+
+    def flush(self) -> None:
+        if self.text:
+            block = SPACE.sub(" ", html.unescape("".join(self.text))).strip()
             if block:
-                _, _, article, section, outermost, _ = stack[-1] if stack else ("", KEPT, 0, 0, 0, 0)
-                lines.append(Line(block, article, linked, section, outermost))
-            text.clear()
-        linked = 0
-
-    def blank():
-        if not stack or not stack[-1][1]:
-            lines.extend(Line("", stack[-1][2] if stack else 0, 0) for _ in range(gap))
-
-    def pop_to(depth: int):
-        out = stack[depth][1]
-        section = stack[depth][0] in SECTIONS
-        del stack[depth:]
-        if out or section:
-            blank()
-
-    at, links = 0, 0
-    while at < len(page):
-        tag = TAG.search(page, at)
-        piece = page[at : tag.start() if tag else len(page)]
-        if piece and not (stack and stack[-1][1]):
-            text.append(piece)
-            if links:
-                linked += len(piece)
-        elif piece and stack[-1][1] == NAMED and not links:
-            named[stack[-1][5]].size += len(SPACE.sub(" ", piece).strip())
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag["name"] or tag["name2"] or "").lower()
-        if not name:
-            continue
-        if tag["close"] or tag["close2"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is None:
-                continue
-            if name in INLINE:
-                if all(stack[k][0] in INLINE for k in range(depth, len(stack))):
-                    del stack[depth:]
-                links -= name == "a" and links > 0
-                continue
+                top = self.stack[-1]
+                self.lines.append(Line(block, top.article, self.linked, top.section))
+            self.text.clear()
+        self.linked = 0
+
+    def edge(self, element: Element) -> None:
+        if not element.out:
+            self.lines += [Line() for _ in range(self.gap)]
+
+    def pop(self, name: str) -> None:
+        """Closes block elements up to the nearest one of that name, which is open."""
+        while True:
+            gone = self.stack.pop()
+            self.open[gone.name] -= 1
+            if gone.article and not self.stack[-1].article:
+                self.edge(gone)
+            if gone.name == name:
+                return
+
+    def take(self, piece: str) -> None:
+        out, named = self.stack[-1].state()
+        if not out:
+            self.text.append(piece)
+            if self.links:
+                self.linked += len(piece)
+        elif out == NAMED and not self.links:
+            self.named[named].size += len(SPACE.sub(" ", piece).strip())
+
+    def close(self, name: str) -> None:
+        if name in INLINE:
+            top = self.stack[-1]
+            if top.counts.get(name):
+                while True:
+                    gone = top.inline.pop()[0]
+                    top.counts[gone] -= 1
+                    if gone == name:
+                        break
+            self.links -= name == "a" and self.links > 0
+        elif self.open.get(name):
             if name in CELLS:
-                text.append(" ")
+                self.text.append(" ")
             else:
-                flush()
-            links = 0
-            pop_to(depth)
-            continue
-        if name == "br":
-            text.append(" ")
-        if name in VOID:
-            if name == "hr":
-                flush()
-            continue
-        attrs = tag["attrs"] or tag["attrs2"] or ""
-        if attrs.endswith("/") and name not in RAW and name not in SECTIONS and name not in DROPPED:
-            continue
+                self.flush()
+            self.links = 0
+            self.pop(name)
+
+    def start(self, name: str, attrs: str) -> None:
+        """An element that is not void."""
         block = name not in INLINE
         if block and name not in CELLS:
-            flush()
-            links = 0
-            # An open paragraph (with whatever inline elements it holds) ends where a block begins.
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
-            if depth is not None and (stack[depth][0] == "p" or (stack[depth][0] == name and name in ("li", "dt", "dd", "option", "tr"))):
-                del stack[depth:]
-        above = stack[-1] if stack else ("", KEPT, 0, 0, 0, 0)
-        n += 1
-        out, wrapper = (LEFT_OUT, False) if above[1] == LEFT_OUT else _is_boilerplate(name, attrs, above[2] > 0)
-        if out == NAMED and n in kept:
+            self.flush()
+            self.links = 0
+            # An open paragraph ends where a block begins, an item where the next one does.
+            above = self.stack[-1].name
+            if above == "p" or (above == name and name in ("li", "dt", "dd", "option", "tr")):
+                self.pop(above)
+        top = self.stack[-1]
+        above_out, above_named = top.state()
+        self.n += 1
+        out, wrapper = (LEFT_OUT, False) if above_out == LEFT_OUT else _is_boilerplate(name, attrs, top.article > 0)
+        if out == NAMED and self.n in self.kept:
             out = KEPT
-        if out and not block and not above[1] and name in ("a", "b", "i", "em", "strong"):
+        if out and not block and not above_out and name in ("a", "b", "i", "em", "strong"):
             out = KEPT
-        if above[1] == NAMED:
+        if above_out == NAMED:
             if name in ARTICLES and not out:
-                named[above[5]].article = True
+                self.named[above_named].article = True
             if name == "main" and out != LEFT_OUT:
-                named[above[5]].main = True
+                self.named[above_named].main = True
             out = max(out, NAMED)
         elif out == NAMED:
-            named[n] = Named(wrapper)
-            named[n].main = name == "main"
-        if out and not above[1]:
-            blank()
-        elif name in SECTIONS:
-            blank()
-        section = n if name in SECTIONS - LISTS - NEVER_BY_NAME else above[3]
-        stack.append((name, out, n if name in ARTICLES and not above[2] else above[2], section, above[4] or section, above[5] or (n if out == NAMED else 0)))
-        links += name == "a"
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            if not stack[-1][1]:
-                text.append(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
-            stack.pop()
-    flush()
-    return lines, named
-
-
-def article_lines(lines: list[Line], window: int = 3, max_linked: float = 0.6) -> list[str]:
-    """The blocks between the surge and the dive point around the highest window."""
+            self.named[self.n] = Named(wrapper)
+            self.named[self.n].main = name == "main"
+        named = above_named or (self.n if out == NAMED else 0)
+        self.links += name == "a"
+        if not block:
+            top.inline.append((name, out, named))
+            top.counts[name] = top.counts.get(name, 0) + 1
+            return
+        section = self.n if name in SECTIONS - LISTS - NEVER_BY_NAME else top.section
+        made = Element(name, out, top.article or (self.n if name in ARTICLES else 0), section, named)
+        if made.article and not top.article:
+            self.edge(made)
+        self.stack.append(made)
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def feed(self, page: str) -> None:
+        at = 0
+        while at < len(page):
+            tag = TAG.search(page, at)
+            if piece := page[at : tag.start() if tag else len(page)]:
+                self.take(piece)
+            if not tag:
+                break
+            at = tag.end()
+            name = (tag["name"] or tag["name2"] or "").lower()
+            attrs = tag["attrs"] or tag["attrs2"] or ""
+            if not name:
+                continue
+            if tag["close"] or tag["close2"]:
+                self.close(name)
+            elif name in VOID:
+                if name == "br":
+                    self.text.append(" ")
+                elif name == "hr":
+                    self.flush()
+            elif not (attrs.endswith("/") and name not in RAW | SECTIONS | DROPPED):
+                self.start(name, attrs)
+                if name in RAW:
+                    end = RAW_END[name].search(page, at)
+                    self.take(page[at : end.start() if end else len(page)])
+                    at = end.end() if end else len(page)
+                    self.pop(name)
+        self.flush()
+
+
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
+
+
+def page_lines(page: str, gap: int, spared: float = 0.75) -> list[Line]:
+    """The lines of a page; ``gap`` empty ones at each edge of an article."""
+    kept: frozenset[int] = frozenset()
+    while True:
+        parser = Parser(gap, kept)
+        parser.feed(page)
+        lines, named = parser.lines, parser.named
+        if any(x.article for x in lines):
+            return lines
+        rest = sum(max(0, len(x.text) - x.linked) for x in lines)
+        mains = [n for n, x in named.items() if x.main]
+        articles = [n for n, x in named.items() if x.wrapper and x.article and x.size >= rest]
+        large = [max((n for n, x in named.items() if x.wrapper), key=lambda n: named[n].size, default=0)]
+        if not mains and not articles and (not large[0] or named[large[0]].size <= spared * (rest + named[large[0]].size)):
+            return lines
+        kept |= frozenset(mains or articles or large)
+
+
+def article_lines(lines: list[Line], window: int = 3, surge: int = 120, max_linked: float = 0.6) -> list[str]:
+    """The lines between surge and dive points."""
     sizes = [0 if not x.article and x.linked > max_linked * len(x.text) else len(x.text) for x in lines]
-    if not any(sizes):
-        return [x.text for x in lines if x.text and x.article]
-    n = len(lines)
-    sums = [sum(sizes[k : k + window]) for k in range(n)]
-    peak = max(range(n), key=lambda k: (sums[k], -k))
-    peak = next(k for k in range(peak, n) if sizes[k])
-    if home := lines[peak].article:
-        return [x.text for x in lines if x.text and x.article == home]
-    blocks = [k for k in range(n) if lines[k].text]
-    first = last = blocks.index(peak)
-    while first > 0 and any(sizes[k] for k in blocks[max(0, first - window) : first]):
-        first -= 1
-    while last < len(blocks) - 1 and any(sizes[k] for k in blocks[last + 1 : last + 1 + window]):
-        last += 1
-    around = lines[peak].outermost
-    if any(sizes[k] and not lines[k].outermost for k in blocks):
-        found = blocks
-    else:
-        found = [k for at, k in enumerate(blocks) if first <= at <= last or lines[k].outermost == around]
-    ends: dict[int, tuple[int, int]] = {}  # first and last text of each section
-    for k in found:
-        if sizes[k]:
-            ends[lines[k].section] = (ends.get(lines[k].section, (k, k))[0], k)
-    return [lines[k].text for k in found if sizes[k] or (lines[k].section in ends and ends[lines[k].section][0] < k < ends[lines[k].section][1])]
-
-
-def main_text(page: str | None, window: int = 3) -> str:
+    places = [k for k, size in enumerate(sizes) if size]
+    if not places:
+        return []
+    runs: list[list[int]] = []  # surge and dive points, and the size of the highest window between them
+    for k in places:
+        top = sum(sizes[k : k + window])
+        before = runs[-1][1] if runs else -1
+        links_only = runs and all(lines[j].text for j in range(before + 1, k))
+        if runs and (k - before <= window or (links_only and lines[before].section == lines[k].section)):
+            runs[-1][1:] = [k, max(runs[-1][2], top)]
+        else:
+            runs.append([k, k, top])
+    least = min(surge, max(top for _, _, top in runs))
+    return [lines[k].text for first, last, top in runs if top >= least for k in range(first, last + 1) if lines[k].text]
+
+
+def main_text(page: str | None, window: int = 3, surge: int = 120) -> str:
     """The article's blocks joined by two newlines."""
-    return "\n\n".join(article_lines(page_lines(page, window), window)) if page else ""
+    return "\n\n".join(article_lines(page_lines(page, window), window, surge)) if page else ""
 
 
-def extract(pages: DataFrame, window: int = 3) -> DataFrame:
+def extract(pages: DataFrame, window: int = 3, surge: int = 120) -> DataFrame:
     """page_id, url, text, n_chars (code points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(x, window) for x in batch.column("html").to_pylist()]
+        for batch in slices(batches):
+            texts = [main_text(x, window, surge) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -112,6 +112,34 @@ def test_main_text_of_pages_without_article():
     assert html_text.main_text(f"<body><div>Slogan</div>{menu}<div><p>Text of the page.</p></div></body>") == "Text of the page."
 
 
+def test_windows_decide():
+    """Text in sibling sections is one run; short runs beyond links go; links between text of one section stay."""
+    words = [f"Paragraph {k} of the article, with some words in it." for k in range(6)]
+    whole = "\n\n".join(words)
+    assert html_text.main_text("".join(f"<div><p>{w}</p></div>" for w in words)) == whole
+    mixed = "<div id=c><p>{}</p><p>{}</p><ul><li>{}</li></ul><p>{}</p><table><tr><td>{}</td></tr></table><p>{}</p></div>".format(*words)
+    assert html_text.main_text(mixed) == html_text.main_text(f"<main>{mixed}</main>") == html_text.main_text(f"<article>{mixed}</article>") == whole
+    links = "".join(f"<li><a href=/{k}>Chapter {k}</a></li>" for k in range(4))
+    short = f"<div id=c><p>{words[0]}</p><ul>{links}</ul><p>Hi.</p></div><div><ul>{links}</ul></div><div><p>Slogan</p></div>"
+    assert html_text.main_text(short) == "\n\n".join([words[0], *(f"Chapter {k}" for k in range(4)), "Hi."])
+    far = f"<div><p>{whole}</p></div><div><ul>{links}</ul></div><div><p>{' '.join(words[:3])}</p></div>"
+    assert html_text.main_text(far) == " ".join(words) + "\n\n" + " ".join(words[:3])
+    assert html_text.main_text(f"<div>Beside it</div><article><p>{words[0]}</p></article><div>Below it</div>") == words[0]
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - began
+
+    for piece in ("<b>x</i>", "<div>x</p>", "<p><b>x", "<b><p>x</p>", "<span><li>x", "<a href='x><i>y"):
+        small, large = min(seconds(piece * 2_000) for _ in range(3)), seconds(piece * 40_000)
+        assert large < 60 * small + 0.2
+
+
 def test_names_of_wrappers():
     body = "<h1>T</h1><p>Some words of an article.</p>"
     side = '<div class="sidebar-left">Side</div><div class="related-posts"><article>Teaser</article></div><div id="siteFooter"></div><div class="site-footer">Foot</div>'
