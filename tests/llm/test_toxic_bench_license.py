@@ -66,7 +66,7 @@ def benchmark(spark, items):
     return frame(spark, list(enumerate(items)), "item_id long, text string")
 
 
-def test_decontamination_finds_copies_and_substitutions(spark):
+def test_decontamination_finds_copies_and_substitutions(spark, monkeypatch):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choices("abcdefghijkl", k=5))
     items = [" ".join(word() for _ in range(rnd.randint(12, 40))) for _ in range(20)]
@@ -82,12 +82,66 @@ def test_decontamination_finds_copies_and_substitutions(spark):
     part = [f"{filler()} {' '.join(items[0].split()[:6])} {filler()}"]
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, exact + changed + clean + part), benchmark(spark, items)).collect()}
     assert found == {(k, k) for k in range(20)} | {(20 + k, k) for k in range(20)}
-    in_blocks = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, exact + changed + clean + part), benchmark(spark, items), block_chars=500).collect()}
-    assert in_blocks == found
+    for name in ("MOST_SEEDS", "MOST_ITEMS"):
+        monkeypatch.setattr(decontaminate, name, 0)  # joins by shuffle
+    monkeypatch.setattr(decontaminate, "BLOCK", 1)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 16)
+    by_shuffle = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, exact + changed + clean + part), benchmark(spark, items)).collect()}
+    assert by_shuffle == found
     kept = decontaminate.keep_clean(docs(spark, exact + clean), benchmark(spark, items))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(20, 60))
 
 
+def brute_overlaps(doc, item):
+    """Spaced-seed matching by definition: every placing of every mask in both texts."""
+    if len(item) < 5:
+        return len(item) if doc == item else 0
+    offsets = set()
+    for mask in decontaminate.MASKS:
+        read = [k for k, m in enumerate(mask) if m == "1"]
+        for p in range(len(doc) - len(mask) + 1):
+            for q in range(len(item) - len(mask) + 1):
+                if all(doc[p + k] == item[q + k] for k in read):
+                    offsets.add(p - q)
+    covered = set()
+    for offset in offsets:
+        parts = [[q for q in range(len(item)) if 0 <= q + offset < len(doc)]]
+        while parts:
+            part = parts.pop()
+            score = {(a, b): sum(1 if item[q] == doc[q + offset] else -1 for q in part[a:b]) for a in range(len(part)) for b in range(a + 1, len(part) + 1)}
+            best = max(score.values(), default=0)
+            matched = lambda qs, o=offset: [q for q in qs if item[q] == doc[q + o]]
+            if len(matched(part)) < 5 or best <= 0:
+                continue
+            a, b = min((b, -a) for (a, b), x in score.items() if x == best)[::-1]
+            a = -a
+            if len(matched(part[a:b])) >= 5:
+                covered |= set(matched(part[a:b]))
+            parts += [part[:a], part[b:]]
+    return len(covered)
+
+
+def test_decontamination_against_brute_force(spark):
+    """Few words, so that seeds meet by chance, items repeat words and diagonals are many; short items too."""
+    rnd = random.Random(12)
+    word = lambda: rnd.choice("abcd") + rnd.choice("xyz")
+    items = [[word() for _ in range(n)] for n in (1, 3, 4, 5, 6, 7, 8, 9, 12, 14, 20, 26, 26)]
+    items.append(["ax"] * 10)
+    texts = [[word() for _ in range(rnd.randint(1, 40))] for _ in range(30)] + [[*x] for x in items] + [["by", *x, "by"] for x in items] + [["ax"] * 30]
+    texts += [[w if rnd.random() < 0.8 else word() for w in items[-3]] for _ in range(6)]
+    df = docs(spark, [" ".join(t).upper() for t in texts]).unionByName(docs(spark, [" ".join(items[6])]).selectExpr("cast(null as bigint) AS doc_id", "text", "lang", "source", "n_chars"))
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.item_id, r.matched_words) for r in decontaminate.contaminated(df, benchmark(spark, [" ".join(x) for x in items])).collect())
+    want = []
+    for d, doc in [*enumerate(texts), (-1, items[6])]:
+        for k, item in enumerate(items):
+            n = brute_overlaps(doc, item)
+            if n and (n >= 13 or (n >= 8 and 2 * n >= len(item)) or n == len(item)):
+                want.append((d, k, n))
+    assert found == sorted(want) and len(want) > 30
+    kept = decontaminate.keep_clean(df, benchmark(spark, [" ".join(x) for x in items]))
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted({*range(len(texts))} - {d for d, _, _ in want})
+
+
 def test_decontamination_awkward(spark):
     df = awkward(spark)
     marks = benchmark(spark, [None, "", "too short", "alpha beta gamma delta epsilon zeta eta theta iota"])
