@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import byte_column, cut, hot_join, shared_dir, slices
+from pagelattice.llm.common import byte_column, cut, hot_join, is_broadcast, shared_dir, slices, small_side
 
 CRLF = b"\r\n"
 END = b"\r\n\r\n"
@@ -273,10 +273,10 @@ def warc_head(fields: list[tuple[str, object]], length: int) -> bytes:
     return "\r\n".join(["WARC/1.0", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {length}", "", ""]).encode()
 
 
-def warcinfo(number: int) -> bytes:
+def warcinfo(run: str, number: int) -> bytes:
     """The record that opens an archive file, without its closing CRLF CRLF."""
     block = b"software: pagelattice\r\nformat: WARC File Format 1.0\r\ndescription: converted from ARC\r\n"
-    name = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'warcinfo {number}')}>"
+    name = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{run} {number}')}>"
     return warc_head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", name), ("WARC-Date", warc_date(CAPTURE_DATE)), ("Content-Type", "application/warc-fields")], len(block)) + block
 
 
@@ -308,14 +308,24 @@ def arc_to_warc(records: DataFrame, min_revisit: int = 0) -> DataFrame:
     digests = parsed.where((F.col("length") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest", "length")
     firsts = digests.groupBy("digest", "length").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to > least").drop("least")
     repeats = hot_join(digests, firsts, ["digest", "length"], ["page_id"]).where("page_id < refers_to").distinct()
-    joined = parsed.join(repeats, ["page_id", "digest", "length"], "left").withColumn("number", F.spark_partition_id())
+    repeats = cut(repeats, "revisits")
+    # A page and a hash of its digest tell a revisit; without its body it is a narrow row.
+    marks = small_side(repeats.select("page_id", F.xxhash64("digest").alias("mark")), "revisit_marks")
+    if is_broadcast(marks):
+        revisits = parsed.drop("body").join(repeats, ["page_id", "digest", "length"]).withColumn("body", F.lit(None).cast("binary"))
+        responses = parsed.withColumn("mark", F.xxhash64("digest")).join(marks, ["page_id", "mark"], "left_anti").drop("mark")
+        joined = responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
+    else:
+        joined = parsed.join(repeats, ["page_id", "digest", "length"], "left")
+    joined = joined.withColumn("number", F.spark_partition_id())
+    run = uuid.uuid4().hex  # so that archives of different runs open with different records
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = False
         for batch in slices(batches):
             made = [gzip_member(warc_record(arc, arc["refers_to"])) for arc in batch.to_pylist()]
             if made and not opened:
-                opened, made = True, [gzip_member(warcinfo(batch.column("number")[0].as_py())), *made]
+                opened, made = True, [gzip_member(warcinfo(run, batch.column("number")[0].as_py())), *made]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
     return joined.mapInArrow(convert, "value binary")
