@@ -1,19 +1,20 @@
 """License scans (2): sparse TF-IDF cosine to templates, then inheritance along directories.
 
-1. Every line of every file is a candidate header. Weights of template terms are inverse document
-   frequencies counted over all lines of all files and all templates. A line's cosine to a template
-   is a sparse dot product; a line that shares no term of the rarer kind cannot reach the threshold
-   and is passed over. Two neighbouring lines are also taken together, for notices that wrap.
-2. A file's own licence is its best match. Licence files (by base name) also speak for their
-   directory: the best match of its licence files, ties to the smallest path.
+1. Candidates of every file, whatever its name: each line, each two neighbouring lines, each header block
+   (lines with terms up to one without, so comment marks do not matter), and the whole text. Weights of template
+   terms are inverse document frequencies counted over all lines of all files and all templates. A candidate's
+   cosine to a template is a sparse dot product over an inverted index; one that shares no term of
+   the rarer kind cannot reach the threshold and is passed over.
+2. A file's own licence is its best match. Among equal matches (licences that share a paragraph) the one with a
+   template nearest to the whole text is taken, then one whose version number the text holds, then the first by name. Licence files (by base name) also speak for
+   their directory: the best match of its licence files, ties to the smallest path.
 3. A file without a licence of its own inherits from the nearest ancestor directory, its own first, by
    a path join: directories are exploded into their ancestors (a file's depth bounds the rows), joined
    to the licensed ones and reduced to the deepest match, once for each directory.
 
 Defined edge cases: a null text has no lines; a null path has no directory and inherits nothing;
-repeated rows are rows of their own; ties between templates go to the alphabetically smallest;
-without any licence file nothing is inherited; an empty table gives no rows; extra columns are
-ignored.
+repeated rows are rows of their own; without any licence file nothing is inherited; an empty table gives
+no rows; extra columns are ignored but for ``key``, which is passed on.
 """
 
 from __future__ import annotations
@@ -29,26 +30,97 @@ from pyspark.sql import functions as F
 
 from pagelattice.llm.common import cut, slices
 
+LIST_MARK = re.compile(r"^\W*\d{1,2}[.)]\s+(?=\S)")
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
-# Short notices of common licences.
+# Notices and headers of common licences, and the opening words of their texts.
+_GNU = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CLAUSES = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License."),
+    "AGPL-3.0": (
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        _GNU.format(":", "Affero ", "3"),
+    ),
+    "All-rights-reserved": ("All rights reserved.",),
+    "Apache-2.0": (
+        "Apache License Version 2.0, January 2004",
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", _BSD_GRANT, f"{_BSD_GRANT} {_BSD_CLAUSES}"),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", _BSD_GRANT, _BSD_NAME, f"{_BSD_GRANT} {_BSD_CLAUSES} {_BSD_NAME}"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal.",),
-    "All-rights-reserved": ("All rights reserved.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal.", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "EPL-2.0": (
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "GPL-2.0": (
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This work is licensed under the GNU General Public License, version 2.",
+        _GNU.format(";", "", "2"),
+    ),
+    "GPL-3.0": (
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3",
+        _GNU.format(":", "", "3"),
+    ),
+    "ISC": (
+        "ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "LGPL-2.1": (
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        _GNU.format(":", "Lesser ", "3"),
+    ),
+    "MIT": (
+        "The MIT License (MIT)",
+        "Released under the MIT License.",
+        "Licensed under the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        _MIT_GRANT,
+        f"{_MIT_GRANT} {_MIT_NOTICE} {_AS_IS}",
+    ),
+    "MPL-1.1": (
+        "MOZILLA PUBLIC LICENSE Version 1.1",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License.",
+    ),
+    "MPL-2.0": (
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Zlib": (
+        "zlib License",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    ),
 }
 
 
+def with_tags(templates: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """The templates, each with the one-line tag that names it."""
+    return {name: (*notices, f"SPDX-License-Identifier: {name}") for name, notices in templates.items()}
+
+
 def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
@@ -58,20 +130,21 @@ def template_terms(templates: dict[str, tuple[str, ...]]) -> list[str]:
 
 
 class Matcher:
-    """TF-IDF vectors of the templates under given term weights."""
+    """TF-IDF vectors of the templates under given term weights, and an inverted index of them."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], weights: dict[str, float], unknown: float, threshold: float):
         self.weights, self.unknown, self.threshold = weights, unknown, threshold
         self.vectors = [(name, self.vector(terms(notice))) for name, notices in sorted(templates.items()) for notice in notices]
+        self.index: dict[str, list[tuple[int, float]]] = {}
         # Terms whose absence from a line rules every template out: for each template the rest of its
         # terms alone stays under the threshold.
         self.keys = set()
-        for _, vector in self.vectors:
+        for k, (_, vector) in enumerate(self.vectors):
             rest = 1.0
             for term, value in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-                if math.sqrt(max(rest, 0)) < threshold - 1e-6:
-                    break
-                self.keys.add(term)
+                self.index.setdefault(term, []).append((k, value))
+                if math.sqrt(max(rest, 0)) >= threshold - 1e-6:
+                    self.keys.add(term)
                 rest -= value * value
 
     def vector(self, found: list[str]) -> dict[str, float]:
@@ -79,26 +152,59 @@ class Matcher:
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {t: v / norm for t, v in raw.items()} if norm else {}
 
-    def best(self, found: list[str]) -> tuple[float, str] | None:
-        """Cosine and name of the best template at or above the threshold."""
-        if self.keys.isdisjoint(found):
-            return None
-        mine = self.vector(found)
-        rated = [(round(sum(v * mine.get(t, 0.0) for t, v in vector.items()), 6), name) for name, vector in self.vectors]
-        score, name = min(rated, key=lambda x: (-x[0], x[1]))
-        return (score, name) if score >= self.threshold else None
+    def cosines(self, found: list[str]) -> dict[str, float]:
+        """The best cosine of each licence that shares a term."""
+        sums: dict[int, float] = {}
+        for term, value in self.vector(found).items():
+            for k, weight in self.index.get(term, ()):
+                sums[k] = sums.get(k, 0.0) + value * weight
+        best: dict[str, float] = {}
+        for k, value in sums.items():
+            name = self.vectors[k][0]
+            best[name] = max(best.get(name, 0.0), round(value, 6))
+        return best
 
     def scan(self, text: str | None) -> tuple[str | None, float | None, int | None]:
-        """Licence, cosine and line number of a text's best line or pair of neighbouring lines."""
-        best = (0.0, None, None)
+        """Licence, cosine and first line of a text's best candidate."""
+        best: dict[str, tuple[float, int]] = {}  # of each licence at or above the threshold: cosine and line
+
+        def rate(found: list[str], at: int) -> None:
+            if not self.keys.isdisjoint(found):
+                for name, score in self.cosines(found).items():
+                    if score >= self.threshold and score > best.get(name, (0.0, 0))[0]:
+                        best[name] = (score, at)
+
+        whole: list[str] = []
+        block: list[str] = []
         before: list[str] = []
-        for n, line in enumerate(text.split("\n") if text else ()):
-            found = terms(line)
-            for at, candidate in ((n, found), (n - 1, before + found)):
-                if candidate and (at == n or before) and (hit := self.best(candidate)) and hit[0] > best[0]:
-                    best = (hit[0], hit[1], at)
+        began = size = 0
+        lines = text.split("\n") if text else []
+        for n, line in enumerate(lines):
+            found = terms(LIST_MARK.sub("", line))
+            rate(found, n)
+            if found and before:
+                rate(before + found, n - 1)
+            if found:
+                began = began if block else n
+                block += found
+                size += 1
+                whole += found
+            if block and (not found or n == len(lines) - 1):
+                if size > 2:
+                    rate(block, began)
+                block, size = [], 0
             before = found
-        return (best[1], best[0], best[2]) if best[1] else (None, None, None)
+        rate(whole, 0)
+        if not best:
+            return None, None, None
+        top = max(score for score, _ in best.values())
+        rivals = [name for name, (score, _) in best.items() if score == top]
+        if len(rivals) > 1:
+            numbers = {t for t in whole if t[0].isdigit()}
+            as_whole = self.cosines(whole)
+            rivals.sort(key=lambda name: (-as_whole.get(name, 0.0), not numbers.intersection(terms(name.replace("-", " "))), name))
+        name = rivals[0]
+        return name, best[name][0], best[name][1]
 
 
 def term_weights(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> tuple[dict[str, float], float]:
@@ -116,10 +222,9 @@ def term_weights(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> tup
 
     rows = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a template term
     seen = {r["term"]: r["n"] for r in rows}
-    notices = Counter(t for group in templates.values() for notice in group for t in set(terms(notice)))
-    lines = seen.get("", 0) + sum(map(len, templates.values()))
+    lines = seen.get("", 0) + 1  # the templates count as one line, so that their number does not make their words common
     weigh = lambda n: math.log((1 + lines) / (1 + n)) + 1
-    return {t: weigh(seen.get(t, 0) + notices[t]) for t in wanted}, weigh(1)
+    return {t: weigh(seen.get(t, 0) + 1) for t in wanted}, weigh(1)
 
 
 def directory(path: Column) -> Column:
@@ -133,7 +238,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     spark = files.sparkSession
     keep = [F.col("key")] if "key" in files.columns else []
     base = files.select(*keep, F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    known = templates or TEMPLATES
+    known = with_tags(templates or TEMPLATES)
     shared = spark.sparkContext.broadcast((known, *term_weights(base, known), threshold))
     carried = [f.name for f in base.schema if f.name != "text"]
 

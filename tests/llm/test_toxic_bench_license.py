@@ -170,6 +170,65 @@ def test_license_scan_and_inheritance(spark):
     assert license_scan.scan_licenses(files.limit(0)).count() == 0
 
 
+GPL = """/* This file is part of a program.
+ *
+ * This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation{} either version {} of the License, or
+ * (at your option) any later version.
+ */
+int main() {{}}"""
+
+
+def test_license_headers_and_texts(spark):
+    """Headers that differ by a version, a word or a clause, as comment blocks and as licence files."""
+    known = license_scan.TEMPLATES
+    bsd2 = "Copyright (c) 2020, A\nAll rights reserved.\n\n" + known["BSD-2-Clause"][2].replace(", ", ",\n")
+    files = {
+        "gpl2.c": (GPL.format(";", "", ";", 2), "GPL-2.0"),
+        "gpl3.c": (GPL.format(":", "", ",", 3), "GPL-3.0"),
+        "agpl.c": (GPL.format(":", "Affero ", ",", 3), "AGPL-3.0"),
+        "lgpl.c": (GPL.format(":", "Lesser ", ",", 3), "LGPL-3.0"),
+        "three/COPYING": ("        GNU GENERAL PUBLIC LICENSE\n          Version 3, 29 June 2007\n\nEveryone may copy this.", "GPL-3.0"),
+        "two/COPYING": ("        GNU GENERAL PUBLIC LICENSE\n          Version 2, June 1991\n\nEveryone may copy this.", "GPL-2.0"),
+        "bsd2/LICENSE": (bsd2, "BSD-2-Clause"),
+        "bsd3/LICENSE": (bsd2 + "\n\n3. " + known["BSD-3-Clause"][2], "BSD-3-Clause"),
+        "isc/LICENSE": ("Copyright 2004 A\n\n" + known["ISC"][1].replace(" for any", "\nfor any"), "ISC"),
+        "mpl.js": ("// The contents of this file are subject to the Mozilla Public License Version\n// 1.1 (the License); you may not use this file except in\n// compliance with the License.", "MPL-1.1"),
+        "tag.py": ("# SPDX-License-Identifier: LGPL-2.1\nx = 1", "LGPL-2.1"),
+        "isc/x.py": ("x = 1", "ISC"),
+        "y.py": ("import this", None),
+    }
+    df = frame(spark, [(p, t) for p, (t, _) in files.items()], "path string, text string")
+    found = {r.path: r.license for r in license_scan.scan_licenses(df.selectExpr("*", "1 AS dir", "'z' AS cosine")).collect()}
+    assert found == {p: name for p, (_, name) in files.items()}
+
+
+def test_cosines_against_dense_vectors(spark):
+    """Weights over all lines and the sparse cosines equal dense TF-IDF computed term by term."""
+    import math
+
+    import numpy as np
+
+    known = {"A": ("alpha beta beta gamma", "delta"), "B": ("alpha delta epsilon",)}
+    texts = ["alpha beta\nalpha the\n", "gamma gamma beta alpha", None, "", "epsilon delta the"]
+    notices = [n.split() for group in known.values() for n in group]
+    lines = [line.split() for t in texts if t for line in t.split("\n")] + [[t for n in notices for t in n]]
+    weights, unknown = license_scan.term_weights(frame(spark, [("p", t) for t in texts], "path string, text string"), known)
+    idf = {t: math.log((1 + len(lines)) / (1 + sum(t in x for x in lines))) + 1 for t in ("alpha", "beta", "gamma", "delta", "epsilon")}
+    assert weights.keys() == idf.keys() and all(math.isclose(weights[t], idf[t]) for t in idf)
+    matcher = license_scan.Matcher(known, weights, unknown, 0.6)
+    vocabulary = sorted({t for x in lines for t in x})
+    dense = lambda found: np.array([(1 + math.log(found.count(t))) * idf.get(t, unknown) if t in found else 0.0 for t in vocabulary])
+    for line in [*lines[:-1], *notices]:
+        if not line:
+            continue
+        mine = dense(line)
+        want = {name: max(float(mine @ dense(n.split()) / np.linalg.norm(mine) / np.linalg.norm(dense(n.split()))) for n in group) for name, group in known.items()}
+        got = matcher.cosines(line)
+        assert all(math.isclose(got.get(name, 0.0), want[name], abs_tol=1e-5) for name in known)
+
+
 def test_license_anchor_terms_lose_nothing():
     """Lines without an anchor term score under the threshold for every template."""
     known = license_scan.TEMPLATES
