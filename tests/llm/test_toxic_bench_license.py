@@ -51,7 +51,60 @@ def test_kernel_is_the_subsequence_kernel():
     a, b = toxicity.token_letters(b"grobbnik"), toxicity.token_letters(b"xgroobnikk")
     fa, fb = features(a), features(b)
     expected = sum(v * fb.get(k, 0) for k, v in fa.items()) / toxicity.NORMS[len(a)] / toxicity.NORMS[len(b)]
-    assert np.isclose(toxicity.kernel_columns([a], [b])[0, 0], expected, rtol=1e-4)
+    assert np.isclose(toxicity.Landmarks([b]).columns([a])[0, 0], expected, rtol=1e-4)
+
+
+def test_machine_is_the_sentence_kernel_machine(spark):
+    """The machine's value of a sentence is the weighted sum of its kernels with the landmarks, by table or by pairs of tokens."""
+    _, df, labels = toxic_corpus(spark, 200)
+    parts = toxicity.labelled_sentences(df.join(labels.selectExpr("doc_id", "toxic AS label"), "doc_id")).cache()
+    marks = toxicity.choose_landmarks(toxicity.token_counts(parts), 30)
+    assert {m for m in marks[:3]} <= {toxicity.token_letters(b.encode()) for b in BAD} and len(marks) == 30
+    known = toxicity.Landmarks(marks)
+    gram = known.columns(marks).astype(float)
+    assert np.allclose(gram, gram.T, atol=1e-4) and np.linalg.eigvalsh(gram).min() > -1e-3
+    bags = [[bytes(t) for t in r.tokens] for r in parts.limit(20).collect()]
+    alpha = np.random.default_rng(1).normal(size=30)
+    table = sum(np.float32(a) * toxicity.landmark_table(m) for a, m in zip(alpha, marks))
+    by_table = [toxicity.TokenScorer(table).tops([b" ".join(words)], 0.0)[0][0] for words in bags]
+    by_pairs = [sum(alpha @ known.columns([p])[0] for t in words for p in toxicity.token_pieces(t)) for words in bags]
+    assert np.allclose(by_table, by_pairs, rtol=1e-3, atol=1e-3)
+    packed = toxicity.sentence_columns(parts, marks, 1000).collect()
+    summed = sorted(float(np.frombuffer(r["columns"], np.float32) @ alpha) for r in packed)
+    assert np.allclose(summed, sorted(sum(alpha @ known.columns([p])[0] for t in map(bytes, r.tokens) for p in toxicity.token_pieces(t)) for r in parts.collect()), rtol=1e-3, atol=1e-3)
+    table, bias = toxicity.fit_table(parts, landmarks=30)
+    value = {True: [], False: []}
+    for r in parts.collect():
+        value[any(b.encode() in map(bytes, r.tokens) for b in BAD)].append(toxicity.TokenScorer(table).tops([b" ".join(map(bytes, r.tokens))], bias)[0][0])
+    assert min(value[True]) > max(value[False])
+
+
+def test_letters_of_all_alphabets_and_lengths():
+    letters = toxicity.token_letters
+    assert letters("Größe".encode()) == letters(b"grosse"[:4] + b"e") == letters(b"GR0\xc3\x9fe") and letters("naïve".encode()) == letters(b"na-iv.e")
+    assert len(letters("дурак".encode())) == len(letters("ηλίθιος"[:5].encode())) == 5 and max(letters("дурак日本".encode())) <= 30
+    assert letters("дурак".encode()) == letters("ДУРАК".encode()) and letters(b"--..") == b""
+    for n in range(1, 60):
+        parts = toxicity.token_pieces(b"a" * n)
+        assert all(toxicity.ORDER <= len(p) <= toxicity.CHUNK for p in parts) and sum(map(len, parts)) >= n
+    assert toxicity.token_pieces(b"!?") == []
+    long = b" ".join(b"w%d" % k for k in range(100))
+    assert {t for words in toxicity.sentences(long) for t in words} == set(long.split()) and max(map(len, toxicity.sentences(long))) == toxicity.WINDOW
+
+
+def test_short_foreign_and_long_insults_are_learned(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices(["ta", "re", "lo", "min", "она", "то", "di"], k=rnd.randint(1, 3)))
+    bad = ("zax", "дурхаг", "unbelievablyverybadinsultingword")
+    texts, marks = [], []
+    for k in range(400):
+        words = [word() for _ in range(rnd.randint(10, 40))]
+        if k % 4 == 0:
+            words.insert(rnd.randrange(len(words)), bad[k // 4 % 3])
+        texts.append(" ".join(words) + ".")
+        marks.append((k, 1, int(k % 4 == 0)))
+    rows = toxicity.score(docs(spark, texts), frame(spark, marks, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    assert len(rows) > 60 and sum(r.predicted == int(r.doc_id % 4 == 0) for r in rows) >= 0.97 * len(rows)
 
 
 def test_toxicity_awkward(spark):
