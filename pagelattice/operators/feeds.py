@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions.urls import host, lead_minutes
@@ -34,41 +34,74 @@ def lookup_timed_feed(urls: DataFrame, feed: DataFrame, now: Column, max_age_day
     return keyed.withColumn("first_seen", F.coalesce("__exact", F.when(age <= max_age_days, F.col("__by_host")))).drop("__host", "__exact", "__by_host")
 
 
-def panel_lookup(urls: DataFrame, feeds: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
-    """``urls`` with a column <source>_first_seen for each source: one grouped pivot of (source, url, first_seen), one join."""
-    columns = [F.min(F.when(F.col("source") == s, F.col("first_seen"))).alias(f"{s}_first_seen") for s in sources]
-    return urls.join(feeds.groupBy("url").agg(*columns), "url", "left")
+#: How a source answers: by exact URL or host, by host only while the listing is fresh, or by exact URL.
+TEXT, TIMED, EXACT = "text", "timed", "exact"
+KINDS = {"openphish": TEXT, "phishtank": TIMED, "gsb": EXACT}
+
+
+def listings(urls: DataFrame, feeds: DataFrame, now: Column, max_age_days: int, sources: dict[str, str], suffix: str) -> DataFrame:
+    """``urls`` with a column <source><suffix>: when that source listed the URL, else its host as far as the source
+    tells hosts; null if it did neither. Two grouped pivots of (source, url, first_seen), by URL and by host, and two joins."""
+    first = lambda s: F.min(F.when(F.col("source") == s, F.col("first_seen")))
+    by_host = {s: kind for s, kind in sources.items() if kind != EXACT}
+    exact = feeds.groupBy("url").agg(*[first(s).alias(f"__url_{s}") for s in sources])
+    hosts = feeds.where(F.col("source").isin(*by_host)).withColumn("__host", host(F.col("url"))).where("__host is not null")
+    hosts = hosts.groupBy("__host").agg(*[first(s).alias(f"__host_{s}") for s in by_host])
+    found = urls.withColumn("__host", host(F.col("url"))).join(exact, "url", "left").join(hosts, "__host", "left")
+    columns = {}
+    for s, kind in sources.items():
+        fresh = F.floor((F.unix_micros(now) - F.unix_micros(f"__host_{s}")) / F.lit(86_400_000_000)) <= max_age_days if kind == TIMED else F.lit(True)
+        columns[s + suffix] = F.col(f"__url_{s}") if kind == EXACT else F.coalesce(f"__url_{s}", F.when(fresh, F.col(f"__host_{s}")))
+    return found.withColumns(columns).drop("__host", *[f"__url_{s}" for s in sources], *[f"__host_{s}" for s in by_host])
+
+
+def panel_lookup(urls: DataFrame, feeds: DataFrame, now: Column | None = None, max_age_days: int = 60, sources: dict[str, str] | None = None) -> DataFrame:
+    """``urls`` with a column <source>_first_seen for each source, asked as its kind says; ``now`` is the time of asking."""
+    return listings(urls, feeds, F.current_timestamp() if now is None else now, max_age_days, sources or KINDS, "_first_seen")
 
 
 def earliest(sources: tuple[str, ...] = SOURCES) -> Column:
-    """struct(first_seen, source) of the earliest listing; null if there is none."""
-    return F.array_min(F.array_compact(F.array(*[F.when(F.col(f"{s}_first_seen").isNotNull(), F.struct(F.col(f"{s}_first_seen").alias("first_seen"), F.lit(s).alias("source"))) for s in sources])))
+    """struct(first_seen, source) of the earliest listing, ties to the first source; null if there is none."""
+    each = [F.when(F.col(f"{s}_first_seen").isNotNull(), F.struct(F.col(f"{s}_first_seen").alias("first_seen"), F.lit(n).alias("n"), F.lit(s).alias("source"))) for n, s in enumerate(sources)]
+    return F.array_min(F.array_compact(F.array(*each)))
 
 
-def annotate_hits(hits: DataFrame, feeds: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+def annotate_hits(hits: DataFrame, feeds: DataFrame, now: Column | None = None, max_age_days: int = 60, sources: dict[str, str] | None = None) -> DataFrame:
     """Phish rows of (url, ts_detected, prediction) with listings, the earliest, and lead minutes."""
-    found = panel_lookup(hits.where("prediction = 'phish'"), feeds, sources).withColumn("__first", earliest(sources))
+    found = panel_lookup(hits.where("prediction = 'phish'"), feeds, now, max_age_days, sources).withColumn("__first", earliest(tuple(sources or KINDS)))
     return found.withColumns({"earliest_blacklist": F.col("__first.first_seen"), "earliest_source": F.col("__first.source"), "lead_minutes": lead_minutes(F.col("__first.first_seen"), F.col("ts_detected"))}).drop("__first")
 
 
-def rescan(hits: DataFrame, feeds: DataFrame, now: Column, stamped: tuple[str, ...] = ("openphish", "gsb"), sources: tuple[str, ...] = SOURCES) -> DataFrame:
+def rescan(hits: DataFrame, feeds: DataFrame, now: Column, max_age_days: int = 60, stamped: tuple[str, ...] = ("openphish", "gsb"), sources: dict[str, str] | None = None) -> DataFrame:
     """Hits whose missing listings are filled from ``feeds``; set ones stay. Adds ``updated``.
 
     Only phish rows with a missing source are looked at. Sources in ``stamped`` get ``now``, others their own
     time; earliest and lead are taken anew for updated rows.
     """
-    columns = [F.min(F.when(F.col("source") == s, F.col("first_seen"))).alias(f"__{s}") for s in sources]
-    joined = hits.join(feeds.groupBy("url").agg(*columns), "url", "left")
+    kinds = sources or KINDS
+    joined = listings(hits, feeds, now, max_age_days, kinds, "__new")
     fill = {}
-    for s in sources:
-        value = F.when(F.col(f"__{s}").isNotNull(), now) if s in stamped else F.col(f"__{s}")
+    for s in kinds:
+        value = F.when(F.col(f"{s}__new").isNotNull(), now) if s in stamped else F.col(f"{s}__new")
         fill[s] = F.when((F.col("prediction") == "phish") & F.col(f"{s}_first_seen").isNull(), value)
-    updated = reduce(lambda a, b: a | b, [fill[s].isNotNull() for s in sources])
-    joined = joined.withColumn("updated", updated).withColumns({f"{s}_first_seen": F.coalesce(f"{s}_first_seen", fill[s]) for s in sources})
-    first = earliest(sources)["first_seen"]
+    updated = reduce(lambda a, b: a | b, [fill[s].isNotNull() for s in kinds])
+    joined = joined.withColumn("updated", updated).withColumns({f"{s}_first_seen": F.coalesce(f"{s}_first_seen", fill[s]) for s in kinds})
+    first = earliest(tuple(kinds))["first_seen"]
     lead = lead_minutes(F.col("earliest_blacklist"), F.col("ts_detected"))
     out = joined.withColumn("earliest_blacklist", F.when(F.col("updated"), first).otherwise(F.col("earliest_blacklist"))).withColumn("lead_minutes", F.when(F.col("updated"), lead).otherwise(F.col("lead_minutes")))
-    return out.drop(*[f"__{s}" for s in sources])
+    return out.drop(*[f"{s}__new" for s in kinds])
+
+
+def exact_median(rows: DataFrame, column: str, width: float) -> DataFrame:
+    """(median): one row. Values are counted, and only those of the buckets of ``width`` that hold the middle are ranked:
+    no task sees more than the buckets, which the range of the values bounds, or one bucket's distinct values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.floor(F.col("v") / width))
+    buckets = counts.groupBy("b").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(Window.orderBy("b")) - F.col("m")).withColumn("total", F.sum("m").over(Window.partitionBy()))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    middle = buckets.where(((F.col("before") < low) & (F.col("before") + F.col("m") >= low)) | ((F.col("before") < high) & (F.col("before") + F.col("m") >= high)))
+    ranked = counts.join(F.broadcast(middle), "b").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("b").orderBy("v")))  # at most two buckets
+    at = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col("v")))
+    return ranked.agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def lead_summary(hits: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
@@ -82,7 +115,8 @@ def lead_summary(hits: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFra
     n = F.count(F.lit(1))
     values = {
         "total_phish": n, "absent_from_all": F.count_if(~listed), "confirmed_later": F.count_if(listed), **{f"{s}_listed": F.count_if(F.col(f"{s}_first_seen").isNotNull()) for s in sources},
-        "mean_lead_minutes": F.bround(F.avg(lead), 4), "median_lead_minutes": F.percentile(lead, F.lit(0.5)), "positive_share": F.bround(F.try_divide(F.count_if(lead > 0), F.count(lead)), 4),
+        "mean_lead_minutes": F.bround(F.avg(lead), 4), "median_lead_minutes": F.lit(None), "positive_share": F.bround(F.try_divide(F.count_if(lead > 0), F.count(lead)), 4),
     }
     one = phish.agg(*[v.cast("double").alias(k) for k, v in values.items()])
+    one = one.join(exact_median(phish.select(lead.alias("lead")), "lead", 60.0)).withColumn("median_lead_minutes", F.col("median").cast("double"))  # one row each
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values])).alias("m")).select("m.*")

@@ -11,6 +11,8 @@ from pagelattice.operators import evaluate, feeds, perturb, robustness
 from pagelattice.plans.common import DECORATED_SQL, decorated_pages, table
 
 NOW = "timestamp'2024-02-15 00:00:00'"
+#: When the stored hits were annotated, and the days for which a host's timed listing counts.
+STORED, MAX_AGE = "timestamp'2024-01-20 00:00:00'", 10
 _LABEL = "CASE quality WHEN 0 THEN 'phish' ELSE 'benign' END"
 _RULE = "CASE WHEN length(url) + 7 * (page_id % 5) > 55 THEN 'phish' ELSE 'benign' END"
 
@@ -164,33 +166,33 @@ def lookup_timed_feed(spark, sf_dir):
 
 
 def panel_lookup(spark, sf_dir):
-    return feeds.panel_lookup(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir)).select("event_id", *[f"{s}_first_seen" for s in feeds.SOURCES])
+    return feeds.panel_lookup(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir), F.expr(NOW), MAX_AGE).select("event_id", *[f"{s}_first_seen" for s in feeds.SOURCES])
 
 
 def earliest_hit(spark, sf_dir):
-    found = feeds.panel_lookup(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir)).withColumn("first", feeds.earliest())
+    found = feeds.panel_lookup(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir), F.expr(NOW), MAX_AGE).withColumn("first", feeds.earliest())
     return found.select("event_id", "first.first_seen", "first.source")
 
 
 def annotate_hits(spark, sf_dir):
-    return feeds.annotate_hits(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir)).select("event_id", "earliest_blacklist", "earliest_source", "lead_minutes")
+    return feeds.annotate_hits(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir), F.expr(NOW), MAX_AGE).select("event_id", "earliest_blacklist", "earliest_source", "lead_minutes")
 
 
 def _stored_hits(spark, sf_dir):
     """Hits annotated from the January 1 to 15 part of the feeds; benign rows keep nulls."""
     old = feed_rows(spark, sf_dir).where("first_seen < timestamp'2024-01-15'")
-    found = feeds.annotate_hits(hit_rows(spark, sf_dir), old).drop("earliest_source")
+    found = feeds.annotate_hits(hit_rows(spark, sf_dir), old, F.expr(STORED), MAX_AGE).drop("earliest_source")
     benign = hit_rows(spark, sf_dir).where("prediction <> 'phish'")
     return found.unionByName(benign, allowMissingColumns=True)
 
 
 def rescan(spark, sf_dir):
-    found = feeds.rescan(_stored_hits(spark, sf_dir), feed_rows(spark, sf_dir), F.expr(NOW))
+    found = feeds.rescan(_stored_hits(spark, sf_dir), feed_rows(spark, sf_dir), F.expr(NOW), MAX_AGE)
     return found.select("event_id", "updated", "earliest_blacklist", "lead_minutes", *[f"{s}_first_seen" for s in feeds.SOURCES])
 
 
 def lead_summary(spark, sf_dir):
-    return feeds.lead_summary(feeds.annotate_hits(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir)))
+    return feeds.lead_summary(feeds.annotate_hits(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir), F.expr(NOW), MAX_AGE))
 
 
 # --- SQL -------------------------------------------------------------------------------------------
@@ -199,10 +201,20 @@ _FEED_SQL = """ev AS (SELECT *, concat('https://u', user_id, '.test/p', event_id
 feed AS (SELECT CASE event_type WHEN 'signup' THEN 'openphish' WHEN 'purchase' THEN 'phishtank' WHEN 'view' THEN 'gsb' END AS source, url, host, CAST(ts AS TIMESTAMP) AS first_seen
   FROM ev WHERE event_type IN ('signup', 'purchase', 'view')),
 hits AS (SELECT event_id, url, host, CAST(ts AS TIMESTAMP) AS ts_detected, CASE WHEN event_id % 5 = 0 THEN 'benign' ELSE 'phish' END AS prediction FROM ev WHERE event_type = 'error')"""
-_PANEL = """panel AS (SELECT url, min(first_seen) FILTER (source = 'openphish') AS openphish_first_seen, min(first_seen) FILTER (source = 'phishtank') AS phishtank_first_seen,
-  min(first_seen) FILTER (source = 'gsb') AS gsb_first_seen FROM {0} GROUP BY url)"""
+
+
+def _panel(name: str, feed: str, now: str) -> str:
+    """Hits with each source's answer: by URL, by host (openphish), by host while the listing is fresh (phishtank)."""
+    times = lambda alias, sources: ", ".join(f"min(first_seen) FILTER (source = '{s}') AS {alias}_{s}" for s in sources)
+    return f"""{name}_urls AS (SELECT url, {times("u", feeds.SOURCES)} FROM {feed} GROUP BY url), {name}_hosts AS (SELECT host, {times("h", feeds.SOURCES[:2])} FROM {feed} GROUP BY host),
+{name} AS (SELECT hits.*, coalesce(u_openphish, h_openphish) AS openphish_first_seen, u_gsb AS gsb_first_seen,
+  coalesce(u_phishtank, CASE WHEN floor((epoch_us({now}) - epoch_us(h_phishtank)) / 86400000000) <= {MAX_AGE} THEN h_phishtank END) AS phishtank_first_seen
+  FROM hits LEFT JOIN {name}_urls USING (url) LEFT JOIN {name}_hosts USING (host))"""
+
+
+_NOW_PANEL = f"WITH {_FEED_SQL}, {_panel('panel', 'feed', NOW)}"
 _FIRST = "least(openphish_first_seen, phishtank_first_seen, gsb_first_seen)"
-_WHO = f"CASE {_FIRST} WHEN gsb_first_seen THEN 'gsb' WHEN openphish_first_seen THEN 'openphish' WHEN phishtank_first_seen THEN 'phishtank' END"
+_WHO = f"CASE {_FIRST} WHEN openphish_first_seen THEN 'openphish' WHEN phishtank_first_seen THEN 'phishtank' WHEN gsb_first_seen THEN 'gsb' END"
 _LEAD = "round_even((epoch_us({0}) - epoch_us(ts_detected)) / 6e7, 2)"
 _SCORES = "cells AS (SELECT unnest([" + ", ".join(f"{{'attack': '{a}', 'variant': '{v}', 'c': {10 * k + n}}}" for k, a in enumerate(robustness.FAMILIES) for n, v in enumerate(perturb.VARIANTS)) + "]) AS cell)"
 _SCORES = f"""{LABELLED_SQL}, {_SCORES}, scored AS (SELECT cell.attack AS attack, cell.variant AS variant, url, label,
@@ -279,16 +291,16 @@ ORACLE = {
     "lookup_text_feed": f"WITH {_FEED_SQL}, f AS (SELECT * FROM feed WHERE source = 'openphish') SELECT event_id, coalesce((SELECT min(first_seen) FROM f WHERE f.url = h.url), (SELECT min(first_seen) FROM f WHERE f.host = h.host)) AS first_seen FROM hits h",
     "lookup_timed_feed": f"""WITH {_FEED_SQL}, f AS (SELECT * FROM feed WHERE source = 'phishtank'), b AS (SELECT host, min(first_seen) AS t FROM f GROUP BY host)
         SELECT event_id, coalesce((SELECT min(first_seen) FROM f WHERE f.url = h.url), CASE WHEN floor((epoch_us(TIMESTAMP '2024-02-15 00:00:00') - epoch_us(b.t)) / 86400000000) <= 30 THEN b.t END) AS first_seen FROM hits h LEFT JOIN b USING (host)""",
-    "panel_lookup": f"WITH {_FEED_SQL}, {_PANEL.format('feed')} SELECT event_id, openphish_first_seen, phishtank_first_seen, gsb_first_seen FROM hits LEFT JOIN panel USING (url)",
-    "earliest_hit": f"WITH {_FEED_SQL}, {_PANEL.format('feed')} SELECT event_id, {_FIRST} AS first_seen, {_WHO} AS source FROM hits LEFT JOIN panel USING (url)",
-    "annotate_hits": f"WITH {_FEED_SQL}, {_PANEL.format('feed')} SELECT event_id, {_FIRST} AS earliest_blacklist, {_WHO} AS earliest_source, {_LEAD.format(_FIRST)} AS lead_minutes FROM hits LEFT JOIN panel USING (url) WHERE prediction = 'phish'",
-    "rescan": f"""WITH {_FEED_SQL}, old AS (SELECT * FROM feed WHERE first_seen < TIMESTAMP '2024-01-15'), {_PANEL.format('old')}, {_PANEL.format('feed').replace('panel AS', 'fresh AS')},
-        kept AS (SELECT h.event_id, h.url, h.ts_detected, h.prediction, CASE WHEN prediction = 'phish' THEN p.openphish_first_seen END AS o, CASE WHEN prediction = 'phish' THEN p.phishtank_first_seen END AS t, CASE WHEN prediction = 'phish' THEN p.gsb_first_seen END AS g FROM hits h LEFT JOIN panel p USING (url)),
-        grown AS (SELECT k.*, CASE WHEN prediction = 'phish' AND o IS NULL AND f.openphish_first_seen IS NOT NULL THEN TIMESTAMP '2024-02-15' END AS no, CASE WHEN prediction = 'phish' AND t IS NULL THEN f.phishtank_first_seen END AS nt,
-          CASE WHEN prediction = 'phish' AND g IS NULL AND f.gsb_first_seen IS NOT NULL THEN TIMESTAMP '2024-02-15' END AS ng FROM kept k LEFT JOIN fresh f USING (url)),
+    "panel_lookup": f"{_NOW_PANEL} SELECT event_id, openphish_first_seen, phishtank_first_seen, gsb_first_seen FROM panel",
+    "earliest_hit": f"{_NOW_PANEL} SELECT event_id, {_FIRST} AS first_seen, {_WHO} AS source FROM panel",
+    "annotate_hits": f"{_NOW_PANEL} SELECT event_id, {_FIRST} AS earliest_blacklist, {_WHO} AS earliest_source, {_LEAD.format(_FIRST)} AS lead_minutes FROM panel WHERE prediction = 'phish'",
+    "rescan": f"""{_NOW_PANEL}, old AS (SELECT * FROM feed WHERE first_seen < TIMESTAMP '2024-01-15'), {_panel('stored', 'old', STORED)},
+        grown AS (SELECT s.event_id, s.ts_detected, CASE WHEN s.prediction = 'phish' THEN s.openphish_first_seen END AS o, CASE WHEN s.prediction = 'phish' THEN s.phishtank_first_seen END AS t, CASE WHEN s.prediction = 'phish' THEN s.gsb_first_seen END AS g,
+          CASE WHEN s.prediction = 'phish' AND s.openphish_first_seen IS NULL AND p.openphish_first_seen IS NOT NULL THEN {NOW} END AS no, CASE WHEN s.prediction = 'phish' AND s.phishtank_first_seen IS NULL THEN p.phishtank_first_seen END AS nt,
+          CASE WHEN s.prediction = 'phish' AND s.gsb_first_seen IS NULL AND p.gsb_first_seen IS NOT NULL THEN {NOW} END AS ng FROM stored s JOIN panel p USING (event_id)),
         done AS (SELECT event_id, ts_detected, no IS NOT NULL OR nt IS NOT NULL OR ng IS NOT NULL AS updated, coalesce(o, no) AS openphish_first_seen, coalesce(t, nt) AS phishtank_first_seen, coalesce(g, ng) AS gsb_first_seen FROM grown)
         SELECT event_id, updated, {_FIRST} AS earliest_blacklist, {_LEAD.format(_FIRST)} AS lead_minutes, openphish_first_seen, phishtank_first_seen, gsb_first_seen FROM done""",
-    "lead_summary": f"""WITH {_FEED_SQL}, {_PANEL.format('feed')}, a AS (SELECT openphish_first_seen AS o, phishtank_first_seen AS t, gsb_first_seen AS g, {_FIRST} AS f, {_LEAD.format(_FIRST)} AS l FROM hits LEFT JOIN panel USING (url) WHERE prediction = 'phish')
+    "lead_summary": f"""{_NOW_PANEL}, a AS (SELECT openphish_first_seen AS o, phishtank_first_seen AS t, gsb_first_seen AS g, {_FIRST} AS f, {_LEAD.format(_FIRST)} AS l FROM panel WHERE prediction = 'phish')
         SELECT unnest(['total_phish', 'absent_from_all', 'confirmed_later', 'openphish_listed', 'phishtank_listed', 'gsb_listed', 'mean_lead_minutes', 'median_lead_minutes', 'positive_share']) AS metric,
           unnest([count(*)::DOUBLE, count(*) FILTER (f IS NULL), count(f), count(o), count(t), count(g), round_even(avg(l), 4), median(l), round_even(count(*) FILTER (l > 0) / count(l), 4)]) AS value FROM a""",
 }

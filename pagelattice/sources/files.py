@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions.urls import brand_domain, parse_iso
 from pagelattice.operators.page_graph import REDIRECT_TYPE, REQUEST_TYPE, STORAGE_TYPE
-from pagelattice.tables import cut
 
 TRACE_SCHEMA = f"requests {REQUEST_TYPE}, redirects {REDIRECT_TYPE}, storage_ops {STORAGE_TYPE}"
 
 
+def file_order():
+    """Orders rows as they stand in their files: files by path, a file's splits by start, a split's rows as read."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, escape='"', multiLine=False)
 
@@ -61,39 +65,73 @@ def read_text_feed(spark: SparkSession, path: str, fetched_at: str) -> DataFrame
 
 def read_timed_feed(spark: SparkSession, path: str, loaded_at: str) -> DataFrame:
     """(url, first_seen) of CSV url, verification_time: a bad or missing time is the load time; of a repeated URL the last row holds."""
-    rows = _csv(spark, path).select(F.trim("url").alias("url"), "verification_time", F.monotonically_increasing_id().alias("pos")).where("coalesce(url, '') <> ''")
+    rows = _csv(spark, path).select(F.trim("url").alias("url"), "verification_time", file_order().alias("pos")).where("coalesce(url, '') <> ''")
     seen = F.coalesce(parse_iso(F.col("verification_time")), parse_iso(F.lit(loaded_at)))
     return rows.groupBy("url").agg(F.max_by(seen, "pos").alias("first_seen"))
 
 
+def read_dns_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(domain, ip) of JSON files with one object each; broken files and such without a domain drop out, a failed lookup has no ip."""
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", "domain string, ip string").alias("d")).where("d.domain is not null").select("d.*")
+
+
 def attach_ip(domains: DataFrame, dns: DataFrame) -> DataFrame:
     """``domains`` with the cached ip, null if unknown."""
     return domains.join(dns.groupBy("domain").agg(F.min("ip").alias("ip")), "domain", "left")
 
 
-def read_sites(sites: DataFrame) -> DataFrame:
-    """Site rows (url, label, has_shot, has_crp) that have a screenshot, with their brand domain."""
-    return sites.where("has_shot").withColumn("domain", brand_domain(F.col("url")))
+def read_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, url, label, shot_path, domain) of folders with a screenshot ``shot.png``; the URL is in ``info.txt``, the
+    label in ``label.txt`` ("unknown" without). Screenshots are listed, not read."""
+    name = F.element_at(F.split(F.col("path"), "/"), -2).alias("name")
+    listed = spark.read.format("binaryFile")
+    shots = listed.option("pathGlobFilter", "shot.png").load(f"{folder}/*").select(name, F.col("path").alias("shot_path"))
+    texts = listed.option("pathGlobFilter", "{info,label}.txt").load(f"{folder}/*").select(name, F.endswith("path", F.lit("info.txt")).alias("is_url"), F.trim(F.regexp_replace(F.col("content").cast("string"), r"^\s+|\s+$", "")).alias("text"))
+    texts = texts.groupBy("name").agg(F.max(F.when(F.col("is_url"), F.col("text"))).alias("url"), F.max(F.when(~F.col("is_url"), F.col("text"))).alias("label"))
+    found = shots.join(texts, "name", "left").select("name", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("label", F.lit("unknown")).alias("label"), "shot_path")
+    return found.withColumn("domain", F.when(F.col("url") != "", brand_domain(F.col("url"))).otherwise(F.lit("")))
 
 
 def read_predictions(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(url, prediction, score) of another detector: ``tsv`` (url, 1 or -1, score), ``pairs`` (a line "url prediction score" by blanks),
-    ``json`` (an object a line with prediction and siamese_conf, confidence or score)."""
-    if kind == "tsv":
-        rows = spark.read.schema("url string, mark int, score double").csv(path, sep="\t")
-        return rows.select("url", F.when(F.col("mark") == 1, "phish").otherwise("benign").alias("prediction"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    if kind == "pairs":
-        parts = F.split(F.trim("value"), r"\s+")
-        return spark.read.text(path).where("trim(value) <> ''").select(parts[0].alias("url"), F.lower(parts[1]).alias("prediction"), F.coalesce(F.try_to_number(F.get(parts, F.lit(2)), F.lit("9.9999")).cast("double"), F.lit(0.0)).alias("score"))
+    """Another detector's outputs as (key, prediction, score).
+
+    * ``table``: tab-separated with a header, by URL: url, label, mark (1 is phish), score; shorter lines drop out.
+    * ``folders``: two lines a site, by folder: "site_<n> TAB url", then "TAB mark TAB brand TAB domains TAB score ..."; a bad
+      mark or score is benign or 0. Of a repeated folder the last entry holds.
+    * ``json``: a list of objects with ``folder``, or an object by folder. ``phish_category`` decides if there (anything but benign
+      and legitimate is phish), else ``phish`` = 1; the score is the first of siamese_conf, score and confidence that is there.
+    """
+    if kind == "table":
+        rows = spark.read.schema("url string, label string, mark int, score double").csv(path, sep="\t", header=True, quote="")
+        return rows.where("score is not null").select(F.col("url").alias("key"), F.when(F.col("mark") == 1, "phish").otherwise("benign").alias("prediction"), "score")
+    if kind == "folders":
+        # A row is all that follows a site's name up to the next one.
+        rows = spark.read.option("lineSep", "\nsite_").text(path).select(F.regexp_replace("value", "^site_", "").alias("value"), file_order().alias("pos"))
+        rows = rows.where(F.col("value").rlike(r"^\d[^\n]*\n(?s:.*\n)?\t"))
+        parts = F.split(F.regexp_replace(F.regexp_extract("value", r"\n\t([^\n]*)", 1), r"^\s+|\s+$", ""), "\t")
+        found = rows.select(F.concat(F.lit("site_"), F.regexp_extract("value", r"^([^\t\n]*)", 1)).alias("key"), "pos", parts.alias("p"))
+        given = F.get("p", F.lit(3))
+        score = F.when(given.isNull() | (given == "None"), 0.0).otherwise(given.try_cast("double"))
+        found = found.select("key", "pos", F.when((F.get("p", F.lit(0)).try_cast("int") == 1) & score.isNotNull(), "phish").otherwise("benign").alias("prediction"), F.coalesce(score, F.lit(0.0)).alias("score"))
+        return found.groupBy("key").agg(F.max_by(F.struct("prediction", "score"), "pos").alias("last")).select("key", "last.*")
     if kind == "json":
-        rows = spark.read.schema("url string, prediction string, siamese_conf double, score double, confidence double").json(path)
-        return rows.select("url", F.coalesce(F.lower("prediction"), F.lit("unknown")).alias("prediction"), F.coalesce("siamese_conf", "score", "confidence", F.lit(0.0)).alias("score"))
+        text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+        as_list = F.from_json("value", "array<map<string,string>>")
+        by_folder = F.from_json("value", "map<string,map<string,string>>")
+        listed = text.where("startswith(value, '[')").select(F.explode(as_list).alias("e")).select(F.coalesce(F.col("e")["folder"], F.lit("")).alias("key"), "e")
+        keyed = text.where("not startswith(value, '[')").select(F.explode(by_folder).alias("key", "e"))
+        has = lambda name: F.map_contains_key("e", name)
+        score = F.when(has("siamese_conf"), F.col("e")["siamese_conf"]).when(has("score"), F.col("e")["score"]).otherwise(F.col("e")["confidence"])
+        category = F.coalesce(F.col("e")["phish_category"], F.lit(""))
+        phish = F.when(category != "", ~category.isin("benign", "legitimate")).otherwise(F.coalesce(F.expr("try_cast(e['phish'] AS double)") == 1, F.lit(False)))
+        return listed.unionByName(keyed).select("key", F.when(phish, "phish").otherwise("benign").alias("prediction"), F.coalesce(score.try_cast("double"), F.lit(0.0)).alias("score"))
     raise ValueError(f"unknown kind of predictions: {kind}")
 
 
-def match_predictions(urls: DataFrame, found: DataFrame) -> DataFrame:
-    """``urls`` with prediction and score; unmatched ones are unknown and 0."""
-    return urls.join(found, "url", "left").fillna({"prediction": "unknown", "score": 0.0})
+def match_predictions(urls: DataFrame, found: DataFrame, position: str | None = None) -> DataFrame:
+    """``urls`` with prediction and score, by URL, or by the folder ``site_<position>``; unmatched ones are unknown and 0."""
+    key = F.col("url") if position is None else F.concat(F.lit("site_"), F.col(position).cast("string"))
+    return urls.withColumn("key", key).join(found, "key", "left").drop("key").fillna({"prediction": "unknown", "score": 0.0})
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
@@ -106,11 +144,6 @@ def write_metric_table(metrics: DataFrame, path: str) -> None:
     metrics.select("metric", "value").write.mode("overwrite").csv(path, header=True)
 
 
-def hits_sink(hits: DataFrame, path: str) -> None:
-    """Appends phish rows to a Parquet table."""
-    hits.where("prediction = 'phish'").write.mode("append").parquet(path)
-
-
-def snapshot(df: DataFrame, name: str) -> DataFrame:
-    """A written copy in the shared folder."""
-    return cut(df, name)
+def hits_sink(hits: DataFrame, path: str, batch: int) -> None:
+    """The phish rows of a batch as Parquet in a folder of its own: a batch that is tried again replaces what it left."""
+    hits.where("prediction = 'phish'").write.mode("overwrite").parquet(f"{path}/batch={batch}")

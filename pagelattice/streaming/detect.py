@@ -6,13 +6,16 @@ Structured Streaming throughout. State is bounded by a watermark: a domain is re
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.tables import shared_dir
+from pagelattice.operators.feeds import annotate_hits
+from pagelattice.sources.files import hits_sink
+from pagelattice.tables import cut, shared_dir
 
 CERT_SCHEMA = "message_type string, data struct<leaf_cert:struct<all_domains:array<string>>>"
 
@@ -51,23 +54,64 @@ def enrich_and_score(batch: DataFrame, cache: DataFrame, score: Callable[[DataFr
     return score(pages).where(F.col("score") >= threshold).withColumn("prediction", F.lit("phish"))
 
 
-def run_detection(candidates: DataFrame, cache_of: Callable[[], DataFrame], score: Callable[[DataFrame], DataFrame], feeds_of: Callable[[], DataFrame], sink: str, checkpoint: str, threshold: float = 0.5):
-    """Starts the job on all available data: per micro-batch the cache and the feeds are read anew, positives are
-    annotated and appended to ``sink`` (Parquet). A feed that cannot be read keeps its last snapshot."""
-    from pagelattice.operators.feeds import annotate_hits
+def message_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
+    """A JSON file stream. ``max_files`` or ``max_bytes`` bound what a micro-batch takes: the rate limit with a processing interval."""
+    source = spark.readStream.schema(schema)
+    for name, value in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes)):
+        source = source.option(name, value) if value is not None else source
+    return source.json(path)
+
+
+class FeedSnapshot:
+    """The feeds as last read: a written copy, taken anew once it is ``refresh`` seconds old. A read that
+    fails leaves the old copy in use; only the first one must succeed."""
+
+    def __init__(self, feeds_of: Callable[[], DataFrame], refresh: float = 900.0, clock: Callable[[], float] = time.monotonic):
+        self.feeds_of, self.refresh, self.clock = feeds_of, refresh, clock
+        self.held: DataFrame | None = None
+        self.read_at = 0.0
+
+    def current(self) -> DataFrame:
+        if self.held is None or self.clock() - self.read_at >= self.refresh:
+            try:
+                self.held, self.read_at = cut(self.feeds_of(), "feeds"), self.clock()
+            except Exception:
+                if self.held is None:
+                    raise
+        return self.held
+
+
+def run_detection(
+    candidates: DataFrame,
+    cache_of: Callable[[], DataFrame],
+    score: Callable[[DataFrame], DataFrame],
+    feeds_of: Callable[[], DataFrame],
+    sink: str,
+    checkpoint: str,
+    threshold: float = 0.5,
+    refresh: float = 900.0,
+    interval: str | None = None,
+):
+    """Starts the job: per micro-batch the cache is read anew, positives are annotated from the feeds' snapshot and written to
+    ``sink`` (Parquet, a folder for each batch, so a batch tried again leaves its hits once). Takes all available data and ends, or
+    with ``interval`` goes on at that pace."""
+    feeds = FeedSnapshot(feeds_of, refresh)
+
+    def work(batch: DataFrame, number: int) -> None:
+        hits = enrich_and_score(batch, cache_of(), score, threshold).withColumnRenamed("ts", "ts_detected")
+        hits_sink(annotate_hits(hits, feeds.current()), sink, number)
 
-    last: dict[str, DataFrame] = {}
+    pace = {"processingTime": interval} if interval else {"availableNow": True}
+    return candidates.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**pace).start()
 
-    def work(batch: DataFrame, _: int) -> None:
-        try:
-            last["feeds"] = feeds_of()
-        except Exception:
-            if "feeds" not in last:
-                raise
-        hits = enrich_and_score(batch, cache_of(), score, threshold).withColumnRenamed("ts", "ts_detected")
-        annotate_hits(hits, last["feeds"]).write.mode("append").parquet(sink)
 
-    return candidates.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_until(query, seconds: float) -> bool:
+    """Waits for a stream's end for at most ``seconds``, then stops it; the running micro-batch is tried again at the next
+    start. Returns whether it had ended by itself."""
+    if query.awaitTermination(seconds):
+        return True
+    query.stop()
+    return False
 
 
 def event_messages(events: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelattice import constants as C
@@ -61,6 +63,75 @@ def test_feeds_and_rescan(spark):
     assert all(r.first_seen for r in feeds.lookup_text_feed(asked, old).collect())
 
 
+def test_panel_asks_hosts_while_fresh(spark):
+    """A text feed and a fresh timed listing speak for the host, an old one and the exact source for their URL only."""
+    rows = [("openphish", "https://h.test/a", "2024-01-01"), ("phishtank", "https://old.test/a", "2024-01-01"), ("phishtank", "https://new.test/a", "2024-02-01"), ("gsb", "https://g.test/a", "2024-02-01")]
+    feed = spark.createDataFrame(rows, "source string, url string, t string").withColumn("first_seen", F.to_timestamp("t"))
+    asked = spark.createDataFrame([(f"https://{h}.test/{p}",) for h in ("h", "old", "new", "g", "none") for p in "ab"] + [(None,)], "url string")
+    now = F.to_timestamp(F.lit("2024-03-02"))
+    found = {r.url: tuple(x is not None for x in (r.openphish_first_seen, r.phishtank_first_seen, r.gsb_first_seen)) for r in feeds.panel_lookup(asked, feed, now).collect()}
+    want = {"h/a": "100", "h/b": "100", "old/a": "010", "old/b": "000", "new/a": "010", "new/b": "010", "g/a": "001", "g/b": "000", "none/a": "000", "none/b": "000"}
+    assert found == {None: (False,) * 3} | {f"https://{k.replace('/', '.test/')}": tuple(x == "1" for x in v) for k, v in want.items()}
+    tied = feeds.panel_lookup(asked.limit(1), feed.unionByName(feed.where("url = 'https://h.test/a'").withColumn("source", F.lit("gsb"))), now).withColumn("first", feeds.earliest())
+    assert tied.first()["first"].source == "openphish"
+
+
+def test_exact_median(spark):
+    import statistics
+
+    rnd = random.Random(3)
+    for n in (0, 1, 2, 7, 50):
+        values = [round(rnd.choice([rnd.uniform(-500, 500), 17.25]), 2) for _ in range(n)] + [None]
+        found = feeds.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), "v", 60.0).first().median
+        assert found == (statistics.median(values[:-1]) if n else None)
+
+
+def test_other_detectors_outputs(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text('url\tlabel\tpredict\tscore\nhttps://a.test/"\t1\t1\t0.9\nhttps://b.test/\t-1\t-1\t0.1\nshort\t1\n')
+    found = files.match_predictions(spark.createDataFrame([('https://a.test/"',), ("https://z.test/",)], "url string"), files.read_predictions(spark, str(tmp_path / "t.tsv"), "table"))
+    assert {(r.url, r.prediction, r.score) for r in found.collect()} == {('https://a.test/"', "phish", 0.9), ("https://z.test/", "unknown", 0.0)}
+    (tmp_path / "f.txt").write_text("site_0\thttps://a.test/\n\t1\tbrand\t['x']\t0.75\t1.0\t2.0\nsite_1\thttps://b.test/\nsite_2\thttps://c.test/\n\t0\tNone\tNone\tNone\t1\nsite_3\thttps://d.test/\n\tx\n\t1\tb\td\t0.5\nsite_4\tu\n\t1\tb\td\tbad\n")
+    urls = spark.createDataFrame([(k, f"u{k}") for k in range(6)], "n int, url string")
+    got = {r.n: (r.prediction, r.score) for r in files.match_predictions(urls, files.read_predictions(spark, str(tmp_path / "f.txt"), "folders"), "n").collect()}
+    assert got == {0: ("phish", 0.75), 1: ("unknown", 0.0), 2: ("benign", 0.0), 3: ("benign", 0.0), 4: ("benign", 0.0), 5: ("unknown", 0.0)}
+    entries = {"site_0": {"phish_category": "credential", "phish": 0, "siamese_conf": 0.8}, "site_1": {"phish": 1, "score": 0.4}, "site_2": {"phish_category": "legitimate", "phish": 1}, "site_3": {"phish": 1, "siamese_conf": None, "score": 0.9}}
+    (tmp_path / "d.json").write_text(json.dumps(entries, indent=1))
+    (tmp_path / "l.json").write_text(json.dumps([{"folder": k, "url": "u", **v} for k, v in entries.items()]))
+    for name in ("d.json", "l.json"):
+        got = {r.key: (r.prediction, r.score) for r in files.read_predictions(spark, str(tmp_path / name), "json").collect()}
+        assert got == {"site_0": ("phish", 0.8), "site_1": ("phish", 0.4), "site_2": ("benign", 0.0), "site_3": ("phish", 0.0)}
+    with pytest.raises(ValueError):
+        files.read_predictions(spark, "x", "other")
+
+
+def test_dns_cache_sites_and_sinks(spark, tmp_path):
+    for k, text in enumerate(('{"domain": "a.test", "ip": "10.0.0.1"}', '{\n "domain": "b.test", "ip": null}', "{broken")):
+        (tmp_path / "dns").mkdir(exist_ok=True)
+        (tmp_path / "dns" / f"{k}.json").write_text(text)
+    domains = spark.createDataFrame([("a.test",), ("b.test",), ("c.test",)], "domain string")
+    assert {r.domain: r.ip for r in files.attach_ip(domains, files.read_dns_cache(spark, str(tmp_path / "dns"))).collect()} == {"a.test": "10.0.0.1", "b.test": None, "c.test": None}
+    for name, info, label, shot in (("s1", " https://www.A.test:8/x\n", "phish\n", True), ("s2", "https://b.test/", None, True), ("s3", "https://c.test/", "benign", False), ("s4", None, None, True)):
+        folder = tmp_path / "sites" / name
+        folder.mkdir(parents=True)
+        for file, text in (("info.txt", info), ("label.txt", label), ("shot.png", "x" if shot else None)):
+            if text is not None:
+                (folder / file).write_text(text)
+    sites = {r.name: (r.url, r.label, r.domain) for r in files.read_sites(spark, str(tmp_path / "sites")).collect()}
+    assert sites == {"s1": ("https://www.A.test:8/x", "phish", "a.test"), "s2": ("https://b.test/", "unknown", "b.test"), "s4": ("", "unknown", "")}
+    rows = spark.createDataFrame([("u", "phish", "phish", 0.123456), ("v", "benign", "benign", 0.5)], "url string, label string, prediction string, score double")
+    for _ in range(2):
+        files.hits_sink(rows, str(tmp_path / "hits"), 0)  # a batch that is tried again
+    files.hits_sink(rows, str(tmp_path / "hits"), 1)
+    assert [(r.url, r.batch) for r in spark.read.parquet(str(tmp_path / "hits")).orderBy("batch").collect()] == [("u", 0), ("u", 1)]
+    files.write_predictions(rows, str(tmp_path / "out"))
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()} == {("u", "phish", "phish", "0.1235"), ("v", "benign", "benign", "0.5000")}
+    files.write_metric_table(spark.createDataFrame([("rows", 2.0, 1)], "metric string, value double, other int"), str(tmp_path / "metrics"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "metrics"), header=True).collect()] == [("rows", "2.0")]
+    pages = spark.createDataFrame([("k", "<p>")], "page_key string, html string")
+    files.write_page_cache(pages, str(tmp_path / "pages"))
+    assert spark.read.parquet(str(tmp_path / "pages")).collect() == pages.collect()
+
+
 def test_samples_and_metrics(spark):
     rows = spark.range(100).selectExpr("id", "if(id < 90, 'benign', 'phish') as label")
     picked = {r.label: r.n for r in evaluate.balanced_subsample(rows, 20, "id").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -156,9 +227,10 @@ def test_file_sources(spark, tmp_path):
     assert set(cache) == {"k1", "k2", "k4"} and len(cache["k1"].requests) == 1 and cache["k2"].requests == [] and cache["k4"].storage_ops == []
     ops = files.redact_traces(files.read_page_cache(spark, str(tmp_path / "cache"))).where("page_key = 'k1'").first().storage_ops
     assert "stack" not in ops[0].asDict()
-    (tmp_path / "p.tsv").write_text("https://a.test/\t1\t0.9\nhttps://b.test/\t-1\t0.1\n")
-    found = files.match_predictions(spark.createDataFrame([("https://a.test/",), ("https://z.test/",)], "url string"), files.read_predictions(spark, str(tmp_path / "p.tsv"), "tsv"))
-    assert {(r.url, r.prediction, r.score) for r in found.collect()} == {("https://a.test/", "phish", 0.9), ("https://z.test/", "unknown", 0.0)}
+    for k in range(2):  # the last row holds over several files
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"{k}.csv").write_text(f"url,verification_time\nhttps://a.test/,2024-01-0{k + 4}T00:00:00Z\n")
+    assert [r.first_seen.day for r in files.read_timed_feed(spark, str(tmp_path / "many"), "2024-01-09T00:00:00Z").collect()] == [5]
     ledger = spark.createDataFrame([("a", "ok"), ("b", "fail")], "url string, status string")
     wanted = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)], "url string, pos int")
     assert [r.url for r in tables.ledger_pending(wanted, ledger, cap=3).collect()] == ["e", "d"]

@@ -36,3 +36,46 @@ def test_detection_job_equals_the_batch(spark, tmp_path):
 def test_windows(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:10:00",), ("2024-01-01 00:50:00",), ("2024-01-01 01:10:00",)], "t string").select(F.to_timestamp("t").alias("ts"))
     assert sorted(r.n for r in detect.windowed_counts(rows).collect()) == [1, 2]
+
+
+def test_snapshot_outlives_a_failing_feed(spark, tmp_path):
+    """A read that fails, at once or when it is run, leaves the last copy; it is read anew only when it is old."""
+    path = str(tmp_path / "feed")
+    feed = spark.createDataFrame([("gsb", "u")], "source string, url string")
+    feed.write.parquet(path)
+    now = [0.0]
+    calls = []
+
+    def feeds_of():
+        calls.append(now[0])
+        if now[0] >= 200:
+            raise OSError("no feed")
+        return spark.read.schema(feed.schema).parquet(path)  # lazy
+
+    snapshot = detect.FeedSnapshot(feeds_of, 100, lambda: now[0])
+    assert snapshot.current().count() == 1
+    now[0] = 99
+    snapshot.current()
+    assert calls == [0.0]
+    for file in (tmp_path / "feed").glob("*.parquet"):
+        file.write_bytes(b"broken")
+    for now[0] in (100, 200, 300):
+        assert snapshot.current().count() == 1
+    assert calls == [0.0, 100, 200, 300]
+
+
+def test_rate_limit_and_deadline(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"ts": f"2024-01-01T00:0{k}:00Z", "value": message(f"d{k}.test")}))
+    schema = "ts timestamp, value string"
+    sizes = []
+    limited = detect.message_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    query = limited.writeStream.foreachBatch(lambda batch, _: sizes.append(batch.count())).option("checkpointLocation", str(tmp_path / "s1")).trigger(availableNow=True).start()
+    assert detect.run_until(query, 60) and sizes == [1, 1, 1]
+    cache = spark.createDataFrame([("https://d0.test/", "<p>")], "url string, html string")
+    feed = spark.createDataFrame([], "source string, url string, first_seen timestamp")
+    found = detect.cert_candidates(detect.message_stream(spark, str(tmp_path / "in"), schema), "ts")
+    job = detect.run_detection(found, lambda: cache, lambda p: p.withColumn("score", F.lit(1.0)), lambda: feed, str(tmp_path / "hits"), str(tmp_path / "s2"), interval="1 second")
+    assert not detect.run_until(job, 15) and not job.isActive
+    assert [r.url for r in spark.read.parquet(str(tmp_path / "hits")).collect()] == ["https://d0.test/"]
