@@ -42,9 +42,13 @@ def registered_domain(name: Column) -> Column:
     Suffixes: the bundled two-level ones, else the last label; IPv4 addresses stay whole.
     """
     two = "|".join(s.replace(".", r"\.") for s in C.TWO_LEVEL_SUFFIXES)
-    plain = F.regexp_replace(F.lower(name), r":\d*$", "")
-    long, short = F.regexp_extract(plain, rf"([^.]+\.(?:{two}))$", 1), F.regexp_extract(plain, r"([^.]+\.[^.]+)$", 1)
-    return F.when(plain.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), plain).otherwise(F.coalesce(F.nullif(long, F.lit("")), F.nullif(short, F.lit("")), plain))
+
+    def found(plain: Column) -> Column:
+        long, short = F.regexp_extract(plain, rf"([^.]+\.(?:{two}))$", 1), F.regexp_extract(plain, r"([^.]+\.[^.]+)$", 1)
+        return F.when(plain.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), plain).otherwise(F.coalesce(F.nullif(long, F.lit("")), F.nullif(short, F.lit("")), plain))
+
+    # As the only element of an array, so that the plain name is worked out once and not written out five times.
+    return F.get(F.transform(F.array(F.regexp_replace(F.lower(name), r":\d*$", "")), found), F.lit(0))
 
 
 def url_key(url: Column) -> Column:

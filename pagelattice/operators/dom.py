@@ -7,11 +7,16 @@ of p, li, dt, dd, tr, td, th and option.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice import constants as C
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("title meta link base script style noscript template".split())
 ENDS_P = frozenset(
@@ -20,7 +25,15 @@ ENDS_P = frozenset(
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KEEPS = frozenset("table ul ol dl select div form section td th".split())  # automatic ends do not reach beyond these
 KEPT = ("id", "src", "href", "action", "class", "alt", "title", "rel", "type")
-SCHEMA = "page_id long, seq int, parent int, depth int, tag string, " + ", ".join(f"{k} string" for k in KEPT) + ", has_event_handler boolean, own_text string, text_start int, text_end int, page_text string, spaced_text string"
+#: Word groups that elements are searched for, by the name of their flag.
+WORD_GROUPS = {"has_credential": C.CREDENTIAL_WORDS, "has_urgency": C.URGENCY_WORDS, "has_brand": C.BRAND_WORDS, "has_action": C.ACTION_WORDS}
+SCHEMA = (
+    "page_id long, seq int, parent int, depth int, tag string, "
+    + ", ".join(f"{k} string" for k in KEPT)
+    + ", has_event_handler boolean, own_text string, "
+    + ", ".join(f"{k} boolean" for k in WORD_GROUPS)
+    + ", spaced_text string"
+)
 
 
 class Tree(HTMLParser):
@@ -121,29 +134,72 @@ def parse(page: str) -> tuple[list[dict], list[str]]:
     return tree.rows, tree.pieces
 
 
+class WordGroup:
+    """Whether parts of a text hold a word of a group: one scan of the text, then a search for each part."""
+
+    def __init__(self, words):
+        by_length = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (len(w), w)))
+        self.starts_with = re.compile(f"(?=({by_length}))")  # at each place the shortest word
+
+    def scan(self, text: str):
+        """A test for parts (start, end): of the hits at or after the start, one ends by the end."""
+        starts, ends = [], []
+        for hit in self.starts_with.finditer(text):
+            starts.append(hit.start())
+            ends.append(hit.end(1))
+        for k in range(len(ends) - 2, -1, -1):
+            ends[k] = min(ends[k], ends[k + 1])
+
+        def holds(start: int, end: int) -> bool:
+            k = bisect_left(starts, start)
+            return k < len(ends) and ends[k] <= end
+
+        return holds
+
+
 def dom_nodes(pages: DataFrame) -> DataFrame:
-    """Elements of each page with html; ``page_text`` and ``spaced_text`` (lower case) on the root row.
+    """Elements of each page with html; ``spaced_text`` (lower case) on the root row.
 
-    ``own_text`` is the raw text of scripts and styles, which counts in no other element.
+    The flags of ``WORD_GROUPS`` tell whether an element's part of the page's text (stripped pieces put together, lower case)
+    holds a word of the group. ``own_text`` is the raw text of scripts and styles, which counts in no other element.
     """
+    names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    types = [kinds[f.split(" ")[1]] for f in SCHEMA.split(", ")]
 
     def scan(batches):
-        import pandas as pd
+        groups = {name: WordGroup(words) for name, words in WORD_GROUPS.items()}
+        columns = {name: [] for name in names}
+
+        def made():
+            batch = pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in zip(names, types, strict=True)], names)
+            for values in columns.values():
+                values.clear()
+            return batch
 
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
-        for frame in batches:
-            for page_id, html in zip(frame["page_id"], frame["html"], strict=True):
+        for batch in batches:
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 rows, pieces = parse(html)
-                if not rows:
-                    continue
-                made = pd.DataFrame(rows)
-                made["page_id"] = page_id
-                made["parent"] = made["parent"].astype("Int32")
-                made["own_text"] = ["".join(x) if x else None for x in made["own"]]
-                made["page_text"] = made["spaced_text"] = None
-                made["page_text"] = made["page_text"].astype(object)
-                made["spaced_text"] = made["spaced_text"].astype(object)
-                made.at[0, "page_text"], made.at[0, "spaced_text"] = "".join(pieces).lower(), " ".join(pieces).lower()
-                yield made[names]
-
-    return pages.where(F.coalesce("html", F.lit("")) != "").select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(scan, SCHEMA)
+                text = "".join(pieces)
+                lower = text.lower()
+                if len(lower) != len(text):  # a letter whose lower case is longer would move what follows
+                    lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+                holds = {name: group.scan(lower) for name, group in groups.items()}
+                for row in rows:
+                    own = "".join(row["own"]) or None
+                    raw = row["tag"] in ("script", "style")
+                    for name in names:
+                        if name in groups:
+                            value = bool(own and groups[name].starts_with.search(own.lower())) or (not raw and holds[name](row["text_start"], row["text_end"]))
+                        elif name == "own_text":
+                            value = own
+                        elif name == "spaced_text":
+                            value = " ".join(pieces).lower() if row["seq"] == 0 else None
+                        else:
+                            value = page_id if name == "page_id" else row[name]
+                        columns[name].append(value)
+                if len(columns["seq"]) > 5000:
+                    yield made()
+        yield made()
+
+    return pages.where(F.coalesce("html", F.lit("")) != "").select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(scan, SCHEMA)

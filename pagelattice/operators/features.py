@@ -18,53 +18,20 @@ def _any(words) -> str:
     return "(" + "|".join(w.replace("-", r"\-") for w in words) + ")"
 
 
-def keyword_hits(texts: DataFrame, words: tuple[str, ...], column: str = "page_text") -> DataFrame:
-    """(page_id, start, end) of every occurrence of every word in a page's text, overlaps included."""
-    found = []
-    for word in words:
-        at = F.expr(f"filter(transform(sequence(1, greatest(1, length({column}))), i -> if(substring({column}, i, {len(word)}) = '{word}', i - 1, -1)), i -> i >= 0)")
-        found.append(F.when(F.contains(F.col(column), F.lit(word)), F.transform(at, _span(len(word)))))
-    hits = F.flatten(F.array_compact(F.array(*found)))
-    return texts.select("page_id", F.explode(hits).alias("h")).select("page_id", "h.start", "h.end").distinct()
-
-
-def _span(n: int):
-    return lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end"))
-
-
-def elements_with(dom: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """(page_id, seq, depth, tag) of the elements whose text holds a word.
-
-    Words are found once in each page's text; a hit belongs to the elements whose part of the text contains
-    it. Scripts and styles hold only their own text.
-    """
-    hits = keyword_hits(dom.where("seq = 0").select("page_id", "page_text"), words)
-    spans = dom.where("tag not in ('script', 'style')").select("page_id", "seq", "depth", "tag", "text_start", "text_end")
-    inside = spans.join(hits, "page_id").where("start >= text_start and end <= text_end").select("page_id", "seq", "depth", "tag").distinct()
-    own = dom.where(F.lower("own_text").rlike(_any(words))).select("page_id", "seq", "depth", "tag")
-    return inside.unionByName(own)
-
-
 def text_cues(dom: DataFrame, pages: DataFrame) -> DataFrame:
-    """Features that need element texts: one row a page with elements."""
-    per_page = lambda df, **aggs: df.groupBy("page_id").agg(*[v.alias(k) for k, v in aggs.items()])
-    n, one = F.count(F.lit(1)), F.lit(1)
-    sizes = per_page(dom, tags_n=n, forms_n=F.count_if(F.col("tag") == "form"))
-    credential = per_page(elements_with(dom, C.CREDENTIAL_WORDS), credential_keyword_depth=F.bround(F.avg("depth"), 2))
-    urgent = per_page(elements_with(dom, C.URGENCY_WORDS), urgent_n=n)
-    labelled = dom.where(F.lower(F.concat_ws(" ", "alt", "title")).rlike(_any(C.BRAND_WORDS))).select("page_id", "seq")
-    branded = per_page(elements_with(dom, C.BRAND_WORDS).select("page_id", "seq").unionByName(labelled).distinct(), brand_n=n)
-    acting = per_page(elements_with(dom, C.ACTION_WORDS).where("tag = 'form'"), action_n=n)
-    roots = dom.where("seq = 0").join(pages.select("page_id", F.lower("domain").alias("d")), "page_id")
+    """Features that need element texts, from the flags of the element table: one aggregate, one row a page with elements."""
+    labelled = F.lower(F.concat_ws(" ", "alt", "title")).rlike(_any(C.BRAND_WORDS))
+    counted = dom.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("tags_n"), F.count_if(F.col("tag") == "form").alias("forms_n"), F.avg(F.when(F.col("has_credential"), F.col("depth"))).alias("credential_depth"),
+        F.count_if("has_urgency").alias("urgent_n"), F.count_if(F.col("has_brand") | labelled).alias("brand_n"), F.count_if(F.col("has_action") & (F.col("tag") == "form")).alias("action_n"),
+        F.max("spaced_text").alias("spaced_text"),
+    )
+    joined = counted.join(pages.select("page_id", F.lower("domain").alias("d")), "page_id")
     in_text = reduce(lambda a, b: a | b, [F.contains("spaced_text", F.lit(w)) & ~F.contains("d", F.lit(w)) for w in C.BRAND_WORDS])
-    in_text = roots.select("page_id", in_text.cast("int").alias("brand_in_text_not_domain"))
-    joined = sizes
-    for part in (credential, urgent, branded, acting, in_text):
-        joined = joined.join(part, "page_id", "left")
-    ratio = lambda a, b: F.bround(F.coalesce(F.col(a), F.lit(0)) / F.greatest(F.col(b), one), 4)
+    ratio = lambda a, b: F.bround(F.coalesce(F.col(a), F.lit(0)) / F.greatest(F.col(b), F.lit(1)), 4)
     return joined.select(
-        "page_id", F.coalesce("credential_keyword_depth", F.lit(0.0)).alias("credential_keyword_depth"), ratio("brand_n", "tags_n").alias("brand_keyword_in_nodes"),
-        F.coalesce("brand_in_text_not_domain", F.lit(0)).alias("brand_in_text_not_domain"), ratio("urgent_n", "tags_n").alias("urgency_keyword_ratio"),
+        "page_id", F.coalesce(F.bround("credential_depth", 2), F.lit(0.0)).alias("credential_keyword_depth"), ratio("brand_n", "tags_n").alias("brand_keyword_in_nodes"),
+        F.coalesce(in_text.cast("int"), F.lit(0)).alias("brand_in_text_not_domain"), ratio("urgent_n", "tags_n").alias("urgency_keyword_ratio"),
         ratio("action_n", "forms_n").alias("action_keyword_in_form"),
     )
 

@@ -30,9 +30,8 @@ def _labels(spark, sf_dir):
     return _urls(spark, sf_dir).join(labels, "page_id").select(F.col("url").alias("id"), "label")
 
 
-def _weighted(spark, sf_dir):
+def _with_similarity(edges):
     """Edges with a similarity that is a plain expression of the ends."""
-    _, edges = _graph(spark, sf_dir)
     return edges.withColumn("sim", F.expr("(length(src) * 7 + length(dst) * 3) % 100 / 100.0D"))
 
 
@@ -65,24 +64,31 @@ def init_beliefs(spark, sf_dir):
     return found.withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("unknown")))
 
 
+def _prepared(spark, sf_dir):
+    """Weighted edges and beliefs, each written once: a sweep reads them several times."""
+    vertices, edges = _graph(spark, sf_dir)
+    return cut(_with_similarity(edges), "edges"), cut(propagation.init_beliefs(vertices, _labels(spark, sf_dir)), "beliefs")
+
+
 def bp_one_step(spark, sf_dir):
-    beliefs = propagation.init_beliefs(_graph(spark, sf_dir)[0], _labels(spark, sf_dir))
-    stepped = propagation.bp_step(propagation.initial_messages(_weighted(spark, sf_dir), beliefs), beliefs)
+    edges, beliefs = _prepared(spark, sf_dir)
+    stepped = propagation.bp_step(cut(propagation.initial_messages(edges, beliefs), "messages"), beliefs)
     return stepped.select("src", "dst", F.round("m0", 6).alias("m0"), F.round("m1", 6).alias("m1"))
 
 
 def bpe_score(spark, sf_dir):
-    beliefs = propagation.init_beliefs(_graph(spark, sf_dir)[0], _labels(spark, sf_dir))
-    messages = propagation.bp_step(propagation.initial_messages(_weighted(spark, sf_dir), beliefs), beliefs)
-    return propagation.bp_score(propagation.marginals(messages, beliefs)).select("id", F.round("score", 5).alias("score"))
+    edges, beliefs = _prepared(spark, sf_dir)
+    return propagation.bp_score(propagation.bp_run(edges, beliefs, sweeps=1)).select("id", F.round("score", 5).alias("score"))
 
 
 def bp_run(spark, sf_dir):
-    return propagation.bp_run(_weighted(spark, sf_dir), propagation.init_beliefs(_graph(spark, sf_dir)[0], _labels(spark, sf_dir)))
+    edges, beliefs = _prepared(spark, sf_dir)
+    return propagation.bp_run(edges, beliefs).select("id", F.round("cost0", 5).alias("cost0"), F.round("cost1", 5).alias("cost1"), "map_label")
 
 
 def lbp_run(spark, sf_dir):
-    return propagation.lbp_score(propagation.lbp_run(_weighted(spark, sf_dir), propagation.init_beliefs(_graph(spark, sf_dir)[0], _labels(spark, sf_dir))))
+    edges, beliefs = _prepared(spark, sf_dir)
+    return propagation.lbp_score(propagation.lbp_run(edges, beliefs)).select("id", F.round("score", 5).alias("score"))
 
 
 def _items(spark, sf_dir):

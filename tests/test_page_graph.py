@@ -1,6 +1,6 @@
 from pagelattice import constants as C
 from pagelattice.operators import dom
-from pagelattice.operators.features import elements_with, feature_row
+from pagelattice.operators.features import feature_row
 from pagelattice.operators.page_graph import REDIRECT_TYPE, REQUEST_TYPE, STORAGE_TYPE, build_page_graph
 
 LOGIN = """<html><head><title>Log in</title><link rel="icon" href="https://cdn.other.test/i.ico"></head><body><nav><a href="#">Home</a></nav>
@@ -37,7 +37,7 @@ def test_dom_recovery():
 
 def test_keywords_may_straddle_children(spark):
     df = spark.createDataFrame([(1, "u", "<div><p>pass</p><p>word</p></div><p>other</p><script>login</script>")], "page_id long, url string, html string")
-    found = {(r.tag, r.seq) for r in elements_with(dom.dom_nodes(df), C.CREDENTIAL_WORDS).collect()}
+    found = {(r.tag, r.seq) for r in dom.dom_nodes(df).where("has_credential").collect()}
     assert {t for t, _ in found} == {"html", "body", "div", "script"}
 
 
