@@ -60,6 +60,12 @@ def short_hash(url: Column, n: int) -> Column:
     return F.substring(F.md5(url), 1, n)
 
 
+def hash_draw(*parts: Column) -> Column:
+    """A whole number below 2^32, fixed by the parts: the first eight hex digits of their MD5."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def url_tokens(url: Column) -> Column:
     """Lower-case tokens of over two characters that are no stop words."""
     pieces = F.filter(F.split(url, r"[./\-_?=&%#@:]+"), lambda t: F.length(t) > 2)

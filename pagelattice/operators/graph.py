@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.functions.urls import hash_draw
 from pagelattice.tables import cut
 
 
@@ -165,7 +166,7 @@ def random_walks(edges: DataFrame, nodes: DataFrame, num: int = 10, length: int
     near = cut(both_ways(edges).groupBy("g", F.col("u").alias("tail")).agg(F.sort_array(F.collect_list("v")).alias("near")), "near")
     walks = nodes.select("g", F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("walk_no")).withColumn("tail", F.col("start")).withColumn("walk", F.array("start"))
     for step in range(1, length):
-        picked = F.col("near")[F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "start", "walk_no"), F.size("near")).cast("int")]
+        picked = F.col("near")[F.pmod(hash_draw(F.lit(seed), F.lit(step), F.col("start"), F.col("walk_no")), F.size("near")).cast("int")]
         walks = walks.join(near, ["g", "tail"], "left").withColumn("next", picked)
         walks = walks.select("g", "start", "walk_no", F.coalesce("next", "tail").alias("tail"), F.when(F.col("next").isNotNull(), F.concat("walk", F.array("next"))).otherwise(F.col("walk")).alias("walk"))
         if step % 8 == 0:

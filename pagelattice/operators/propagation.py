@@ -92,9 +92,12 @@ def bp_step(messages: DataFrame, beliefs: DataFrame, table: str = "table3", low:
 
 
 def marginals(messages: DataFrame, beliefs: DataFrame) -> DataFrame:
-    """(id, label, cost0, cost1, map_label): costs with all messages; ties are benign."""
+    """(id, label, cost0, cost1, map_label): costs with all messages; ties are benign.
+
+    Costs have nine decimals, so that the order in which messages are summed decides no tie.
+    """
     joined = beliefs.join(sums_of(messages), "id", "left")
-    cost = [F.col(f"c{k}") + F.coalesce(f"s{k}", F.lit(0.0)) for k in (0, 1)]
+    cost = [F.round(F.col(f"c{k}") + F.coalesce(f"s{k}", F.lit(0.0)), 9) for k in (0, 1)]
     return joined.select("id", "label", cost[0].alias("cost0"), cost[1].alias("cost1"), F.when(cost[1] < cost[0], 1).otherwise(0).alias("map_label"))
 
 

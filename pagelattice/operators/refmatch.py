@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelattice.functions.urls import hash_draw
+
 
 def reference_list(items: DataFrame) -> DataFrame:
     """(brand, members, n) of benign items (key, brand, label) with a brand."""
@@ -29,7 +31,7 @@ def contrastive_pairs(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
     ranked = items.join(brands, "brand").withColumn("rank", F.row_number().over(Window.partitionBy("brand").orderBy("key")) - 1)
     sizes = ranked.groupBy("b_rank").agg(F.count(F.lit(1)).alias("size"))
     half = min(n, 2000, 50 * n_brands) // 2
-    draw = lambda what: F.xxhash64(F.lit(seed), F.lit(what), F.col("slot"))
+    draw = lambda what: hash_draw(F.lit(seed), F.lit(what), F.col("slot"))
     slots = items.sparkSession.range(2 * half).withColumnRenamed("id", "slot").withColumn("y", (F.col("slot") >= half).cast("int"))
     first = F.pmod(draw("a"), F.lit(n_brands))
     step = 1 + F.pmod(draw("b"), F.lit(max(1, n_brands - 1)))

@@ -108,7 +108,7 @@ def backfill_clean(spark, sf_dir):
 
 
 def combo_url_html(spark, sf_dir):
-    return perturb.combine(decorated_pages(spark, sf_dir), ("A1_url_shortener", 1), ("A4_html_invisible_link", 1)).select("page_id", "attack", "variant", "url", F.md5("html").alias("html_md5"))
+    return perturb.combine(decorated_pages(spark, sf_dir), ("A1_url_shortener", 1), ("A7_html_input_obfuscate", 1)).select("page_id", "attack", "variant", "url", F.md5("html").alias("html_md5"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +247,20 @@ def _filler(v: int) -> str:
     return f"md5({_before('(' + first + ')', 'head', head) if head else first})"
 
 
+def _inputs(v: int) -> str:
+    """Input rewriting by patterns over the whole page."""
+    secret = r"""(?i)(<input\b[^>]*?\stype\s*=\s*)["'']?password["'']?"""
+    if v in (1, 2, 3):
+        to = {1: '"text"', 2: '"email"', 3: '"text" data-role="password"'}[v]
+        return f"regexp_replace(html, '{secret}', '\\1{to}', 'g')"
+    if v == 4:
+        return r"regexp_replace(html, '(?i)</?form\b[^>]*>', '', 'g')"
+    if v == 5:
+        name = r"""regexp_replace(html, '(?i)(<input\b[^>]*?\sname\s*=\s*)"[^">]*(password|passwd|pwd)[^">]*"', '\1"pw"', 'g')"""
+        return rf"""regexp_replace({name}, '(?i)(<form\b[^>]*?\saction\s*=\s*)"https?://[^"]*"', '\1"/submit"', 'g')"""
+    return rf"""regexp_replace(html, '{secret.replace(")[", ")([", 1).removesuffix("?")}?[^>]*?)\s*/?>', '\1\2 style="display:none"><input type="text" placeholder="Enter password" aria-hidden="true">', 'g')"""
+
+
 _SHORT = lambda v: f"concat(coalesce(nullif(lower(s), ''), 'http'), '://{perturb.SHORTENERS[v - 1][0]}/', substring(md5(url), 1, {perturb.SHORTENERS[v - 1][1]}))"
 _COMBO = lambda v: f"concat(lower(s), '://', n, '{perturb.COMBOSQUATS[v - 1][1]}', coalesce(nullif(p, ''), '/'), r)" if v <= 3 else f"concat(lower(s), '://{perturb.COMBOSQUATS[v - 1][1]}.', n, p, r)"
 _TLD = lambda v: f"concat(lower(s), '://', CASE WHEN contains(split_part(n, ':', 1), '.') THEN regexp_replace(split_part(n, ':', 1), '\\.[^.]*$', '.{perturb.TLDS[v - 1]}') ELSE concat(split_part(n, ':', 1), '.{perturb.TLDS[v - 1]}') END, regexp_extract(n, '^[^:]*(:.+)$', 1), p, r)"
@@ -280,9 +294,10 @@ ORACLE = {
     "perturb_tld": _six(_TLD),
     "perturb_anchors": _six(lambda v: f"md5({_before('html', 'body', perturb.anchor_snippet(*perturb.ANCHORS[v - 1]))})"),
     "perturb_filler": _six(_filler),
+    "perturb_inputs": _six(lambda v: f"md5({_inputs(v)})"),
     "perturb_benign": _six(lambda v: f"md5({_before('html', 'body', perturb.benign_snippet(v))})"),
     "backfill_clean": f"WITH {DECORATED_SQL} SELECT page_id, page_id % 3 = 1 OR page_id % 4 = 0 AS backfilled, md5(CASE WHEN page_id % 3 = 1 OR page_id % 4 = 0 THEN html ELSE concat(html, 'x') END) AS html_md5 FROM decorated",
-    "combo_url_html": f"""{_WITH} SELECT page_id, 'combo_URL_HTML' AS attack, 'A1v1+A4v1' AS variant, concat(coalesce(nullif(lower(s), ''), 'http'), '://bit.ly/', substring(md5(url), 1, 8)) AS url, md5({_before('html', 'body', perturb.anchor_snippet(*perturb.ANCHORS[0]))}) AS html_md5 FROM parts""",
+    "combo_url_html": f"""{_WITH} SELECT page_id, 'combo_URL_HTML' AS attack, 'A1v1+A7v1' AS variant, concat(coalesce(nullif(lower(s), ''), 'http'), '://bit.ly/', substring(md5(url), 1, 8)) AS url, md5({_inputs(1)}) AS html_md5 FROM parts""",
     "any_evaded": f"WITH {_SCORES} SELECT attack, url, evaded FROM evaded",
     "surface_asr": f"WITH {_SCORES} SELECT surface, count(DISTINCT url) FILTER (evaded) AS evaded_urls, round_even(count(DISTINCT url) FILTER (evaded) / any_value(total), 4) AS asr FROM surfaced, total GROUP BY surface",
     "robustness_table": f"WITH {_SCORES} " + " UNION ALL ".join(f"SELECT '{'+'.join(c)}' AS surfaces, {len(c)} AS size, count(DISTINCT url) AS evaded_urls, round_even(count(DISTINCT url) / any_value(total), 4) AS asr FROM surfaced, total WHERE evaded AND surface IN ({', '.join(_quote(x) for x in c)})" for c in robustness.COMBINATIONS),

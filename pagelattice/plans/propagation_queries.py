@@ -192,4 +192,43 @@ ORACLE = {
         SELECT count(*) AS pairs, round(avg((1 - y) * d * d / 2 + y * greatest(0, 1 - d) * greatest(0, 1 - d) / 2), 6) AS loss FROM p""",
     "crp_pairs": "SELECT CAST(doc_id AS VARCHAR) AS url, CAST(coalesce(CASE WHEN doc_id % 3 = 0 THEN toxic = 1 END, quality = 0) AS INT) AS y FROM labels",
 }
-QUERIES = {n: globals()[n] for n in (*ORACLE, "bp_run", "lbp_run", "contrastive_pairs", "feature_row", "model_scores", "cert_stream")}
+
+
+def _sweep(k: int, fixed: bool, same: str, other: str, tol: float | None = None) -> str:
+    """SQL of the messages m<k> after one more sweep over m<k - 1>. ``fixed``: labelled senders' messages stay, else they
+    send their prior; with ``tol`` a sweep after one that moved no message by as much changes nothing."""
+    new = "least(h{0} + {1}, h{2} + {3})"
+    m0, m1 = new.format(0, same, 1, other), f"least(h0 + {other}, h1 + {same})"
+    held = [f"m.c{n} + coalesce(s.s{n}, 0) - coalesce(b.m{n}, 0)" for n in (0, 1)]
+    if fixed:
+        m0, m1, moved = f"CASE WHEN sl IS NOT NULL THEN m0 ELSE {m0} END", f"CASE WHEN sl IS NOT NULL THEN m1 ELSE {m1} END", "true"
+    else:
+        held = [f"m.c{n} + CASE WHEN m.sl IS NULL THEN coalesce(s.s{n}, 0) - coalesce(b.m{n}, 0) ELSE 0 END" for n in (0, 1)]
+        m0, m1 = f"round({m0}, 10)", f"round({m1}, 10)"
+        moved = f"greatest(abs({m0} - m0), abs({m1} - m1)) >= {tol}"
+        m0, m1 = f"CASE WHEN go THEN {m0} ELSE m0 END", f"CASE WHEN go THEN {m1} ELSE m1 END"
+    return f"""
+    s{k} AS MATERIALIZED (SELECT dst AS id, sum(m0) AS s0, sum(m1) AS s1 FROM m{k - 1} GROUP BY dst),
+    m{k} AS MATERIALIZED (SELECT src, dst, sim, sl, c0, c1, {m0} AS m0, {m1} AS m1, go AND {moved} AS moved FROM (
+      SELECT m.*, {held[0]} AS h0, {held[1]} AS h1, (SELECT bool_or(moved) FROM m{k - 1}) AS go
+      FROM m{k - 1} m LEFT JOIN s{k} s ON s.id = m.src LEFT JOIN m{k - 1} b ON b.src = m.dst AND b.dst = m.src))"""
+
+
+_BP = f"{_LINKS}, m0 AS MATERIALIZED (SELECT src, dst, sim, sl, c0, c1, m0, m1, true AS moved FROM msg), " + ", ".join(_sweep(k, True, "least(0.7, 1 - sim)", "greatest(0.7, sim)") for k in range(1, 6))
+_LBP = f"""{_LINKS}, prior AS (SELECT id, label, CASE label WHEN 1 THEN 1 WHEN 0 THEN 0 ELSE 0.5 END::DOUBLE AS c0, CASE label WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 0.5 END::DOUBLE AS c1 FROM beliefs),
+    m0 AS MATERIALIZED (SELECT m.src, m.dst, m.sim, m.sl, p.c0, p.c1, 0::DOUBLE AS m0, 0::DOUBLE AS m1, true AS moved FROM msg m JOIN prior p ON p.id = m.src), """ + ", ".join(_sweep(k, False, "least(0.6, 1 - sim)", "greatest(1.0, sim)", 0.001) for k in range(1, 7))
+_COSTS = "costs AS (SELECT id, round(c0 + coalesce(s0, 0), 9) AS k0, round(c1 + coalesce(s1, 0), 9) AS k1 FROM {0} LEFT JOIN (SELECT dst AS id, sum(m0) AS s0, sum(m1) AS s1 FROM {1} GROUP BY dst) USING (id))"
+ORACLE["bp_run"] = f"{_BP}, {_COSTS.format('beliefs', 'm5')} SELECT id, round(k0, 5) AS cost0, round(k1, 5) AS cost1, CAST(k1 < k0 AS INT) AS map_label FROM costs"
+ORACLE["lbp_run"] = f"{_LBP}, {_COSTS.format('prior', 'm6')} SELECT id, round(CASE WHEN k0 + k1 > 0 THEN 1 - k1 / (k0 + k1) ELSE 0.5 END, 5) AS score FROM costs"
+_DRAW = "CAST(concat('0x', substring(md5(concat_ws(':', 42, '{0}', slot)), 1, 8)) AS BIGINT)"
+ORACLE["contrastive_pairs"] = f"""WITH {_ITEMS}, ranks AS (SELECT key, dense_rank() OVER (ORDER BY brand) - 1 AS b, row_number() OVER (PARTITION BY brand ORDER BY key) - 1 AS r FROM items),
+    sizes AS (SELECT b, count(*) AS n FROM ranks GROUP BY b), brands AS (SELECT count(*) AS n FROM sizes), half AS (SELECT least(400, 2000, 50 * n) // 2 AS half FROM brands),
+    slots AS (SELECT unnest(range(2 * half)) AS slot, half FROM half),
+    drawn AS (SELECT slot, CAST(slot >= half AS INT) AS y, {_DRAW.format("a")} % n AS ab, ({_DRAW.format("a")} % n + 1 + {_DRAW.format("b")} % greatest(1, n - 1)) % n AS other FROM slots, brands),
+    sided AS (SELECT slot, y, ab, CASE WHEN y = 0 THEN ab ELSE other END AS bb FROM drawn),
+    placed AS (SELECT slot, y, ab, bb, {_DRAW.format("x")} % sa.n AS ar,
+      CASE WHEN y = 1 THEN {_DRAW.format("w")} % sb.n WHEN sa.n > 1 THEN ({_DRAW.format("x")} % sa.n + 1 + {_DRAW.format("z")} % greatest(sa.n - 1, 1)) % sa.n ELSE 0 END AS br
+      FROM sided JOIN sizes sa ON sa.b = ab JOIN sizes sb ON sb.b = bb)
+    SELECT slot, p.key AS a, q.key AS b, y FROM placed JOIN ranks p ON p.b = ab AND p.r = ar JOIN ranks q ON q.b = bb AND q.r = br"""
+ORACLE["cert_stream"] = "SELECT DISTINCT concat('u', user_id, '.test') AS domain, concat('https://u', user_id, '.test/') AS url FROM events WHERE event_type <> 'click'"
+QUERIES = {n: globals()[n] for n in (*ORACLE, "feature_row", "model_scores")}
