@@ -70,5 +70,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op6_minhash": minhash.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }

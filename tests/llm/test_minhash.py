@@ -66,6 +66,28 @@ def test_copies_of_a_missing_original(spark):
     assert [rows[k].component_id for k in range(24)] == [c for _, c in brute(texts)]
 
 
+def test_groups_that_share_buckets_but_are_not_alike(spark, monkeypatch):
+    """Two groups of copies around one passage, single texts with it, and hot buckets dealt over many tasks."""
+    monkeypatch.setattr(minhash, "MOST_IN_TASK", 3)
+    monkeypatch.setattr(minhash, "PARTNERS", 2)
+    rnd = random.Random(9)
+    passage = [f"p{k}" for k in range(130)]
+    texts = []
+    for group in range(2):
+        own = [f"g{group}w{k}" for k in range(50)]
+        for k in range(14):
+            copy = passage + own
+            for at in rnd.sample(range(len(copy)), 2):
+                copy[at] = f"x{group}.{k}.{at}"
+            texts.append(" ".join(copy))
+    texts += [" ".join(passage + [f"s{n}.{k}" for k in range(60)]) for n in range(12)]
+    rnd.shuffle(texts)
+    rows = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    want = brute(texts)
+    assert [(rows[k].n_shingles, rows[k].component_id) for k in range(len(texts))] == want
+    assert len({c for _, c in want}) == 14
+
+
 def test_odd_sketch_never_excludes_a_link():
     rnd = np.random.default_rng(4)
     probes = minhash.probe_sequences(225)
