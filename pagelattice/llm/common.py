@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -32,14 +34,48 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: For each open ``scratch``, the tables that were cut inside it.
+_WRITTEN: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``cut`` has written, through Spark's file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[DataFrame, str]]]:
+    """Yields ``keep``, a ``cut`` that also returns the path. All other tables cut inside are removed at the end, so
+    nothing may read them later; if the work fails they stay for a look."""
+    _WRITTEN.append([])
+    kept = []
+
+    def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        written = cut(df, name)
+        kept.append(_WRITTEN[-1][-1])
+        return written, kept[-1]
+
+    try:
+        yield keep
+    except BaseException:
+        _WRITTEN.pop()
+        raise
+    for path in _WRITTEN.pop():
+        if path not in kept:
+            remove(spark, path)
+
+
 #: Rows of ids that are broadcast at most (16 MB); more are joined by shuffle.
 MOST_IDS = 2_000_000
 
@@ -81,10 +117,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
-def conf_int(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)))
-
-
 def bucket_of(doc_id: str, buckets: int, remainder: int):
     """True where crc32 of the id's decimal text leaves ``remainder``; null ids are never held out."""
     crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))
