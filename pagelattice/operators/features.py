@@ -79,22 +79,21 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Topology, shape, hierarchy, path and flow features: one row a page."""
     keyed = edges.select(F.col("page_id").alias("g"), "src", "dst", (F.col("edge_type") == C.STRUCTURE).alias("structure"), "ord")
     points = nodes.select(F.col("page_id").alias("g"), "node", "seq", "node_type", "tag", F.coalesce("is_redirect", F.lit(False)).alias("is_redirect"), F.coalesce("is_third_party", F.lit(False)).alias("third"))
-    components = cut(graph.weak_components(keyed, points), "components")
-    sizes = components.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("big"), F.max("n").alias("big_n"))
     entered = keyed.select("g", F.col("dst").alias("node"), F.lit(True).alias("entered")).distinct()
     html = points.where(F.col("node_type") == C.HTML).join(entered, ["g", "node"], "left")
     roots = html.groupBy("g").agg(F.min_by("node", F.struct(F.col("entered").isNotNull(), "seq")).alias("root"))
     is_ = lambda c: F.coalesce(c, F.lit(False))
-    flagged = points.join(components, ["g", "node"]).join(largest, "g").join(roots, "g", "left").select(
+    flagged = points.join(roots, "g", "left").select(
         "g", "node", (F.col("node") == F.col("root")).alias("is_root"), is_(F.col("tag") == "form").alias("is_form"), is_(F.col("tag").isin(*C.INPUT_TAGS)).alias("is_input"),
         (F.col("node_type") == C.SCRIPT).alias("is_script"), (F.col("node_type") == C.STORAGE).alias("is_storage"), (F.col("node_type") == C.NETWORK).alias("is_request"), "is_redirect",
-        (F.col("component") == F.col("big")).alias("in_largest"),
     )
     profiles = cut(graph.node_profiles(flagged.withColumn("is_root", is_(F.col("is_root"))), keyed), "profiles")
+    components = profiles.select("g", "node", "component")
+    sizes = components.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("g").agg(F.max("n").alias("big_n"))
     outs = keyed.groupBy("g", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_n"))
     children = keyed.where("structure").groupBy("g", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("child_n"))
-    full = points.join(profiles, ["g", "node"]).join(largest.select("g", "big_n"), "g").join(outs, ["g", "node"], "left").join(children, ["g", "node"], "left")
+    full = points.join(profiles, ["g", "node"]).join(largest, "g").join(outs, ["g", "node"], "left").join(children, ["g", "node"], "left")
     per_graph = full.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     full = full.join(per_graph, "g")
 

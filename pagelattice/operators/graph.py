@@ -1,12 +1,13 @@
 """Generic operators over edge tables (g, src, dst): many graphs side by side, keyed by ``g``.
 
 Degree-like measures are aggregates. Iterative ones loop over joins and write each round to the shared
-folder. ``node_profiles`` is the one grouped-Python operator: per graph it runs breadth-first searches and
-emits one row a node, so the pairs of an all-pairs computation are never shuffled.
+folder. ``node_profiles`` is the one grouped-Python operator: per graph and block of its nodes it runs breadth-first
+searches and emits sums, so the pairs of an all-pairs computation are never shuffled.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +147,8 @@ def reach_counts(distances: DataFrame, nodes: DataFrame) -> DataFrame:
 def chain_depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(g, depth): longest walk along each node's first successor (by ``ord``) until a node repeats."""
     first = cut(edges.groupBy("g", F.col("src").alias("at")).agg(F.min_by("dst", F.struct("ord", "dst")).alias("next")), "first")
+    if first.isEmpty():
+        return first.select("g", F.lit(0).alias("depth"))
     walk = first.select("g", F.col("at").alias("start"), "at", F.lit(0).alias("depth"), F.array("at").alias("path"))
     best = first.select("g", F.lit(0).alias("depth"))
     for _ in range(max_rounds):
@@ -182,93 +185,115 @@ def deepwalk(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 5,
     return Word2Vec(vectorSize=dim, windowSize=window, minCount=0, maxIter=epochs, seed=seed, inputCol="walk", outputCol="vector").fit(text).getVectors()
 
 
-PROFILE_SCHEMA = """g long, node string, sum_in long, n_in long, n_out long, eccentricity long, sum_undirected long,
+PROFILE_SCHEMA = """g long, node string, component string, sum_in long, n_in long, n_out long, eccentricity long, sum_undirected long,
     root_depth long, structure_depth long, from_forms boolean, from_inputs boolean, from_scripts boolean, from_storage boolean,
     from_redirects boolean, form_depth long, script_sum long, script_n long, exfil long"""
-
-
-def node_profiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+_SUMMED = ("sum_in", "n_in", "n_out", "script_sum", "script_n")
+_FLAGS = ("is_root", "is_form", "is_input", "is_script", "is_storage", "is_request", "is_redirect")
+_REACHED_FROM = {"from_forms": "is_form", "from_inputs": "is_input", "from_scripts": "is_script", "from_storage": "is_storage", "from_redirects": "is_redirect"}
+
+
+def search(starts, steps) -> dict[str, int]:
+    """Hops from the nearest of ``starts`` to each node that they reach."""
+    depth = dict.fromkeys(starts, 0)
+    queue = list(depth)
+    for at in queue:
+        for to in steps.get(at, ()):
+            if to not in depth:
+                depth[to] = depth[at] + 1
+                queue.append(to)
+    return depth
+
+
+def block_profile(members: list[dict], links: list[dict], block: int, size: int) -> dict[str, dict]:
+    """Of one graph, what the searches from the nodes of one block add to each node; block 0 also has what depends on no block."""
+    kinds = {m["node"]: m for m in members}
+    down, up, near, tree = {}, {}, {}, {}
+    for e in links:
+        down.setdefault(e["src"], []).append(e["dst"])
+        up.setdefault(e["dst"], []).append(e["src"])
+        near.setdefault(e["src"], []).append(e["dst"])
+        near.setdefault(e["dst"], []).append(e["src"])
+        if e["structure"]:
+            tree.setdefault(e["src"], []).append(e["dst"])
+    of = {f: [n for n, m in kinds.items() if m[f]] for f in _FLAGS}
+    component: dict[str, str] = {}
+    sizes: dict[str, int] = {}
+    for n in sorted(kinds):
+        if n not in component:
+            found = search([n], near)
+            component.update(dict.fromkeys(found, n))
+            sizes[n] = len(found)
+    largest = max(sizes, key=lambda c: (sizes[c], c))
+    from_root = search(of["is_root"][:1], down)
+    to_request = search(of["is_request"], up)
+    rows = {n: dict.fromkeys(_SUMMED, 0) | {"component": component[n]} for n in kinds}
+    for n in sorted(kinds)[block * size : (block + 1) * size]:
+        mine, depth = rows[n], search([n], down)
+        mine["n_out"] = len(depth) - 1
+        for to, d in depth.items():
+            if d:
+                rows[to]["sum_in"] += d
+                rows[to]["n_in"] += 1
+            if kinds[n]["is_script"] and kinds[to]["is_input"]:
+                rows[to]["script_sum"] += d
+                rows[to]["script_n"] += 1
+        if kinds[n]["is_form"]:
+            mine["form_depth"] = max(search([n], tree).values())
+            inputs = [i for i in of["is_input"] if i in depth]
+            paths = [depth[i] + to_request[i] for i in inputs if i in to_request]
+            if inputs and n in to_request:
+                paths.append(to_request[n])
+            if paths and n in from_root:
+                mine["exfil"] = from_root[n] + min(paths)
+        if component[n] == largest:
+            around = search([n], near)
+            mine["eccentricity"], mine["sum_undirected"] = max(around.values()), sum(around.values())
+    if block == 0:
+        in_tree = search(of["is_root"][:1], tree)
+        reached = {name: search(of[f], down) for name, f in _REACHED_FROM.items()}
+        for n, mine in rows.items():
+            mine["root_depth"], mine["structure_depth"] = from_root.get(n), in_tree.get(n)
+            mine |= {name: n in found for name, found in reached.items()}
+    return rows
+
+
+def node_profiles(nodes: DataFrame, edges: DataFrame, block: int = 256) -> DataFrame:
     """One row a node, from breadth-first searches inside each graph.
 
-    ``nodes``: g, node, is_root, is_form, is_input, is_script, is_storage, is_request, is_redirect, in_largest;
-    ``edges``: g, src, dst, structure. Distances are directed but for eccentricity and sum_undirected, which
-    are taken within the largest weak component. Time is nodes times edges, memory linear in both.
+    ``nodes``: g, node, is_root, is_form, is_input, is_script, is_storage, is_request, is_redirect; ``edges``: g, src, dst,
+    structure. Distances are directed but for eccentricity and sum_undirected, which are taken within the largest weak component;
+    ``component`` is the smallest node of a node's own. A task searches from ``block`` nodes of a graph, whose edges it holds, so a large
+    graph is spread over many tasks; what the blocks add to a node is summed afterwards.
     """
     packed = edges.groupBy("g").agg(F.collect_list(F.struct("src", "dst", "structure")).alias("links"))
-    flags = ("is_root", "is_form", "is_input", "is_script", "is_storage", "is_request", "is_redirect", "in_largest")
-    members = nodes.groupBy("g").agg(F.collect_list(F.struct("node", *flags)).alias("members"))
+    members = nodes.groupBy("g").agg(F.collect_list(F.struct("node", *_FLAGS)).alias("members"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = members.join(packed, "g", "left").repartition(parts, "g")  # Python work: not to be merged into a few tasks
+    blocks = F.sequence(F.lit(0), F.floor((F.size("members") - 1) / block).cast("int"))
+    joined = members.join(packed, "g", "left").withColumn("block", F.explode(blocks)).repartition(parts, "g", "block")  # Python work: not to be merged into a few tasks
+    names = [f.split()[0] for f in PROFILE_SCHEMA.replace("\n", " ").split(",")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    types = [kinds[f.split()[1]] for f in PROFILE_SCHEMA.replace("\n", " ").split(",")]
 
     def profile(batches):
-        import pandas as pd
-
-        def search(start, steps):
-            depth, queue = {start: 0}, [start]
-            for at in queue:
-                for to in steps.get(at, ()):
-                    if to not in depth:
-                        depth[to] = depth[at] + 1
-                        queue.append(to)
-            return depth
-
-        for frame in batches:
-            for g, members, links in zip(frame["g"], frame["members"], frame["links"], strict=True):
-                kinds = {m["node"]: m for m in members}
-                down, near, tree = {}, {}, {}
-                for e in links if links is not None else ():
-                    down.setdefault(e["src"], []).append(e["dst"])
-                    near.setdefault(e["src"], []).append(e["dst"])
-                    near.setdefault(e["dst"], []).append(e["src"])
-                    if e["structure"]:
-                        tree.setdefault(e["src"], []).append(e["dst"])
-                of = {f: [n for n, m in kinds.items() if m[f]] for f in flags}
-                rows = {n: dict.fromkeys(("sum_in", "n_in", "n_out", "eccentricity", "sum_undirected", "script_sum", "script_n"), 0) for n in kinds}
-                to_request = {}
-                reach = {f: set() for f in ("is_form", "is_input", "is_script", "is_storage", "is_redirect")}
-                form_depths, form_search = {}, {}
-                for n, m in kinds.items():
-                    depth = search(n, down)
-                    rows[n]["n_out"] = len(depth) - 1
-                    for to, d in depth.items():
-                        if d:
-                            rows[to]["sum_in"] += d
-                            rows[to]["n_in"] += 1
-                        if m["is_script"] and kinds[to]["is_input"]:
-                            rows[to]["script_sum"] += d
-                            rows[to]["script_n"] += 1
-                    for f in reach:
-                        if m[f]:
-                            reach[f].update(depth)
-                    if m["is_input"]:
-                        to_request[n] = min((depth[r] for r in of["is_request"] if r in depth), default=None)
-                    if m["is_form"]:
-                        form_search[n] = depth
-                        form_depths[n] = max(search(n, tree).values())
-                    if m["in_largest"]:
-                        around = search(n, near)
-                        rows[n]["eccentricity"], rows[n]["sum_undirected"] = max(around.values()), sum(around.values())
-                root = of["is_root"][0] if of["is_root"] else None
-                from_root, in_tree = (search(root, down), search(root, tree)) if root is not None else ({}, {})
-                out = []
-                for n in kinds:
-                    exfil = None
-                    if n in form_search and n in from_root:
-                        depth = form_search[n]
-                        inputs = [i for i in of["is_input"] if i in depth]
-                        paths = [depth[i] + to_request[i] for i in inputs if to_request[i] is not None]
-                        if inputs:
-                            paths += [depth[r] for r in of["is_request"] if r in depth]
-                        exfil = from_root[n] + min(paths) if paths else None
-                    out.append({
-                        "g": g, "node": n, **rows[n], "root_depth": from_root.get(n), "structure_depth": in_tree.get(n),
-                        **{"from_" + name: n in reach[f] for name, f in (("forms", "is_form"), ("inputs", "is_input"), ("scripts", "is_script"), ("storage", "is_storage"), ("redirects", "is_redirect"))},
-                        "form_depth": form_depths.get(n), "exfil": exfil,
-                    })
-                names = [f.split()[0] for f in PROFILE_SCHEMA.replace("\n", " ").split(",")]
-                made = pd.DataFrame(out, columns=names)
-                for c in ("root_depth", "structure_depth", "form_depth", "exfil"):
-                    made[c] = made[c].astype("Int64")
-                yield made
-
-    return joined.mapInPandas(profile, PROFILE_SCHEMA)
+        columns = {name: [] for name in names}
+
+        def made():
+            out = pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in zip(names, types, strict=True)], names)
+            for values in columns.values():
+                values.clear()
+            return out
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                g, members, links, nth = (batch.column(c)[k].as_py() for c in ("g", "members", "links", "block"))
+                for node, row in block_profile(members, links or [], nth, block).items():
+                    for name in names:
+                        columns[name].append(g if name == "g" else node if name == "node" else row.get(name))
+                if len(columns["g"]) > 5000:
+                    yield made()
+        yield made()
+
+    merge = {n: F.sum(n) if n in _SUMMED else F.bool_or(n) if n in _REACHED_FROM else F.min(n) if n == "exfil" else F.max(n) for n in names[2:]}
+    found = joined.select("g", "members", "links", "block").mapInArrow(profile, PROFILE_SCHEMA)
+    return found.groupBy("g", "node").agg(*[v.alias(n) for n, v in merge.items()])
