@@ -34,6 +34,7 @@ URL_SUSPICIOUS_WORDS = (
     "login", "verify", "secure", "update", "account", "signin", "bank", "paypal", "confirm", "password", "credential", "alert",
     "wallet", "billing", "suspend", "restore",
 )
+# Query keys whose values are masked, key-shaped tokens, and marks of obfuscated scripts.
 SENSITIVE_KEYS = (
     "key", "apikey", "api_key", "access_token", "accesstoken", "token", "auth", "authorization", "client_secret", "secret",
     "password", "pass", "pw", "signature", "sig",
@@ -67,7 +68,11 @@ FEATURE_GROUPS = {
         "graph_largest_component_ratio", "graph_assortativity", "graph_transitivity", "average_degree_connectivity",
     ),
     "structural_dom_shape": ("dom_depth_max", "dom_depth_avg", "dom_breadth_max", "dom_leaf_ratio"),
-    "structural_centrality_hierarchy": tuple(f"{m}_{s}" for m in ("closeness_centrality", "ancestors", "descendants") for s in ("mean", "std", "max", "min")),
+    "structural_centrality_hierarchy": (
+        "closeness_centrality_mean", "closeness_centrality_std", "closeness_centrality_max", "closeness_centrality_min",
+        "ancestors_mean", "ancestors_std", "ancestors_max", "ancestors_min",
+        "descendants_mean", "descendants_std", "descendants_max", "descendants_min",
+    ),
     "structural_node_type_distribution": ("html_node_ratio", "script_node_ratio", "request_node_ratio", "storage_node_ratio", *TAG_GROUPS),
     "structural_edge_type_distribution": (
         "structure_edge_ratio", "request_edge_ratio", "execute_edge_ratio", "access_edge_ratio", "redirect_edge_ratio",

@@ -93,7 +93,15 @@ def safe_ratio(a: Column, b: Column, default: float = 0.0) -> Column:
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words])
+    """Whether the text holds one of the words; false for null."""
+    return F.coalesce(reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words]), F.lit(False))
+
+
+def count_entropy(counts: Column) -> Column:
+    """Shannon entropy in bits of a map of counts; zeros and an empty map add nothing."""
+    values = F.transform(F.map_values(counts), lambda v: v.cast("double"))
+    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s - F.when(v > 0, v / total * F.log2(v / total)).otherwise(0.0))
 
 
 #: Labels that mean "phish", by rule.

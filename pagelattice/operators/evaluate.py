@@ -38,6 +38,14 @@ def confusion(rows: DataFrame, normalize: bool = False) -> DataFrame:
     return counted.withColumn("accuracy", F.bround(F.coalesce(F.try_divide((F.col("tp") + F.col("tn")).cast("double"), F.col("known")), F.lit(0.0)), 4))
 
 
+def first_of_each(rows: DataFrame, label: str, order: list[Column], most: Column | int, slots: int = 64) -> DataFrame:
+    """The first ``most`` rows of each label. Each label is dealt over ``slots`` first, and only what is within the first
+    ``most`` of its slot is ranked again: no task ranks a whole label."""
+    dealt = rows.withColumn("__slot", F.pmod(F.xxhash64(*order), F.lit(slots)))
+    near = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(label, "__slot").orderBy(*order))).where(F.col("__n") <= most)
+    return near.withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("__n") <= most).drop("__n", "__slot")
+
+
 def balanced_subsample(rows: DataFrame, per_label: int, key: str, label: str = "label", seed: int = 42) -> DataFrame:
     """All rows if there are at most twice ``per_label``, else that many of each label, in draw order.
 
@@ -45,22 +53,20 @@ def balanced_subsample(rows: DataFrame, per_label: int, key: str, label: str = "
     """
     if rows.limit(2 * per_label + 1).count() <= 2 * per_label:
         return rows
-    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy(draw_order(key, seed), F.col(key))))
-    return ranked.where(F.col("__n") <= per_label).drop("__n")
+    return first_of_each(rows, label, [draw_order(key, seed), F.col(key)], per_label)
 
 
 def stratified_pick(urls: DataFrame, status: DataFrame, per_label: dict[str, int], seed: int = 42) -> DataFrame:
     """``per_label`` URLs of each label among those whose html and trace are both ok in (url, feature_type, status)."""
     ready = status.where("status = 'ok' and feature_type in ('html', 'instrumentation')").groupBy("url").agg(F.countDistinct("feature_type").alias("n")).where("n = 2")
-    ranked = urls.join(ready, "url", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("label").orderBy(draw_order("url", seed), "url")))
     wanted = F.create_map(*[F.lit(x) for pair in per_label.items() for x in pair])
-    return ranked.where(F.col("__n") <= F.coalesce(wanted[F.col("label")], F.lit(0))).drop("__n")
+    return first_of_each(urls.join(ready, "url", "left_semi"), "label", [draw_order("url", seed), F.col("url")], F.coalesce(wanted[F.col("label")], F.lit(0)))
 
 
-def train_val_split(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42, buckets: int = 10_000) -> DataFrame:
+def train_val_split(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``part``: val for the first max(1, n * share) rows in draw order, else train; all train under ten rows.
 
-    The cut is found from counts of ``buckets`` hash ranges, so no task ranks all rows.
+    The cut is found from counts of 65,536 hash ranges, so no task ranks all rows.
     """
     n = rows.count()
     if n < 10:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice import constants as C
-from pagelattice.functions.urls import page_domain, url_feature_columns
+from pagelattice.functions.urls import count_entropy, page_domain, url_feature_columns
 from pagelattice.operators import graph, tags
 from pagelattice.operators.page_graph import build_page_graph
 from pagelattice.tables import cut
@@ -70,8 +70,8 @@ def edge_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     aggs["redirect_edge_ratio"] = F.bround(count((kind == C.REQUEST) & F.col("is_redirect")) / total, 4)
     aggs["cross_domain_edge_ratio"] = F.bround(count((kind == C.REQUEST) & F.col("third")) / F.greatest(requests, F.lit(1)), 4)
     aggs["form_to_external_edge"] = (count(F.col("from_form") & (F.col("to_type") == C.NETWORK) & F.col("third")) > 0).cast("int")
-    bits = reduce(lambda a, b: a + b, [F.when(count(kind == k) > 0, -(count(kind == k) / total) * F.log2(count(kind == k) / total)).otherwise(0.0) for k in (C.STRUCTURE, C.REQUEST, C.EXECUTE, C.ACCESS)])
-    aggs["avg_edge_type_entropy"] = F.bround(bits, 4)
+    kinds = F.create_map(*[x for k in (C.STRUCTURE, C.REQUEST, C.EXECUTE, C.ACCESS) for x in (F.lit(k), count(kind == k))])
+    aggs["avg_edge_type_entropy"] = F.bround(count_entropy(kinds), 4)
     return joined.groupBy("page_id").agg(*[v.alias(k) for k, v in aggs.items()])
 
 

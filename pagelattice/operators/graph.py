@@ -15,6 +15,10 @@ from pagelattice.functions.urls import hash_draw
 from pagelattice.tables import cut
 
 
+#: Labels in use that are broadcast at most.
+MOST_LABELS = 500_000
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     """(g, node), each once."""
     return edges.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -42,7 +46,8 @@ def density(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(g, node, component): the smallest node reachable in either direction.
 
-    Labels move to neighbours and then to the label's own label (pointer jumping), until nothing changes.
+    Labels move to neighbours and then to the label's own label (pointer jumping), until nothing changes. The labels'
+    own labels, one row for each label in use, are broadcast up to ``MOST_LABELS``: no task gets a whole component.
     """
     links = cut(both_ways(edges), "links")
     every = endpoints(edges) if nodes is None else nodes.select("g", "node").distinct()
@@ -50,7 +55,11 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds
     for _ in range(max_rounds):
         offers = links.join(labels, (links["g"] == labels["g"]) & (links["u"] == labels["node"])).select(links["g"], F.col("v").alias("node"), "component")
         lowest = labels.unionByName(offers).groupBy("g", "node").agg(F.min("component").alias("component"))
-        up = lowest.select("g", F.col("node").alias("component"), F.col("component").alias("jump"))
+        lowest = cut(lowest, "lowest")
+        used = lowest.select("g", "component").distinct()
+        up = cut(lowest.select("g", F.col("node").alias("component"), F.col("component").alias("jump")).join(used, ["g", "component"], "left_semi"), "jumps")
+        if up.count() <= MOST_LABELS:
+            up = F.broadcast(up)
         new = cut(lowest.join(up, ["g", "component"]).select("g", "node", F.col("jump").alias("component")), "labels")
         moved = new.join(labels.withColumnRenamed("component", "old"), ["g", "node"]).where("component <> old").isEmpty()
         labels = new

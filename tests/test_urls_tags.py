@@ -99,3 +99,10 @@ def test_html_features(spark):
 def test_feature_names():
     assert len(C.FEATURE_NAMES) == len(set(C.FEATURE_NAMES)) == 101
     assert [len(C.features_of(c)) for c in ("C", "S", "B", "CS", "CB", "SB", "CSB")] == [42, 43, 16, 85, 58, 59, 101]
+
+
+def test_count_entropy_and_words(spark):
+    rows = spark.createDataFrame([({"a": 1, "b": 1, "c": 2},), ({"a": 5},), ({"a": 0, "b": 3},), ({},)], "m map<string,int>")
+    assert [round(r.e, 6) for r in rows.select(urls.count_entropy(F.col("m")).alias("e")).collect()] == [1.5, 0.0, 0.0, 0.0]
+    texts = spark.createDataFrame([("log in now",), ("nothing",), (None,)], "t string")
+    assert [r.x for r in texts.select(urls.contains_any(F.col("t"), ("sign", "log")).alias("x")).collect()] == [True, False, False]
