@@ -69,17 +69,6 @@ def metric_table(spark, sf_dir):
     return evaluate.metric_table(training_summary(spark, sf_dir))
 
 
-def feature_group_counts(spark, sf_dir):
-    """Sizes of the feature groups, each with the largest value its features take on the decorated pages' URLs."""
-    from pagelattice.functions.urls import url_feature_columns
-
-    found = url_feature_columns(F.col("url"))
-    groups = {g: [n for n in names if n in found] for g, names in C.FEATURE_GROUPS.items()}
-    one = decorated_pages(spark, sf_dir).agg(*[F.max(F.greatest(*[found[n].cast("double") for n in names])).alias(g) for g, names in groups.items() if names])
-    rows = [F.struct(F.lit(g).alias("feature_group"), F.lit(C.CATEGORY_OF[g.split("_")[0]]).alias("category"), F.lit(len(names)).alias("features"), (F.col(g) if groups[g] else F.lit(None).cast("double")).alias("largest")) for g, names in C.FEATURE_GROUPS.items()]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-
-
 def _perturbed(attack):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """All six variants; html variants as length and hash of the page."""
@@ -319,5 +308,5 @@ ORACLE = {
         SELECT unnest(['total_phish', 'absent_from_all', 'confirmed_later', 'openphish_listed', 'phishtank_listed', 'gsb_listed', 'mean_lead_minutes', 'median_lead_minutes', 'positive_share']) AS metric,
           unnest([count(*)::DOUBLE, count(*) FILTER (f IS NULL), count(f), count(o), count(t), count(g), round_even(avg(l), 4), median(l), round_even(count(*) FILTER (l > 0) / count(l), 4)]) AS value FROM a""",
 }
-QUERIES = {n: globals()[n] for n in ORACLE if n in globals()} | {n: globals()[n] for n in ("feature_group_counts",)}
+QUERIES = {n: globals()[n] for n in ORACLE if n in globals()}
 QUERIES |= {f"perturb_{short}": _perturbed(attack) for short, attack in (("shortener", "A1_url_shortener"), ("combosquat", "A2_url_combosquat"), ("tld", "A3_url_tld_sub"), ("anchors", "A4_html_invisible_link"), ("filler", "A5_html_object_ratio"), ("benign", "A6_html_dom_expand"), ("inputs", "A7_html_input_obfuscate"))}

@@ -234,4 +234,52 @@ ORACLE = {
     "ledger_status": """SELECT count(DISTINCT user_id) AS attempted, count(*) FILTER (event_type <> 'error') AS ok_rows,
         count(DISTINCT user_id) FILTER (event_type <> 'error') AS ok_urls FROM events""",
 }
+_SHARES = ("structure", "execute", "request", "access")
+_TERMS = " + ".join(f"CASE WHEN {k} > 0 THEN -({k} / edges) * log2({k} / edges) ELSE 0 END" for k in _SHARES)
+ORACLE["node_edge_shares"] = f"""WITH layers AS ({ORACLE["page_graph_layers"]}), elements AS ({WITH_TAGS} SELECT page_id, count(*) AS html FROM opened GROUP BY page_id),
+    counted AS (SELECT page_id, html, scripts, requests, storage, html + scripts + requests + storage AS nodes, html - 1 AS structure, execute_edges AS execute, request_edges AS request, access_edges AS access, third_party FROM layers JOIN elements USING (page_id)),
+    summed AS (SELECT *, structure + execute + request + access AS edges FROM counted)
+    SELECT page_id, round_even(html / nodes, 4) AS html_node_ratio, round_even(scripts / nodes, 4) AS script_node_ratio, round_even(requests / nodes, 4) AS request_node_ratio, round_even(storage / nodes, 4) AS storage_node_ratio,
+      {", ".join(f"round_even({k} / edges, 4) AS {k}_edge_ratio" for k in _SHARES)}, round_even(third_party / greatest(request, 1), 4) AS cross_domain_edge_ratio, round_even({_TERMS}, 4) AS avg_edge_type_entropy FROM summed"""
+
+
+def node_edge_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features on shares of node and edge types, from the whole graph build."""
+    from pagelattice.operators.features import edge_features, node_features
+    from pagelattice.operators.page_graph import build_page_graph
+
+    nodes, edges, _ = build_page_graph(decorated_pages(spark, sf_dir))
+    names = [f"{k}_node_ratio" for k in ("html", "script", "request", "storage")] + [f"{k}_edge_ratio" for k in (*_SHARES, "cross_domain")] + ["avg_edge_type_entropy"]
+    return node_features(nodes).join(edge_features(edges, nodes), "page_id").select("page_id", *names)
+
+
+#: Which query's SQL gives the features of a group that need no graph.
+_MEASURED = {name: query for query in ("url_lexical", "url_entropy_tokens", "html_counts", "html_tag_ratios") for name in C.FEATURE_NAMES if f"AS {name}" in ORACLE[query]}
+
+
+def measured_groups() -> dict[str, list[str]]:
+    """Of each feature group the features that need no page graph, without groups that have none."""
+    found = {group: [n for n in names if n in _MEASURED] for group, names in C.FEATURE_GROUPS.items()}
+    return {group: names for group, names in found.items() if names}
+
+
+def feature_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature groups with their category and size, how many of their features need no graph, and the largest value of these."""
+    pages = tags.html_features(with_domain(decorated_pages(spark, sf_dir)))
+    pages = pages.withColumns(urls.url_feature_columns(F.col("url")))
+    groups = measured_groups()
+    one = pages.agg(*[F.max(F.greatest(*[F.col(n).cast("double") for n in names])).alias(g) for g, names in groups.items()])
+    category = lambda g: C.CATEGORY_OF[g.split("_")[0]]
+    rows = [F.struct(F.lit(g).alias("feature_group"), F.lit(category(g)).alias("category"), F.lit(len(C.FEATURE_GROUPS[g])).alias("features"), F.lit(len(names)).alias("measured"), F.col(g).alias("largest")) for g, names in groups.items()]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _largest(names: list[str]) -> str:
+    parts = [f"SELECT max(greatest({', '.join(f'CAST({n} AS DOUBLE)' for n in mine)})) AS m FROM ({ORACLE[q]})" for q in dict.fromkeys(_MEASURED[n] for n in names) if (mine := [n for n in names if _MEASURED[n] == q])]
+    return f"(SELECT max(m) FROM ({' UNION ALL '.join(parts)}))"
+
+
+ORACLE["feature_group_counts"] = " UNION ALL ".join(
+    f"SELECT '{g}' AS feature_group, '{C.CATEGORY_OF[g.split('_')[0]]}' AS category, {len(C.FEATURE_GROUPS[g])} AS features, {len(names)} AS measured, {_largest(names)} AS largest" for g, names in measured_groups().items()
+)
 QUERIES = {n: globals()[n] for n in ORACLE}
