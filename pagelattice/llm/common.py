@@ -95,13 +95,14 @@ def is_broadcast(side: DataFrame) -> bool:
     return getattr(side, "small", False)
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], most: int = 50_000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], most: int = 50_000, counted_from: DataFrame | None = None) -> DataFrame:
     """Inner join on ``keys`` of narrow ``left`` rows with ``right`` rows, keys of over ``most`` left rows split.
 
     A hot key's left rows are dealt over slots by a hash of ``spread`` and its right rows are repeated in
-    each slot. There are at most (left rows / ``most``) hot keys.
+    each slot. There are at most (left rows / ``most``) hot keys. ``counted_from`` has the left rows' keys where that is
+    cheaper to count than ``left`` itself.
     """
-    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    counted = (left if counted_from is None else counted_from).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
     slots = small_side(counted.select(*keys, F.ceil(F.col("__n") / most).cast("int").alias("__slots")), "hot_keys")
     if slots.isEmpty():
         return left.join(right, keys)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import cut
+from pagelattice.llm.common import cut, hot_join
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges beyond which the neighbours of a star's centre are dealt over several tasks; below, one task holds them all.
+FEW_EDGES = 1_000_000
+
+
+def _stars(edges: DataFrame, large: bool, split: bool) -> DataFrame:
     """Every node hands its neighbours to the smallest node it knows.
 
     Large: all neighbours count, larger ones move. Small: only smaller neighbours count and the
@@ -19,7 +23,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         ends = edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     least = ends.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("low"))
-    moved = ends.join(least, "node")
+    moved = hot_join(ends, least, ["node"], ["other"]) if split else ends.join(least, "node")
     if large:
         out = moved.where("other > node").select(F.col("low").alias("a"), F.col("other").alias("b"))
     else:
@@ -41,5 +45,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if found == mark or not found[0]:
             return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         mark = found
-        now = cut(_stars(_stars(now, True), False), "edges")
+        split = found[0] > FEW_EDGES
+        now = cut(_stars(cut(_stars(now, True, split), "edges") if split else _stars(now, True, split), False, split), "edges")
     raise RuntimeError("components did not settle")

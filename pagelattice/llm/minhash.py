@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WordHasher, byte_column, cut, mix64, rolling, slices, small_side
+from pagelattice.llm.common import WordHasher, byte_column, cut, hot_join, mix64, rolling, slices, small_side
 from pagelattice.llm.components import components
 
 WIDTH = 5
@@ -141,8 +141,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = WIDT
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     needed = small_side(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair_ids")
     texts = cut(texts.join(needed, "id", "left_semi"), "pair_texts")
-    partners = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks"))
-    blocked = pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks")).where("blocks > 1")
+    blocked = pairs.join(small_side(hubs, "hubs"), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")), F.lit(0)).cast("int").alias("block"))
     heads = blocked.select("a", "block").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
     others = blocked.join(texts.withColumnRenamed("id", "b"), "b").select("a", "block", "b", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -213,7 +213,8 @@ class PairTest:
 
     def passed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), each once with a hub as a, those to confirm."""
-        return pairs.distinct().join(self.side("b"), "b").join(self.side("a"), "a").where(self.alike).select("a", "b")
+        pairs = cut(pairs.distinct(), "star_pairs")
+        return hot_join(pairs.join(self.side("b"), "b"), self.side("a"), ["a"], ["b"], MOST_IN_TASK, pairs).where(self.alike).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 45, rows: int = 5, width: int = WIDTH) -> DataFrame:

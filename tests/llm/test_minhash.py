@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from pagelattice.llm import components, minhash
+from pagelattice.llm.common import hot_join
 from tests.llm.helpers import awkward, docs
 
 
@@ -114,10 +115,13 @@ def test_densification_fills_every_bin():
     assert set(one.tolist()) == {5}
 
 
-def test_connected_components(spark):
+def test_connected_components(spark, monkeypatch):
     rnd = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100 + rnd.randint(0, 30), 100 + rnd.randint(0, 30)) for _ in range(25)] + [(None, 3), (7, 7)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    monkeypatch.setattr(components, "FEW_EDGES", 10)
+    monkeypatch.setattr(components, "hot_join", lambda *args: hot_join(*args, most=3))
+    assert found == {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {}
 
     def find(x):

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS, frame
+from tests.llm.helpers import DOCS, awkward, frame
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_minhash import brute as brute_near
 from tests.llm.test_quality import sentences
@@ -43,3 +43,27 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_run_on_empty_and_awkward_tables(spark, tmp_path):
+    """No rows; nulls in every column, repeated rows, a very long text and clashing columns. What the stages cut is gone."""
+    item = [(0, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
+    for name, docs in (("empty", frame(spark, [], DOCS)), ("awkward", awkward(spark).withColumn("mix_taken", corpus_pipeline.mixing.F.lit(1)))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        frame(spark, item, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert len(found.columns) == len(set(found.columns)) and set(DOCS.replace(",", "").split()[::2]) <= set(found.columns)
+        assert {r.doc_id for r in found.collect()} <= {3}  # the others are null, empty or short
+
+
+def test_scratch_removes_what_is_not_kept(spark, tmp_path):
+    import os
+
+    from pagelattice.llm.common import cut, scratch, shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    with scratch(spark) as keep:
+        inner = cut(spark.range(3), "inner")
+        kept, path = keep(inner.selectExpr("id + 1 AS id"), "kept")
+    assert set(os.listdir(shared_dir(spark))) - before == {os.path.basename(path)}
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
