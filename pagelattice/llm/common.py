@@ -74,6 +74,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[Da
     for path in _WRITTEN.pop():
         if path not in kept:
             remove(spark, path)
+        elif _WRITTEN:
+            _WRITTEN[-1].append(path)  # of the scope around this one
 
 
 #: Rows of ids that are broadcast at most (16 MB); more are joined by shuffle.
@@ -82,7 +84,11 @@ MOST_IDS = 2_000_000
 
 def small_side(rows: DataFrame, name: str, most: int = MOST_IDS) -> DataFrame:
     """Narrow ``rows`` written out, and marked for broadcast if there are at most ``most``."""
-    written = cut(rows, name)
+    return marked_small(cut(rows, name), most)
+
+
+def marked_small(written: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most`` rows."""
     if written.count() > most:
         return written
     marked = F.broadcast(written)

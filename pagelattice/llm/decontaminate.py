@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import cut, hot_join, is_broadcast, mix64, slices, small_side
+from pagelattice.llm.common import cut, hot_join, is_broadcast, marked_small, mix64, scratch, slices, small_side
 
 WORD = re.compile(r"\w+")
 #: Fixed masks: 1 is read, 0 is ignored. The last two pass over every third and every fourth word.
@@ -272,5 +272,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The documents whose text holds no benchmark item, all columns, with or without an id."""
-    held = held_items(docs, benchmark, **limits).select(F.col("text_key").alias("__key")).distinct()
-    return docs.join(small_side(held, "held"), text_key() == F.col("__key"), "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        held, _ = keep(held_items(docs, benchmark, **limits).select(F.col("text_key").alias("__key")).distinct(), "held")
+    return docs.join(marked_small(held), text_key() == F.col("__key"), "left_anti")

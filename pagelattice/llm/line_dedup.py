@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import byte_column, cut, is_broadcast, slices, small_side, utf8
+from pagelattice.llm.common import byte_column, cut, is_broadcast, scratch, slices, small_side, utf8
 
 LINE_SCHEMA = "h1 long, h2 long, doc_id long, row_key long, pos int"
 #: Keys broadcast at most: an edge run or two for each partition, and runs of over 100,000 rows.
@@ -171,7 +171,8 @@ def with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     The ids of such rows are broadcast up to ``common.MOST_IDS``, and only their texts are shuffled to
     meet the bitmaps; beyond that bound all are.
     """
-    maps = cut(keep_bitmaps(docs, min_chars, min_docs), "bitmaps")
+    with scratch(docs.sparkSession) as keep:
+        maps, _ = keep(keep_bitmaps(docs, min_chars, min_docs), "bitmaps")
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": row_key()})
     same = lambda left: (left["__id"] == maps["doc_id"]) & (left["__row"] == maps["row_key"])
     names = [keyed[c] for c in docs.columns]

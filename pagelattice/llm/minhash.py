@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WordHasher, byte_column, cut, hot_join, mix64, rolling, slices, small_side
+from pagelattice.llm.common import WordHasher, byte_column, cut, hot_join, marked_small, mix64, rolling, scratch, slices, small_side
 from pagelattice.llm.components import components
 
 WIDTH = 5
@@ -280,8 +280,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 45, rows: i
 
 def keep_first(docs: DataFrame, **limits) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id; all columns."""
-    gone = near_duplicates(docs, **limits).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small_side(gone, "gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        gone, _ = keep(near_duplicates(docs, **limits).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(marked_small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import cut
+from pagelattice.llm.common import cut, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -145,8 +145,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     plain = docs.drop(*ADDED)
     key = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__hash": text_hash()}
     nth = lambda names, order: F.row_number().over(Window.partitionBy(*names).orderBy(order))
-    taken = passes(arranged(plain, **options))
-    taken = cut(taken.withColumn("copy", nth(["doc_id", "source", "text_hash", "mix_pass"], "mix_position")), "mix_passes")
+    with scratch(docs.sparkSession) as keep:
+        taken, _ = keep(passes(arranged(plain, **options)).withColumn("copy", nth(["doc_id", "source", "text_hash", "mix_pass"], "mix_position")), "mix_passes")
     keyed = plain.withColumns(key)
     same = F.col("k.__id").eqNullSafe(F.col("t.doc_id")) & F.col("k.__source").eqNullSafe(F.col("t.source")) & (F.col("k.__hash") == F.col("t.text_hash"))
     copies = taken.groupBy("doc_id", "source", "text_hash").agg(F.max("copy").alias("copies")).where("copies > 1")
