@@ -22,6 +22,8 @@ from pagelattice.operators.evaluate import binary_metrics
 from pagelattice.operators.perturb import expand_variants
 
 CATEGORY_SETS = ("C", "S", "B", "CS", "CB", "SB", "CSB")
+#: Training rows in one task at least.
+ROWS_IN_TASK = 20_000
 CLASSIFIERS = ("gbt", "forest", "svm", "mlp")
 
 
@@ -79,7 +81,9 @@ def fit(rows: DataFrame, name: str = "gbt", names: list[str] | None = None, labe
     """A fitted pipeline; the feature names live in its assembler."""
     names = list(names or C.FEATURE_NAMES)
     stages = [VectorAssembler(inputCols=names, outputCol="features"), *classifier(name, len(names), **options)]
-    return Pipeline(stages=stages).fit(prepared(rows, names, label))
+    ready = prepared(rows, names, label)
+    # Each level of each tree is a job over all partitions: few rows go into few of them.
+    return Pipeline(stages=stages).fit(ready.coalesce(max(1, ready.count() // ROWS_IN_TASK)))
 
 
 def predict(model: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
