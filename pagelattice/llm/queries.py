@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import decontaminate, html_text, license_scan, line_dedup, minhash, mixing, quality_model, quality_rules, toxicity, warc
+from pagelattice.llm import decontaminate, html_text, license_scan, line_dedup, minhash, mixing, quality_model, quality_rules, toxicity, vector_codes, warc
 from pagelattice.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -72,4 +77,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op6_minhash": minhash.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
