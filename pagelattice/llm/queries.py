@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import decontaminate, html_text, license_scan, line_dedup, minhash, mixing, quality_model, quality_rules, simhash, toxicity, vector_codes, warc
+from pagelattice.llm import decontaminate, html_text, license_scan, line_dedup, minhash, mixing, quality_model, quality_rules, simhash, spelling, toxicity, vector_codes, warc
 from pagelattice.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_simhash": op11_simhash,
     "op12_vector_codes": op12_vector_codes,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash": minhash.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
