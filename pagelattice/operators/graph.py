@@ -8,11 +8,12 @@ searches and emits sums, so the pairs of an all-pairs computation are never shuf
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions.urls import hash_draw
-from pagelattice.tables import cut
+from pagelattice.operators.hubs import VertexCut
+from pagelattice.tables import cut, written_at
 
 
 #: Labels in use that are broadcast at most.
@@ -117,18 +118,68 @@ def degree_connectivity(edges: DataFrame, nodes: DataFrame | None = None) -> Dat
     return classes.groupBy("g").agg(F.bround(F.avg(per_class), 4).alias("connectivity"))
 
 
+class BitSearch:
+    """Breadth-first search along edges from many sources at once, 64 to a long.
+
+    ``names``: (g, chunk, members), where bit k of a chunk stands for the source members[k]; ``layers``: (g, node, chunk, bits, depth), the
+    sources that reach a node first at that depth. Frontiers are merged by ``bit_or``; no (source, node) pair is shuffled. A layer is written
+    each round, and all are read as one table, so the plan does not grow. Hubs' edges are dealt over slots.
+    """
+
+    def __init__(self, edges: DataFrame, sources: DataFrame, max_depth: int = 10_000):
+        spark, self.names = edges.sparkSession, cut(_chunks(sources), "source_names")
+        steps = VertexCut(edges.select("g", F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), ["g", "node"], ["next"])
+        stepped = cut(steps.rows, "steps")
+        front = cut(self.names.select("g", "chunk", F.posexplode("members").alias("bit", "node")).select("g", "node", "chunk", F.expr("shiftleft(1L, bit)").alias("bits"), F.lit(0).alias("depth")), "layer")
+        schema, paths = front.schema, [written_at(front)]
+        for depth in range(1, max_depth):
+            reached = steps.met(front.select("g", "node", "chunk", "bits"), stepped).select("g", F.col("next").alias("node"), "chunk", "bits", F.lit(0).cast("long").alias("known"))
+            known = spark.read.schema(schema).parquet(*paths).select("g", "node", "chunk", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("known"))
+            merged = reached.unionByName(known).groupBy("g", "node", "chunk").agg(F.bit_or("bits").alias("bits"), F.bit_or("known").alias("known"))
+            fresh = F.col("bits").bitwiseAND(F.bitwise_not("known"))
+            front = cut(merged.select("g", "node", "chunk", fresh.alias("bits"), F.lit(depth).alias("depth")).where("bits <> 0"), "layer")
+            if front.isEmpty():
+                break
+            paths.append(written_at(front))
+        else:
+            raise RuntimeError(f"nodes left after {max_depth - 1} levels")
+        self.layers = spark.read.schema(schema).parquet(*paths)
+
+    def distances(self) -> DataFrame:
+        """(g, source, node, depth): a row for each pair, made where its bits are."""
+        named = self.layers.join(self.names, ["g", "chunk"])
+        held = F.expr("filter(members, (m, k) -> getbit(bits, k) = 1)")
+        return named.select("g", F.explode(held).alias("source"), "node", "depth")
+
+    def incoming(self) -> DataFrame:
+        """(g, node, total, reached): the sum of the distances from the sources that reach a node, and their number, itself left out."""
+        count = F.bit_count("bits")
+        return self.layers.where("depth > 0").groupBy("g", "node").agg(F.sum(F.col("depth") * count).alias("total"), F.sum(count).cast("long").alias("reached"))
+
+    def outgoing(self) -> DataFrame:
+        """(g, source, reached): how many nodes a source reaches, itself left out. A chunk's 64 bits are summed side by side."""
+        far = self.layers.where("depth > 0").groupBy("g", "chunk").agg(*(F.sum(F.expr(f"cast(getbit(bits, {k}) as long)")).alias(f"b{k}") for k in range(64)))
+        counts = self.names.join(far, ["g", "chunk"], "left").select("g", "members", F.array(*(F.coalesce(f"b{k}", F.lit(0).cast("long")) for k in range(64))).alias("n"))
+        return counts.select("g", F.posexplode("members").alias("bit", "source"), "n").select("g", "source", F.col("n")[F.col("bit")].alias("reached"))
+
+
+#: Sources that one task puts into chunks.
+CHUNK_SLOT = 6400
+
+
+def _chunks(sources: DataFrame) -> DataFrame:
+    """(g, chunk, members): sources of a graph in chunks of at most 64."""
+    each = sources.select("g", F.col("node").alias("source")).distinct()
+    sized = each.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SLOT).cast("long").alias("slots"))
+    dealt = each.join(sized, "g").withColumn("slot", F.pmod(F.xxhash64("source"), F.col("slots")))
+    row = F.row_number().over(Window.partitionBy("g", "slot").orderBy("source")) - 1
+    placed = dealt.withColumn("row", row).withColumn("chunk", F.col("slot") + F.col("slots") * F.floor(F.col("row") / 64))
+    return placed.groupBy("g", "chunk").agg(F.sort_array(F.collect_list("source")).alias("members"))
+
+
 def bfs_depths(edges: DataFrame, sources: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(g, source, node, depth): hops along edges from each (g, node) of ``sources``, itself included."""
-    steps = cut(edges.select("g", F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "steps")
-    seen = cut(sources.select("g", F.col("node").alias("source"), "node").distinct().withColumn("depth", F.lit(0)), "seen")
-    front = seen
-    for depth in range(1, max_depth):
-        reached = front.join(steps, ["g", "node"]).select("g", "source", F.col("next").alias("node")).distinct()
-        front = cut(reached.join(seen, ["g", "source", "node"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError(f"nodes left after {max_depth - 1} levels")
+    return BitSearch(edges, sources, max_depth).distances()
 
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -136,17 +187,35 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return bfs_depths(edges, sources).where("depth > 0").select("g", "source", "node")
 
 
+def descendant_counts(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(g, source, descendants) of each source, itself left out; no pair is made."""
+    return BitSearch(edges, sources).outgoing().withColumnRenamed("reached", "descendants")
+
+
+def reach_sums(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, node, total, ancestors, descendants) from one search out of all ``nodes``: the sum of the distances to a node, how many reach
+    it and how many it reaches."""
+    found = BitSearch(edges, nodes)
+    joined = nodes.select("g", "node").distinct().join(found.incoming(), ["g", "node"], "left").join(found.outgoing().withColumnsRenamed({"source": "node", "reached": "descendants"}), ["g", "node"], "left")
+    return joined.select("g", "node", "total", F.coalesce("reached", F.lit(0).cast("long")).alias("ancestors"), F.coalesce("descendants", F.lit(0).cast("long")).alias("descendants"))
+
+
+def closeness_of(sums: DataFrame) -> DataFrame:
+    """(g, node, closeness) from ``reach_sums`` of all nodes: incoming, scaled by the share of nodes that reach the node."""
+    sizes = sums.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    value = F.when(F.col("total") > 0, (F.col("ancestors") / F.col("total")) * (F.col("ancestors") / (F.col("n") - 1))).otherwise(0.0)
+    return sums.join(sizes, "g").select("g", "node", value.alias("closeness"))
+
+
 def closeness(distances: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(g, node, closeness) from directed distances (g, source, node, depth): incoming, scaled by the share of nodes that reach it."""
-    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    incoming = distances.where("depth > 0").groupBy("g", "node").agg(F.sum("depth").alias("total"), F.count(F.lit(1)).alias("r"))
-    joined = nodes.select("g", "node").join(incoming, ["g", "node"], "left").join(sizes, "g")
-    value = F.when(F.col("total") > 0, (F.col("r") / F.col("total")) * (F.col("r") / (F.col("n") - 1))).otherwise(0.0)
-    return joined.select("g", "node", value.alias("closeness"))
+    """(g, node, closeness) from pairs that are there already: directed distances (g, source, node, depth)."""
+    far = distances.where("depth > 0")
+    incoming = far.groupBy("g", "node").agg(F.sum("depth").alias("total"), F.count(F.lit(1)).alias("ancestors"))
+    return closeness_of(nodes.select("g", "node").join(incoming, ["g", "node"], "left"))
 
 
 def reach_counts(distances: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(g, node, ancestors, descendants) from directed distances."""
+    """(g, node, ancestors, descendants) from directed distances that are there already."""
     far = distances.where("depth > 0")
     up = far.groupBy("g", "node").agg(F.count(F.lit(1)).alias("ancestors"))
     down = far.groupBy("g", F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("descendants"))

@@ -31,4 +31,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.path = path
+    return written
+
+
+def written_at(written: DataFrame) -> str:
+    """The folder of a table that ``cut`` has written."""
+    return written.path
