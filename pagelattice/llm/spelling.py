@@ -5,7 +5,7 @@
 2. A word is the vector of its letter counts. One edit moves it by an L1 distance of at most two: a replaced letter by two, an inserted
    or deleted one by one. So the words near a word of length L are among those of length L at distance two and those of length L + 1 at
    distance one: a range search for each pair of lengths.
-3. The words of a length form a k-d tree. Its top is cut from a sample of at most ``MOST_SAMPLE`` words in order of their hash and only
+3. The words of a length form a k-d tree. Its top is cut from a sample of about ``MOST_SAMPLE`` words drawn by hash and only
    decides which cell, of about ``CELL`` words, a word is held in; each word is sent to the cells whose boxes its range meets. In
    a task each cell's words form the lower part of the tree, and all its queries go down together, pruned by boxes.
 4. Candidates at the right distance are verified letter by letter; the pair is emitted in both directions.
@@ -35,8 +35,8 @@ LETTERS = "[a-zÀ-ÿ]+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
 #: Of 97 values of the checksum one deletes a letter; shortest word, fewest occurrences, ratio of counts.
 DELETES, SHORTEST, FEWEST, RATIO = 97, 5, 3, 2
-#: Words of a cell, words that the cells are cut from, and cells of a length.
-CELL, MOST_SAMPLE, MOST_CELLS = 4000, 200_000, 4096
+#: Words of a cell, words that the cells are cut from (they come to the driver), and cells of a length.
+CELL, MOST_SAMPLE, MOST_CELLS = 4000, 50_000, 4096
 #: Words of a leaf in a task; distinct words that a task counts before it emits them; characters read at once.
 LEAF, MOST_COUNTED, PIECE = 128, 200_000, 1 << 20
 #: Above any letter count.
@@ -260,9 +260,12 @@ def tops(words: DataFrame) -> dict[int, Top]:
     out = {s: Top(np.zeros((0, len(ALPHABET))), 1) for s in sizes}
     if large:
         sample: dict[int, list[str]] = {}
-        for r in words.where(F.length("word").isin(large)).select("word").orderBy(F.xxhash64("word")).limit(MOST_SAMPLE).collect():
+        share = min(1.0, MOST_SAMPLE / sum(sizes[s] for s in large))
+        drawn = F.shiftrightunsigned(F.xxhash64("word"), 32) < F.lit(int(share * (1 << 32)))
+        for r in words.where(F.length("word").isin(large) & drawn).select("word").collect():
             sample.setdefault(len(r.word), []).append(r.word)
         for size, found in sample.items():
+            found.sort()
             out[size] = Top(letter_counts(letters(found)), min(MOST_CELLS, -(-sizes[size] // CELL)))
     return out
 
