@@ -27,11 +27,15 @@ class VertexCut:
         most = max(most, -(-total // MOST_HUBS))
         self.hubs = cut(counted.where(F.col("__n") > most).select(*key, F.ceil(F.col("__n") / most).cast("int").alias("__slots")), "hubs")
         self.any = not self.hubs.isEmpty()
-        if self.any:
-            slot = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__slots")), F.lit(0)).cast("int")
-            self.rows = rows.join(F.broadcast(self.hubs), key, "left").withColumn("slot", slot).drop("__slots")
-        else:
-            self.rows = rows.withColumn("slot", F.lit(0))
+        self.rows = self.placed(rows, spread)
+
+    def placed(self, rows: DataFrame, spread: list[str], names: dict[str, str] | None = None, slot: str = "slot") -> DataFrame:
+        """Rows with the slot that they have among those of their node; ``names`` says which of their columns hold the key, if others."""
+        if not self.any:
+            return rows.withColumn(slot, F.lit(0))
+        names = names or {}
+        value = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__slots")), F.lit(0)).cast("int")
+        return rows.join(F.broadcast(self.hubs.withColumnsRenamed(names)), [names.get(k, k) for k in self.key], "left").withColumn(slot, value).drop("__slots")
 
     def mirrored(self, states: DataFrame) -> DataFrame:
         """A state for each slot of its node."""

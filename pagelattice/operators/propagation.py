@@ -1,16 +1,23 @@
 """Label propagation over one graph of URLs, domains, addresses and URL pieces.
 
-A sweep is one join of messages with node sums and one aggregate; all messages of a sweep use the sums of
-the sweep before (synchronous), unlike an in-place loop, whose result depends on its order.
+Messages between unlabelled nodes are rows (src, dst) kept bucketed by the receiver; what labelled nodes send is added to the
+receivers' costs once. A row holds all that its receiver needs to answer it, so a sweep is: sums by receiver and slot where the rows
+lie, a small sum by receiver, the sums sent back to the slots, and each row turned round into its answer. Rows of a popular receiver are dealt
+over slots (``VertexCut``), so no task gets a whole hub.
+
+Sweeps are synchronous (all messages use the sums of the sweep before) or in place in the order of a colouring, one colour a step.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions.urls import page_domain, path_substrings, registered_domain
-from pagelattice.tables import cut
+from pagelattice.operators.hubs import VertexCut
+from pagelattice.tables import bucketed, cut, new_path, written_at
 
 
 def url_graph(urls: DataFrame, dns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,28 +86,85 @@ def sums_of(messages: DataFrame) -> DataFrame:
     return messages.groupBy(F.col("dst").alias("id")).agg(F.sum("m0").alias("s0"), F.sum("m1").alias("s1"))
 
 
+def answers(met: DataFrame, same: Column, other: Column) -> list[Column]:
+    """What the receiver of a message (columns m0, m1) with totals t0, t1 sends back: min-sum without the sender's own part."""
+    h = [F.col(f"t{k}") - F.col(f"m{k}") for k in (0, 1)]
+    return [F.least(h[0] + (same if k == 0 else other), h[1] + (other if k == 0 else same)) for k in (0, 1)]
+
+
 def bp_step(messages: DataFrame, beliefs: DataFrame, table: str = "table3", low: float = 0.7, high: float = 0.7) -> DataFrame:
     """One synchronous min-sum sweep: messages between unlabelled nodes from the sums of the last sweep, without the receiver's own part."""
-    same, other = compatibility(table, low, high)
-    state = beliefs.select(F.col("id").alias("src"), "c0", "c1").join(sums_of(messages).withColumnRenamed("id", "src"), "src", "left")
-    back = messages.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("m0").alias("b0"), F.col("m1").alias("b1"))
-    joined = messages.join(state, "src").join(back, ["src", "dst"], "left")
-    h = [F.col(f"c{k}") + F.coalesce(f"s{k}", F.lit(0.0)) - F.coalesce(f"b{k}", F.lit(0.0)) for k in (0, 1)]
-    new = [F.least(h[0] + (same if k == 0 else other), h[1] + (other if k == 0 else same)) for k in (0, 1)]
-    fixed = F.col("sl").isNotNull()
-    return joined.select("src", "dst", "sim", "sl", *[F.when(fixed, F.col(f"m{k}")).otherwise(new[k]).alias(f"m{k}") for k in (0, 1)])
+    free = VertexCut(messages.where("sl is null"), ["dst"], ["src"])
+    totals = beliefs.join(sums_of(messages), "id", "left").select(F.col("id").alias("dst"), *[(F.col(f"c{k}") + F.coalesce(f"s{k}", F.lit(0.0))).alias(f"t{k}") for k in (0, 1)])
+    new = answers(free.rows, *compatibility(table, low, high))
+    turned = free.met(totals).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", "sl", new[0].alias("m0"), new[1].alias("m1"))
+    return turned.unionByName(messages.where("sl is not null").select("src", "dst", "sim", "sl", "m0", "m1"))
 
 
-def marginals(messages: DataFrame, beliefs: DataFrame) -> DataFrame:
-    """(id, label, cost0, cost1, map_label): costs with all messages; ties are benign.
+class Exchange:
+    """The messages between unlabelled nodes, dealt by receiver and slot, and the totals of the nodes.
+
+    ``rows``: src, dst, sim, slot (of the receiver's rows), answer_slot (of the row that answers), m0, m1.
+    """
+
+    def __init__(self, edges: DataFrame, beliefs: DataFrame):
+        self.beliefs = cut(beliefs, "beliefs")
+        ways = edges.select("src", "dst", "sim").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
+        self.split = VertexCut(cut(ways, "ways"), ["dst"], ["src"])
+        labels = self.beliefs.select(F.col("id").alias("dst"), "label")
+        # Each row meets its receiver's label where it lies, and its sender's where the row that answers it lies.
+        heard = self.split.met(labels).where("label is null").select("src", "dst", "sim")
+        both = self.split.placed(self.split.placed(heard, ["src"]), ["dst"], {"dst": "src"}, "answer_slot")
+        senders = self.split.mirrored(labels).select(F.col("dst").alias("src"), F.col("slot").alias("answer_slot"), F.col("label").alias("sl"))
+        both = cut(both.join(senders, ["src", "answer_slot"]), "labelled_ways")
+        self.fixed = both.where("sl is not null").select("src", "dst", "sim", "sl")
+        self.rows = both.where("sl is null").select("src", "dst", "sim", "slot", "answer_slot", F.lit(0.0).alias("m0"), F.lit(0.0).alias("m1"))
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Rows written, bucketed by receiver and slot."""
+        return bucketed(rows, "messages", ["dst", "slot"])
+
+    def base(self, fixed: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+        """(dst, t0, t1): a node's costs and what labelled nodes send it."""
+        costs = self.beliefs if costs is None else costs
+        sent = fixed.groupBy("dst").agg(F.sum("m0").alias("s0"), F.sum("m1").alias("s1"))
+        joined = costs.select(F.col("id").alias("dst"), "c0", "c1").join(sent, "dst", "left")
+        return cut(joined.select("dst", *[(F.col(f"c{k}") + F.coalesce(f"s{k}", F.lit(0.0))).alias(f"t{k}") for k in (0, 1)]), "base")
+
+    def totals(self, base: DataFrame, rows: DataFrame) -> DataFrame:
+        """``base`` with the messages of ``rows``: by slot, where they lie, and then by node."""
+        by_slot = rows.groupBy("dst", "slot").agg(F.sum("m0").alias("s0"), F.sum("m1").alias("s1"))
+        sums = by_slot.groupBy("dst").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+        return base.join(sums, "dst", "left").select("dst", *[(F.col(f"t{k}") + F.coalesce(f"s{k}", F.lit(0.0))).alias(f"t{k}") for k in (0, 1)])
+
+    def turned(self, rows: DataFrame, totals: DataFrame, same: Column, other: Column, digits: int | None = None, carried: dict[str, str] | None = None) -> DataFrame:
+        """Each row as the answer to it; ``carried`` columns go along under new names."""
+        met = rows.join(self.split.mirrored(totals), ["dst", "slot"])
+        new = answers(met, same, other)
+        new = [F.round(n, digits) for n in new] if digits else new
+        return met.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", F.col("answer_slot").alias("slot"), F.col("slot").alias("answer_slot"), new[0].alias("m0"), new[1].alias("m1"), *[F.col(c).alias(n) for c, n in (carried or {}).items()])
+
+
+def with_costs(joined: DataFrame, cost: list[Column]) -> DataFrame:
+    """(id, label, cost0, cost1, map_label); ties are benign.
 
     Costs have nine decimals, so that the order in which messages are summed decides no tie.
     """
-    joined = beliefs.join(sums_of(messages), "id", "left")
-    cost = [F.round(F.col(f"c{k}") + F.coalesce(f"s{k}", F.lit(0.0)), 9) for k in (0, 1)]
+    cost = [F.round(c, 9) for c in cost]
     return joined.select("id", "label", cost[0].alias("cost0"), cost[1].alias("cost1"), F.when(cost[1] < cost[0], 1).otherwise(0).alias("map_label"))
 
 
+def marginals(messages: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """Costs with all messages."""
+    joined = beliefs.join(sums_of(messages), "id", "left")
+    return with_costs(joined, [F.col(f"c{k}") + F.coalesce(f"s{k}", F.lit(0.0)) for k in (0, 1)])
+
+
+def marginals_of(totals: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """Costs from totals by node."""
+    return with_costs(beliefs.select("id", "label").join(totals.withColumnRenamed("dst", "id"), "id"), [F.col("t0"), F.col("t1")])
+
+
 def energy(found: DataFrame, beliefs: DataFrame, edges: DataFrame, table: str = "table3", low: float = 0.7, high: float = 0.7) -> DataFrame:
     """(energy): costs of the labels, and of each edge's pair of labels counted from both ends."""
     same, other = compatibility(table, low, high)
@@ -111,13 +175,87 @@ def energy(found: DataFrame, beliefs: DataFrame, edges: DataFrame, table: str =
     return nodes.withColumn("k", F.lit(1)).join(pairs.withColumn("k", F.lit(1)), "k").select((F.col("nodes") + F.coalesce("pairs", F.lit(0.0))).alias("energy"))
 
 
+def fixed_messages(fixed: DataFrame) -> DataFrame:
+    """What labelled nodes send: 1, 0 from phish; 0, 1 from benign."""
+    return fixed.select("dst", (F.col("sl") == 1).cast("double").alias("m0"), (F.col("sl") == 0).cast("double").alias("m1"))
+
+
 def bp_run(edges: DataFrame, beliefs: DataFrame, sweeps: int = 5, table: str = "table3", low: float = 0.7, high: float = 0.7) -> DataFrame:
-    """Marginals after ``sweeps`` sweeps; each is written out."""
-    beliefs = cut(beliefs, "beliefs")
-    messages = cut(initial_messages(edges, beliefs), "messages")
+    """Marginals after ``sweeps`` synchronous sweeps; each is written out."""
+    exchange = Exchange(edges, beliefs)
+    base, rows = exchange.base(fixed_messages(exchange.fixed)), exchange.kept(exchange.rows)
+    for _ in range(sweeps):
+        rows = exchange.kept(exchange.turned(rows, exchange.totals(base, rows), *compatibility(table, low, high)))
+    return marginals_of(exchange.totals(base, rows), exchange.beliefs)
+
+
+def colours(links: DataFrame) -> DataFrame:
+    """(id, colour): a greedy colouring of the undirected (src, dst): no two linked nodes share one.
+
+    Nodes take the smallest colour that no neighbour before them has, in order of degree (larger first), of the MD5 of the id and of
+    the id. A node whose neighbours before it all have colours takes its own, so the rounds are as many as the longest chain of such
+    neighbours, and each link is used once.
+    """
+    both = links.where("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst").distinct()
+    degree = both.groupBy(F.col("src").alias("id")).agg((-F.count(F.lit(1))).alias("less"))
+    rank = cut(degree.select("id", F.struct("less", F.md5(F.col("id").cast("binary")).alias("draw"), "id").alias("rank")), "ranks")
+    split = VertexCut(both, ["src"], ["dst"])
+    ranked = split.met(rank.select(F.col("id").alias("src"), F.col("rank").alias("a")))
+    other = VertexCut(ranked, ["dst"], ["src"])
+    before = cut(other.met(rank.select(F.col("id").alias("dst"), F.col("rank").alias("b"))).where("a < b").select("src", "dst"), "before")
+    ways = VertexCut(before, ["src"], ["dst"])
+    waits = before.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("left"))
+    state = cut(rank.select("id").join(waits, "id", "left").select("id", F.coalesce("left", F.lit(0).cast("long")).alias("left"), F.array().cast("array<int>").alias("used")), "uncoloured")
+    smallest = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used"))).cast("int")
+    done = []
+    while True:
+        front = cut(state.where("left = 0").select("id", smallest.alias("colour")), "coloured")
+        if front.isEmpty():
+            break
+        done.append(written_at(front))
+        told = ways.met(front.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("colour").alias("taken"))
+        waiting = state.where("left > 0").join(told, "id", "left")
+        state = cut(waiting.select("id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.array_union("used", F.coalesce("taken", F.array().cast("array<int>"))).alias("used")), "uncoloured")
+    return links.sparkSession.read.schema("id string, colour int").parquet(*done) if done else rank.select("id", F.lit(0).alias("colour")).limit(0)
+
+
+def bp_run_in_order(edges: DataFrame, beliefs: DataFrame, sweeps: int = 5, table: str = "table3", low: float = 0.7, high: float = 0.7) -> DataFrame:
+    """Marginals after ``sweeps`` in-place sweeps: nodes send in order of their colour, and each sees what was sent before it in its own sweep.
+
+    Nodes of a colour are not linked, so they send in one step; the result is that of a loop over nodes sorted by colour. What a
+    colour has sent is a table of its own, laid out by the receivers' colour: a step reads the messages to its colour and writes those from it,
+    so a sweep reads and writes each message once.
+    """
+    exchange = Exchange(edges, beliefs)
+    spark, base, rows = edges.sparkSession, exchange.base(fixed_messages(exchange.fixed)), cut(exchange.rows, "messages")
+    named = cut(colours(rows.select("src", "dst").where("src < dst")), "colours")
+    of = lambda end, slot, name: exchange.split.mirrored(named.select(F.col("id").alias("dst"), F.col("colour").alias(name))).select(F.col("dst").alias(end), F.col("slot").alias(slot), name)
+    rows = cut(rows.join(of("dst", "slot", "heard_by"), ["dst", "slot"]).join(of("src", "answer_slot", "sent_by"), ["src", "answer_slot"]), "messages")
+    names = ("src", "dst", "sim", "slot", "answer_slot", "m0", "m1", "heard_by")
+    schema = rows.select(*names).schema
+    order = [r.colour for r in named.select("colour").distinct().orderBy("colour").collect()]
+
+    def laid_out(sent: DataFrame) -> str:
+        path = new_path(spark, "sent_by_colour")
+        sent.select(*names).write.partitionBy("heard_by").parquet(path)
+        return path
+
+    sent = {c: laid_out(rows.where(F.col("sent_by") == c)) for c in order}
     for _ in range(sweeps):
-        messages = cut(bp_step(messages, beliefs, table, low, high), "messages")
-    return marginals(messages, beliefs)
+        for c in order:
+            parts = []
+            # What each other colour has sent to this one, and is answered.
+            for other in order:
+                if other != c:
+                    parts.append(spark.read.schema(schema).parquet(sent[other]).where(F.col("heard_by") == c).withColumn("back_to", F.lit(other)))
+            if not parts:
+                continue
+            heard = reduce(DataFrame.unionByName, parts)
+            totals = exchange.totals(base, heard)
+            turned = exchange.turned(heard, totals, *compatibility(table, low, high), carried={"back_to": "heard_by"})
+            sent[c] = laid_out(turned)
+    last = reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(path) for path in sent.values()]) if sent else rows
+    return marginals_of(exchange.totals(base, last), exchange.beliefs)
 
 
 def bp_score(found: DataFrame) -> DataFrame:
@@ -131,25 +269,26 @@ def lbp_run(edges: DataFrame, beliefs: DataFrame, max_iter: int = 6, tol: float
 
     Stops when no message moves by ``tol`` or more. Potentials: t1, sim_only, sim, flat.
     """
-    beliefs = cut(beliefs, "beliefs")
+    exchange = Exchange(edges, beliefs)
     prior1 = F.when(F.col("label") == 1, 1.0).when(F.col("label") == 0, 0.0).otherwise(0.5)
-    priors = beliefs.select("id", "label", (1 - (1 - prior1)).alias("c0"), (1 - prior1).alias("c1"))
+    priors = exchange.beliefs.select("id", "label", (1 - (1 - prior1)).alias("c0"), (1 - prior1).alias("c1"))
     sim = F.col("sim")
     same, other = {"t1": (F.lit(0.5 - 1e-4), F.lit(0.5 + 1e-4)), "sim_only": (1 - sim, sim), "sim": (F.least(F.lit(low), 1 - sim), F.greatest(F.lit(high), sim)), "flat": (F.lit(0.5), F.lit(0.5))}[potential]
-    messages = cut(initial_messages(edges, priors).withColumns({"m0": F.lit(0.0), "m1": F.lit(0.0)}), "messages")
-    for _ in range(max_iter):
-        state = priors.select(F.col("id").alias("src"), "c0", "c1").join(sums_of(messages).withColumnRenamed("id", "src"), "src", "left")
-        back = messages.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("m0").alias("b0"), F.col("m1").alias("b1"))
-        joined = messages.join(state, "src").join(back, ["src", "dst"], "left")
-        free = F.col("sl").isNull()
-        h = [F.col(f"c{k}") + F.when(free, F.coalesce(f"s{k}", F.lit(0.0)) - F.coalesce(f"b{k}", F.lit(0.0))).otherwise(0.0) for k in (0, 1)]
-        new = [F.round(F.least(h[0] + (same if k == 0 else other), h[1] + (other if k == 0 else same)), 10) for k in (0, 1)]
-        moved = joined.select("src", "dst", "sim", "sl", new[0].alias("m0"), new[1].alias("m1"), (F.greatest(F.abs(new[0] - F.col("m0")), F.abs(new[1] - F.col("m1"))) >= tol).alias("moved"))
-        moved = cut(moved, "messages")
-        messages = moved.drop("moved")
-        if moved.where("moved").isEmpty():
+    # A labelled node sends its prior, the same in each sweep; before the first it has sent nothing.
+    c0, c1 = (F.col("sl") == 1).cast("double"), (F.col("sl") == 0).cast("double")
+    fixed = cut(exchange.fixed.select("dst", F.round(F.least(c0 + same, c1 + other), 10).alias("m0"), F.round(F.least(c0 + other, c1 + same), 10).alias("m1")), "fixed")
+    silent, base, rows = exchange.base(fixed.limit(0), priors), exchange.base(fixed, priors), exchange.kept(exchange.rows)
+    heard = silent
+    for sweep in range(max_iter):
+        new = exchange.kept(exchange.turned(rows, exchange.totals(heard, rows), same, other, 10))
+        was = rows.select("src", "dst", "slot", F.col("m0").alias("w0"), F.col("m1").alias("w1"))
+        gaps = new.join(was, ["dst", "slot", "src"]).select(*[F.abs(F.col(f"m{k}") - F.col(f"w{k}")).alias(f"g{k}") for k in (0, 1)])
+        if sweep == 0:
+            gaps = gaps.unionByName(fixed.select(F.abs("m0").alias("g0"), F.abs("m1").alias("g1")))
+        heard, rows = base, new
+        if gaps.where((F.col("g0") >= tol) | (F.col("g1") >= tol)).isEmpty():
             break
-    return marginals(messages, priors)
+    return marginals_of(exchange.totals(heard, rows), priors)
 
 
 def lbp_score(found: DataFrame, raw_sign: bool = False) -> DataFrame:

@@ -86,6 +86,16 @@ def bp_run(spark, sf_dir):
     return propagation.bp_run(edges, beliefs).select("id", F.round("cost0", 5).alias("cost0"), F.round("cost1", 5).alias("cost1"), "map_label")
 
 
+def bp_run_in_order(spark, sf_dir):
+    edges, beliefs = _prepared(spark, sf_dir)
+    found = cut(propagation.bp_run_in_order(edges, beliefs), "ordered")  # costs grow with every pass over a cycle: shares of them are compared
+    return propagation.bp_score(found).join(found, "id").select("id", F.round("score", 6).alias("score"), "map_label")
+
+
+def url_graph_colours(spark, sf_dir):
+    return propagation.colours(_graph(spark, sf_dir)[1])
+
+
 def lbp_run(spark, sf_dir):
     edges, beliefs = _prepared(spark, sf_dir)
     return propagation.lbp_score(propagation.lbp_run(edges, beliefs)).select("id", F.round("score", 5).alias("score"))
@@ -218,6 +228,34 @@ _BP = f"{_LINKS}, m0 AS MATERIALIZED (SELECT src, dst, sim, sl, c0, c1, m0, m1,
 _LBP = f"""{_LINKS}, prior AS (SELECT id, label, CASE label WHEN 1 THEN 1 WHEN 0 THEN 0 ELSE 0.5 END::DOUBLE AS c0, CASE label WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 0.5 END::DOUBLE AS c1 FROM beliefs),
     m0 AS MATERIALIZED (SELECT m.src, m.dst, m.sim, m.sl, p.c0, p.c1, 0::DOUBLE AS m0, 0::DOUBLE AS m1, true AS moved FROM msg m JOIN prior p ON p.id = m.src), """ + ", ".join(_sweep(k, False, "least(0.6, 1 - sim)", "greatest(1.0, sim)", 0.001) for k in range(1, 7))
 _COSTS = "costs AS (SELECT id, round(c0 + coalesce(s0, 0), 9) AS k0, round(c1 + coalesce(s1, 0), 9) AS k1 FROM {0} LEFT JOIN (SELECT dst AS id, sum(m0) AS s0, sum(m1) AS s1 FROM {1} GROUP BY dst) USING (id))"
+
+
+def _coloured(links: str, name: str, rounds: int = 40) -> str:
+    """SQL of a greedy colouring of ``links`` (src, dst in both directions): each round colours the nodes whose neighbours before them have colours."""
+    out = [f"""{name}_rank AS MATERIALIZED (SELECT src AS id, row_number() OVER (ORDER BY count(*) DESC, md5(src), src) AS r FROM {links} GROUP BY src),
+    {name}_way AS MATERIALIZED (SELECT l.dst AS id, l.src AS before FROM {links} l JOIN {name}_rank a ON a.id = l.src JOIN {name}_rank b ON b.id = l.dst WHERE a.r < b.r),
+    {name}_0 AS MATERIALIZED (SELECT id, CAST(NULL AS BIGINT) AS colour FROM {name}_rank)"""]
+    for k in range(1, rounds + 1):
+        out.append(f"""{name}_{k} AS MATERIALIZED (SELECT c.id, CASE WHEN c.colour IS NOT NULL THEN c.colour WHEN coalesce(u.ready, true)
+      THEN list_min(list_filter(range(len(coalesce(u.used, [])) + 1), lambda x: NOT list_contains(coalesce(u.used, []), x))) END AS colour FROM {name}_{k - 1} c LEFT JOIN (
+      SELECT w.id, bool_and(b.colour IS NOT NULL) AS ready, list(DISTINCT b.colour) AS used FROM {name}_way w JOIN {name}_{k - 1} b ON b.id = w.before GROUP BY w.id) u ON u.id = c.id)""")
+    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT id, CAST(colour AS INT) AS colour FROM {name}_{rounds})"])
+
+
+def _step(k: int, colour: int) -> str:
+    """SQL of the messages after the nodes of one colour have sent."""
+    held = [f"m.c{n} + coalesce(s.s{n}, 0) - coalesce(b.m{n}, 0)" for n in (0, 1)]
+    new = [f"least({held[0]} + {x}, {held[1]} + {y})" for x, y in (("least(0.7, 1 - m.sim)", "greatest(0.7, m.sim)"), ("greatest(0.7, m.sim)", "least(0.7, 1 - m.sim)"))]
+    pick = [f"CASE WHEN m.sl IS NULL AND m.colour = {colour} THEN {new[n]} ELSE m.m{n} END AS m{n}" for n in (0, 1)]
+    return f"""o{k} AS MATERIALIZED (SELECT m.src, m.dst, m.sim, m.sl, m.c0, m.c1, m.colour, {pick[0]}, {pick[1]} FROM o{k - 1} m
+      LEFT JOIN (SELECT dst AS id, sum(m0) AS s0, sum(m1) AS s1 FROM o{k - 1} GROUP BY dst) s ON s.id = m.src LEFT JOIN o{k - 1} b ON b.src = m.dst AND b.dst = m.src)"""
+
+
+#: Colours that the SQL makes steps for; the test graphs have fewer.
+_COLOURS = 6
+ORACLE["url_graph_colours"] = f"{_LINKS}, both_links AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), {_coloured('both_links', 'shade')} SELECT id, colour FROM shade"
+_ORDERED = f"{_LINKS}, free AS (SELECT src, dst FROM msg WHERE sl IS NULL), {_coloured('free', 'shade')}, o0 AS MATERIALIZED (SELECT m.*, colour FROM msg m LEFT JOIN shade ON shade.id = m.src), " + ", ".join(_step(k + 1, k % _COLOURS) for k in range(5 * _COLOURS))
+ORACLE["bp_run_in_order"] = f"{_ORDERED}, {_COSTS.format('beliefs', f'o{5 * _COLOURS}')} SELECT id, round(CASE WHEN k0 + k1 > 0 THEN 1 - k1 / (k0 + k1) ELSE 0.5 END, 6) AS score, CAST(k1 < k0 AS INT) AS map_label FROM costs"
 ORACLE["bp_run"] = f"{_BP}, {_COSTS.format('beliefs', 'm5')} SELECT id, round(k0, 5) AS cost0, round(k1, 5) AS cost1, CAST(k1 < k0 AS INT) AS map_label FROM costs"
 ORACLE["lbp_run"] = f"{_LBP}, {_COSTS.format('prior', 'm6')} SELECT id, round(CASE WHEN k0 + k1 > 0 THEN 1 - k1 / (k0 + k1) ELSE 0.5 END, 5) AS score FROM costs"
 _DRAW = "CAST(concat('0x', substring(md5(concat_ws(':', 42, '{0}', slot)), 1, 8)) AS BIGINT)"

@@ -27,9 +27,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder that is not there yet, in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written.path = path
@@ -39,3 +44,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def written_at(written: DataFrame) -> str:
     """The folder of a table that ``cut`` has written."""
     return written.path
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """``df`` written in as many buckets by ``keys`` as a shuffle has partitions, so that joins and aggregates by them need none.
+
+    The catalog entry is dropped at once; the files stay where ``cut`` would put them.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entry = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/{entry}").saveAsTable(entry)
+    written = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return written
