@@ -222,45 +222,96 @@ def reach_counts(distances: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("g", "node").join(up, ["g", "node"], "left").join(down, ["g", "node"], "left").fillna(0, ["ancestors", "descendants"])
 
 
-def chain_depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(g, depth): longest walk along each node's first successor (by ``ord``) until a node repeats."""
-    first = cut(edges.groupBy("g", F.col("src").alias("at")).agg(F.min_by("dst", F.struct("ord", "dst")).alias("next")), "first")
-    if first.isEmpty():
+def _jumped(rows: DataFrame) -> DataFrame:
+    """Each row (g, at, to, steps, lo) taken on to where the row of its ``to`` leads; ``to`` is null once there is no such row."""
+    ahead = rows.select("g", F.col("at").alias("to"), F.col("to").alias("then"), F.col("steps").alias("more"), F.col("lo").alias("lower"))
+    met = VertexCut(rows.where("to is not null"), ["g", "to"], ["at"])
+    # Nodes without a successor have no row of their own: there the way ends.
+    ends = rows.where("to is not null").join(ahead.select("g", "to"), ["g", "to"], "left_anti").select("g", "at", F.lit(None).cast("string").alias("to"), "steps", "lo")
+    moved = met.met(ahead).select("g", "at", F.col("then").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("lo", "lower").alias("lo"))
+    return rows.where("to is null").unionByName(moved).unionByName(ends)
+
+
+def chain_depths(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(g, depth): longest walk along each node's first successor (by ``ord``) until a node repeats.
+
+    Pointer doubling on the functional graph: a round doubles how far every row sees, so the rounds are the logarithm of the nodes. What then still
+    leads somewhere leads to a cycle; a walk's depth is its way to the cycle and the cycle's length, or its way to the end.
+    """
+    first = cut(edges.groupBy("g", F.col("src").alias("at")).agg(F.min_by("dst", F.struct("ord", "dst")).alias("to")), "first")
+    largest = first.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if not largest:
         return first.select("g", F.lit(0).alias("depth"))
-    walk = first.select("g", F.col("at").alias("start"), "at", F.lit(0).alias("depth"), F.array("at").alias("path"))
-    best = first.select("g", F.lit(0).alias("depth"))
-    for _ in range(max_rounds):
-        moved = walk.join(first, ["g", "at"]).select("g", "start", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth"), "path")
-        moved = cut(moved.withColumn("again", F.array_contains("path", F.col("at"))).withColumn("path", F.concat("path", F.array("at"))), "walks")
-        best = cut(best.unionByName(moved.select("g", "depth")).groupBy("g").agg(F.max("depth").alias("depth")), "best")
-        walk = moved.where("not again").drop("again")
-        if walk.isEmpty():
-            return best
-    raise RuntimeError(f"walks left after {max_rounds} rounds")
+
+    def followed(rows: DataFrame, far: int) -> DataFrame:
+        """Rows jumped until none leads on or all see at least ``far`` steps."""
+        rows, sees = cut(rows, "jumps"), 1
+        for _ in range(max_rounds):
+            if sees >= far or rows.where("to is not null").isEmpty():
+                return rows
+            rows, sees = cut(_jumped(rows), "jumps"), 2 * sees
+        raise RuntimeError(f"walks left after {max_rounds} rounds")
+
+    one = F.lit(1).cast("long").alias("steps")
+    # The last row of a walk without a cycle needs one more step to find that nothing follows.
+    seen = followed(first.select("g", "at", "to", one, F.col("at").alias("lo")), 2 * largest + 2)
+    ended = seen.where("to is null").select("g", "steps")
+    cyclic = seen.where("to is not null")
+    on_cycle = cut(cyclic.select("g", F.col("to").alias("at")).distinct().join(cyclic.select("g", "at", "lo"), ["g", "at"]), "on_cycle")
+    depths = ended
+    if not on_cycle.isEmpty():
+        nothing, none = F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("steps")
+        ways = first.join(cyclic.select("g", "at"), ["g", "at"], "left_semi").join(on_cycle.select("g", "at"), ["g", "at"], "left_anti")
+        tails = followed(ways.select("g", "at", "to", one, F.col("at").alias("lo")).unionByName(on_cycle.select("g", "at", nothing, none, F.col("at").alias("lo"))), 2 * largest + 2)
+        # Walks into one cycle share its least node, which only those on the cycle know: they pass it on by where they lead.
+        sizes = on_cycle.groupBy("g", "lo").agg(F.count(F.lit(1)).alias("size"))
+        cycle = cyclic.select("g", "at", F.col("to").alias("met")).join(on_cycle.select("g", F.col("at").alias("met"), "lo"), ["g", "met"]).join(sizes, ["g", "lo"]).select("g", "at", "size")
+        depths = depths.unionByName(tails.select("g", "at", "steps").join(cycle, ["g", "at"]).select("g", (F.col("steps") + F.col("size")).alias("steps")))
+    return depths.groupBy("g").agg(F.max("steps").cast("int").alias("depth"))
+
+
+def ranked_neighbours(edges: DataFrame) -> DataFrame:
+    """(g, tail, rank, next, next_n): undirected neighbours of each node, numbered from 0 in order of slot and name, and how many neighbours
+    each of them has. A hub's neighbours are numbered slot by slot."""
+    split = VertexCut(both_ways(edges), ["g", "u"], ["v"])
+    rows = cut(split.rows, "near")
+    by_slot = rows.groupBy("g", "u", "slot").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("g", "u").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = by_slot.withColumn("before", before)
+    numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy("g", "u", "slot").orderBy("v")) - 1).join(offsets.select("g", "u", "slot", "before"), ["g", "u", "slot"])
+    degree = by_slot.groupBy("g", "u").agg(F.sum("k").alias("next_n"))
+    # Both directions are there, so a neighbour's own rows are dealt by the same cut.
+    turned = split.placed(numbered.drop("slot"), ["u"], {"u": "v"}) if split.any else numbered
+    far = split.mirrored(degree).withColumnRenamed("u", "v")
+    return turned.join(far, ["g", "v", "slot"]).select("g", F.col("u").alias("tail"), (F.col("row") + F.col("before")).cast("long").alias("rank"), F.col("v").alias("next"), "next_n")
 
 
 def random_walks(edges: DataFrame, nodes: DataFrame, num: int = 10, length: int = 40, seed: int = 42) -> DataFrame:
     """(g, start, walk_no, walk): uniform walks over undirected neighbours, repeatable for a seed.
 
-    The step's choice is a hash of (seed, walk, step) modulo the number of neighbours; dead ends stop.
+    The step's choice is a hash of (seed, walk, step) modulo the number of neighbours; dead ends stop. A step joins each walk with the one
+    neighbour row that it has drawn, (tail, rank), which also tells how many neighbours come next: walks at a hub are spread over its neighbours.
     """
-    near = cut(both_ways(edges).groupBy("g", F.col("u").alias("tail")).agg(F.sort_array(F.collect_list("v")).alias("near")), "near")
-    walks = nodes.select("g", F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("walk_no")).withColumn("tail", F.col("start")).withColumn("walk", F.array("start"))
+    near = cut(ranked_neighbours(edges), "near")
+    starts = nodes.select("g", F.col("node").alias("start")).distinct().join(near.groupBy("g", F.col("tail").alias("start")).agg(F.count(F.lit(1)).alias("n")), ["g", "start"], "left")
+    walks = starts.select("g", "start", F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("walk_no"), F.col("start").alias("tail"), "n", F.array("start").alias("walk"))
+    walks = cut(walks, "walks")
+    stuck = walks.where("n is null").select("g", "start", "walk_no", "walk")
+    walks = walks.where("n is not null")
     for step in range(1, length):
-        picked = F.col("near")[F.pmod(hash_draw(F.lit(seed), F.lit(step), F.col("start"), F.col("walk_no")), F.size("near")).cast("int")]
-        walks = walks.join(near, ["g", "tail"], "left").withColumn("next", picked)
-        walks = walks.select("g", "start", "walk_no", F.coalesce("next", "tail").alias("tail"), F.when(F.col("next").isNotNull(), F.concat("walk", F.array("next"))).otherwise(F.col("walk")).alias("walk"))
+        rank = F.pmod(hash_draw(F.lit(seed), F.lit(step), F.col("start"), F.col("walk_no")), F.col("n"))
+        met = walks.withColumn("rank", rank).join(near, ["g", "tail", "rank"])
+        walks = met.select("g", "start", "walk_no", F.col("next").alias("tail"), F.col("next_n").alias("n"), F.concat("walk", F.array("next")).alias("walk"))
         if step % 8 == 0:
             walks = cut(walks, "walks")
-    return walks.select("g", "start", "walk_no", "walk")
+    return walks.select("g", "start", "walk_no", "walk").unionByName(stuck)
 
 
-def deepwalk(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 5, seed: int = 42):
-    """Skip-gram vectors (word, vector) of the walks' nodes, by Spark ML."""
-    from pyspark.ml.feature import Word2Vec
+def deepwalk(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 5, seed: int = 42, block: int | None = None) -> DataFrame:
+    """(word, vector): skip-gram vectors of the walks' nodes, trained block by block on the executors."""
+    from pagelattice.operators import embeddings
 
-    text = walks.select(F.transform("walk", lambda x: x.cast("string")).alias("walk"))
-    return Word2Vec(vectorSize=dim, windowSize=window, minCount=0, maxIter=epochs, seed=seed, inputCol="walk", outputCol="vector").fit(text).getVectors()
+    return embeddings.skip_gram(walks, dim=dim, window=window, epochs=epochs, seed=seed, block=block or embeddings.BLOCK)
 
 
 PROFILE_SCHEMA = """g long, node string, component string, sum_in long, n_in long, n_out long, eccentricity long, sum_undirected long,
