@@ -4,9 +4,11 @@
   URL, address, date, type, length; version 2 adds result code, checksum, location, offset and file
   name) and the declared length delimits the body. ``read_arcs`` does so for ``.arc`` and ``.arc.gz``
   files, ``pages_to_arc`` renders pages as such records, ``arc_records`` parses them.
+  The body of an HTTP capture is the whole response: its head is kept as it is, and the payload and its digest begin after it.
+  Records that cannot be read become rows with a status, counted by ``status_counts`` and left out of archives.
 * ``arc_to_warc`` synthesises record ids, dates, types and digests. Of records with equal payloads
   the one with the largest page_id is a response; the others are revisits that refer to it and
-  carry no payload.
+  carry no payload. Bodies without an HTTP head get one that names code and type, or, where the URL is not of HTTP, are resources.
 * ``write_archives`` stores each record as a gzip member of its own, after a warcinfo record at the start of
   each file. Spark's text writer puts a constant separator between rows; here that is a gzip member
   that holds CRLF CRLF, which ends a WARC record. So a file unpacks to a plain WARC stream, it can be
@@ -25,6 +27,7 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import http.client
 import re
 import uuid
 import zlib
@@ -139,16 +142,18 @@ class Stream:
         self.held += found
         return True
 
-    def line(self) -> bytes | None:
+    def line(self, strict: bool = True) -> bytes | None:
         """The next line that is not empty, without its end; None at the end of the stream."""
         while True:
             seen = len(self.held) - self.at
             end = self.held.find(b"\n", self.at)
             while end < 0:
                 if not self.more():
-                    if self.held[self.at :].strip():
+                    rest = bytes(self.held[self.at :])
+                    if strict and rest.strip():
                         raise ValueError("the stream ends in a header")
-                    return None
+                    self.at = len(self.held)
+                    return rest or None
                 end = self.held.find(b"\n", self.at + seen)
                 seen = len(self.held) - self.at
             found = bytes(self.held[self.at : end]).rstrip(b"\r")
@@ -165,6 +170,19 @@ class Stream:
         self.at = end + 1
         return found
 
+    def body(self, n: int, strict: bool) -> bytes | None:
+        """The next n bytes if the stream or their line ends there; else ValueError or None, and the stream stays where it is."""
+        while len(self.held) - self.at <= n and self.more():
+            pass
+        end = self.at + n
+        if len(self.held) < end or (len(self.held) > end and self.held[end] not in b"\r\n"):
+            if strict:
+                raise ValueError("a body does not end where declared")
+            return None
+        found = bytes(self.held[self.at : end])
+        self.at = end
+        return found
+
     def take(self, n: int) -> bytes:
         while len(self.held) - self.at < n:
             if not self.more():
@@ -174,27 +192,70 @@ class Stream:
         return found
 
 
-def parse_arc(data: Iterable[bytes]) -> Iterator[dict]:
-    """Records of an ARC byte stream, given in chunks: header fields by the version in force, and body.
+_IP, _DAY = rb"(\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*|-)", rb"(\d{4,17})"
+#: Headers read from both ends: URLs and types may hold blanks, the fields between them cannot.
+ARC_HEADERS = {
+    1: re.compile(rb"(.*?) " + _IP + rb" " + _DAY + rb" (.*) (\d{1,18})"),
+    2: re.compile(rb"(.*?) " + _IP + rb" " + _DAY + rb" (.*) (\d{1,3}|-) (\S+) (\S+) (\d+|-) (.*) (\d{1,18})"),
+}
+OK, BAD_HEADER, BAD_LENGTH, BAD_DATE = "ok", "bad header", "bad length", "bad date"
+
+
+def split_http(body: bytes) -> tuple[bytes | None, bytes]:
+    """The head of an HTTP response with its blank line, and what follows it; None and the whole body where there is none."""
+    if re.match(rb"HTTP/\d(?:\.\d)? \d{3}", body):
+        end = re.search(rb"\r?\n\r?\n", body)
+        if end:
+            return body[: end.end()], body[end.end() :]
+    return None, body
+
+
+def arc_header(line: bytes, version: int | None) -> dict | None:
+    """The fields of a header line; None if it is none."""
+    whole = ARC_HEADERS[version].fullmatch(line) if version in ARC_HEADERS else None
+    return whole and dict(zip(ARC_FIELDS[version], (g.decode("utf-8", "replace") for g in whole.groups()), strict=True))
+
+
+def parse_arc(data: Iterable[bytes], strict: bool = True) -> Iterator[dict]:
+    """Records of an ARC byte stream, given in chunks: header fields by the version in force, ``http`` (the head of an HTTP response,
+    where the body has one), ``body`` (what follows it) and ``status``.
 
-    A version block may come at any record boundary. A header with the wrong number of fields or
-    without a length ends the stream with ValueError.
+    A version block may come at any record boundary. A header that cannot be read, a length that no record boundary follows or
+    a date that is none ends a ``strict`` stream with ValueError. Otherwise it gives a row with that status and no body, and
+    reading goes on at the next line that is a header.
     """
-    stream, version = Stream(data), None
-    while (line := stream.line()) is not None:
-        parts = line.decode("utf-8", "replace").split(" ")
-        body = stream.take(int(parts[-1]))
-        if parts[0].startswith("filedesc://"):
-            version = int(body.split(b" ", 1)[0])
+    stream, version, lost = Stream(data), None, False
+    while (line := stream.line(strict)) is not None:
+        opening = re.fullmatch(rb"filedesc://.* (\d{1,18})", line)
+        fields = None if opening else arc_header(line, version)
+        if opening is None and fields is None:
+            if strict:
+                raise ValueError(f"not an ARC version {version} header: {line[:200]!r}")
+            if not lost:
+                yield {"version": version, "url": line[:200].decode("utf-8", "replace"), "http": None, "body": None, "status": BAD_HEADER}
+            lost = True  # one row for all lines up to the next header
+            continue
+        body = stream.body(int(opening[1] if opening else fields["length"]), strict)
+        lost = body is None
+        if opening:
+            version = int(found[0]) if body and (found := re.match(rb"\d+", body)) else version
+            continue
+        if body is None:
+            yield fields | {"version": version, "http": None, "body": None, "status": BAD_LENGTH}
+            continue
+        try:
+            warc_date(fields["date"])
+        except ValueError:
+            if strict:
+                raise
+            yield fields | {"version": version, "http": None, "body": None, "status": BAD_DATE}
             continue
-        names = ARC_FIELDS.get(version)
-        if names is None or len(parts) != len(names):
-            raise ValueError(f"not an ARC version {version} header: {line[:200]!r}")
-        yield dict(zip(names, parts, strict=True)) | {"version": version, "body": body}
+        head, payload = split_http(body)
+        yield fields | {"version": version, "http": head, "body": payload, "status": OK}
 
 
-RECORD_SCHEMA = "page_id long, url string, ip string, date string, type string, code string, version int, length long, digest string, body binary"
-RECORD_TYPES = [pa.int64(), *[pa.string()] * 5, pa.int32(), pa.int64(), pa.string(), pa.binary()]
+RECORD_SCHEMA = "page_id long, url string, ip string, date string, type string, code string, version int, status string, length long, digest string, http binary, body binary"
+RECORD_TYPES = [pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
 RECORD_NAMES = [field.split(" ")[0] for field in RECORD_SCHEMA.split(", ")]
 
 
@@ -207,8 +268,9 @@ def record_batches(found: Iterable[tuple[int | None, dict]], rows: int = 500, he
 
     for page_id, arc in found:
         body = arc["body"]
-        out.append((page_id, *(arc.get(k) for k in ("url", "ip", "date", "type", "code", "version")), len(body), sha1_base32(body), body))
-        size += len(body)
+        known = (None, None) if body is None else (len(body), sha1_base32(body))
+        out.append((page_id, *(arc.get(k) for k in ("url", "ip", "date", "type", "code", "version", "status")), *known, arc["http"], body))
+        size += len(body or b"") + len(arc["http"] or b"")
         if len(out) >= rows or size > held:
             yield batch()
             out, size = [], 0
@@ -216,6 +278,11 @@ def record_batches(found: Iterable[tuple[int | None, dict]], rows: int = 500, he
         yield batch()
 
 
+def http_head(code: str, kind: str, length: int) -> bytes:
+    """The head of an HTTP response, for bodies that have none."""
+    return f"HTTP/1.1 {code} {http.client.responses.get(int(code), 'Unknown')}\r\nContent-Type: {kind}\r\nContent-Length: {length}\r\n\r\n".encode()
+
+
 def pages_to_arc(pages: DataFrame) -> DataFrame:
     """page_id, url, arc (a version block and one record; odd ids as version 1, even as version 2)."""
 
@@ -225,7 +292,7 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
             for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), byte_column(batch, "html"), strict=True):
                 version = 1 if (page or 0) % 2 else 2
                 name = f"pages-v{version}.arc"
-                out.append(arc_version_block(version, name) + arc_record(version, url or "", CAPTURE_DATE, "text/html", html, name))
+                out.append(arc_version_block(version, name) + arc_record(version, url or "", CAPTURE_DATE, "text/html", http_head("200", "text/html; charset=utf-8", len(html)) + html, name))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.binary())], ["page_id", "url", "arc"])
 
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -238,7 +305,7 @@ def arc_records(arcs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             blobs = zip(batch.column("page_id").to_pylist(), batch.column("arc").to_pylist(), strict=True)
-            yield from record_batches((page_id, arc) for page_id, blob in blobs for arc in parse_arc(unpacked([blob or b""])))
+            yield from record_batches((page_id, arc) for page_id, blob in blobs for arc in parse_arc(unpacked([blob or b""]), strict=False))
 
     return arcs.select("page_id", "arc").mapInArrow(scan, RECORD_SCHEMA)
 
@@ -250,11 +317,16 @@ def read_arcs(spark: SparkSession, path: str) -> DataFrame:
         for batch in slices(batches, 1):
             for blob in batch.column("content").to_pylist():
                 pieces = (blob[k : k + (1 << 20)] for k in range(0, len(blob), 1 << 20))  # noqa: B023
-                yield from record_batches((None, arc) for arc in parse_arc(unpacked(pieces)))
+                yield from record_batches((None, arc) for arc in parse_arc(unpacked(pieces), strict=False))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, RECORD_SCHEMA)
 
 
+def status_counts(records: DataFrame) -> DataFrame:
+    """(version, status, records): how many records could be read, and why others could not."""
+    return records.groupBy("version", "status").agg(F.count(F.lit(1)).alias("records"))
+
+
 # --- ARC to WARC ---------------------------------------------------------------------------------
 
 
@@ -283,28 +355,36 @@ def warcinfo(run: str, number: int) -> bytes:
 def warc_record(arc: dict, refers_to: int | None) -> bytes:
     """A WARC record without its closing CRLF CRLF: response, or revisit of ``refers_to``."""
     page_id, payload, digest = arc["page_id"], arc["body"], arc["digest"]
-    http = f"HTTP/1.1 {arc['code'] or '200'} OK\r\nContent-Type: {arc['type']}; charset=utf-8\r\nContent-Length: {arc['length']}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+    url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), arc["url"])
+    head = arc["http"]
+    plain = head is None and not re.match(r"(?i)https?:|-?$", url)  # of ftp, dns and the like
+    if head is None and not plain:
+        code = arc["code"] if arc["code"] and arc["code"].isdigit() and int(arc["code"]) else "200"
+        head = http_head(code, arc["type"], arc["length"])
+    head = head or b""
+    block = head if refers_to is not None else head + payload
+    kind = "revisit" if refers_to is not None else "resource" if plain else "response"
     fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Type", kind),
         ("WARC-Record-ID", record_id(page_id, digest, arc["url"])),
         ("WARC-Date", warc_date(arc["date"])),
-        ("WARC-Target-URI", arc["url"]),
+        ("WARC-Target-URI", url),
         ("WARC-IP-Address", arc["ip"]),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
         ("WARC-Source-Format", f"ARC/{arc['version']}"),
+        ("X-Payload-Length", arc["length"]),
     ]
     if page_id is not None:
         fields.append(("X-Page-ID", page_id))
     if refers_to is not None:
         fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", refers_to), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")]
-    return warc_head([*fields, ("Content-Type", "application/http; msgtype=response")], len(block)) + block
+    return warc_head([*fields, ("Content-Type", arc["type"] if plain else "application/http; msgtype=response")], len(block)) + block
 
 
 def arc_to_warc(records: DataFrame, min_revisit: int = 0) -> DataFrame:
     """One WARC record (binary ``value``, a gzip member) for each ARC record, after a warcinfo for each partition."""
-    parsed = cut(records, "arc_records")
+    parsed = cut(records.where(F.col("status") == OK), "arc_records")
     digests = parsed.where((F.col("length") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest", "length")
     firsts = digests.groupBy("digest", "length").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to > least").drop("least")
     repeats = hot_join(digests, firsts, ["digest", "length"], ["page_id"]).where("page_id < refers_to").distinct()
@@ -371,19 +451,21 @@ def archive_row(fields: dict, block: bytes) -> tuple | None:
     header where it has one; a revisit's come from its headers.
     """
     kind = fields["warc-type"]
-    if kind not in ("response", "revisit"):
+    if kind not in ("response", "revisit", "resource"):
         return None
-    head, _, payload = block.partition(END)
-    declared = next((int(x.partition(b":")[2]) for x in head.split(CRLF) if x.lower().startswith(b"content-length:")), None)
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response":
+    head, payload = (b"", block) if kind == "resource" else split_http(block)
+    declared = fields.get("x-payload-length") or next((x.partition(b":")[2].strip().decode("latin-1") for x in (head or b"").splitlines() if x.lower().startswith(b"content-length:")), "")
+    declared = int(declared) if declared.isdigit() else None
+    digest = fields.get("warc-payload-digest", "")
+    digest = digest.removeprefix("sha1:") if digest.startswith("sha1:") else ""
+    if kind != "revisit":
         found = sha1_base32(payload)
-        if (digest and found != digest) or (declared is not None and len(payload) != declared):
+        if digest and found != digest:
             raise ValueError(f"payload of {fields['warc-record-id']} is damaged: {found}")
         declared, digest = len(payload), found
     number = lambda name: int(fields[name]) if name in fields else None
     shown = (fields.get("warc-target-uri"), fields["warc-record-id"], fields["warc-date"], kind)
-    return (number("x-page-id"), *shown, number("x-refers-to-page-id"), declared, digest or None, payload if kind == "response" else None)
+    return (number("x-page-id"), *shown, number("x-refers-to-page-id"), declared, digest or None, payload if kind != "revisit" else None)
 
 
 def archive_batches(rows: Iterable[tuple | None], most: int = 500, held: int = 1 << 24) -> Iterator[pa.RecordBatch]:
