@@ -1,14 +1,18 @@
 """HTML extraction (7): line-block distribution.
 
-Markup is stripped into lines, one for each block of text; what is not content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments, as far as elements or their names tell) goes with it.
-A line's length is that of its text, or 0 if it is mostly links outside of any ``article`` or ``main``: a
-menu without a name. Lengths are summed over sliding windows of ``window`` lines. Text surges at a line with
-length whose window of lines before it is empty, and dives at one whose window after it is empty. The lines
-from a surge point to its dive point are kept if their highest window holds ``surge`` characters, or is the
-highest of the page. A run of links separates only text of different sections: the dive point moves on to the
-next one if the lines at both sides of the run stand in the same section, and the links between them stay.
-Windows are never summed across the edge of an ``article`` or ``main``.
+Markup is stripped into lines, one for each block of text. What is not content by its element or name (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, comments) is stripped as markup is and leaves empty lines; so does markup between two
+texts, a line for each pair of block tags beyond those that end one block and begin the next.
+
+A line's length is that of its text outside of links. Lengths are summed over sliding windows of ``window`` lines
+to each side. The page sets the threshold itself: ``share`` of the length that the line of a random character has (sum of squares over sum). Text
+surges at a line whose window reaches the threshold after one that did not, and dives where the windows fall below it again. Between
+the two points all text is kept, links and short lines too. A window reaches beyond the text that fills it, so both points move inwards to
+the nearest paragraph or line that reaches the threshold by itself, and from there outwards again over text of the sections around it (the
+nearest ``div``, ``section`` or the like; items of lists only where other text of the section lies beyond them) and over headings right before.
+
+Lines of an ``article`` or ``main`` reach the threshold by themselves: what a page declares as its article surges at its first line and
+dives at its last, however short. Then nothing outside is kept that the windows do not find.
 
 An element is left out by name if a whole class or id is a name of such content, alone or with words of place and shape
 (``cookie-notice``, ``sidebar-left``; not ``with-sidebar``, ``no-comments``). Where no ``article`` or ``main`` stands
@@ -27,6 +31,8 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import html
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -70,6 +76,7 @@ NEVER_WRAPPERS = frozenset(
 )
 ARTICLES = frozenset(("article", "main"))
 LISTS = frozenset("table ul ol dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("div section body html".split()) | LISTS | ARTICLES
 NEVER_BY_NAME = frozenset(("html", "body"))
 DROPPED_ARTICLES = frozenset("comment comments reply replies related ad ads advert promo sponsored".split())
@@ -77,15 +84,19 @@ DROPPED_ARTICLES = frozenset("comment comments reply replies related ad ads adve
 
 class Line:
     """A block of text, or an empty line (``text`` is ""). ``article`` and ``section`` number the outermost article
-    and the nearest section around it, lists and tables aside; 0 is none and the body."""
+    and the nearest section around it, lists and tables aside; 0 is none and the body. ``kind`` is "item", "heading", "paragraph" or "text"."""
 
-    __slots__ = ("article", "linked", "section", "text")
+    __slots__ = ("article", "kind", "linked", "section", "text")
 
-    def __init__(self, text: str = "", article: int = 0, linked: int = 0, section: int = 0):
-        self.text, self.article, self.linked, self.section = text, article, linked, section
+    def __init__(self, text: str = "", article: int = 0, linked: int = 0, section: int = 0, kind: str = "text"):
+        self.text, self.article, self.linked, self.section, self.kind = text, article, linked, section, kind
 
 
 KEPT, NAMED, LEFT_OUT = 0, 1, 2
+#: Empty lines that markup leaves between two texts, at most; any number beyond the window is alike.
+MOST_EMPTY = 8
+#: Sections around a line that are looked at.
+DEEP = 16
 
 
 class Named:
@@ -144,35 +155,36 @@ class Element:
 class Parser:
     """Lines of a page, and what the elements left out by name hold, by their number; those of ``kept`` are not left out."""
 
-    def __init__(self, gap: int, kept: frozenset[int]):
-        self.gap, self.kept = gap, kept
+    def __init__(self, kept: frozenset[int]):
+        self.kept = kept
+        self.tags, self.stripped = 0, False  # block tags since the last text, and whether text was left out since
         self.lines: list[Line] = []
+        self.above: dict[int, int] = {}
         self.named: dict[int, Named] = {}
         self.stack = [Element("")]
         self.open: dict[str, int] = {}  # block elements by name
         self.text: list[str] = []
-        self.linked = self.links = self.n = 0
+        self.linked = self.links = self.n = self.items = 0
 
     def flush(self) -> None:
         if self.text:
             block = SPACE.sub(" ", html.unescape("".join(self.text))).strip()
             if block:
                 top = self.stack[-1]
-                self.lines.append(Line(block, top.article, self.linked, top.section))
+                empty = max(int(self.stripped), self.tags // 2 - 1)
+                self.lines += [Line() for _ in range(min(empty, MOST_EMPTY))]
+                self.tags, self.stripped = 0, False
+                kind = "heading" if top.name in HEADINGS else "item" if self.items else "paragraph" if top.name == "p" else "text"
+                self.lines.append(Line(block, top.article, min(self.linked, len(block)), top.section, kind))
             self.text.clear()
         self.linked = 0
 
-    def edge(self, element: Element) -> None:
-        if not element.out:
-            self.lines += [Line() for _ in range(self.gap)]
-
     def pop(self, name: str) -> None:
         """Closes block elements up to the nearest one of that name, which is open."""
         while True:
             gone = self.stack.pop()
             self.open[gone.name] -= 1
-            if gone.article and not self.stack[-1].article:
-                self.edge(gone)
+            self.items -= gone.name in LISTS
             if gone.name == name:
                 return
 
@@ -182,8 +194,11 @@ class Parser:
             self.text.append(piece)
             if self.links:
                 self.linked += len(piece)
-        elif out == NAMED and not self.links:
-            self.named[named].size += len(SPACE.sub(" ", piece).strip())
+            return
+        size = len(SPACE.sub(" ", piece).strip())
+        self.stripped |= size > 0
+        if out == NAMED and not self.links:
+            self.named[named].size += size
 
     def close(self, name: str) -> None:
         if name in INLINE:
@@ -200,6 +215,7 @@ class Parser:
                 self.text.append(" ")
             else:
                 self.flush()
+                self.tags += self.stack[-1].out == KEPT
             self.links = 0
             self.pop(name)
 
@@ -236,10 +252,12 @@ class Parser:
             top.inline.append((name, out, named))
             top.counts[name] = top.counts.get(name, 0) + 1
             return
+        self.tags += out == KEPT and name not in CELLS
         section = self.n if name in SECTIONS - LISTS - NEVER_BY_NAME else top.section
+        if section == self.n:
+            self.above[section] = top.section
         made = Element(name, out, top.article or (self.n if name in ARTICLES else 0), section, named)
-        if made.article and not top.article:
-            self.edge(made)
+        self.items += name in LISTS
         self.stack.append(made)
         self.open[name] = self.open.get(name, 0) + 1
 
@@ -276,54 +294,97 @@ class Parser:
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
 
-def page_lines(page: str, gap: int, spared: float = 0.75) -> list[Line]:
-    """The lines of a page; ``gap`` empty ones at each edge of an article."""
+def page_lines(page: str, spared: float = 0.75) -> tuple[list[Line], dict[int, int]]:
+    """The lines of a page, empty ones where markup or what is left out lay; and for each section the one around it."""
     kept: frozenset[int] = frozenset()
     while True:
-        parser = Parser(gap, kept)
+        parser = Parser(kept)
         parser.feed(page)
         lines, named = parser.lines, parser.named
         if any(x.article for x in lines):
-            return lines
+            return lines, parser.above
         rest = sum(max(0, len(x.text) - x.linked) for x in lines)
         mains = [n for n, x in named.items() if x.main]
         articles = [n for n, x in named.items() if x.wrapper and x.article and x.size >= rest]
         large = [max((n for n, x in named.items() if x.wrapper), key=lambda n: named[n].size, default=0)]
         if not mains and not articles and (not large[0] or named[large[0]].size <= spared * (rest + named[large[0]].size)):
-            return lines
+            return lines, parser.above
         kept |= frozenset(mains or articles or large)
 
 
-def article_lines(lines: list[Line], window: int = 3, surge: int = 120, max_linked: float = 0.6) -> list[str]:
-    """The lines between surge and dive points."""
-    sizes = [0 if not x.article and x.linked > max_linked * len(x.text) else len(x.text) for x in lines]
-    places = [k for k, size in enumerate(sizes) if size]
-    if not places:
-        return []
-    runs: list[list[int]] = []  # surge and dive points, and the size of the highest window between them
-    for k in places:
-        top = sum(sizes[k : k + window])
-        before = runs[-1][1] if runs else -1
-        links_only = runs and all(lines[j].text for j in range(before + 1, k))
-        if runs and (k - before <= window or (links_only and lines[before].section == lines[k].section)):
-            runs[-1][1:] = [k, max(runs[-1][2], top)]
-        else:
-            runs.append([k, k, top])
-    least = min(surge, max(top for _, _, top in runs))
-    return [lines[k].text for first, last, top in runs if top >= least for k in range(first, last + 1) if lines[k].text]
-
-
-def main_text(page: str | None, window: int = 3, surge: int = 120) -> str:
+def line_sizes(lines: list[Line], share: float) -> tuple[list[int], float]:
+    """The length of each line and the page's threshold; lines of an article have at least the threshold's."""
+    plain = [len(x.text) - x.linked for x in lines]
+    if not any(plain):
+        plain = [len(x.text) for x in lines]  # nothing but links
+    total = sum(plain)
+    least = max(1.0, share * sum(n * n for n in plain) / total) if total else 1.0
+    return [max(n, math.ceil(least)) if x.article and x.text else n for n, x in zip(plain, lines, strict=True)], least
+
+
+def surges(sizes: list[int], least: float, window: int) -> list[tuple[int, int]]:
+    """First and last line of each run of lines whose windows, ``window`` lines to each side, hold at least ``least`` characters."""
+    sums, runs, start = [0, *itertools.accumulate(sizes)], [], None
+    for k in range(len(sizes)):
+        high = sums[min(len(sizes), k + window + 1)] - sums[max(0, k - window)] >= least
+        if high and start is None:
+            start = k
+        elif not high and start is not None:
+            runs.append((start, k - 1))
+            start = None
+    return [*runs, (start, len(sizes) - 1)] if start is not None else runs
+
+
+def moved(lines: list[Line], above: dict[int, int], begin: int, end: int, window: int) -> tuple[int, int]:
+    """A run's points moved outwards from its own lines over text of the sections around them, and over headings right before.
+
+    At most ``window`` lines of other sections may lie in between; items at the rim of a section are taken only if other text of
+    it goes on beyond them.
+    """
+    points = []
+    for step, edge in ((-1, begin), (1, end)):
+        around, section = {lines[edge].section}, lines[edge].section
+        while section and len(around) < DEEP:
+            section = above[section]
+            around.add(section)
+        at, held, others = edge + step, edge, 0
+        while 0 <= at < len(lines) and others <= window:
+            if lines[at].text:
+                if lines[at].section not in around:
+                    others += 1
+                elif lines[at].kind != "item":
+                    held, others = at, 0
+            at += step
+        points.append(held)
+    begin, end = points
+    while begin and lines[begin - 1].kind == "heading" and lines[begin - 1].text:
+        begin -= 1
+    return begin, end
+
+
+def article_lines(lines: list[Line], above: dict[int, int], window: int = 2, share: float = 0.5) -> list[str]:
+    """The texts between surge and dive points; ``above`` has for each section the one around it."""
+    sizes, least = line_sizes(lines, share)
+    out: dict[int, None] = {}
+    for first, last in surges(sizes, least, window):
+        core = [k for k in range(first, last + 1) if sizes[k] >= least or (sizes[k] and lines[k].kind == "paragraph")]
+        if core:
+            begin, end = moved(lines, above, core[0], core[-1], window)
+            out.update(dict.fromkeys(k for k in range(begin, end + 1) if lines[k].text))
+    return [lines[k].text for k in sorted(out)]
+
+
+def main_text(page: str | None, window: int = 2, share: float = 0.5) -> str:
     """The article's blocks joined by two newlines."""
-    return "\n\n".join(article_lines(page_lines(page, window), window, surge)) if page else ""
+    return "\n\n".join(article_lines(*page_lines(page), window, share)) if page else ""
 
 
-def extract(pages: DataFrame, window: int = 3, surge: int = 120) -> DataFrame:
+def extract(pages: DataFrame, window: int = 2, share: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars (code points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [main_text(x, window, surge) for x in batch.column("html").to_pylist()]
+            texts = [main_text(x, window, share) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
