@@ -41,7 +41,7 @@ SENSITIVE_KEYS = (
 )
 SECRET_TOKEN = r"(?:AIza[0-9A-Za-z_-]{30,}|ya29\.[0-9A-Za-z_-]{20,}|sk-[0-9A-Za-z_-]{20,})"
 OBFUSCATION = r"(?i)(eval\s*\(|atob\s*\(|fromCharCode|unescape\s*\(|\\x[0-9a-f]{2})"
-#: Two-level public suffixes that the bundled list knows beside the last label.
+# Two-level public suffixes that the bundled list knows beside the last label.
 TWO_LEVEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.nz", "co.za", "com.tr", "com.tw", "com.sg")
 
 HTML, SCRIPT, NETWORK, STORAGE = "html", "script", "network", "storage"

@@ -16,14 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions.urls import page_domain, path_substrings, registered_domain
+from pagelattice.operators.domains import registered_domains
 from pagelattice.operators.hubs import VertexCut
 from pagelattice.tables import bucketed, cut, new_path, written_at
 
 
-def url_graph(urls: DataFrame, dns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vertices (id, node_type), edges (src, dst) with src < dst) of (url); dns is (domain, ip)."""
+def url_graph(urls: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices (id, node_type), edges (src, dst) with src < dst) of (url); dns is (domain, ip). Domains are cut by public-suffix ``rules``
+    (suffix, kind), or by the bundled two-level suffixes."""
     named = urls.select("url").distinct().withColumn("name", page_domain(F.col("url")))
-    named = cut(named.select("url", registered_domain(F.col("name")).alias("domain"), path_substrings(F.col("url")).alias("pieces")), "named_urls")
+    domain = registered_domain(F.col("name"))
+    if rules is not None:
+        named = cut(named, "url_names")
+        named, domain = named.join(registered_domains(named, rules).select("name", "domain"), "name", "left"), F.col("domain")
+    named = cut(named.select("url", domain.alias("domain"), path_substrings(F.col("url")).alias("pieces")), "named_urls")
     links = named.select(F.col("url").alias("u"), F.lit("url").alias("ut"), F.col("domain").alias("v"), F.lit("domain").alias("vt"))
     links = links.unionByName(named.select(F.col("url").alias("u"), F.lit("url").alias("ut"), F.explode("pieces").alias("v"), F.lit("substring").alias("vt")))
     if dns is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.operators import propagation, refmatch
+from pagelattice.operators import domains, propagation, refmatch
 from pagelattice.plans.common import DECORATED_SQL, URL_SQL, decorated_pages, table
 from pagelattice.tables import cut
 
@@ -35,6 +35,19 @@ def _with_similarity(edges):
     return edges.withColumn("sim", F.expr("(length(src) * 7 + length(dst) * 3) % 100 / 100.0D"))
 
 
+#: Rules as a rule file has them, and names under them.
+SUFFIX_RULES = ("com", "uk", "co.uk", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck", "example.org", "net")
+NAME_TAILS = ("Example.com", "shop.co.uk:8080", "b.kawasaki.jp", "city.kawasaki.jp", "x.ck.", "www.ck", "ck", "10.1.2.3", "a.example.org", "unknown.zone", "kawasaki.jp", "co.uk")
+_NAME = "CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('u', user_id, '.') END"
+
+
+def registered_domains(spark, sf_dir):
+    """Names of the event table's users under all kinds of suffixes."""
+    tail = F.element_at(F.array(*map(F.lit, NAME_TAILS)), (F.col("event_id") % len(NAME_TAILS) + 1).cast("int"))
+    names = table(spark, sf_dir, "events").select(F.concat(F.expr(_NAME), tail).alias("name"))
+    return domains.registered_domains(names, domains.suffix_rules(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")))
+
+
 def url_graph_vertices(spark, sf_dir):
     return _graph(spark, sf_dir)[0]
 
@@ -229,6 +242,16 @@ _LBP = f"""{_LINKS}, prior AS (SELECT id, label, CASE label WHEN 1 THEN 1 WHEN 0
     m0 AS MATERIALIZED (SELECT m.src, m.dst, m.sim, m.sl, p.c0, p.c1, 0::DOUBLE AS m0, 0::DOUBLE AS m1, true AS moved FROM msg m JOIN prior p ON p.id = m.src), """ + ", ".join(_sweep(k, False, "least(0.6, 1 - sim)", "greatest(1.0, sim)", 0.001) for k in range(1, 7))
 _COSTS = "costs AS (SELECT id, round(c0 + coalesce(s0, 0), 9) AS k0, round(c1 + coalesce(s1, 0), 9) AS k1 FROM {0} LEFT JOIN (SELECT dst AS id, sum(m0) AS s0, sum(m1) AS s1 FROM {1} GROUP BY dst) USING (id))"
 
+_RULE_ROWS = ", ".join(f"('{r.removeprefix('!').removeprefix('*.')}', {1 if r.startswith('*') else 2 if r.startswith('!') else 0})" for r in SUFFIX_RULES)
+ORACLE["registered_domains"] = rf"""WITH rules(suffix, kind) AS (VALUES {_RULE_ROWS}),
+    names AS (SELECT DISTINCT concat({_NAME}, [{", ".join(f"'{t}'" for t in NAME_TAILS)}][CAST(event_id % {len(NAME_TAILS)} + 1 AS INT)]) AS name FROM events),
+    labels AS (SELECT name, regexp_replace(regexp_replace(lower(name), ':\d*$', ''), '\.+$', '') AS p FROM names),
+    split AS (SELECT *, string_split(p, '.') AS l, len(string_split(p, '.')) AS n FROM labels),
+    tails AS (SELECT name, n, k, array_to_string(l[n - k + 1:], '.') AS suffix FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM split)),
+    found AS (SELECT name, coalesce(max(CASE WHEN kind = 2 THEN k - 1 END), max(CASE WHEN kind = 0 THEN k WHEN kind = 1 AND n > k THEN k + 1 END), 1) AS k FROM tails LEFT JOIN rules USING (suffix) GROUP BY name)
+    SELECT name, CASE WHEN NOT regexp_matches(p, '^\d{{1,3}}(\.\d{{1,3}}){{3}}$') THEN array_to_string(l[greatest(n - k + 1, 1):], '.') END AS suffix,
+      CASE WHEN regexp_matches(p, '^\d{{1,3}}(\.\d{{1,3}}){{3}}$') THEN p ELSE array_to_string(l[greatest(n - k, 1):], '.') END AS domain FROM split JOIN found USING (name)"""
+
 
 def _coloured(links: str, name: str, rounds: int = 40) -> str:
     """SQL of a greedy colouring of ``links`` (src, dst in both directions): each round colours the nodes whose neighbours before them have colours."""
