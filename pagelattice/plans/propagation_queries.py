@@ -166,6 +166,12 @@ def model_scores(spark, sf_dir):
     return models.predict(models.fit(rows, "gbt"), rows).select("page_id", "label", "score", "prediction")
 
 
+def queue_outcomes(spark, sf_dir):
+    from pagelattice.streaming.queue import queue_outcomes as outcomes
+
+    return outcomes(spark, sf_dir)
+
+
 def cert_stream(spark, sf_dir):
     from pagelattice.streaming.detect import stream_candidates
 
@@ -292,4 +298,14 @@ ORACLE["contrastive_pairs"] = f"""WITH {_ITEMS}, ranks AS (SELECT key, dense_ran
       FROM sided JOIN sizes sa ON sa.b = ab JOIN sizes sb ON sb.b = bb)
     SELECT slot, p.key AS a, q.key AS b, y FROM placed JOIN ranks p ON p.b = ab AND p.r = ar JOIN ranks q ON q.b = bb AND q.r = br"""
 ORACLE["cert_stream"] = "SELECT DISTINCT concat('u', user_id, '.test') AS domain, concat('https://u', user_id, '.test/') AS url FROM events WHERE event_type <> 'click'"
+ORACLE["queue_outcomes"] = """WITH RECURSIVE seen AS (SELECT concat('u', user_id, '-', event_id % 7, '.test') AS domain, CAST(ts AS TIMESTAMP) AS ts, CAST(floor(epoch(CAST(ts AS TIMESTAMP)) / 3600) AS BIGINT) AS tick FROM events),
+    firsts AS (SELECT domain, min(ts) AS ts, min(tick) AS tick FROM seen GROUP BY domain),
+    ranked AS (SELECT domain, tick, row_number() OVER (PARTITION BY tick ORDER BY ts, domain) - 1 AS r FROM firsts),
+    span AS (SELECT min(tick) AS t0, max(tick) AS t1 FROM seen), came AS (SELECT tick, count(*) AS n FROM firsts GROUP BY tick),
+    hours AS (SELECT h.tick, coalesce(n, 0) AS n FROM (SELECT unnest(range(t0, t1 + 1)) AS tick FROM span) h LEFT JOIN came USING (tick)),
+    sim AS (SELECT tick, 0::BIGINT AS took, least(n, 10) AS entered, least(n, 10) AS size, 0::BIGINT AS took_before, 0::BIGINT AS entered_before FROM hours, span WHERE tick = t0
+      UNION ALL SELECT h.tick, least(s.size, 2), least(h.n, 10 - (s.size - least(s.size, 2))), s.size - least(s.size, 2) + least(h.n, 10 - (s.size - least(s.size, 2))), s.took_before + s.took, s.entered_before + s.entered
+      FROM sim s JOIN hours h ON h.tick = s.tick + 1)
+    SELECT domain, 'dropped' AS status, tick, CAST(NULL AS BIGINT) AS taken_tick FROM ranked JOIN sim USING (tick) WHERE r >= entered
+    UNION ALL SELECT domain, 'taken', k.tick, t.tick FROM ranked k JOIN sim s ON s.tick = k.tick AND k.r < s.entered JOIN sim t ON s.entered_before + k.r >= t.took_before AND s.entered_before + k.r < t.took_before + t.took"""
 QUERIES = {n: globals()[n] for n in (*ORACLE, "feature_row", "model_scores")}
