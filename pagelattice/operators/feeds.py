@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions.urls import host, lead_minutes
+from pagelattice.tables import cut
 
 SOURCES = ("openphish", "phishtank", "gsb")
 
@@ -92,6 +93,46 @@ def rescan(hits: DataFrame, feeds: DataFrame, now: Column, max_age_days: int = 6
     return out.drop(*[f"{s}__new" for s in kinds])
 
 
+def listing_intervals(versions: DataFrame) -> DataFrame:
+    """(source, url, first_seen, listed_from, listed_to) from feed versions (version, source, url, first_seen): runs of versions that list a URL with
+    one time. ``listed_to`` is null while the newest version lists it."""
+    each = versions.groupBy("version", "source", "url").agg(F.min("first_seen").alias("first_seen"))
+    order = versions.select("version").distinct().withColumn("n", F.row_number().over(Window.orderBy("version")))  # a row for each version
+    newest = order.agg(F.max("n").alias("newest"))
+    run = Window.partitionBy("source", "url", "first_seen").orderBy("n")
+    runs = each.join(F.broadcast(order), "version").withColumn("run", F.col("n") - F.row_number().over(run)).groupBy("source", "url", "first_seen", "run").agg(F.min("version").alias("listed_from"), F.max_by("version", "n").alias("last"), F.max("n").alias("n"))
+    return runs.join(F.broadcast(newest), F.lit(True)).select("source", "url", "first_seen", "listed_from", F.when(F.col("n") < F.col("newest"), F.col("last")).alias("listed_to"))
+
+
+def feed_changes(old: DataFrame, new: DataFrame, sources: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(url) and (host) whose first listing by a source is another in ``new`` than in ``old``: added, removed or timed anew."""
+    kinds = sources or KINDS
+    times = lambda rows, key: rows.groupBy("source", key).agg(F.min(F.when(F.col("side") == 0, F.col("first_seen"))).alias("was"), F.min(F.when(F.col("side") == 1, F.col("first_seen"))).alias("now"))
+    both = reduce(DataFrame.unionByName, [f.select("source", "url", "first_seen").withColumn("side", F.lit(k)) for k, f in enumerate((old, new))]).where(F.col("source").isin(*kinds))
+    changed = lambda rows, key: times(rows, key).where(~F.col("was").eqNullSafe(F.col("now"))).select(key).distinct()
+    hosts = both.where(F.col("source").isin(*[s for s, kind in kinds.items() if kind != EXACT])).withColumn("host", host(F.col("url"))).where("host is not null")
+    return changed(both, "url"), changed(hosts, "host")
+
+
+def rescan_changes(hits: DataFrame, old: DataFrame, new: DataFrame, now: Column, max_age_days: int = 60, stamped: tuple[str, ...] = ("openphish", "gsb"), sources: dict[str, str] | None = None) -> DataFrame:
+    """``rescan`` of hits that were last scanned against ``old``, touching only those whose URL or host has changed its listing since.
+
+    What ``old`` listed has been filled in by that scan, and a host's listing only grows older, so nothing else can be filled
+    now. Only the feed rows of touched hosts and URLs are looked up. A hit without a host is found by its URL.
+    """
+    kinds = sources or KINDS
+    urls, hosts = (cut(c, "feed_changes") for c in feed_changes(old, new, kinds))
+    missing = reduce(lambda a, b: a | b, [F.col(f"{s}_first_seen").isNull() for s in kinds])
+    keyed = hits.withColumn("__host", host(F.col("url"))).join(urls.withColumn("__url_moved", F.lit(True)), "url", "left")
+    keyed = keyed.join(hosts.withColumnRenamed("host", "__host").withColumn("__host_moved", F.lit(True)), "__host", "left")
+    keyed = cut(keyed.withColumn("__touched", (F.col("prediction") == "phish") & missing & (F.coalesce("__url_moved", F.lit(False)) | F.coalesce("__host_moved", F.lit(False)))).drop("__url_moved", "__host_moved"), "touched_hits")
+    touched = keyed.where("__touched")
+    asked = new.withColumn("__host", host(F.col("url")))
+    near = asked.where("__host is not null").join(touched.select("__host").distinct(), "__host", "left_semi").unionByName(asked.where("__host is null").join(touched.select("url").distinct(), "url", "left_semi"))
+    done = rescan(touched.drop("__host", "__touched"), near.drop("__host"), now, max_age_days, stamped, kinds)
+    return done.unionByName(keyed.where("not __touched or __touched is null").drop("__host", "__touched").withColumn("updated", F.lit(False)))
+
+
 def exact_median(rows: DataFrame, column: str, width: float) -> DataFrame:
     """(median): one row. Values are counted, and only those of the buckets of ``width`` that hold the middle are ranked:
     no task sees more than the buckets, which the range of the values bounds, or one bucket's distinct values."""

@@ -12,6 +12,7 @@ from pagelattice.plans.common import DECORATED_SQL, decorated_pages, table
 
 NOW = "timestamp'2024-02-15 00:00:00'"
 #: When the stored hits were annotated, and the days for which a host's timed listing counts.
+SECOND = "timestamp'2024-01-25 00:00:00'"
 STORED, MAX_AGE = "timestamp'2024-01-20 00:00:00'", 10
 _LABEL = "CASE quality WHEN 0 THEN 'phish' ELSE 'benign' END"
 _RULE = "CASE WHEN length(url) + 7 * (page_id % 5) > 55 THEN 'phish' ELSE 'benign' END"
@@ -180,6 +181,22 @@ def rescan(spark, sf_dir):
     return found.select("event_id", "updated", "earliest_blacklist", "lead_minutes", *[f"{s}_first_seen" for s in feeds.SOURCES])
 
 
+def rescan_changes(spark, sf_dir):
+    """Two rescans on end, each of what its feeds' version has changed."""
+    every = feed_rows(spark, sf_dir)
+    first, second = every.where("first_seen < timestamp'2024-01-15'"), every.where("first_seen < timestamp'2024-01-22'")
+    once = feeds.rescan_changes(_stored_hits(spark, sf_dir), first, second, F.expr(SECOND), MAX_AGE)
+    found = feeds.rescan_changes(once.withColumnRenamed("updated", "before"), second, every, F.expr(NOW), MAX_AGE)
+    return found.select("event_id", "updated", "before", "earliest_blacklist", "lead_minutes", *[f"{s}_first_seen" for s in feeds.SOURCES])
+
+
+def listing_intervals(spark, sf_dir):
+    """Ten versions of the feeds: version k lists what was first seen in the table's first 3 (k + 1) days, but for one URL in seven."""
+    rows = feed_rows(spark, sf_dir).select("source", "url", "first_seen", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("version"))
+    shown = rows.where("unix_timestamp(first_seen) < unix_timestamp(timestamp'2024-01-01') + 259200 * (version + 1) and (length(url) + version) % 7 <> 0")
+    return feeds.listing_intervals(shown)
+
+
 def lead_summary(spark, sf_dir):
     return feeds.lead_summary(feeds.annotate_hits(hit_rows(spark, sf_dir), feed_rows(spark, sf_dir), F.expr(NOW), MAX_AGE))
 
@@ -213,6 +230,14 @@ surfaced AS (SELECT url, evaded, CASE WHEN attack[1:3] IN ('A1_', 'A2_', 'A3_')
 total AS (SELECT greatest(count(DISTINCT url), 1) AS total FROM evaded)"""
 
 
+def _filled(name: str, before: str, panel: str, now: str) -> str:
+    """Hits with their missing listings filled from a panel."""
+    fresh = {"o": f"CASE WHEN p.openphish_first_seen IS NOT NULL THEN {now} END", "t": "p.phishtank_first_seen", "g": f"CASE WHEN p.gsb_first_seen IS NOT NULL THEN {now} END"}
+    fill = {c: f"CASE WHEN s.prediction = 'phish' AND s.{c} IS NULL THEN {v} END" for c, v in fresh.items()}
+    return f"""{name} AS (SELECT s.event_id, s.ts_detected, s.prediction, {" OR ".join(f"({v}) IS NOT NULL" for v in fill.values())} AS updated, {", ".join(f"coalesce(s.{c}, {v}) AS {c}" for c, v in fill.items())}
+      FROM {before} s JOIN {panel} p USING (event_id))"""
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -304,6 +329,15 @@ ORACLE = {
           CASE WHEN s.prediction = 'phish' AND s.gsb_first_seen IS NULL AND p.gsb_first_seen IS NOT NULL THEN {NOW} END AS ng FROM stored s JOIN panel p USING (event_id)),
         done AS (SELECT event_id, ts_detected, no IS NOT NULL OR nt IS NOT NULL OR ng IS NOT NULL AS updated, coalesce(o, no) AS openphish_first_seen, coalesce(t, nt) AS phishtank_first_seen, coalesce(g, ng) AS gsb_first_seen FROM grown)
         SELECT event_id, updated, {_FIRST} AS earliest_blacklist, {_LEAD.format(_FIRST)} AS lead_minutes, openphish_first_seen, phishtank_first_seen, gsb_first_seen FROM done""",
+    "rescan_changes": f"""{_NOW_PANEL}, old AS (SELECT * FROM feed WHERE first_seen < TIMESTAMP '2024-01-15'), {_panel('stored', 'old', STORED)}, mid AS (SELECT * FROM feed WHERE first_seen < TIMESTAMP '2024-01-22'), {_panel('middle', 'mid', SECOND)},
+        s0 AS (SELECT event_id, ts_detected, prediction, CASE WHEN prediction = 'phish' THEN openphish_first_seen END AS o, CASE WHEN prediction = 'phish' THEN phishtank_first_seen END AS t, CASE WHEN prediction = 'phish' THEN gsb_first_seen END AS g FROM stored),
+        {_filled('s1', 's0', 'middle', SECOND)}, {_filled('s2', 's1', 'panel', NOW)},
+        done AS (SELECT s2.event_id, s2.ts_detected, s2.updated, s1.updated AS before, s2.o AS openphish_first_seen, s2.t AS phishtank_first_seen, s2.g AS gsb_first_seen FROM s2 JOIN s1 USING (event_id))
+        SELECT event_id, updated, before, {_FIRST} AS earliest_blacklist, {_LEAD.format(_FIRST)} AS lead_minutes, openphish_first_seen, phishtank_first_seen, gsb_first_seen FROM done""",
+    "listing_intervals": f"""WITH {_FEED_SQL}, shown AS (SELECT version, source, url, min(first_seen) AS first_seen FROM feed, (SELECT unnest(range(10)) AS version)
+          WHERE floor(epoch(first_seen)) < epoch(TIMESTAMP '2024-01-01') + 259200 * (version + 1) AND (length(url) + version) % 7 <> 0 GROUP BY ALL),
+        runs AS (SELECT *, version - row_number() OVER (PARTITION BY source, url, first_seen ORDER BY version) AS run FROM shown)
+        SELECT source, url, first_seen, CAST(min(version) AS INT) AS listed_from, CAST(CASE WHEN max(version) < 9 THEN max(version) END AS INT) AS listed_to FROM runs GROUP BY source, url, first_seen, run""",
     "lead_summary": f"""{_NOW_PANEL}, a AS (SELECT openphish_first_seen AS o, phishtank_first_seen AS t, gsb_first_seen AS g, {_FIRST} AS f, {_LEAD.format(_FIRST)} AS l FROM panel WHERE prediction = 'phish')
         SELECT unnest(['total_phish', 'absent_from_all', 'confirmed_later', 'openphish_listed', 'phishtank_listed', 'gsb_listed', 'mean_lead_minutes', 'median_lead_minutes', 'positive_share']) AS metric,
           unnest([count(*)::DOUBLE, count(*) FILTER (f IS NULL), count(f), count(o), count(t), count(g), round_even(avg(l), 4), median(l), round_even(count(*) FILTER (l > 0) / count(l), 4)]) AS value FROM a""",
