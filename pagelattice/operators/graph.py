@@ -384,7 +384,9 @@ def block_profile(members: list[dict], links: list[dict], block: int, size: int)
         for n, mine in rows.items():
             mine["root_depth"], mine["structure_depth"] = from_root.get(n), in_tree.get(n)
             mine |= {name: n in found for name, found in reached.items()}
-    return rows
+        return rows
+    # Other blocks tell only of nodes that their searches start at or come to.
+    return {n: mine for n, mine in rows.items() if len(mine) > len(_SUMMED) + 1 or any(mine[k] for k in _SUMMED)}
 
 
 def node_profiles(nodes: DataFrame, edges: DataFrame, block: int = 256) -> DataFrame:

@@ -20,6 +20,7 @@ from pagelattice import constants as C
 from pagelattice.functions.urls import clean_number, is_phish
 from pagelattice.operators.evaluate import binary_metrics
 from pagelattice.operators.perturb import expand_variants
+from pagelattice.tables import shared_dir
 
 CATEGORY_SETS = ("C", "S", "B", "CS", "CB", "SB", "CSB")
 #: Training rows in one task at least.
@@ -73,7 +74,7 @@ def classifier(name: str, inputs: int, seed: int = 42, trees: int | None = None,
     if name == "svm":
         return [scale, RandomFourier(inputs, seed=seed), LinearSVC(featuresCol="fourier", labelCol="truth", maxIter=50, regParam=0.01)]
     if name == "mlp":
-        return [scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=[inputs, 128, 64, 2], maxIter=100, **common)]
+        return [scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=[inputs, 128, 64, 2], maxIter=200, **common)]
     raise ValueError(f"unknown classifier: {name}")
 
 
@@ -82,6 +83,8 @@ def fit(rows: DataFrame, name: str = "gbt", names: list[str] | None = None, labe
     names = list(names or C.FEATURE_NAMES)
     stages = [VectorAssembler(inputCols=names, outputCol="features"), *classifier(name, len(names), **options)]
     ready = prepared(rows, names, label)
+    # The tree learner cuts the lineage of its residuals only where the context has a checkpoint folder.
+    rows.sparkSession.sparkContext.setCheckpointDir(shared_dir(rows.sparkSession))
     # Each level of each tree is a job over all partitions: few rows go into few of them.
     return Pipeline(stages=stages).fit(ready.coalesce(max(1, ready.count() // ROWS_IN_TASK)))
 

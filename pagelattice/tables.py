@@ -20,11 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Bytes of a table up to which one of few files is dealt out; Spark splits the files of larger ones.
+SMALL_TABLE = 256 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table; one of fewer files than there are cores is dealt out, so that all of them work."""
+    """A Parquet table; a small one of fewer files than there are cores is dealt out, so that all of them work."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_TABLE
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
 def new_path(spark: SparkSession, name: str) -> str:
