@@ -1 +1 @@
-"""Training-data pipeline operators: ten corpus operators and their registered queries."""
+"""Training-data pipeline operators: thirteen corpus operators and their registered queries."""
