@@ -5,7 +5,7 @@ left out), so inserted characters become gaps or vanish; letters of other alphab
 fewer than ``ORDER`` letters are set between boundary letters, long ones are cut into overlapping pieces. Two tokens are
 compared by their common subsequences of ``ORDER`` letters spread over at most ``SPAN`` letters, each weighted by
 ``DECAY`` to the power of the letters it spans, normalised by token length. The kernel of two sentences is the
-sum over their pairs of tokens. Its feature map is explicit (one cell for each subsequence), so a trained
+sum over their pairs of distinct tokens: a harmless token that is repeated says nothing more. Its feature map is explicit (one cell for each subsequence), so a trained
 machine collapses into one table of 32^4 weights that is looked up along a token.
 
 Training on a bounded sample of labelled documents: a sentence (long ones in windows of ``WINDOW`` tokens) carries its
@@ -86,7 +86,7 @@ def token_pieces(token: bytes) -> list[bytes]:
 
 
 def sentences(text: bytes) -> list[list[bytes]]:
-    """The tokens of each sentence or window of one; letters written one by one are a sentence of one token."""
+    """The distinct tokens of each sentence or window of one, in order; letters written one by one are a sentence of one token."""
     found = []
     for part in SENTENCE_END.split(text.lower()):
         words = part.split()
@@ -96,7 +96,7 @@ def sentences(text: bytes) -> list[list[bytes]]:
         else:
             found += [words[k : k + WINDOW] for k in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
     found += [[b"".join(x.split())] for x in SPACED.findall(text.lower())]
-    return found
+    return [list(dict.fromkeys(words)) for words in found]
 
 
 def cell_numbers(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -195,13 +195,13 @@ def labelled_sentences(sample: DataFrame) -> DataFrame:
 
 
 def token_counts(parts: DataFrame) -> DataFrame:
-    """(letters, pos, neg): distinct sentences of toxic and of other documents that hold a piece of a token."""
+    """(letters, pos, neg): toxic and other documents that hold a piece of a token."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, list[bytes]] = {}
         for batch in slices(batches):
-            keys, toxic = [], []
-            for label, words in zip(batch.column("label").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            keys, toxic, ids = [], [], []
+            for doc_id, label, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "tokens")), strict=True):
                 if len(memo) > TokenScorer.LIMIT:
                     memo.clear()
                 for t in words:
@@ -210,14 +210,15 @@ def token_counts(parts: DataFrame) -> DataFrame:
                 found = {p for t in words for p in memo[t]}
                 keys += found
                 toxic += [label] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(toxic, pa.int64())], ["letters", "label"])
+                ids += [doc_id] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(toxic, pa.int64()), pa.array(ids, pa.int64())], ["letters", "label", "doc_id"])
 
-    seen = parts.select("label", "tokens").mapInArrow(scan, "letters binary, label long")
+    seen = parts.select("doc_id", "label", "tokens").mapInArrow(scan, "letters binary, label long, doc_id long").distinct()
     return seen.groupBy("letters").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
 
 
 def choose_landmarks(counts: DataFrame, landmarks: int, min_z: float = 4.0, min_pure: float = 0.9) -> list[bytes]:
-    """Up to three quarters tokens that toxic sentences hold far more often than their share explains, then frequent others."""
+    """Up to three quarters tokens that toxic documents hold far more often than their share explains, then frequent others."""
     totals = counts.agg(F.sum("pos"), F.sum("neg")).first()
     if not totals[0] or not totals[1]:
         return []

@@ -303,3 +303,10 @@ def test_substituted_passages_are_found(spark):
     docs = frame(spark, [(1, " ".join(split), "en", "a", 1), (2, " ".join(fourth), "en", "a", 1), (3, " ".join(item[:12]), "en", "a", 1)])
     found = decontaminate.contaminated(docs, frame(spark, [(7, " ".join(item))], "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.matched_words, r.first_word, r.last_word) for r in found) == [(1, 20, 0, 30), (2, 30, 1, 39)]
+
+
+def test_repeated_tokens_say_nothing_more():
+    rnd = np.random.default_rng(2)
+    scorer = toxicity.TokenScorer(rnd.normal(size=toxicity.CELLS).astype(np.float32))
+    once, often = (scorer.tops([text], 0.0)[0] for text in (b"idle words here", b"idle words words words here idle here"))
+    assert once == often and toxicity.sentences(b"er er er er ab er") == [[b"er", b"ab"]]
