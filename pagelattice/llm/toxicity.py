@@ -182,7 +182,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, buckets: in
 
 
 def labelled_sentences(sample: DataFrame) -> DataFrame:
-    """(doc_id, label, tokens): distinct sentences of each label, each with the smallest id that holds it."""
+    """(doc_id, label, tokens, docs): distinct sentences of each label, each with the ids of the sample that hold it and the smallest of them."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 100):
@@ -191,7 +191,7 @@ def labelled_sentences(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int64()), pa.array(tokens, pa.list_(pa.binary()))], ["doc_id", "label", "tokens"])
 
     found = sample.select("doc_id", "label", "text").mapInArrow(split, "doc_id long, label long, tokens array<binary>")
-    return found.groupBy("label", "tokens").agg(F.min("doc_id").alias("doc_id"))
+    return found.groupBy("label", "tokens").agg(F.min("doc_id").alias("doc_id"), F.collect_set("doc_id").alias("docs"))
 
 
 def token_counts(parts: DataFrame) -> DataFrame:
@@ -199,21 +199,22 @@ def token_counts(parts: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, list[bytes]] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, 100):
             keys, toxic, ids = [], [], []
-            for doc_id, label, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "tokens")), strict=True):
+            for docs, label, words in zip(*(batch.column(c).to_pylist() for c in ("docs", "label", "tokens")), strict=True):
                 if len(memo) > TokenScorer.LIMIT:
                     memo.clear()
                 for t in words:
                     if t not in memo:
                         memo[t] = token_pieces(t)
                 found = {p for t in words for p in memo[t]}
-                keys += found
-                toxic += [label] * len(found)
-                ids += [doc_id] * len(found)
+                for doc_id in docs:
+                    keys += found
+                    toxic += [label] * len(found)
+                    ids += [doc_id] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(toxic, pa.int64()), pa.array(ids, pa.int64())], ["letters", "label", "doc_id"])
 
-    seen = parts.select("doc_id", "label", "tokens").mapInArrow(scan, "letters binary, label long, doc_id long").distinct()
+    seen = parts.select("docs", "label", "tokens").mapInArrow(scan, "letters binary, label long, doc_id long").distinct()
     return seen.groupBy("letters").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
 
 
