@@ -77,3 +77,42 @@ def test_no_sources_or_edges(spark):
     alone = spark.createDataFrame([(1, "x")], "g long, node string")
     row = graph.reach_sums(empty, alone).first()
     assert (row.total, row.ancestors, row.descendants) == (None, 0, 0)
+
+
+def twin_graph():
+    """Two bundles of twin sources and twin sinks around a cycle, a complete bipartite graph, and a sink with more neighbours than are compared."""
+    cycle = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "c")]
+    stars = [(f"s{k}", "a") for k in range(70)] + [("c", f"t{k}") for k in range(5)] + [("b", f"t{k}") for k in range(3)]
+    both = [(f"x{k}", f"y{n}") for k in range(4) for n in range(3)]
+    return cycle + stars + both + [(f"s{k}", "wide") for k in range(40)]
+
+
+@pytest.mark.parametrize("bound", [16, 1])
+def test_twins_count_as_each_by_itself(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "TWIN_NEIGHBOURS", bound)
+    pairs = twin_graph()
+    edges = spark.createDataFrame([(1, a, b) for a, b in pairs], "g long, src string, dst string")
+    every = graph.endpoints(edges)
+    nodes = sorted({x for p in pairs for x in p})
+    dist = brute(pairs, nodes)
+    up = {n: [d for (s, m), d in dist.items() if m == n and d] for n in nodes}
+    down = {n: sum(1 for (s, _), d in dist.items() if s == n and d) for n in nodes}
+    sums = {r.node: (r.total, r.ancestors, r.descendants) for r in graph.reach_sums(edges, every).collect()}
+    assert sums == {n: (sum(up[n]) if up[n] else None, len(up[n]), down[n]) for n in nodes}
+    some = every.where("node like 's%1' or node like 't%' or node in ('b', 'x2', 'x3')")
+    chosen = {r.node for r in some.collect()}
+    levels = {}
+    for (s, _), d in dist.items():
+        if s in chosen:
+            levels[s, d] = levels.get((s, d), 0) + 1
+    assert {(r.source, r.depth): r.nodes for r in graph.depth_counts(edges, some).collect()} == levels
+    assert {r.source: r.descendants for r in graph.descendant_counts(edges, some).collect()} == {s: down[s] for s in chosen}
+
+
+def test_twins_are_searched_once(spark):
+    """The layers of a star of twins do not grow with them."""
+    grown = []
+    for n in (100, 400):
+        edges = spark.createDataFrame([(1, f"s{k}", "hub") for k in range(n)] + [(1, "hub", f"t{k}") for k in range(n)], "g long, src string, dst string")
+        grown.append(graph.TwinSearch(edges, graph.endpoints(edges)).found.layers.count())
+    assert grown[0] == grown[1]
