@@ -26,7 +26,7 @@ def text_cues(dom: DataFrame, pages: DataFrame) -> DataFrame:
         F.count_if("has_urgency").alias("urgent_n"), F.count_if(F.col("has_brand") | labelled).alias("brand_n"), F.count_if(F.col("has_action") & (F.col("tag") == "form")).alias("action_n"),
         F.max("spaced_text").alias("spaced_text"),
     )
-    joined = counted.join(pages.select("page_id", F.lower("domain").alias("d")), "page_id")
+    joined = counted.join(pages.select("page_id", F.lower("domain").alias("d")).hint("merge"), "page_id")
     in_text = reduce(lambda a, b: a | b, [F.contains("spaced_text", F.lit(w)) & ~F.contains("d", F.lit(w)) for w in C.BRAND_WORDS])
     ratio = lambda a, b: F.bround(F.coalesce(F.col(a), F.lit(0)) / F.greatest(F.col(b), F.lit(1)), 4)
     return joined.select(
@@ -62,7 +62,7 @@ def edge_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Shares of edge types, flags of targets, entropy: one aggregate after one join on the target."""
     ends = nodes.select("page_id", F.col("node").alias("dst"), F.col("node_type").alias("to_type"), F.coalesce("is_third_party", F.lit(False)).alias("third"))
     starts = nodes.where("tag = 'form'").select("page_id", F.col("node").alias("src"), F.lit(True).alias("from_form"))
-    joined = edges.join(ends, ["page_id", "dst"], "left").join(starts, ["page_id", "src"], "left")
+    joined = edges.join(ends.hint("merge"), ["page_id", "dst"], "left").join(starts.hint("merge"), ["page_id", "src"], "left")
     total, kind = F.count(F.lit(1)), F.col("edge_type")
     count = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
     requests = count(kind == C.REQUEST)
@@ -80,10 +80,10 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     keyed = edges.select(F.col("page_id").alias("g"), "src", "dst", (F.col("edge_type") == C.STRUCTURE).alias("structure"), "ord")
     points = nodes.select(F.col("page_id").alias("g"), "node", "seq", "node_type", "tag", F.coalesce("is_redirect", F.lit(False)).alias("is_redirect"), F.coalesce("is_third_party", F.lit(False)).alias("third"))
     entered = keyed.select("g", F.col("dst").alias("node"), F.lit(True).alias("entered")).distinct()
-    html = points.where(F.col("node_type") == C.HTML).join(entered, ["g", "node"], "left")
+    html = points.where(F.col("node_type") == C.HTML).join(entered.hint("merge"), ["g", "node"], "left")
     roots = html.groupBy("g").agg(F.min_by("node", F.struct(F.col("entered").isNotNull(), "seq")).alias("root"))
     is_ = lambda c: F.coalesce(c, F.lit(False))
-    flagged = points.join(roots, "g", "left").select(
+    flagged = points.join(roots.hint("merge"), "g", "left").select(
         "g", "node", (F.col("node") == F.col("root")).alias("is_root"), is_(F.col("tag") == "form").alias("is_form"), is_(F.col("tag").isin(*C.INPUT_TAGS)).alias("is_input"),
         (F.col("node_type") == C.SCRIPT).alias("is_script"), (F.col("node_type") == C.STORAGE).alias("is_storage"), (F.col("node_type") == C.NETWORK).alias("is_request"), "is_redirect",
     )
@@ -93,9 +93,9 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     largest = sizes.groupBy("g").agg(F.max("n").alias("big_n"))
     outs = keyed.groupBy("g", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_n"))
     children = keyed.where("structure").groupBy("g", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("child_n"))
-    full = points.join(profiles, ["g", "node"]).join(largest, "g").join(outs, ["g", "node"], "left").join(children, ["g", "node"], "left")
+    full = points.join(profiles.hint("merge"), ["g", "node"]).join(largest.hint("merge"), "g").join(outs.hint("merge"), ["g", "node"], "left").join(children.hint("merge"), ["g", "node"], "left")
     per_graph = full.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    full = full.join(per_graph, "g")
+    full = full.join(per_graph.hint("merge"), "g")
 
     n = F.first("n")
     in_form, html_only = F.col("from_forms"), F.col("node_type") == C.HTML
@@ -131,7 +131,7 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         aggs |= {f"{name}_max": F.bround(F.max(value), 4) if exact else F.max(value), f"{name}_min": F.bround(F.min(value), 4) if exact else F.min(value)}
     made = full.groupBy("g").agg(*[v.alias(k) for k, v in aggs.items()])
 
-    chains = graph.chain_depths(keyed.join(points.where(F.col("node_type") == C.NETWORK).select("g", F.col("node").alias("src")), ["g", "src"], "left_semi").join(points.where(F.col("node_type") == C.NETWORK).select("g", F.col("node").alias("dst")), ["g", "dst"], "left_semi"))
+    chains = graph.chain_depths(keyed.join(points.where(F.col("node_type") == C.NETWORK).select("g", F.col("node").alias("src")).hint("merge"), ["g", "src"], "left_semi").join(points.where(F.col("node_type") == C.NETWORK).select("g", F.col("node").alias("dst")).hint("merge"), ["g", "dst"], "left_semi"))
     parts = (
         graph.density(keyed, points).select("g", F.col("density").alias("graph_density")),
         graph.component_summary(components).withColumnsRenamed({"components": "graph_num_components", "largest_ratio": "graph_largest_component_ratio"}),
@@ -141,7 +141,7 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         chains.withColumnRenamed("depth", "resource_dependency_depth"),
     )
     for part in parts:
-        made = made.join(part, "g", "left")
+        made = made.join(part.hint("merge"), "g", "left")
     return made.withColumnRenamed("g", "page_id")
 
 
@@ -156,6 +156,6 @@ def feature_row(pages: DataFrame) -> DataFrame:
     counted = tags.html_features(base).select("page_id", "external_brand_resource", "obfuscation_indicator", *C.FEATURE_GROUPS["content_html_content"][2:])
     joined = urls
     for part in (counted, text_cues(dom, base), node_features(nodes), edge_features(edges, nodes), graph_features(nodes, edges)):
-        joined = joined.join(part, "page_id", "left")
+        joined = joined.join(part.hint("merge"), "page_id", "left")
     default = lambda name: -1.0 if name == "script_to_input_path_length" else 0.0
     return joined.select("page_id", *[F.coalesce(F.col(n).cast("double"), F.lit(default(n))).alias(n) for n in C.FEATURE_NAMES])

@@ -1,7 +1,8 @@
 """The cross-layer graph of a page: typed node and edge tables.
 
 Every operator takes and returns long tables keyed by page, so a page is never a unit that must fit
-somewhere; joins and aggregates are on (page, ...). The DOM comes from ``dom.dom_nodes``.
+somewhere; joins and aggregates are on (page, ...). The DOM comes from ``dom.dom_nodes``. Both sides of a join grow with the pages, and the
+files of such tables are many times smaller than their rows: joins are by sorted shuffles, so no table goes through the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -73,10 +74,10 @@ def script_nodes(dom: DataFrame, pages: DataFrame) -> DataFrame:
     """Script elements in page order, then script requests whose URL no element names, each once."""
     parents = dom.select("page_id", F.col("seq").alias("parent"), F.col("tag").alias("parent_tag"))
     static = dom.where("tag = 'script'").select("page_id", F.col("seq").alias("pos"), "parent", F.nullif(F.col("src"), F.lit("")).alias("src"), (F.trim(F.coalesce("own_text", F.lit(""))) != "").alias("is_inline"))
-    static = static.join(parents, ["page_id", "parent"], "left").select("page_id", F.lit(0).alias("late"), "pos", "src", "is_inline", "parent_tag")
+    static = static.join(parents.hint("merge"), ["page_id", "parent"], "left").select("page_id", F.lit(0).alias("late"), "pos", "src", "is_inline", "parent_tag")
     asked = pages.select("page_id", F.posexplode("requests").alias("pos", "r")).where("r.resource_type = 'script' and coalesce(r.url, '') <> ''")
     asked = asked.groupBy("page_id", F.col("r.url").alias("src")).agg(F.min("pos").alias("pos"))
-    dynamic = asked.join(static.select("page_id", "src").where("src is not null"), ["page_id", "src"], "left_anti").select("page_id", F.lit(1).alias("late"), "pos", "src", F.lit(False).alias("is_inline"), F.lit(None).cast("string").alias("parent_tag"))
+    dynamic = asked.join(static.select("page_id", "src").where("src is not null").hint("merge"), ["page_id", "src"], "left_anti").select("page_id", F.lit(1).alias("late"), "pos", "src", F.lit(False).alias("is_inline"), F.lit(None).cast("string").alias("parent_tag"))
     both = static.unionByName(dynamic)
     return both.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("late", "pos")) - 1).withColumn("node", F.concat(F.lit("js_"), F.col("nth").cast("string")))
 
@@ -96,7 +97,7 @@ def build_page_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     root = F.lit("html_0")
 
     # html layer
-    empty = pages.join(dom.select("page_id").distinct(), "page_id", "left_anti")
+    empty = pages.join(dom.select("page_id").distinct().hint("merge"), "page_id", "left_anti")
     html_nodes = _nodes(dom.withColumn("node", html_id("seq")), node_type=F.lit(C.HTML)).unionByName(_nodes(empty, node=F.lit("page_root"), seq=F.lit(0), node_type=F.lit(C.HTML), tag=F.lit("document"), url=F.lit(None), domain=F.lit(None)))
     structure = _edges(dom.where("parent is not null"), html_id("parent"), html_id("seq"), C.STRUCTURE, F.col("seq"))
 
@@ -104,7 +105,7 @@ def build_page_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     scripts = cut(script_nodes(dom, pages), "scripts")
     script_rows = _nodes(scripts, seq=F.col("nth") + 1_000_000, node_type=F.lit(C.SCRIPT), url=F.lit(None))
     last_of_tag = dom.groupBy("page_id", F.col("tag").alias("parent_tag")).agg(F.max("seq").alias("owner"))
-    execute = _edges(scripts.where("late = 0").join(last_of_tag, ["page_id", "parent_tag"]), html_id("owner"), F.col("node"), C.EXECUTE, F.col("nth") + 1_000_000)
+    execute = _edges(scripts.where("late = 0").join(last_of_tag.hint("merge"), ["page_id", "parent_tag"]), html_id("owner"), F.col("node"), C.EXECUTE, F.col("nth") + 1_000_000)
     execute = execute.unionByName(_edges(scripts.where("late = 1"), root, F.col("node"), C.EXECUTE, F.col("nth") + 1_000_000))
     fallback = scripts.groupBy("page_id").agg(F.min_by("node", F.struct(F.col("src").isNull(), "nth")).alias("fallback"))
 
@@ -115,13 +116,13 @@ def build_page_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     hops = pages.select("page_id", F.posexplode("redirects").alias("pos", "h"))
     last_node = asked.groupBy("page_id", "url").agg(F.max_by("node", "pos").alias("node"))
     hops = hops.select("page_id", "pos", "h.from_url", "h.to_url")
-    hops = hops.join(last_node.withColumnsRenamed({"url": "from_url", "node": "from_node"}), ["page_id", "from_url"]).join(last_node.withColumnsRenamed({"url": "to_url", "node": "to_node"}), ["page_id", "to_url"])
+    hops = hops.join(last_node.withColumnsRenamed({"url": "from_url", "node": "from_node"}).hint("merge"), ["page_id", "from_url"]).join(last_node.withColumnsRenamed({"url": "to_url", "node": "to_node"}).hint("merge"), ["page_id", "to_url"])
     targets = hops.select("page_id", F.col("to_node").alias("node"), F.lit(True).alias("is_redirect")).distinct()
-    asked = asked.join(page_of, "page_id").withColumn("domain", page_domain(F.col("url")))
-    request_rows = _nodes(asked.join(targets, ["page_id", "node"], "left"), seq=F.col("pos") + 2_000_000, node_type=F.lit(C.NETWORK), is_third_party=F.col("domain") != F.col("page_domain"), is_redirect=F.coalesce("is_redirect", F.lit(False)))
+    asked = asked.join(page_of.hint("merge"), "page_id").withColumn("domain", page_domain(F.col("url")))
+    request_rows = _nodes(asked.join(targets.hint("merge"), ["page_id", "node"], "left"), seq=F.col("pos") + 2_000_000, node_type=F.lit(C.NETWORK), is_third_party=F.col("domain") != F.col("page_domain"), is_redirect=F.coalesce("is_redirect", F.lit(False)))
     navigation = _edges(asked.where("is_navigation and url = page_url"), F.col("node"), root, C.REQUEST, F.col("pos") + 2_000_000)
     linked = links.groupBy("page_id", F.col("link").alias("url")).agg(F.min("seq").alias("linked"))
-    owned = asked.where("not is_navigation").join(linked, ["page_id", "url"], "left").join(fallback, "page_id", "left")
+    owned = asked.where("not is_navigation").join(linked.hint("merge"), ["page_id", "url"], "left").join(fallback.hint("merge"), "page_id", "left")
     by_script = F.when(F.col("kind").isin("xhr", "fetch", "ping", "beacon", "image"), F.col("fallback"))
     requested = _edges(owned, F.coalesce(html_id("linked"), by_script, root), F.col("node"), C.REQUEST, F.col("pos") + 2_000_000)
     redirected = _edges(hops, F.col("from_node"), F.col("to_node"), C.REQUEST, F.col("pos") + 3_000_000, F.lit(True))
@@ -129,7 +130,7 @@ def build_page_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     untraced = pages.where("size(requests) = 0").select("page_id", F.col("domain").alias("page_domain"))
     named = dom.select("page_id", html_id("seq").alias("owner"), F.col("seq").alias("a"), F.posexplode(F.array("src", "href", "action")).alias("b", "url"))
     named = named.unionByName(scripts.select("page_id", F.col("node").alias("owner"), (F.col("nth") + 1_000_000).cast("int").alias("a"), F.lit(0).alias("b"), F.col("src").alias("url")))
-    named = named.where("url like 'http%'").join(untraced, "page_id").withColumn("domain", page_domain(F.col("url")))
+    named = named.where("url like 'http%'").join(untraced.hint("merge"), "page_id").withColumn("domain", page_domain(F.col("url")))
     named = named.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("a", "b")) - 1).withColumn("node", F.concat(F.lit("request_"), F.col("pos").cast("string")))
     named_rows = _nodes(named, seq=F.col("pos") + 2_000_000, node_type=F.lit(C.NETWORK), is_third_party=F.col("domain") != F.col("page_domain"), is_redirect=F.lit(False))
     named_edges = _edges(named, F.col("owner"), F.col("node"), C.REQUEST, F.col("pos") + 2_000_000)
@@ -138,14 +139,14 @@ def build_page_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     ops = pages.select("page_id", F.posexplode("storage_ops").alias("pos", "o")).select("page_id", "pos", "o.type", "o.stack").withColumn("node", F.concat(F.lit("storage_"), F.col("pos").cast("string")))
     op_rows = _nodes(ops, seq=F.col("pos") + 4_000_000, node_type=F.lit(C.STORAGE), op_type=F.col("type"))
     by_url = scripts.where("src is not null").groupBy("page_id", "src").agg(F.min("nth").alias("first"), F.max_by("node", "nth").alias("script"))
-    in_stack = ops.where("coalesce(stack, '') <> ''").join(by_url, "page_id").where(F.expr("contains(stack, src)")).groupBy("page_id", "pos").agg(F.min_by("script", "first").alias("script"))
+    in_stack = ops.where("coalesce(stack, '') <> ''").join(by_url.hint("merge"), "page_id").where(F.expr("contains(stack, src)")).groupBy("page_id", "pos").agg(F.min_by("script", "first").alias("script"))
     first_inline = scripts.where("is_inline").groupBy("page_id").agg(F.min_by("node", "nth").alias("inline"))
-    touched = ops.join(in_stack, ["page_id", "pos"], "left").join(first_inline, "page_id", "left").withColumn("to", F.coalesce("script", "inline"))
+    touched = ops.join(in_stack.hint("merge"), ["page_id", "pos"], "left").join(first_inline.hint("merge"), "page_id", "left").withColumn("to", F.coalesce("script", "inline"))
     accessed = _edges(touched.where("to is not null"), F.col("node"), F.col("to"), C.ACCESS, F.col("pos") + 4_000_000)
     counts = pages.where("size(storage_ops) = 0 and html <> ''").select("page_id", *[c.alias(n) for n, c in storage_counts(F.col("html")).items()])
     counted = counts.where("get_cookie + set_cookie + get_storage + set_storage > 0").withColumn("node", F.lit("storage_0"))
     counted_rows = _nodes(counted, seq=F.lit(4_000_000), node_type=F.lit(C.STORAGE))
-    counted_edges = _edges(counted.join(scripts.select("page_id", F.col("node").alias("script"), "nth"), "page_id"), F.col("node"), F.col("script"), C.ACCESS, F.col("nth") + 4_000_000)
+    counted_edges = _edges(counted.join(scripts.select("page_id", F.col("node").alias("script"), "nth").hint("merge"), "page_id"), F.col("node"), F.col("script"), C.ACCESS, F.col("nth") + 4_000_000)
 
     nodes, edges = html_nodes, structure
     for more in (script_rows, request_rows, named_rows, op_rows, counted_rows):

@@ -160,7 +160,7 @@ HELD_OUT = 0.2
 def _training_rows(spark, sf_dir):
     """page_id, label and the 101 features of labelled pages; a fit reads them many times."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("CASE quality WHEN 0 THEN 'phish' ELSE 'benign' END").alias("label"))
-    return cut(feature_row(spark, sf_dir).join(labels, "page_id"), "training")
+    return cut(feature_row(spark, sf_dir).join(labels.hint("merge"), "page_id"), "training")
 
 
 def model_scores(spark, sf_dir):

@@ -96,3 +96,9 @@ def test_scores_of_perturbed_pages(spark):
     rows = models.score_variants(model, pages(spark).where("page_id in (2, 3)").select("page_id", "url", "html").selectExpr("*", "'phish' as label")).collect()
     assert len(rows) == 84 and all(0 <= r.score <= 1 for r in rows)
     assert {(r.url, r.status) for r in rows if r.attack == "A1_url_shortener"} == {("https://page.test/login", "ok"), ("https://empty.test/", "missing")}
+
+
+def test_no_table_of_the_pages_is_broadcast(spark):
+    """Tables that grow with the pages are joined by shuffles, however small Spark takes their files to be."""
+    plan = feature_row(pages(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
