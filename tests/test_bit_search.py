@@ -116,3 +116,41 @@ def test_twins_are_searched_once(spark):
         edges = spark.createDataFrame([(1, f"s{k}", "hub") for k in range(n)] + [(1, "hub", f"t{k}") for k in range(n)], "g long, src string, dst string")
         grown.append(graph.TwinSearch(edges, graph.endpoints(edges)).found.layers.count())
     assert grown[0] == grown[1]
+
+
+def test_profiles_search_from_a_block_at_once(monkeypatch):
+    """Sums over all blocks are those of searches one by one; single searches do not grow with the nodes."""
+    rnd = random.Random(3)
+    flags = graph._FLAGS
+    calls = []
+    for n in (60, 240):
+        names = [f"v{k:03d}" for k in range(n)]
+        pairs = [(a, b) for a, b in zip(names, names[1:], strict=False)] + [(rnd.choice(names), rnd.choice(names)) for _ in range(n)]
+        members = [{"node": v} | {f: k % 9 == m for m, f in enumerate(flags)} for k, v in enumerate(names)]
+        links = [{"src": a, "dst": b, "structure": a < b} for a, b in pairs]
+        plain, counted = graph.search, []
+        monkeypatch.setattr(graph, "search", lambda starts, steps, plain=plain, counted=counted: (counted.append(1), plain(starts, steps))[1])
+        found = graph.GraphProfile(members, links)
+        rows = [found.block(k, 50) for k in range(-(-n // 50))]
+        monkeypatch.setattr(graph, "search", plain)
+        calls.append(len(counted))
+        down, tree = brute(pairs, names), brute([(a, b) for a, b in pairs if a < b], names)
+        near = brute(pairs + [(b, a) for a, b in pairs], names)
+        kind = {m["node"]: m for m in members}
+        for v in names:
+            merged = {k: sum(r[v][k] for r in rows if v in r) for k in graph._SUMMED}
+            into = {s: d for (s, t), d in down.items() if t == v}
+            scripts = [d for s, d in into.items() if kind[s]["is_script"] and kind[v]["is_input"]]
+            assert merged == {"sum_in": sum(into.values()), "n_in": len(into) - 1, "n_out": sum(s == v for s, _ in down) - 1, "script_sum": sum(scripts), "script_n": len(scripts)}
+            mine = {k: x for r in rows if v in r for k, x in r[v].items()}
+            around = [d for (s, _), d in near.items() if s == v]
+            assert (mine["eccentricity"], mine["sum_undirected"]) == (max(around), sum(around))
+            if kind[v]["is_form"]:
+                assert mine["form_depth"] == max(d for (s, _), d in tree.items() if s == v)
+                far = {t: d for (s, t), d in down.items() if s == v}
+                asked = lambda x: min((d for (s, t), d in down.items() if s == x and kind[t]["is_request"]), default=None)
+                inputs = [t for t in far if kind[t]["is_input"]]
+                ways = [far[t] + asked(t) for t in inputs if asked(t) is not None] + ([asked(v)] if inputs and asked(v) is not None else [])
+                root = down.get((next(m["node"] for m in members if m["is_root"]), v))
+                assert mine.get("exfil") == (root + min(ways) if ways and root is not None else None)
+    assert calls[0] == calls[1]
