@@ -107,3 +107,12 @@ def test_vectors_predict_held_out_links(spark):
     model = Word2Vec(vectorSize=16, windowSize=5, minCount=0, maxIter=3, seed=42, inputCol="walk", outputCol="v").fit(walks)
     theirs = {r.word: r.vector.toArray() for r in model.getVectors().collect()}
     assert score(one) > 0.8 and score(three) > 0.8 and score(one) > score(theirs) - 0.02, (score(one), score(three), score(theirs))
+
+
+def test_few_words_with_many_pairs_are_trained_by_many_tasks():
+    from pagelattice.operators import embeddings
+
+    assert embeddings.block_count(9_000, 30_000_000, embeddings.BLOCK) == 12
+    assert embeddings.block_count(300_000, 30_000_000, embeddings.BLOCK) == 12
+    assert embeddings.block_count(6_000_000, 30_000_000, embeddings.BLOCK) == 120
+    assert embeddings.block_count(16, 200, embeddings.BLOCK) == 1 and embeddings.block_count(0, 0, embeddings.BLOCK) == 1
