@@ -54,9 +54,9 @@ def benign_snippet(variant: int) -> str:
 
 
 def before_tag(html: Column, tag: str, snippet: str) -> Column:
-    """``snippet`` before the last closing ``tag``, or at the end."""
-    head, tail = F.regexp_extract(html, rf"(?is)^(.*)</{tag}\s*>", 1), F.regexp_extract(html, rf"(?is)^.*(</{tag}\s*>.*)$", 1)
-    return F.when(html.rlike(rf"(?i)</{tag}\s*>"), F.concat(head, F.lit(snippet), tail)).otherwise(F.concat(html, F.lit(snippet)))
+    """``snippet`` before the last closing ``tag``, or at the end: one search of the page, whose match is what goes before the snippet."""
+    quoted = snippet.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(html, rf"(?is)\A(?:.*(?=</{tag}\s*>)|.*)", F.lit("$0" + quoted))
 
 
 def _parts(url: Column) -> dict[str, Column]:
@@ -104,25 +104,32 @@ def add_benign(html: Column, variant: int) -> Column:
 _TYPE = r"""(?i)(\stype\s*=\s*)["']?password["']?"""
 
 
-def _rewrite(html: Column, change) -> Column:
-    """``html`` with each tag token replaced by ``change(token)``: the text between tokens stays."""
+def pieces(html: Column) -> Column:
+    """(between, tokens): the tag tokens of a page and the texts around them."""
     between = F.split(html, r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>|</?[a-z][^>]*>")
-    return F.array_join(F.zip_with(between, F.transform(tokens(html), change), lambda text, token: F.concat(text, F.coalesce(token, F.lit("")))), "")
+    return F.struct(between.alias("between"), tokens(html).alias("tokens"))
 
 
-def obfuscate_inputs(html: Column, variant: int) -> Column:
-    """Password inputs retyped (1 to 3), forms unwrapped (4), names and actions changed (5), a visible decoy beside a hidden password (6)."""
+def _rewrite(parts: Column, change) -> Column:
+    """A page of ``pieces`` with each tag token replaced by ``change(token)``: the text between tokens stays."""
+    return F.array_join(F.zip_with(parts["between"], F.transform(parts["tokens"], change), lambda text, token: F.concat(text, F.coalesce(token, F.lit("")))), "")
+
+
+def obfuscate_inputs(html: Column, variant: int, parts: Column | None = None) -> Column:
+    """Password inputs retyped (1 to 3), forms unwrapped (4), names and actions changed (5), a visible decoy beside a hidden password (6).
+    ``parts`` are the page's ``pieces``, where they are at hand."""
+    parts = pieces(html) if parts is None else parts
     secret = lambda t: t.rlike(r"(?i)^<input\b") & t.rlike(_TYPE)
     if variant in (1, 2, 3):
         to = {1: "$1\"text\"", 2: "$1\"email\"", 3: "$1\"text\" data-role=\"password\""}[variant]
-        return _rewrite(html, lambda t: F.when(secret(t), F.regexp_replace(t, _TYPE, to)).otherwise(t))
+        return _rewrite(parts, lambda t: F.when(secret(t), F.regexp_replace(t, _TYPE, to)).otherwise(t))
     if variant == 4:
-        return _rewrite(html, lambda t: F.when(t.rlike(r"(?i)^</?form\b"), F.lit("")).otherwise(t))
+        return _rewrite(parts, lambda t: F.when(t.rlike(r"(?i)^</?form\b"), F.lit("")).otherwise(t))
     if variant == 5:
         named = lambda t: F.when(t.rlike(r"(?i)^<input\b"), F.regexp_replace(t, r"""(?i)(\sname\s*=\s*)("[^"]*(?:password|passwd|pwd)[^"]*"|'[^']*(?:password|passwd|pwd)[^']*')""", '$1"pw"')).otherwise(t)
-        return _rewrite(html, lambda t: F.when(t.rlike(r"(?i)^<form\b"), F.regexp_replace(t, r"""(?i)(\saction\s*=\s*)(?:"https?://[^"]*"|'https?://[^']*')""", '$1"/submit"')).otherwise(named(t)))
+        return _rewrite(parts, lambda t: F.when(t.rlike(r"(?i)^<form\b"), F.regexp_replace(t, r"""(?i)(\saction\s*=\s*)(?:"https?://[^"]*"|'https?://[^']*')""", '$1"/submit"')).otherwise(named(t)))
     decoy = '<input type="text" placeholder="Enter password" aria-hidden="true">'
-    return _rewrite(html, lambda t: F.when(secret(t), F.concat(F.regexp_replace(t, r"\s*/?>$", ' style="display:none">'), F.lit(decoy))).otherwise(t))
+    return _rewrite(parts, lambda t: F.when(secret(t), F.concat(F.regexp_replace(t, r"\s*/?>$", ' style="display:none">'), F.lit(decoy))).otherwise(t))
 
 
 PERTURBATIONS = {
@@ -145,16 +152,17 @@ def variant_grid(spark: SparkSession) -> DataFrame:
 def expand_variants(pages: DataFrame) -> DataFrame:
     """A row for each page and grid cell: attack, variant, surface, and url and html so perturbed.
 
-    The grid is 42 literal rows inside the projection: no join, no shuffle.
+    The grid is 42 literal rows inside the projection: no join, no shuffle. A page is cut into tokens once, for all six variants that rewrite them.
     """
     cells = [F.struct(F.lit(a).alias("attack"), F.lit(v).alias("variant"), F.lit(FAMILIES[a]).alias("surface"), F.lit(100 * k + n).alias("cell")) for k, a in enumerate(BUILT) for n, v in enumerate(VARIANTS, 1)]
-    rows = pages.withColumn("__cell", F.explode(F.array(*cells)))
+    rows = pages.withColumn("__pieces", pieces(F.col("html"))).withColumn("__cell", F.explode(F.array(*cells)))
     for column in ("url", "html"):
         value = F.col(column)
         for k, attack in enumerate(BUILT):
             target, change = PERTURBATIONS[attack]
             for n in range(1, 7) if target == column else ():
-                value = F.when(F.col("__cell.cell") == 100 * k + n, change(F.col(column), n)).otherwise(value)
+                given = (F.col("__pieces"),) if change is obfuscate_inputs else ()
+                value = F.when(F.col("__cell.cell") == 100 * k + n, change(F.col(column), n, *given)).otherwise(value)
         rows = rows.withColumn(f"__{column}", value)
     kept = [c for c in pages.columns if c not in ("url", "html")]
     return rows.select(*kept, F.col("__cell.attack").alias("attack"), F.col("__cell.variant").alias("variant"), F.col("__cell.surface").alias("surface"), F.col("__url").alias("url"), F.col("__html").alias("html"))

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +236,21 @@ def test_file_sources(spark, tmp_path):
     wanted = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)], "url string, pos int")
     assert [r.url for r in tables.ledger_pending(wanted, ledger, cap=3).collect()] == ["e", "d"]
     assert tables.drop_stale_failures(ledger).count() == 1
+
+
+def test_a_page_is_cut_into_tokens_once_for_all_variants(spark):
+    odd = ["<p>a</p>", "", "x</BODY >y</body>\nz</head>", '<body>$1\\<input type=password name="pwd">\n</body></html>\n', "<!-- </body> --><form action='http://x/'>é</form>"]
+    pages = spark.createDataFrame([(k, "http://a.b/c", h) for k, h in enumerate([*odd, None])], "page_id long, url string, html string")
+    grown = perturb.expand_variants(pages)
+    plan = grown._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("^(.*)</body") == 0
+    found = {(r.page_id, r.attack, r.variant): r.html for r in grown.collect()}
+    for k, html in enumerate(odd):
+        at = [m.start() for m in re.finditer(r"(?i)</body\s*>", html)]
+        head, tail = (html[: at[-1]], html[at[-1] :]) if at else (html, "")
+        for v in range(1, 7):
+            assert found[k, "A4_html_invisible_link", f"v{v}"] == head + perturb.anchor_snippet(*perturb.ANCHORS[v - 1]) + tail
+            assert found[k, "A6_html_dom_expand", f"v{v}"] == head + perturb.benign_snippet(v) + tail
+            alone = pages.select("page_id", perturb.obfuscate_inputs(pages.html, v).alias("h")).where(f"page_id = {k}").first().h
+            assert found[k, "A7_html_input_obfuscate", f"v{v}"] == alone
+    assert found[len(odd), "A4_html_invisible_link", "v1"] is None and {r.failed for r in perturb.manifest(grown).collect()} == {1}
