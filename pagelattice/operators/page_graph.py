@@ -88,10 +88,18 @@ def build_page_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     Pages without html are a single node. Edges that repeat a pair are merged: the later type holds.
     """
     from pagelattice.operators.dom import dom_nodes
-    from pagelattice.tables import cut
+    from pagelattice.tables import cut, spread
 
     pages = cut(with_traces(pages), "pages")
     dom = cut(dom_nodes(pages), "dom")
+    with spread(pages.sparkSession, dom.count()):
+        return *layers(pages, dom), dom
+
+
+def layers(pages: DataFrame, dom: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of written pages with traces and their elements."""
+    from pagelattice.tables import cut
+
     page_of = pages.select("page_id", F.col("domain").alias("page_domain"), F.col("url").alias("page_url"))
     html_id = lambda c: F.concat(F.lit("html_"), F.col(c).cast("string"))
     root = F.lit("html_0")
@@ -154,4 +162,4 @@ def build_page_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     for more in (execute, navigation, requested, redirected, named_edges, accessed, counted_edges):
         edges = edges.unionByName(more)
     merged = edges.groupBy("page_id", "src", "dst").agg(F.max_by("edge_type", "ord").alias("edge_type"), F.max("is_redirect").alias("is_redirect"), F.min("ord").alias("ord"))
-    return cut(nodes, "nodes"), cut(merged, "edges"), dom
+    return cut(nodes, "nodes"), cut(merged, "edges")

@@ -247,10 +247,12 @@ def node_edge_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features on shares of node and edge types, from the whole graph build."""
     from pagelattice.operators.features import edge_features, node_features
     from pagelattice.operators.page_graph import build_page_graph
+    from pagelattice.tables import cut, spread
 
     nodes, edges, _ = build_page_graph(decorated_pages(spark, sf_dir))
     names = [f"{k}_node_ratio" for k in ("html", "script", "request", "storage")] + [f"{k}_edge_ratio" for k in (*_SHARES, "cross_domain")] + ["avg_edge_type_entropy"]
-    return node_features(nodes).join(edge_features(edges, nodes), "page_id").select("page_id", *names)
+    with spread(spark, nodes.count()):
+        return cut(node_features(nodes).join(edge_features(edges, nodes), "page_id").select("page_id", *names), "shares")
 
 
 #: Which query's SQL gives the features of a group that need no graph.

@@ -102,3 +102,14 @@ def test_no_table_of_the_pages_is_broadcast(spark):
     """Tables that grow with the pages are joined by shuffles, however small Spark takes their files to be."""
     plan = feature_row(pages(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_shuffles_of_a_page_graph_grow_with_its_rows(spark, monkeypatch):
+    from pagelattice import tables
+
+    monkeypatch.setattr(tables, "SPREAD_ROWS", 50)
+    many = spark.range(60).selectExpr("id as page_id", "'https://a.b/c' as url", "'<body><p>x</p><script src=\"https://c.d/e\"></script></body>' as html")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    _, edges, dom = build_page_graph(many)
+    assert dom.count() == 60 * 4 and len(edges.inputFiles()) > 4 and edges.groupBy("page_id").count().where("count >= 4").count() == 60
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
