@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -70,6 +71,30 @@ def test_walks_are_uniform_and_stop_at_dead_ends(spark):
     assert set(drawn) == set("bcde") and max(abs(n - 75) for n in drawn.values()) < 30
 
 
+def test_walks_meet_packed_neighbours_where_they_lie(spark, monkeypatch):
+    """A hub of several packed rows, walks of several pieces: the same walks as in a loop, and no step broadcasts the neighbours or shuffles them."""
+    monkeypatch.setattr(graph, "PACKED", 4)
+    monkeypatch.setattr(graph, "CARRIED", 3)
+    pairs = [("hub", f"n{k:02d}") for k in range(19)] + [("n00", "n01"), ("n01", "n02")]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    edges = spark.createDataFrame([(7, *p) for p in pairs], "g long, src string, dst string")
+    found = graph.random_walks(edges, graph.endpoints(edges), num=3, length=9)
+    want = set()
+    for start in near:
+        for no in range(3):
+            walk = [start]
+            for step in range(1, 9):
+                draw = int(hashlib.md5(f"42:{step}:{start}:{no}".encode()).hexdigest()[:8], 16)
+                walk.append(sorted(near[walk[-1]])[draw % len(near[walk[-1]])])
+            want.add((start, no, tuple(walk)))
+    assert {(r.start, r.walk_no, tuple(r.walk)) for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_pair_weights_count_nearer_pairs_more(spark):
     walks = spark.createDataFrame([(["a", "b", "c", "a"],)], "walk array<string>")
     found = {(r.centre, r.context): round(r.weight, 6) for r in embeddings.pair_weights(walks, 2).collect()}
