@@ -1,6 +1,10 @@
 import json
 import os
 import random
+import zlib
+
+import pandas as pd
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from pagelattice.streaming import queue
 
@@ -71,3 +75,79 @@ def test_lanes_and_limits(spark, tmp_path):
     state = queue.QueueState(2, 1, 10)
     assert list(state.advance(5)) == [] and state.arrive("a", 5) is None and state.arrive("b", 5) is None and state.arrive("c", 5) == ("c", "dropped", 5, None)
     assert list(state.advance(9)) == [("a", "taken", 5, 6), ("b", "taken", 5, 7)]
+
+
+class Handle:
+    """State of one key in memory, with the calls counted."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, [], 0
+
+    def getMapState(self, *_):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.values)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.values
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def part_of(handle, names, tick, watermark=0):
+    processor = queue.FreshNames(5, 1, 100, 1, 0)
+    processor.init(handle)
+    rows = pd.DataFrame({"ts": pd.Timestamp(tick, unit="s"), "domain": names, "tick": tick, "piece": [zlib.crc32(n.encode()) % 4 for n in names]})
+    out = pd.concat(processor.handleInputRows((0, 7), iter([rows[:10], rows[10:]]), TimerValues(-1, watermark)))
+    return out[out["domain"].notna()], out[out["domain"].isna()]
+
+
+def test_a_part_sends_the_lane_what_may_find_room():
+    handle, names = Handle(), [f"n{k:04d}" for k in range(2000)]
+    fresh, end = part_of(handle, names + names[:50], 10)
+    assert sorted(fresh["domain"]) == names and fresh[fresh["part"] == queue.QUEUED]["domain"].tolist() == names[:5]
+    assert set(fresh[fresh["part"] != queue.QUEUED]["part"]) == {7} and end[["part", "tick"]].values.tolist() == [[queue.QUEUED, 10]]
+    assert handle.calls <= 1 + 4, "state is asked by pieces, not by names"
+    fresh, end = part_of(handle, names, 60)
+    assert fresh.empty and len(end) == 1, "all are remembered, and the clock goes on"
+    fresh, _ = part_of(handle, ["n0001", "new"], 50, 110_000)
+    assert fresh[["domain", "tick"]].values.tolist() == [["n0001", 110], ["new", 110]], "late names arrive now, and memory ends"
+
+
+def test_parts_and_late_names_against_a_loop(spark, tmp_path):
+    rnd = random.Random(5)
+    draw = lambda low, high, n: sorted((rnd.randrange(low, high), f"n{rnd.randrange(150):03d}") for _ in range(n))
+    first, second = draw(0, 60, 300), draw(40, 120, 300)
+    found, _ = run(spark, tmp_path, (4, 1, 30, 1, 1, "10 minutes", 3), [[first, second]])
+    base, clock = 1_704_067_200, first[-1][0]
+    came = first + [(max(t, clock), d) for t, d in second]
+    want, pending, seen, now = [], [], {}, came[0][0]
+    for t, d in came:
+        for now in range(now + 1, t + 1):
+            if pending:
+                name, since = pending.pop(0)
+                want.append((name, "taken", base + since, base + now))
+        now = t
+        if d in seen and t - seen[d] < 30:
+            continue
+        seen[d] = t
+        if len(pending) < 4:
+            pending.append((d, t))
+        else:
+            want.append((d, "dropped", base + t, None))
+    assert found == sorted(want, key=str)
