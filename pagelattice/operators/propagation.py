@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pagelattice.functions.urls import page_domain, path_substrings, registered_domain
 from pagelattice.operators.domains import registered_domains
 from pagelattice.operators.hubs import VertexCut
-from pagelattice.tables import bucketed, cut, new_path, written_at
+from pagelattice.tables import bucketed, cut, new_path, where_they_lie, written_at
 
 
 def url_graph(urls: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +150,11 @@ class Exchange:
         new = [F.round(n, digits) for n in new] if digits else new
         return met.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", F.col("answer_slot").alias("slot"), F.col("slot").alias("answer_slot"), new[0].alias("m0"), new[1].alias("m1"), *[F.col(c).alias(n) for c, n in (carried or {}).items()])
 
+    def gaps(self, new: DataFrame, was: DataFrame) -> DataFrame:
+        """(g0, g1): by how much each message has moved; planned ``where_they_lie``, no message is shuffled."""
+        was = was.select("src", "dst", "slot", F.col("m0").alias("w0"), F.col("m1").alias("w1"))
+        return new.join(was.hint("merge"), ["dst", "slot", "src"]).select(*[F.abs(F.col(f"m{k}") - F.col(f"w{k}")).alias(f"g{k}") for k in (0, 1)])
+
 
 def with_costs(joined: DataFrame, cost: list[Column]) -> DataFrame:
     """(id, label, cost0, cost1, map_label); ties are benign.
@@ -287,13 +292,16 @@ def lbp_run(edges: DataFrame, beliefs: DataFrame, max_iter: int = 6, tol: float
     heard = silent
     for sweep in range(max_iter):
         new = exchange.kept(exchange.turned(rows, exchange.totals(heard, rows), same, other, 10))
-        was = rows.select("src", "dst", "slot", F.col("m0").alias("w0"), F.col("m1").alias("w1"))
-        gaps = new.join(was, ["dst", "slot", "src"]).select(*[F.abs(F.col(f"m{k}") - F.col(f"w{k}")).alias(f"g{k}") for k in (0, 1)])
-        if sweep == 0:
-            gaps = gaps.unionByName(fixed.select(F.abs("m0").alias("g0"), F.abs("m1").alias("g1")))
-        heard, rows = base, new
-        if gaps.where((F.col("g0") >= tol) | (F.col("g1") >= tol)).isEmpty():
+        was, heard, rows = rows, base, new
+        if sweep == max_iter - 1:
             break
+        with where_they_lie(edges.sparkSession):
+            gaps = exchange.gaps(new, was)
+            if sweep == 0:
+                gaps = gaps.unionByName(fixed.select(F.abs("m0").alias("g0"), F.abs("m1").alias("g1")))
+            # The first bucket in which a message moves ends the search; ``isEmpty`` would sort them all.
+            if not gaps.where((F.col("g0") >= tol) | (F.col("g1") >= tol)).head(1):
+                break
     return marginals_of(exchange.totals(heard, rows), priors)
 
 

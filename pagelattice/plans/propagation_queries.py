@@ -22,7 +22,7 @@ def _dns(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    return propagation.url_graph(_urls(spark, sf_dir), _dns(spark, sf_dir))
+    return propagation.url_graph(_urls(spark, sf_dir), cut(_dns(spark, sf_dir), "dns"))  # vertices and edges each read them
 
 
 def _labels(spark, sf_dir):

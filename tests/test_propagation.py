@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from pagelattice import tables
 from pagelattice.operators import hubs, propagation
 
 
@@ -96,3 +98,24 @@ def test_a_sweep_does_not_shuffle_the_messages(spark):
     rows = exchange.kept(exchange.rows)
     by_slot = rows.groupBy("dst", "slot").agg({"m0": "sum"})
     assert "Exchange" not in by_slot._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moved_messages_are_found_in_their_buckets(spark, monkeypatch):
+    _, _, frame, beliefs = graph_of(spark)
+    exchange = propagation.Exchange(frame, beliefs)
+    was = exchange.kept(exchange.rows)
+    new = exchange.kept(exchange.rows.withColumn("m0", F.when(F.col("src") == "hub", 0.25).otherwise(0.0)))
+    with tables.where_they_lie(spark):
+        found = exchange.gaps(new, was)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    links = exchange.rows.where("src = 'hub'").count()
+    assert sorted((r.g0, r.g1) for r in found.collect()) == [(0.0, 0.0)] * (was.count() - links) + [(0.25, 0.0)] * links
+    # A run asks between sweeps and no more.
+    asked, gaps = [], propagation.Exchange.gaps
+    monkeypatch.setattr(propagation.Exchange, "gaps", lambda self, *a: asked.append(1) or gaps(self, *a))
+    propagation.lbp_run(frame, beliefs, max_iter=3)
+    assert len(asked) == 2
+    asked.clear()
+    still = {r.id: r.cost0 for r in propagation.lbp_run(frame, beliefs, max_iter=6, tol=1e9).collect()}
+    once = {r.id: r.cost0 for r in propagation.lbp_run(frame, beliefs, max_iter=1).collect()}
+    assert still == pytest.approx(once) and len(asked) == 1, "a sweep that moves nothing ends the run"
