@@ -154,3 +154,32 @@ def test_profiles_search_from_a_block_at_once(monkeypatch):
                 root = down.get((next(m["node"] for m in members if m["is_root"]), v))
                 assert mine.get("exfil") == (root + min(ways) if ways and root is not None else None)
     assert calls[0] == calls[1]
+
+
+def test_profiles_of_graphs_in_small_packed_rows(spark, monkeypatch):
+    """Two graphs dealt over several tasks, and a lone node: no row holds a whole graph, edges are longs, and the rows are those of one block."""
+    monkeypatch.setattr(graph, "PACKED_NODES", 16)
+    monkeypatch.setattr(graph, "PACKED_SOURCES", 4)
+    monkeypatch.setattr(graph, "HELD_WORDS", 1)
+    monkeypatch.setattr(graph, "FOLLOWED_WORDS", 8)
+    packed, plain = [], graph.packed_graphs
+    monkeypatch.setattr(graph, "packed_graphs", lambda *a: (packed.append(plain(*a)), packed[-1])[1])
+    rnd = random.Random(8)
+    members, links = [], []
+    for g, n in ((1, 90), (2, 40), (3, 1)):
+        names = [f"v{k:03d}" for k in range(n)]
+        members += [(g, v, *(k % 9 == m for m in range(7))) for k, v in enumerate(names)]
+        pairs = [(a, b) for a, b in zip(names, names[1:], strict=False) if rnd.random() < 0.9] + [(rnd.choice(names), rnd.choice(names)) for _ in range(n)] * (n > 1)
+        links += [(g, a, b, a < b) for a, b in pairs]
+    nodes = spark.createDataFrame(members, "g long, node string, " + ", ".join(f"{f} boolean" for f in graph._FLAGS))
+    edges = spark.createDataFrame(links, "g long, src string, dst string, structure boolean")
+    found = {(r.g, r.node): r.asDict() for r in graph.node_profiles(nodes, edges, block=7).collect()}
+    for g in (1, 2, 3):
+        mine = [dict(zip(("node", *graph._FLAGS), m[1:], strict=True)) for m in members if m[0] == g]
+        want = graph.GraphProfile(mine, [dict(zip(("src", "dst", "structure"), e[1:], strict=True)) for e in links if e[0] == g]).block(0, 1000)
+        for node, row in want.items():
+            got = found.pop((g, node))
+            assert {k: v for k, v in got.items() if k not in ("g", "node") and v is not None} == {k: v for k, v in row.items() if v is not None}
+    assert not found
+    kinds = {k: max(len(r.codes) for r in packed[0].collect() if r.kind == k) for k in (0, 1)}
+    assert kinds[0] <= 16 and kinds[1] <= 16 and dict(packed[0].dtypes)["codes"] == "array<bigint>"
