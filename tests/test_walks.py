@@ -141,3 +141,36 @@ def test_few_words_with_many_pairs_are_trained_by_many_tasks():
     assert embeddings.block_count(300_000, 30_000_000, embeddings.BLOCK) == 12
     assert embeddings.block_count(6_000_000, 30_000_000, embeddings.BLOCK) == 120
     assert embeddings.block_count(16, 200, embeddings.BLOCK) == 1 and embeddings.block_count(0, 0, embeddings.BLOCK) == 1
+
+
+def walks_of_a_loop(near, num, length):
+    found = set()
+    for g, start in near:
+        for no in range(num):
+            walk = [start]
+            for step in range(1, length):
+                draw = int(hashlib.md5(f"42:{step}:{start}:{no}".encode()).hexdigest()[:8], 16)
+                walk.append(sorted(near[g, walk[-1]])[draw % len(near[g, walk[-1]])])
+            found.add((g, start, no, tuple(walk)))
+    return found
+
+
+@pytest.mark.parametrize("whole", [1 << 25, 100, 0])
+def test_walks_are_not_shuffled_or_written_on_their_way(spark, monkeypatch, whole):
+    """Graphs held by tasks, one of them by several, and walked by steps: the same walks as in a loop. Held ones write numbers of the graph only."""
+    monkeypatch.setattr(graph, "WHOLE", whole)
+    monkeypatch.setattr(graph, "PACKED_NODES", 16)
+    monkeypatch.setattr(graph, "PACKED_SOURCES", 4)
+    rnd = random.Random(4)
+    pairs = [(1, "hub", f"n{k:02d}") for k in range(60)] + [(1, f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}") for _ in range(80)] + [(2, "a", "b"), (2, "b", "a"), (2, "b", "c"), (2, "c", "c")]
+    near = {}
+    for g, a, b in pairs:
+        if a != b:
+            near.setdefault((g, a), set()).add(b)
+            near.setdefault((g, b), set()).add(a)
+    edges = spark.createDataFrame(pairs, "g long, src string, dst string")
+    written, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: (written.append(name), plain(df, name))[1])
+    rows = graph.random_walks(edges, graph.endpoints(edges), num=3, length=12).collect()
+    assert {(r.g, r.start, r.walk_no, tuple(r.walk)) for r in rows} == walks_of_a_loop(near, 3, 12) and len(rows) == 3 * len(near)
+    assert ("walks" in written) == (whole < 1 << 25)
