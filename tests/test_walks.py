@@ -174,3 +174,19 @@ def test_walks_are_not_shuffled_or_written_on_their_way(spark, monkeypatch, whol
     rows = graph.random_walks(edges, graph.endpoints(edges), num=3, length=12).collect()
     assert {(r.g, r.start, r.walk_no, tuple(r.walk)) for r in rows} == walks_of_a_loop(near, 3, 12) and len(rows) == 3 * len(near)
     assert ("walks" in written) == (whole < 1 << 25)
+
+
+def test_pairs_of_ragged_walks(spark, monkeypatch):
+    """Walks of all lengths, repeats, nulls and an empty one against a plain loop, counted two walks at a time."""
+    monkeypatch.setattr(embeddings, "COUNTED", 2)
+    rnd = random.Random(6)
+    walks = [[rnd.choice(["a", "b", "é", "zz", "aa", None]) for _ in range(n)] for n in (0, 1, 2, 3, 9, 17)]
+    want = Counter()
+    for walk in walks:
+        for k, x in enumerate(walk):
+            for d in range(1, 4):
+                if k + d < len(walk) and x is not None and walk[k + d] is not None:
+                    want[x, walk[k + d]] += (4 - d) / 3
+                    want[walk[k + d], x] += (4 - d) / 3
+    found = embeddings.pair_weights(spark.createDataFrame([(w,) for w in [*walks, None]], "walk array<string>"), 3).collect()
+    assert len(found) == len(want) and all(abs(r.weight - want[r.centre, r.context]) < 1e-9 for r in found)
